@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows a batch that goes to Python, so that batches of long texts stay small.
 BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
 #: Identifiers that may be broadcast (8 bytes each); beyond it a shuffled join is used.
 BROADCAST_IDS = 1_000_000
 
@@ -28,6 +29,9 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # the default
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -62,6 +66,11 @@ def among(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, key, how)
 
 
+def golden(n: int) -> np.uint64:
+    """n steps of the golden-ratio sequence modulo 2**64."""
+    return np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), elementwise on uint64."""
     x = x ^ (x >> np.uint64(30))
@@ -74,7 +83,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x100000001B3 | 0x5DEECE66D00000001
+_BASE = 0x5DEECE66D1B3C0D7  # odd, so that it has an inverse
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
