@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gam, langid, mixing, neardup, pieces, rules, secrets
+from . import gam, langid, licenses, mixing, neardup, pieces, rules, secrets
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,4 +47,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": rules.oracle(), "op7_mix_sources": mixing.oracle()}
+    return {"op1_license_scan": licenses.oracle(), "op5_quality_rules": rules.oracle(), "op7_mix_sources": mixing.oracle()}
