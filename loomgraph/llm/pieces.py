@@ -291,7 +291,7 @@ def encode_udf(model: str):
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         p = pieces(model)
         for batch in texts:
-            yield pd.Series([np.array([*np.frombuffer(p.binary(t), "<u2"), p.end], np.int32) for t in batch], dtype=object)
+            yield pd.Series([np.append(np.frombuffer(p.binary(t), "<u2"), np.uint16(p.end)).astype(np.int32) for t in batch], dtype=object)
 
     return run
 
