@@ -11,10 +11,12 @@ similarity.
 Signatures meet in bands of ROWS coordinates. All further work is on classes, never on all pairs of a bucket:
 
 1. texts of equal words are one node (a group of exact copies is one row from here on);
-2. in each bucket every node is paired with the bucket's first node, and these pairs are checked exactly;
-3. connected components are taken; only in buckets that still hold several components, nodes of different components are
-   paired and checked, so that no link that shares a bucket is lost;
-4. components again.
+2. in each bucket every node meets the bucket's first node, and these pairs are checked exactly;
+3. connected components are taken; in buckets that still hold several, the node with the most links meets the others,
+   twice, so that a large group of copies of one text comes together around that text;
+4. buckets that are still open are compared in full between components: pair by pair up to SMALL nodes, beyond that block
+   by block inside an operator that emits links only, so that no link that shares a bucket is lost;
+5. components again.
 
 With 40 bands of 6 rows a pair at similarity 0.8 shares no bucket with probability 5e-6.
 
@@ -40,6 +42,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
 K = BANDS * ROWS
+#: Rounds in which every open bucket's best-linked node meets its other nodes.
+HUB_ROUNDS = 2
+#: Open buckets of more nodes than SMALL are compared in blocks of about BLOCK nodes.
+SMALL, BLOCK = 64, 128
 
 
 def weighted_sets(texts: list[str | None], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -130,8 +136,8 @@ def signed(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, digest binary, bands array<long>")
 
 
-def checked(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The pairs (a, b) whose texts are similar; pairs is settled."""
+def compared(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(a, b, similarity) of the texts of settled pairs (a, b)."""
     small_batches(docs.sparkSession)
     ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), ids, "doc_id", "left_semi")
@@ -142,16 +148,16 @@ def checked(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, tex
         kept_text, kept_set = None, None
         for batch in batches:
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            keep = []
+            found = []
             for start, stop in slices(tb, 1_000_000):
                 for i, other in zip(range(start, stop), weighted_sets(tb[start:stop]), strict=True):
                     if kept_set is None or ta[i] != kept_text:  # rows come in order of a
                         kept_text, kept_set = ta[i], weighted_sets([ta[i]])[0]
-                    if similarity(kept_set, other) >= threshold:
-                        keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+                    found.append(similarity(kept_set, other))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    scored = both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    return scored.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -176,6 +182,61 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
+def gram_sets(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
+    """node, grams, counts of the documents of settled ids (node): the weighted set as bytes."""
+    some = among(docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("text")), ids, "node", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for start, stop in slices(texts, 1_000_000):
+                sets = weighted_sets(texts[start:stop])
+                grams, counts = pa.array([g.tobytes() for g, _ in sets], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), grams, counts], ["node", "grams", "counts"])
+
+    return some.select("node", "text").mapInArrow(run, "node long, grams binary, counts binary")
+
+
+def across_blocks(members: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b, similarity) between components in large buckets, from settled (bucket, node, component, main).
+
+    Nodes of the bucket's main component and the others are dealt to blocks of about BLOCK; each block of others meets each
+    block of its bucket in one row, and only links leave the comparison, never the pairs.
+    """
+    sizes = members.groupBy("bucket").agg(F.sum(F.col("main").cast("int")).alias("n_main"), F.sum((~F.col("main")).cast("int")).alias("n_rest"))
+    blocks = F.ceil(F.when(F.col("main"), F.col("n_main")).otherwise(F.col("n_rest")) / BLOCK)
+    dealt = members.join(settle(sizes), "bucket").select("bucket", "node", "component", "main", F.pmod(F.xxhash64("node"), blocks).alias("block"))
+    full = dealt.join(grams, "node").groupBy("bucket", "main", "block").agg(F.collect_list(F.struct("node", "component", "grams", "counts")).alias("rows"))
+    full = settle(full)
+    left = full.where("not main").select("bucket", F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
+    right = full.select("bucket", "main", "block", F.col("rows").alias("rows_b"))
+    meet = left.join(right, "bucket").where("main or block >= block_a").select("rows_a", "rows_b")
+
+    def opened(rows: list[dict]) -> tuple:
+        nodes, parts = np.array([r["node"] for r in rows]), np.array([r["component"] for r in rows])
+        return nodes, parts, [np.frombuffer(r["grams"], np.uint64) for r in rows], [np.frombuffer(r["counts"], np.uint32).astype(np.int64) for r in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                na, ca, ga, wa = opened(batch.column(0)[k].as_py())
+                nb, cb, gb, wb = opened(batch.column(1)[k].as_py())
+                flat, weights, owner = np.concatenate(gb), np.concatenate(wb), np.repeat(np.arange(len(gb)), [len(g) for g in gb])
+                total_b, out = np.array([w.sum() for w in wb]), []
+                for i in range(len(na)):
+                    if not len(ga[i]):
+                        continue
+                    at = np.minimum(np.searchsorted(ga[i], flat), len(ga[i]) - 1)
+                    same = ga[i][at] == flat
+                    common = np.bincount(owner[same], np.minimum(weights[same], wa[i][at[same]]), len(gb))
+                    likeness = common / (wa[i].sum() + total_b - common)
+                    out += [(min(na[i], nb[j]), max(na[i], nb[j]), likeness[j]) for j in np.flatnonzero((likeness >= threshold) & (cb != ca[i]))]
+                columns = list(zip(*out, strict=True)) if out else [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["a", "b", "similarity"])
+
+    return meet.mapInArrow(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """doc_id, class_id, class_size, n_links of every row; n_links counts the checked links of its text to other texts."""
     rows = settle(signed(docs, text))
@@ -184,20 +245,33 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -
     nodes = settle(rows.where("digest is not null").join(first, "digest").where("doc_id = node").select("node", "bands"))
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     heads = settle(banded.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head"))
-    shared = settle(banded.join(heads, "bucket").distinct())
-    pairs = settle(shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    links = settle(checked(pairs, docs, threshold, text))
-    found = components(links)
-    # buckets that hold several components: pair nodes across them
-    labelled = settle(shared.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
-    open_ = settle(labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket"))
-    spread = settle(labelled.join(open_, "bucket"))
-    left, right = spread.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca")), spread.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = left.join(right, "bucket").where("ca <> cb and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = settle(checked(settle(across), docs, threshold, text))
-    if not more.isEmpty():
-        links = settle(links.union(more))
+    shared = settle(banded.join(heads, "bucket").select("bucket", "node", "head").distinct())
+    known = links = None
+    inside = shared  # members of the buckets that hold several components, with the node that all others meet next
+    for _ in range(1 + HUB_ROUNDS):
+        pairs = inside.where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
+        scored = compared(settle(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")), docs, text)
+        known = settle(scored if known is None else known.union(scored))
+        links = known.where(F.col("similarity") >= threshold)
         found = components(links)
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        facts = settle(found.join(degree, "node", "left").select(F.col("node").alias("of"), "component", "degree"))
+        labelled = settle(inside.select("bucket", "node").join(facts, F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")))
+        hub = F.min(F.struct((-F.col("degree")).alias("d"), F.col("node").alias("head"), F.col("component").alias("main")))
+        ends = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"), hub.alias("hub"))
+        open_ = settle(ends.where("least <> most").select("bucket", "n", "hub.head", F.col("hub.main").alias("hub_component")))
+        inside = settle(labelled.drop("degree").join(open_, "bucket"))
+    # what is still open is compared in full: small buckets pair by pair, large ones block by block
+    small = inside.where(F.col("n") <= SMALL)
+    left, right = small.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca")), small.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
+    across = settle(left.join(right, "bucket").where("ca <> cb and a < b").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
+    more = compared(across, docs, text)
+    large = settle(inside.where(F.col("n") > SMALL).select("bucket", "node", "component", (F.col("component") == F.col("hub_component")).alias("main")))
+    if not large.isEmpty():
+        grams = settle(gram_sets(docs, settle(large.select("node").distinct()), text))
+        more = more.unionByName(across_blocks(large, grams, threshold))
+    links = settle(links.unionByName(more.where(F.col("similarity") >= threshold)).select("a", "b").distinct())
+    found = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     facts = settle(found.join(degree, "node", "left"))
     out = settle(member.join(facts, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
