@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts the hashed n-grams of every labelled text once per partition into one table, sums the tables by
-language and bucket, and turns them into smoothed log probabilities. The matrix (languages x buckets) is broadcast; its
+Training takes about TRAIN_DOCS labelled texts of each language, drawn by the hash of their id, counts their hashed
+n-grams, sums the counts by language and bucket, and turns them into smoothed log probabilities. The matrix (languages x buckets) is broadcast; its
 size depends on the number of languages only. Scoring treats a batch of texts as a sparse matrix in compressed rows
 (bounds of each text, bucket of each n-gram) times the dense matrix.
 
@@ -21,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, fold, free_name, mix, slices, small_batches
+from .common import GOLD, fold, free_name, mix, settle, slices, small_batches
 
+#: Labelled texts to learn each language from, about; all of them where there are fewer. Scores are of every text.
+TRAIN_DOCS = 4000
+#: Tasks that count the n-grams of that sample.
+TASKS = 16
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 15
 #: Lengths of the n-grams; a run of characters that aren't letters counts as one space.
@@ -89,8 +93,8 @@ class Model:
         return best, score
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """A model of all rows of labelled that have a text and a language."""
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_each: int = TRAIN_DOCS) -> Model:
+    """A model of about docs_each rows a language of those rows (doc_id, text, lang) that have a text and a language."""
     small_batches(labelled.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +115,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                 some = at[k : k + 8192]
                 yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(some)), pa.array(some, pa.int32()), pa.array(table[some], pa.int64())], ["lang", "bucket", "n"])
 
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    rows = labelled.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    share = settle(rows.groupBy("lang").agg((F.lit(float(docs_each)) / F.count("*")).alias("share")))  # one row a language
+    drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.join(F.broadcast(share), "lang").where(drawn < F.col("share")).select("text", "lang").repartition(TASKS)
     sums = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = sums.toPandas()  # languages x buckets rows at most
     languages = sorted(found["lang"].unique())
