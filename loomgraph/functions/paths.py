@@ -89,8 +89,9 @@ def glob_to_regex(glob: str) -> str:
 
 #: Generated directories that are never looked into.
 GENERATED_DIRS = """
-.git node_modules dist .next .nuxt .turbo .cache coverage __pycache__ .venv venv target vendor .wrangler .svelte-kit
-.output .parcel-cache .pytest_cache .mypy_cache .ruff_cache .tox .gradle .terraform .nx .yarn .pnpm-store .idea
+.git node_modules vendor target dist coverage .next .nuxt .svelte-kit .turbo .wrangler .vercel .output .cache .venv
+__pycache__ .pytest_cache .gradle .terraform .idea .vscode-test test-results playwright-report storybook-static
+.dart_tool .tox .mypy_cache
 """.split()
 
 

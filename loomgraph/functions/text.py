@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -162,8 +163,6 @@ def document_kind(p: Column) -> Column:
 
 def edit_distance(a: Column, b: Column):
     """Edit distance that counts a swap of neighbours as one (a Python function: Spark has none with swaps)."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else swap_distance(x, y) for x, y in zip(xs, ys, strict=True)], dtype="Int32")
