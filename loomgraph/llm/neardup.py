@@ -12,9 +12,9 @@ Signatures meet in bands of ROWS coordinates. All further work is on classes, ne
 
 1. texts of equal words are one node (a group of exact copies is one row from here on);
 2. in each bucket every node meets the bucket's first node, and these pairs are checked exactly;
-3. connected components are taken; in buckets that still hold several, the node with the most links meets the others,
-   twice, so that a large group of copies of one text comes together around that text;
-4. buckets that are still open are compared in full between components: pair by pair up to SMALL nodes, beyond that block
+3. then the node with the most links of each bucket meets the others, so that a large group of copies of one text comes
+   together around that text;
+4. connected components are taken, and buckets that still hold several are compared in full between components: pair by pair up to SMALL nodes, beyond that block
    by block inside an operator that emits links only, so that no link that shares a bucket is lost;
 5. components again.
 
@@ -43,7 +43,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
 K = BANDS * ROWS
 #: Rounds in which every open bucket's best-linked node meets its other nodes.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 #: Open buckets of more nodes than SMALL are compared in blocks of about BLOCK nodes.
 SMALL, BLOCK = 64, 128
 
@@ -163,22 +163,19 @@ def compared(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) of every node in settled links (a, b).
 
-    Each round gives every node the least component of its neighbours and then that component's own component, until
-    nothing changes; chains shrink by pointer jumping, and every round is written to the checkpoint folder.
+    Each round gives every node the least label of itself and its neighbours, then the label of that label, until
+    nothing changes; labels travel over hubs and shortcuts, and every round is written to the checkpoint folder.
     """
     both = settle(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).where("node <> other").distinct())
     state = settle(both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")))
     while True:
-        near = both.join(state.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        # the least component that a component's members see hooks the whole component
-        seen = settle(state.join(near, "node").select("node", "component", F.least("component", "near").alias("least")))
-        hook = seen.groupBy("component").agg(F.min("least").alias("hooked"))
-        step = seen.join(settle(hook), "component").select("node", F.col("component").alias("was"), "hooked")
-        root = settle(step.groupBy(F.col("node").alias("hooked")).agg(F.min("hooked").alias("root")))
-        jumped = settle(step.join(root, "hooked", "left").select("node", "was", F.least("hooked", F.coalesce("root", "hooked")).alias("component")))
-        changed = not jumped.where("component <> was").isEmpty()
+        label = state.select(F.col("node").alias("other"), F.col("component").alias("seen"))
+        near = both.join(label, "other").groupBy("node").agg(F.min("seen").alias("near"))
+        step = settle(state.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("mid")))
+        own = step.select(F.col("node").alias("mid"), F.col("mid").alias("root"))
+        jumped = settle(step.join(own, "mid").select("node", "was", F.least("mid", "root").alias("component")))
         state = jumped.select("node", "component")
-        if not changed:
+        if jumped.where("component <> was").isEmpty():
             return state
 
 
@@ -246,27 +243,31 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     heads = settle(banded.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head"))
     shared = settle(banded.join(heads, "bucket").select("bucket", "node", "head").distinct())
-    known = links = None
-    inside = shared  # members of the buckets that hold several components, with the node that all others meet next
-    for _ in range(1 + HUB_ROUNDS):
-        pairs = inside.where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
+    known, meeting = None, shared  # members of buckets, with the node that all others meet next
+    for turn in range(1 + HUB_ROUNDS):
+        if turn:
+            ends = known.where(F.col("similarity") >= threshold).select(F.explode(F.array("a", "b")).alias("of"))
+            degree = settle(ends.groupBy("of").agg(F.count("*").alias("degree")))
+            ranked = settle(shared.join(degree, F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("degree", F.lit(0)).alias("degree")))
+            hub = settle(ranked.groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("node").alias("head"))).alias("h")).select("bucket", "h.head"))
+            meeting = ranked.join(hub, "bucket")
+        pairs = meeting.where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
         scored = compared(settle(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")), docs, text)
         known = settle(scored if known is None else known.union(scored))
-        links = known.where(F.col("similarity") >= threshold)
-        found = components(links)
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        facts = settle(found.join(degree, "node", "left").select(F.col("node").alias("of"), "component", "degree"))
-        labelled = settle(inside.select("bucket", "node").join(facts, F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")))
-        hub = F.min(F.struct((-F.col("degree")).alias("d"), F.col("node").alias("head"), F.col("component").alias("main")))
-        ends = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"), hub.alias("hub"))
-        open_ = settle(ends.where("least <> most").select("bucket", "n", "hub.head", F.col("hub.main").alias("hub_component")))
-        inside = settle(labelled.drop("degree").join(open_, "bucket"))
+    links = known.where(F.col("similarity") >= threshold)
+    found = components(links)
+    labelled = settle(shared.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
+    spread = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
+    open_ = settle(spread.where("least <> most").select("bucket", "n"))
+    inside = settle(labelled.join(open_, "bucket"))
     # what is still open is compared in full: small buckets pair by pair, large ones block by block
     small = inside.where(F.col("n") <= SMALL)
     left, right = small.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca")), small.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
     across = settle(left.join(right, "bucket").where("ca <> cb and a < b").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
     more = compared(across, docs, text)
-    large = settle(inside.where(F.col("n") > SMALL).select("bucket", "node", "component", (F.col("component") == F.col("hub_component")).alias("main")))
+    big = inside.where(F.col("n") > SMALL)
+    main = big.groupBy("bucket", "component").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("main_component"))
+    large = settle(big.join(settle(main), "bucket").select("bucket", "node", "component", (F.col("component") == F.col("main_component")).alias("main")))
     if not large.isEmpty():
         grams = settle(gram_sets(docs, settle(large.select("node").distinct()), text))
         more = more.unionByName(across_blocks(large, grams, threshold))
