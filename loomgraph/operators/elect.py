@@ -17,7 +17,7 @@ def select_rules(groups: DataFrame, rules: DataFrame) -> DataFrame:
     """
     text = F.concat_ws(" ", "subject", "key")
     keys = groups.select("subject", "key").distinct()
-    hit = keys.join(F.broadcast(rules), text.rlike(F.col("key_pattern")))
+    hit = keys.join(F.broadcast(rules), F.rlike(text, F.col("key_pattern")))
     best = hit.groupBy("subject", "key").agg(F.max_by(F.struct("id", "elect"), F.struct(F.length("key_pattern"), -F.col("ord"))).alias("r"))
     return groups.join(best.select("subject", "key", F.col("r.id").alias("rule_id"), F.col("r.elect").alias("elect")), ["subject", "key"], "left")
 

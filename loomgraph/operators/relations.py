@@ -43,8 +43,8 @@ def identity(relations: DataFrame) -> DataFrame:
 def with_inverses(relations: DataFrame) -> DataFrame:
     """Each edge and its inverse."""
     table = F.broadcast(inverses(relations.sparkSession))  # fixed table
-    turned = relations.join(table, "type").withColumn("type", F.col("inverse")).drop("inverse")
-    turned = turned.withColumnsRenamed({"source_ref": "target_ref", "target_ref": "source_ref"})
+    swap = {"source_ref": "target_ref", "target_ref": "source_ref", "type": "inverse"}
+    turned = relations.join(table, "type").select(*[F.col(swap.get(c, c)).alias(c) for c in relations.columns])
     return relations.unionByName(turned)
 
 
