@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,6 +130,13 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out + np.uint64(width))
 
 
+def trim() -> None:
+    """Give memory that a finished task of this worker freed back to the machine; workers go on to other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(texts: list, chars: int = 4_000_000):
     """Bounds of runs of texts of about so many characters; a longer text is a run of its own."""
     start, total = 0, 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, fold, free_name, mix, settle, slices, small_batches
+from .common import GOLD, fold, free_name, mix, settle, slices, small_batches, trim
 
 #: Labelled texts to learn each language from, about; all of them where there are fewer. Scores are of every text.
 TRAIN_DOCS = 4000
@@ -31,6 +31,8 @@ TASKS = 16
 BUCKETS = 1 << 15
 #: Lengths of the n-grams; a run of characters that aren't letters counts as one space.
 ORDERS = (2, 3)
+#: Characters of texts that are looked at at once.
+SLICE = 500_000
 #: Added to each count.
 SMOOTHING = 0.5
 #: The pipeline rejects documents of `und` and those whose best language is less likely than this.
@@ -80,7 +82,7 @@ class Model:
         best = [UNDETERMINED] * len(texts)
         score = np.zeros(len(texts))
         asked = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
-        for start, stop in slices([texts[i] for i in asked], 1_000_000):
+        for start, stop in slices([texts[i] for i in asked], SLICE):
             some = asked[start:stop]
             buckets, bounds = grams([texts[i] for i in some])
             sums = np.add.reduceat(self.log_probability[buckets], bounds[:-1], axis=0, dtype=np.float64) + self.log_prior
@@ -101,7 +103,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_each:
         tables: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start, stop in slices(texts, 1_000_000):
+            for start, stop in slices(texts, SLICE):
                 by: dict[str, list[str]] = {}
                 for t, lang_ in zip(texts[start:stop], langs[start:stop], strict=True):
                     by.setdefault(lang_, []).append(t)
@@ -139,6 +141,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text"):
         for batch in texts:
             best, score = shared.value.score(batch.tolist())
             yield pd.DataFrame({"lang_pred": best, "score": score})
+        trim()
 
     return run(F.col(text))
 

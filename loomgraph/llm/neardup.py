@@ -36,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, among, golden, mix, settle, shingles, slices, small_batches, word_hashes
+from .common import GOLD, among, golden, mix, settle, shingles, slices, small_batches, trim, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
 K = BANDS * ROWS
+#: Characters of texts that are hashed at once.
+SLICE = 500_000
 #: Rounds in which every open bucket's best-linked node meets its other nodes.
 HUB_ROUNDS = 1
 #: Open buckets of more nodes than SMALL are compared in blocks of about BLOCK nodes.
@@ -123,7 +125,7 @@ def signed(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for start, stop in slices(texts, 1_000_000):
+            for start, stop in slices(texts, SLICE):
                 hashes, bounds = word_hashes(texts[start:stop])
                 parts = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 sets = [np.unique(shingles(p, SHINGLE), return_counts=True) for p in parts]
@@ -131,6 +133,7 @@ def signed(docs: DataFrame, text: str = "text") -> DataFrame:
                 digests = [blake2b(p.tobytes(), digest_size=16).digest() if len(p) else None for p in parts]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(digests, pa.binary()), lists], ["doc_id", "digest", "bands"])
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, digest binary, bands array<long>")
@@ -149,12 +152,13 @@ def compared(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame
         for batch in batches:
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             found = []
-            for start, stop in slices(tb, 1_000_000):
+            for start, stop in slices(tb, SLICE):
                 for i, other in zip(range(start, stop), weighted_sets(tb[start:stop]), strict=True):
                     if kept_set is None or ta[i] != kept_text:  # rows come in order of a
                         kept_text, kept_set = ta[i], weighted_sets([ta[i]])[0]
                     found.append(similarity(kept_set, other))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+        trim()
 
     scored = both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
     return scored.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
@@ -186,7 +190,7 @@ def gram_sets(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for start, stop in slices(texts, 1_000_000):
+            for start, stop in slices(texts, SLICE):
                 sets = weighted_sets(texts[start:stop])
                 grams, counts = pa.array([g.tobytes() for g, _ in sets], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), grams, counts], ["node", "grams", "counts"])

@@ -15,16 +15,18 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from struct import pack
+from typing import Any
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trim
 
 MODEL = "piece_bpe_32k.model"
 #: The mark that stands for a space inside pieces.
@@ -42,8 +44,8 @@ def default_model() -> str:
 class Pieces:
     """Encoder and decoder over the vocabulary of one model file."""
 
-    STORE = 600_000  # parts kept at once
-    PAIRS = 1_000_000  # checked pairs kept at once
+    STORE = 150_000  # parts kept at once
+    PAIRS = 200_000  # checked pairs kept at once
     LONG = 64  # longer parts are not kept
 
     def __init__(self, path: str):
@@ -77,7 +79,8 @@ class Pieces:
         self.cut = re.compile("\n+|" + words + "[ ▁]*[^ ▁\n]+|[ ▁]+" if "\n" not in letters else words + "[ ▁]*[^ ▁]+|[ ▁]+")
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
-        self.store: dict[str, tuple[str, str, bytes]] = _Store(self)
+        self.store: dict[str, tuple[str, str]] = _Store(self, lambda ids: (" ".join(map(str, ids)), self.decode(ids, first=False)))
+        self.packed: dict[str, bytes] = _Store(self, lambda ids: pack(f"<{len(ids)}H", *ids))
 
     # -- merging, for the checks of single tokens and of pairs
 
@@ -228,8 +231,7 @@ class Pieces:
 
     def binary(self, text: str | None) -> bytes:
         """Ids of a text without an end id, two little-endian bytes each (vocabularies of up to 65,536)."""
-        get = self.store.__getitem__
-        return b"".join([get(p)[2] for p in self.parts(text)])
+        return b"".join(map(self.packed.__getitem__, self.parts(text)))
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids with the end id, digest of the ids, digest of what they decode to."""
@@ -258,15 +260,14 @@ def _readable(held: bytearray) -> str:
 
 
 class _Store(dict):
-    """Encoded parts: ids as text, decoded text, ids as bytes."""
+    """What was made of the ids of encoded parts, up to Pieces.STORE of them."""
 
-    def __init__(self, pieces: Pieces):
-        self.pieces = pieces
+    def __init__(self, pieces: Pieces, make: Callable[[list[int]], Any]):
+        self.pieces, self.make = pieces, make
 
-    def __missing__(self, part: str) -> tuple[str, str, bytes]:
+    def __missing__(self, part: str) -> Any:
         p = self.pieces
-        ids = p.tokens(part.replace(" ", MARK))
-        found = (" ".join(map(str, ids)), p.decode(ids, first=False), pack(f"<{len(ids)}H", *ids) if len(p.text) <= 65536 else b"")
+        found = self.make(p.tokens(part.replace(" ", MARK)))
         if len(part) <= p.LONG:
             if len(self) >= p.STORE:
                 self.clear()
@@ -287,11 +288,16 @@ def pieces(path: str) -> Pieces:
 def encode_udf(model: str):
     """Column function: text to array of ids, end id last."""
 
-    @F.pandas_udf("array<int>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         p = pieces(model)
+        end = pack("<H", p.end)
         for batch in texts:
-            yield pd.Series([np.append(np.frombuffer(p.binary(t), "<u2"), np.uint16(p.end)).astype(np.int32) for t in batch], dtype=object)
+            parts = [p.binary(t.as_py()) + end for t in batch]
+            flat = np.frombuffer(b"".join(parts), "<u2").astype(np.int32)
+            bounds = np.concatenate(([0], np.cumsum([len(x) // 2 for x in parts]))).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
+        trim()
 
     return run
 
@@ -316,6 +322,7 @@ def digests_udf(model: str):
         p = pieces(model)
         for batch in texts:
             yield pd.DataFrame([p.digests(t) for t in batch], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        trim()
 
     return run
 
