@@ -22,7 +22,7 @@ def _reverse(spark, d):
     return closure.reverse_edges(B.part_edges(spark, d))
 
 
-@query(f"with recursive {EDGES}, r as (select 'component:tpch/part-' || p_partkey as node, 0 as depth from part where p_partkey in (1900, 1999) union select e.target_ref, depth + 1 from r join edges e on e.source_ref = r.node where depth < 40) select node, min(depth)::int as depth from r group by 1")
+@query(f"with recursive {EDGES}, r as (select 'component:tpch/part-' || k as node, 0 as depth from (values (1900), (1999)) v(k) union select e.target_ref, depth + 1 from r join edges e on e.source_ref = r.node where depth < 40) select node, min(depth)::int as depth from r group by 1")
 def reachability(spark, d):
     seeds = spark.range(0, 1, 1, 1).select(F.explode(F.array(F.lit(1900), F.lit(1999))).alias("k")).select(B.ref("component/part", "k").alias("node"))
     e = B.part_edges(spark, d).select(F.col("source_ref").alias("src"), F.col("target_ref").alias("dst"))
