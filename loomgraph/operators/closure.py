@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..plans.settle import settle
 
+#: Rows that one task may put in order; more are put in order over range partitions.
+ONE_TASK = 100_000
+
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, depth) of all nodes that seeds (node) reach over edges (src, dst), seeds included at 0."""
@@ -70,13 +73,16 @@ def dependent_distance(reverse: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def _placed(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with `place`, its number in the given order, counted over range partitions instead of one task."""
+    """df with `place`, its number in the given order: in one task up to ONE_TASK rows, else counted over range partitions."""
+    if df.count() <= ONE_TASK:
+        return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
     sorted_ = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mid", F.monotonically_increasing_id()))
     part = F.shiftright("mid", 33)
     sizes = settle(sorted_.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.min("mid").alias("first")))
     before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("p", "first", before.alias("before"))  # one row a partition
-    return sorted_.join(F.broadcast(offsets), part == F.col("p")).withColumn("place", F.col("before") + F.col("mid") - F.col("first"))
+    placed = sorted_.join(F.broadcast(offsets), part == F.col("p")).withColumn("place", F.col("before") + F.col("mid") - F.col("first"))
+    return placed.drop("mid", "p", "first", "before", "n")
 
 
 def checks_for_change(verification: DataFrame, reverse: DataFrame, seeds: DataFrame, own: DataFrame | None = None) -> DataFrame:

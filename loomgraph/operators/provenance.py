@@ -11,7 +11,7 @@ from .closure import _placed
 def ordered(records: DataFrame) -> DataFrame:
     """records (path, extractor, subjects) with `ord` from 1 in order of path, extractor and first subject."""
     keyed = records.withColumn("first_subject", F.array_min("subjects"))
-    return _placed(keyed, ["path", "extractor", "first_subject"]).withColumn("ord", F.col("place") + 1).drop("place", "mid", "p", "first", "before", "n", "first_subject")
+    return _placed(keyed, ["path", "extractor", "first_subject"]).withColumn("ord", F.col("place") + 1).drop("place", "first_subject")
 
 
 def pointers(subjects: DataFrame, sections: DataFrame) -> DataFrame:
