@@ -33,6 +33,8 @@ MOST_TRIES = 16
 #: Text that one task works on, about.
 TASK_BYTES = 16 << 20
 LOWEST = -(2**63)
+#: Up to so many ranges the first document of each is broadcast; with more it is joined by range.
+MOST_JOINTS = 256
 
 
 def paragraphs(text: Column) -> Column:
@@ -121,7 +123,9 @@ def versions(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
     first = placed.join(F.broadcast(heads.select(F.col("range").alias("r"), F.col("key").alias("k"))), (F.col("range") == F.col("r")) & (F.col("key") == F.col("k")))
     first = first.withColumn("n", F.row_number().over(Window.partitionBy("range").orderBy(*order))).where("n = 1").select("range", F.col("body").alias("first_body"), digests(F.col("body")).alias("first_own"))
     ids = heads.select("range").withColumn("after", F.coalesce(F.lag("range").over(Window.orderBy("range")), F.max("range").over(Window.partitionBy()))).select(F.col("range").alias("r"), "after")
-    joint = F.broadcast(settle(first.join(F.broadcast(ids), F.col("range") == F.col("after")).select("r", "first_body", "first_own")))  # one row a range
+    joint = settle(first.join(F.broadcast(ids), F.col("range") == F.col("after")).select("r", "first_body", "first_own"))  # one row a range
+    if len(bounds) < MOST_JOINTS:
+        joint = F.broadcast(joint)
     w = Window.partitionBy("range").orderBy(*order)
     led = placed.withColumn("own", digests(F.col("body"))).repartition(parts, "range").withColumns({"next_body": F.lead("body").over(w), "next": F.lead("own").over(w)})
     led = led.join(joint, F.col("range") == F.col("r"), "left")

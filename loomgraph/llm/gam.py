@@ -6,7 +6,7 @@ small part of it to that measure's lookup table. Then the pairs of measures whos
 left get tables of their own, boosted in the same cyclic way. Scoring adds up one table entry for each measure and pair,
 vectorised over a batch.
 
-Only training is bounded: it takes at most TRAIN_ROWS labelled rows, those with the least hash of their id. Measures and
+Only training is bounded: it takes about TRAIN_ROWS labelled rows, drawn by the hash of their id. Measures and
 scores are of every whole text.
 
 Defined cases: null and empty texts have all measures 0 and get a score like any other. A row whose label is null is not
@@ -207,9 +207,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(measures: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Gam:
-    """A model of at most so many labelled rows that aren't held out."""
+    """A model of about so many labelled rows that aren't held out; all of them where there are fewer."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y is not null")
-    some = measures.join(known, "doc_id").where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows).select("x", "y").toPandas()
+    found = settle(measures.join(known, "doc_id").where(~held_out(F.col("doc_id"))).select("doc_id", "x", "y"))
+    share = rows / max(1, found.count())
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    some = (found if share >= 1 else found.where(drawn < share)).orderBy("doc_id", "y").select("x", "y").toPandas()
     if not len(some):
         return Gam(0.0)
     return fit(np.array(some["x"].tolist(), np.float64), some["y"].to_numpy(np.float64))
