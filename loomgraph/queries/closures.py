@@ -76,6 +76,12 @@ def undirected_closure(spark, d):
     return closure.undirected_closure(g, spark.range(3, 4, 1, 1).select(F.col("id").alias("node"))).select("node")
 
 
+@query(f"with recursive {EDGES}, e as (select source_ref as src, target_ref as dst from edges union select target_ref, source_ref from edges), r as (select {PART}3 as node union select dst from r join e on src = node) select node from r")
+def undirected_closure_whole(spark, d):
+    e = B.part_edges(spark, d).select(F.col("source_ref").alias("src"), F.col("target_ref").alias("dst"))
+    return closure.undirected_closure(e, spark.range(3, 4, 1, 1).select(B.ref("component/part", "id").alias("node"))).select("node")
+
+
 @query(f"""with recursive {REVERSE}, {SEEDS}, {REACH}, {DIST},
 why as (select ref, 'changed' as reason from seeds union all select ref, case distance when 1 then '1 hop' else distance || ' hops' end from dist where distance > 0)
 select ref, string_agg(reason, '; ' order by reason) as reasons from why group by 1""")
@@ -106,7 +112,7 @@ def resource_change(spark, d):
 
 
 def _uses(spark, d):
-    l, o = B.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), B.table(spark, d, "orders").where("o_custkey < 20").select("o_orderkey", "o_custkey")
+    l, o = B.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), B.table(spark, d, "orders").select("o_orderkey", "o_custkey")
     j = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(F.lit("usesResource").alias("type"), B.ref("component/supplier", "l_suppkey").alias("source_ref"), B.ref("resource", "o_custkey").alias("target_ref"))
     return j.distinct()
 
@@ -122,7 +128,7 @@ def contract_change(spark, d):
 
 
 def api_edges(spark, d):
-    l = B.table(spark, d, "lineitem").where("l_orderkey < 500").select("l_orderkey", "l_suppkey").distinct()
+    l = B.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     p = l.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("p"))
     j = l.join(p, "l_orderkey")
     edge = lambda t: (F.lit(t).alias("type"), B.ref("component/supplier", "l_suppkey").alias("source_ref"), B.ref("api", "l_orderkey").alias("target_ref"))

@@ -71,9 +71,19 @@ def kind_pair_violations(spark, d):
 @query("""with c as (select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then 'carrier-pigeon' else 'grpc' end as transport, l_linenumber % 2 = 0 as has from lineitem where l_orderkey < 300)
 select l_orderkey, l_linenumber, 'transport' as problem from c where transport <> 'grpc' union all select l_orderkey, l_linenumber, 'contract-ref' from c where not has union all select l_orderkey, l_linenumber, 'attribute:colour' from c where l_linenumber = 4""")
 def attribute_violations(spark, d):
+    return _attribute_violations(B.table(spark, d, "lineitem").where("l_orderkey < 300"))
+
+
+@query("""with c as (select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then 'carrier-pigeon' else 'grpc' end as transport, l_linenumber % 2 = 0 as has from lineitem)
+select l_orderkey, l_linenumber, 'transport' as problem from c where transport <> 'grpc' union all select l_orderkey, l_linenumber, 'contract-ref' from c where not has union all select l_orderkey, l_linenumber, 'attribute:colour' from c where l_linenumber = 4""")
+def attribute_violations_whole(spark, d):
+    return _attribute_violations(B.table(spark, d, "lineitem"))
+
+
+def _attribute_violations(lines):
     n = F.col("l_linenumber")
     attrs = F.map_concat(F.create_map(F.lit("transport"), F.when(n % 3 == 0, "carrier-pigeon").otherwise("grpc")), F.when(n % 2 == 0, F.create_map(F.lit("contractRef"), F.lit("api:x/y"))).otherwise(F.expr("map()").cast("map<string,string>")), F.when(n == 4, F.create_map(F.lit("colour"), F.lit("red"))).otherwise(F.expr("map()").cast("map<string,string>")))
-    c = B.table(spark, d, "lineitem").where("l_orderkey < 300").select(F.lit("runtimeCalls").alias("type"), F.col("l_orderkey").cast("string").alias("source_ref"), n.cast("string").alias("target_ref"), attrs.alias("attrs"))
+    c = lines.select(F.lit("runtimeCalls").alias("type"), F.col("l_orderkey").cast("string").alias("source_ref"), n.cast("string").alias("target_ref"), attrs.alias("attrs"))
     return relations.attribute_violations(c).select(F.col("source_ref").cast("long").alias("l_orderkey"), F.col("target_ref").cast("int").alias("l_linenumber"), "problem")
 
 
@@ -82,7 +92,17 @@ SUPP = "e as (select distinct o_orderkey % 2 as odd, 'usesResource' as type, 'co
 
 @query(f"with {SUPP}, a as (select type, source_ref, target_ref from e where odd = 0), b as (select type, source_ref, target_ref from e where odd = 1) select *, 'shared' as side from (select * from a intersect select * from b) union all select *, 'left' from (select * from a except select * from b) union all select *, 'right' from (select * from b except select * from a)")
 def graph_diff(spark, d):
-    l, o = B.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), B.table(spark, d, "orders").where("o_custkey < 150")
+    return _graph_diff(B.table(spark, d, "lineitem"), B.table(spark, d, "orders").where("o_custkey < 150"))
+
+
+@query("""with e as (select distinct o_orderkey % 2 as odd, 'usesResource' as type, 'component:tpch/supplier-' || l_suppkey as source_ref, 'resource:tpch/customer-' || o_custkey as target_ref from lineitem join orders on l_orderkey = o_orderkey),
+a as (select type, source_ref, target_ref from e where odd = 0), b as (select type, source_ref, target_ref from e where odd = 1) select *, 'shared' as side from (select * from a intersect select * from b) union all select *, 'left' from (select * from a except select * from b) union all select *, 'right' from (select * from b except select * from a)""")
+def graph_diff_whole(spark, d):
+    return _graph_diff(B.table(spark, d, "lineitem"), B.table(spark, d, "orders"))
+
+
+def _graph_diff(lines, o):
+    l = lines.select("l_orderkey", "l_suppkey")
     e = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select((F.col("o_orderkey") % 2).alias("odd"), F.lit("usesResource").alias("type"), B.ref("component/supplier", "l_suppkey").alias("source_ref"), B.ref("resource", "o_custkey").alias("target_ref"))
     return relations.diff(e.where("odd = 0"), e.where("odd = 1"))
 
@@ -91,7 +111,17 @@ def graph_diff(spark, d):
 calls as (select s, l_orderkey from c where s % 2 = 0 union all select s, l_orderkey + 1 from c where s % 2 = 1)
 select 'component:tpch/supplier-' || s as source_ref, 'api:tpch/order-' || l_orderkey as contract, (s, l_orderkey) in (select (s, l_orderkey) from c) as dropped from (select distinct * from calls)""")
 def contract_duplicate_calls(spark, d):
-    e = api_edges(spark, d)
+    return _duplicate_calls(api_edges(spark, d).where("cast(split_part(target_ref, '-', -1) as long) < 500"))
+
+
+@query("""with l as (select distinct l_orderkey, l_suppkey from lineitem), p as (select l_orderkey, min(l_suppkey) as s from l group by 1), c as (select l.l_orderkey, l_suppkey as s from l join p using (l_orderkey) where l_suppkey <> p.s),
+calls as (select s, l_orderkey from c where s % 2 = 0 union all select s, l_orderkey + 1 from c where s % 2 = 1)
+select 'component:tpch/supplier-' || s as source_ref, 'api:tpch/order-' || l_orderkey as contract, c.s is not null as dropped from (select distinct * from calls) left join c using (s, l_orderkey)""")
+def contract_duplicate_calls_whole(spark, d):
+    return _duplicate_calls(api_edges(spark, d))
+
+
+def _duplicate_calls(e):
     c = e.where("type = 'consumesApi'")
     s, k = F.split_part("source_ref", F.lit("-"), F.lit(-1)).cast("long"), F.split_part("target_ref", F.lit("-"), F.lit(-1)).cast("long")
     call = c.select(F.lit("runtimeCalls").alias("type"), "source_ref", B.ref("api", F.when(s % 2 == 0, k).otherwise(k + 1)).alias("contract")).distinct()
@@ -249,14 +279,32 @@ def evidence_pin_status(spark, d):
 
 @query("select p_name as name, case when count(distinct p_partkey % 40) = 1 then min(p_partkey % 40) else -1 end as unit, count(distinct p_partkey % 40) > 1 as ambiguous from part where p_partkey < 60 group by 1")
 def unique_name_lookup(spark, d):
-    n = B.table(spark, d, "part").where("p_partkey < 60").select(F.col("p_name").alias("name"), (F.col("p_partkey") % 40).alias("unit"), F.col("p_partkey").alias("ord"))
+    return _unique_names(B.table(spark, d, "part").where("p_partkey < 60"))
+
+
+@query("select p_name as name, case when count(distinct p_partkey % 40) = 1 then min(p_partkey % 40) else -1 end as unit, count(distinct p_partkey % 40) > 1 as ambiguous from part group by 1")
+def unique_name_lookup_whole(spark, d):
+    return _unique_names(B.table(spark, d, "part"))
+
+
+def _unique_names(parts):
+    n = parts.select(F.col("p_name").alias("name"), (F.col("p_partkey") % 40).alias("unit"), F.col("p_partkey").alias("ord"))
     return own.unique_names(n).select("name", F.coalesce("unit", F.lit(-1)).alias("unit"), "ambiguous")
 
 
 @query("with m as (select p_brand as root, (['both', 'deployable', 'importable', 'other'])[p_size % 4 + 1] as shape, p_partkey % 97 = 0 as explicit from part where p_partkey < 120) select root, bool_or(shape in ('both', 'deployable')) as deployable, bool_or(shape in ('both', 'importable')) as importable, bool_or(shape in ('both', 'deployable', 'importable')) as present, bool_or(explicit) as explicit, bool_or(shape in ('both', 'deployable', 'importable')) or bool_or(explicit) as eligible from m group by 1")
 def unit_shapes(spark, d):
+    return _unit_shapes(B.table(spark, d, "part").where("p_partkey < 120"))
+
+
+@query("with m as (select p_brand as root, (['both', 'deployable', 'importable', 'other'])[p_size % 4 + 1] as shape, p_partkey % 97 = 0 as explicit from part) select root, bool_or(shape in ('both', 'deployable')) as deployable, bool_or(shape in ('both', 'importable')) as importable, bool_or(shape in ('both', 'deployable', 'importable')) as present, bool_or(explicit) as explicit, bool_or(shape in ('both', 'deployable', 'importable')) or bool_or(explicit) as eligible from m group by 1")
+def unit_shapes_whole(spark, d):
+    return _unit_shapes(B.table(spark, d, "part"))
+
+
+def _unit_shapes(parts):
     s = F.element_at(F.array(*[F.lit(x) for x in ("both", "deployable", "importable", "other")]), F.col("p_size") % 4 + 1)
-    return own.shape_flags(B.table(spark, d, "part").where("p_partkey < 120").select(F.col("p_brand").alias("root"), s.alias("shape"), (F.col("p_partkey") % 97 == 0).alias("explicit")))
+    return own.shape_flags(parts.select(F.col("p_brand").alias("root"), s.alias("shape"), (F.col("p_partkey") % 97 == 0).alias("explicit")))
 
 
 @query("with c as (select s_nationkey as root, count(*) as n from supplier where s_suppkey % 3 = 0 group by 1), u as (select n_nationkey as root, 1 as n from nation where n_nationkey % 2 = 0) select coalesce(c.root, u.root) as root, case when u.n is null then 'orphan' when c.n is null then 'undescribed' when c.n > 1 then 'shared' else 'matched' end as verdict from c full join u on c.root = u.root")
