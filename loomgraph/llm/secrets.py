@@ -6,7 +6,8 @@ kinds of characters, how much of it is covered by dictionary words, whether it s
 words next to it. Labelled findings can be passed in; the default ones are drawn by a seeded rule (see
 `default_findings`), as the tables hold no labels of this kind.
 
-Defined cases: null and empty texts have no candidates. Overlapping matches count once, the longest from the left.
+Defined cases: null and empty texts have no candidates. Overlapping matches count once: key blocks first, then assigned
+values, then what is left of the runs; a run that begins with a name and a sign of assignment counts from its value.
 Equal texts get equal findings. Positions are code points.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -34,8 +36,11 @@ MARK = "[REDACTED]"
 MEASURED = 4096
 
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")
-_ASSIGNED = re.compile(r"[:=]\s{0,3}[\"']?([^\s\"'<>]{8,})")
-_TO_A_NAME = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\s{0,3}$")
+_SIGN = re.compile(r"[:=][=>]{0,2}\s{0,3}\\?[\"'`]?")
+_VALUE = re.compile(r"(?:(?!&[A-Za-z_][A-Za-z0-9_.\-]*=)[^\s\"'<>]){8,}")
+_TO_A_NAME = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)(?:[_-]?(?:key|value))?\\?[\"'`]?\s{0,3}$")
+#: A name and a sign in front of a value, as in `sha256:` or `API_TOKEN=`; base64 padding and `://` are none.
+_PREFIX = re.compile(r"[A-Za-z_](?:[A-Za-z_.\-]|[0-9]{1,3}(?![0-9])){0,63}+[:=]{1,2}(?![:=/])")
 _DIGIT = re.compile("[0-9]")
 _REST = re.compile(r"[A-Za-z0-9_\-+/=.:]*")
 _RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/=.:")
@@ -72,7 +77,7 @@ def measure(candidate: str, before: str, after: str) -> list[float]:
     return [
         float(np.log1p(len(candidate))), len(counts) / n, float(-(counts * np.log2(counts)).sum()), kinds.count(2) / n, kinds.count(1) / n, sum(x in "0123456789abcdefABCDEF" for x in c) / n, kinds.count(3) / n,
         sum(a != b for a, b in zip(kinds, kinds[1:])) / n, max(runs) / n, max(digits) / n,
-        covered / n, bool(_KNOWN.search(c)), bool(_FILLER.search(c)), bool(_UUID.search(c)), c.isdigit(), "://" in c or "://" in near[-12:] or c.count("/") > 2, c.count(".") / n, near[-1:] in "\"'`" and near != "", bool(re.search(r"[:=]\s*[\"'`]?$", near)),
+        covered / n, bool(_KNOWN.search(c)), bool(_FILLER.search(c)), bool(_UUID.search(c)), c.isdigit(), "://" in c or "://" in near[-12:] or c.count("/") > 2, c.count(".") / n, near[-1:] in "\"'`" and near != "", bool(re.search(r"[:=]>?\s*\\?[\"'`]?$", near)),
         bool(_NAMES.search(near[-24:])), bool(_HARMLESS.search(near[-24:])),
     ]
 
@@ -150,6 +155,7 @@ def default_findings(n: int = 240, seed: int = SEED) -> list[tuple[str, str, str
             (rng.choice(["ghp_", "sk_live_", "xoxb-", "glpat-", "npm_"]) + pick(both, 36), prose(), " ", 1),
             ("eyJ" + pick(both, 20) + "." + pick(both, 40) + "." + pick(both, 43), prose() + "Bearer ", " ", 1),
             (pick(both + "!#%&*", rng.randint(10, 16)) + pick(dig, 2), set_(), '"', 1),
+            (pick(low, rng.randint(4, 8)) + pick(dig, rng.randint(1, 2)) + pick(low, rng.randint(2, 4)) + pick(dig, 2), set_(), rng.choice(['"', " ", ""]), 1),
             (pick(hexa, rng.choice([32, 40, 64])), prose() + rng.choice(["commit ", "sha256:", "md5 ", "digest ", "checksum: ", "revision "]), " " + prose(), 0),
             ("-".join([pick(hexa, 8), pick(hexa, 4), pick(hexa, 4), pick(hexa, 4), pick(hexa, 12)]), prose() + rng.choice(["uuid ", "id: ", "", "trace "]), " ", 0),
             (pick(dig, rng.choice([16, 16, 18, 20])), prose() + rng.choice(["", "", "card ", "order ", "account "]), " " + prose(), 0),
@@ -180,22 +186,65 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
         return []
     found = [m.span() for m in _BLOCK.finditer(text)] if "-----BEGIN" in text else []
     if ":" in text or "=" in text:
-        found += [m.span(1) for m in _ASSIGNED.finditer(text) if _TO_A_NAME.search(text, max(0, m.start() - 16), m.start())]
+        found = _without(_assigned(text), found) + found
+    taken, runs = sorted(found), []
     digit = _DIGIT.search(text)
     while digit:  # runs with a digit, each grown to both sides
         start, end = digit.start(), _REST.match(text, digit.start()).end()
         while start and text[start - 1] in _RUN:
             start -= 1
         if end - start >= LEAST_RUN:
-            found.append((start, end))
+            runs.append((start, end))
         digit = _DIGIT.search(text, end)
-    if len(found) < 2:
-        return found
-    apart: list[tuple[int, int]] = []
-    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
-        if not apart or a >= apart[-1][1]:
-            apart.append((a, b))
-    return apart
+    return sorted(taken + [_value_of(text, a, b) for a, b in _rest(runs, taken) if _is_run(text, a, b)])
+
+
+def _is_run(text: str, start: int, end: int) -> bool:
+    return end - start >= LEAST_RUN and _DIGIT.search(text, start, end) is not None
+
+
+def _value_of(text: str, start: int, end: int) -> tuple[int, int]:
+    """The run without the names in front of its value, as long as the value is a run by itself."""
+    while (m := _PREFIX.match(text, start, end)) and not _KNOWN.match(text[start : m.end()]) and _is_run(text, m.end(), end):
+        start = m.end()
+    return start, end
+
+
+def _assigned(text: str) -> list[tuple[int, int]]:
+    """Values assigned to names, in order and apart; of `auth: token=x` the inner value, else the outer one."""
+    out: list[tuple[int, int]] = []
+    for m in _SIGN.finditer(text):
+        if not _TO_A_NAME.search(text, max(0, m.start() - 32), m.start()) or not (v := _VALUE.match(text, m.end())):
+            continue
+        if out and v.start() < out[-1][1]:
+            if not re.fullmatch(r"[A-Za-z_.\-]+\\?[:=][=>]{0,2}", text[out[-1][0] : v.start()]):
+                continue
+            out.pop()
+        out.append(v.span())
+    return out
+
+
+def _without(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that meet none of those taken."""
+    if not taken:
+        return spans
+    starts = [a for a, _ in taken]
+    return [(a, b) for a, b in spans if not ((i := bisect_left(starts, b)) and taken[i - 1][1] > a)]
+
+
+def _rest(runs: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of the runs around the spans taken; both are in order and apart."""
+    i = 0
+    for a, b in runs:
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        j = i
+        while j < len(taken) and taken[j][0] < b:
+            if taken[j][0] > a:
+                yield a, taken[j][0]
+            a, j = max(a, taken[j][1]), j + 1
+        if a < b:
+            yield a, b
 
 
 def scan(docs: DataFrame, text: str = "text", forest: Forest | None = None, into: str = "found") -> DataFrame:

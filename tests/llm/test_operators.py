@@ -234,6 +234,21 @@ def test_secrets(docs, empty):
     assert clean[9].text.startswith('token = "[REDACTED]" ') and clean[9].n_chars == len(clean[9].text) and clean[4].text is None and clean[8].text == ROWS[7][1]
 
 
+@pytest.mark.parametrize("value", ["9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "hT7kQ2mXz9RvLp4WsNc8YbGd3FjA", "hunter2xyz99"])
+@pytest.mark.parametrize("form", ["API_TOKEN={}", "password={} ok", "password:{}", "url: token={}", '{{"password":"{}"}}', '{{"api_key": "{}", "x": 1}}', "https://x.org/a?token={}&id=5", "export SECRET_KEY='{}'", "auth: token={}"])
+def test_assigned_secrets(form, value):
+    text = form.format(value)
+    ((a, b),) = secrets.candidates(text)
+    score = secrets.default_forest().score(np.array([secrets.measure(text[a:b], text[:a], text[b:])], np.float64))
+    assert text[a:b] == value and score[0] >= secrets.THRESHOLD
+
+
+def test_spans_of_runs():
+    of = lambda t: [t[a:b] for a, b in secrets.candidates(t)]
+    assert of("sha256:9233a8ecf7c5b09f id=12345678901234567") == ["9233a8ecf7c5b09f", "12345678901234567"] and of("abc123:def456:ghi789") == ["abc123:def456:ghi789"]
+    assert of("abcd1234efgh5678abcd==") == ["abcd1234efgh5678abcd=="] and of("a" * 20 + "1://x token=abcdefgh") == ["a" * 20 + "1://x", "abcdefgh"]
+
+
 def test_forest_on_other_findings():
     f, found = secrets.default_forest(), secrets.default_findings(60, 99)
     score = f.score(np.array([secrets.measure(*x[:3]) for x in found], np.float64))
