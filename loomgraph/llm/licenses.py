@@ -23,6 +23,8 @@ SPELLINGS = [
 ]
 #: Lines that name an owner, not terms.
 COPYRIGHT_LINE = r"(?i)(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*"
+#: The same without a year, where a sign, `by` or a blank to fill in shows that an owner follows.
+OWNER_LINE = r"(?i)(^|\n)[^a-z0-9\n]*(copyright\s*(\(c\)|©|by\s|[\[{<])|\(c\)\s*copyright|©)[^\n]*"
 ALL_RIGHTS = r"(?i)all rights reserved\.?"
 
 #: Notices by which a document says what it is licensed under.
@@ -44,6 +46,18 @@ NOTICES = [
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 ]
 
+#: Usual header lines and identifiers beyond NOTICES. The SQL of the query does not know them.
+MORE_NOTICES = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("MPL-2.0", "License, v. 2.0. If a copy of the MPL was not distributed with this"),
+    ("MIT", "This project is licensed under the MIT License."),
+    *[(x, f"SPDX-License-Identifier: {x}") for x in (
+        "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-or-later",
+        "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0", "Unlicense", "Zlib",
+    )],
+]
+
 #: Whole licence texts, without their copyright lines.
 TEXTS = [
     ("MIT", """MIT License
@@ -87,9 +101,44 @@ For more information, please refer to <http://unlicense.org/>"""),
 ]
 
 
+_BSD = dict(TEXTS)["BSD-2-Clause"]
+_CLAUSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+MORE_TEXTS = [("BSD-3-Clause", _BSD.replace("THIS SOFTWARE IS", _CLAUSE + "THIS SOFTWARE IS", 1))]
+
+#: Digests of long texts, as published by their stewards, and of those up to the end of their terms.
+DIGESTS = [
+    ("Apache-2.0", "a07a98abe6316c22d88c9cd2e61b8796f468228e21e01ffd092d00377ceb18ad"),
+    ("Apache-2.0", "b3d1d5e7912ec4082474f3b926a0a1626b01ee68700abab5bd37a6a069dea949"),
+    ("Apache-2.0", "9c2eee933f32520b2af08f604fed2c16b1aab2f6ca481f0b0be26ab3cc01279a"),
+    ("CC0-1.0", "bd0e52fb1af40ab9797ba72f1d627b83d449e9926f66d21c51209413ac988137"),
+    ("GPL-1.0", "51f6c6a5ff6c063c64e503d81600b9a11abe2a18b22919405e5ef75f58587a4e"),
+    ("GPL-1.0", "5b5f6b7d5c41229dd1d745a937f4f758657bb1465a7a04aade6b7047192be62c"),
+    ("GPL-1.0", "4fc14f1f1bbe17479d630633a17882b8e98b3859320b5990aba9096b0c8991b6"),
+    ("GPL-2.0", "c84365328b2d2b91e5f69e54ff5c7a2841c5f45ce5d2d0fed15e313767625c97"),
+    ("GPL-2.0", "d15487a7a256126feffcab95dedfdc11e67a161fb2a15608933d9bc69f015912"),
+    ("GPL-2.0", "fbf056e22599ca018979deb2324fd353404bb7f6228cf1b9eead9dbe0f81bade"),
+    ("GPL-3.0", "dd95cb03d51e35030b891a0e5aa4f92bfd10ed933b7fcde61739c2c4f7c61c12"),
+    ("GPL-3.0", "304dd0c04da41ff0c6ff22a69390bfd3a1bce74de5588df7f4769134e8ae9b8d"),
+    ("GPL-3.0", "dc96e83fc88f923c67536ade8860bc9f5cfd365d2c896650fad7192579660218"),
+    ("LGPL-2.0", "351e0150eb84acce8401ceae774dea5b1f0b347ddbfcd33ae651b815ef9d1b99"),
+    ("LGPL-2.0", "6ad1896e755e60d4edb5f213ae967a48388fbeeea2c1547cdbefceae453e275f"),
+    ("LGPL-2.0", "7a70e0f279adb7b044f5f26384aaae21f845850e0aedb0f46d809d295d4875af"),
+    ("LGPL-2.1", "ba3300d9fef3de057a59e52385eeea2120c919091871878af1bd75a879f1577c"),
+    ("LGPL-2.1", "6ae050ea59d51d2e1a6abd9026eabe29c045e4b04a245b89362f0a41da6437b0"),
+    ("LGPL-2.1", "f851d1b94962a6511c8dbe306fdefdce00aa5ba36edcf937c22a0f15bd3ad570"),
+    ("LGPL-3.0", "f0cae4b317f4f263dca8e79625f8d9c7618c87e0ca6665c79b0f1c12ac856938"),
+    ("MPL-1.1", "0ac61f2f49b44016379e89eb6a869e098cdbe0a797cf497618f3e8de3adaf375"),
+    ("MPL-2.0", "b37263b1b2fae7b22e0bbbd4e1ef00041bda6d7c8df0fee3633b1f0362b35b7b"),
+    ("Artistic-1.0-Perl", "769a23e410c4f803d54220c62ba3d2244f614ef4a2aff6ca678973a843dc8c28"),
+    ("GFDL-1.2", "5809790eadcf1dc4aa6cfe3eccd3cdc2a5799b0110d6664aba551c63503bd8cd"),
+    ("GFDL-1.3", "e122d6500129e9c865e4531fd53d5892d888d7cf12a04b56ed3cddc2cb9e5844"),
+    ("BSD-3-Clause", "48c8a35a4353dae3524b849cfd2c781b3c935e964f465e15fb0bc23f23cf96ad"),
+]
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text: words of letters and digits with one space between and around."""
-    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, "$1"), ALL_RIGHTS, "")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, "$1"), OWNER_LINE, "$1"), ALL_RIGHTS, "")
     return _respelled(F.regexp_replace(F.concat(F.lit(" "), F.lower(plain), F.lit(" ")), r"[^\p{L}\p{N}]+", " "))
 
 
@@ -103,23 +152,42 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known(spark: SparkSession, pairs: list[tuple[str, str]], name: str) -> DataFrame:
-    """(name, digest) of a fixed list."""
-    fixed = F.array(*[F.struct(F.lit(of).alias("license"), F.lit(t).alias("text")) for of, t in pairs])
-    rows = spark.range(0, 1, 1, 1).select(F.inline(fixed))
-    return rows.select(F.col("license").alias(name), digest(F.col("text")).alias(f"{name}_digest")).dropDuplicates([f"{name}_digest"])
+def table_of(spark: SparkSession, pairs: list[tuple[str, str]], value: str = "text") -> DataFrame:
+    """(license, text) of a fixed list."""
+    fixed = F.array(*[F.struct(F.lit(of).alias("license"), F.lit(t).alias(value)) for of, t in pairs])
+    return spark.range(0, 1, 1, 1).select(F.inline(fixed))
+
+
+def known(texts: DataFrame, name: str) -> DataFrame:
+    """One row a digest of known texts (license, text): the least name."""
+    return texts.groupBy(digest(F.col("text")).alias(f"{name}_digest")).agg(F.min("license").alias(name))
+
 
+def scan(docs: DataFrame, text: str = "text", texts: DataFrame | None = None, notices: DataFrame | None = None) -> DataFrame:
+    """doc_id, digest, text_license (null: unknown), notices (sorted licences of its lines), n_notices of every row.
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, digest, text_license (null: unknown), notices (sorted licences of its lines), n_notices of every row."""
+    Known texts and notices can be passed in as tables (license, text) in place of the fixed lists; notices end up in one
+    map that every task holds.
+    """
     spark = docs.sparkSession
-    texts = F.broadcast(known(spark, TEXTS, "text_license"))  # fixed list
+    if texts is None:
+        long = table_of(spark, DIGESTS, "text_license_digest").select("text_license_digest", F.col("license").alias("text_license"))
+        found_in = F.broadcast(known(table_of(spark, TEXTS + MORE_TEXTS), "text_license").unionByName(long))  # fixed list
+    else:
+        found_in = known(texts, "text_license")
     # lines that can be a notice at all are the ones that name a licence; their digests are looked up in a map of the list
-    looked_up = F.create_map(*[x for of, n in NOTICES for x in (F.sha2(canonical(F.lit(n)), 256), F.lit(of))])
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.regexp_like(x, F.lit("(?i)licen[sc]|public domain|cc0")))
-    notices = F.array_compact(F.transform(lines, lambda x: F.try_element_at(looked_up, digest(x))))
-    rows = docs.select("doc_id", digest(F.col(text)).alias("digest"), notices.alias("found"))
-    joined = rows.join(texts, rows["digest"] == texts["text_license_digest"], "left")
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    if notices is None:
+        lines = F.filter(lines, lambda x: F.regexp_like(x, F.lit("(?i)licen[sc]|public domain|cc0")))
+        looked_up = F.create_map(*[x for of, n in NOTICES + MORE_NOTICES for x in (F.sha2(canonical(F.lit(n)), 256), F.lit(of))])
+        source = docs
+    else:
+        pairs = known(notices, "notice").agg(F.map_from_entries(F.collect_list(F.struct("notice_digest", "notice"))).alias("known_notices_"))
+        looked_up = F.col("known_notices_")
+        source = docs.crossJoin(F.broadcast(pairs))  # one row
+    hits = F.array_compact(F.transform(lines, lambda x: F.try_element_at(looked_up, digest(x))))
+    rows = source.select("doc_id", digest(F.col(text)).alias("digest"), hits.alias("found"))
+    joined = rows.join(found_in, rows["digest"] == found_in["text_license_digest"], "left")
     return joined.select("doc_id", "digest", "text_license", F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"), F.size("found").alias("n_notices"))
 
 

@@ -1,6 +1,7 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, extra columns and empty tables, and against brute force."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -255,6 +256,21 @@ def test_forest_on_other_findings():
     assert ((score >= 0.5) == np.array([x[3] for x in found])).mean() > 0.98
 
 
+def test_more_licenses(spark):
+    bsd = licenses.MORE_TEXTS[0][1]
+    rows = [(1, "Copyright (c) Acme Inc.\n\n" + bsd), (2, "© The Authors\n" + licenses.TEXTS[0][1]), (3, '# Licensed under the Apache License, Version 2.0 (the "License");\n# x'), (4, "Be kind to\nall.  Copyright notice\nkept"), (5, "x\nbe kind, please")]
+    path = "/usr/share/common-licenses/Apache-2.0"
+    if os.path.exists(path):
+        rows.append((6, open(path).read().replace("[yyyy] [name of copyright owner]", "2020 A. Person")))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert got[1].text_license == "BSD-3-Clause" and got[2].text_license == "MIT" and got[3].notices == "Apache-2.0" and got[4].text_license is None
+    assert 6 not in got or got[6].text_license == "Apache-2.0"
+    own = lambda *r: spark.createDataFrame(r, "license string, text string")
+    got = {r.doc_id: r for r in licenses.scan(df, texts=own(("Kind", "be kind to all copyright notice kept")), notices=own(("Kind", "Be kind, please."))).collect()}
+    assert got[4].text_license == "Kind" and got[5].notices == "Kind" and got[5].n_notices == 1 and got[1].text_license is None and got[3].notices == ""
+
+
 def test_licenses(spark, docs, empty):
     name, text = licenses.TEXTS[0]
     other = "MIT LICENCE\n\nCopyright (c) 2021 Somebody Ltd.\n\n" + text.split("\n", 1)[1].upper().replace('"', "'")
