@@ -32,8 +32,6 @@ THRESHOLD = 0.5
 TREES, DEPTH, BINS, SEED = 40, 8, 24, 11
 AROUND = 48  # characters looked at on either side
 MARK = "[REDACTED]"
-#: Candidates beyond this length are cut for their measures only, never for their span.
-MEASURED = 4096
 
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")
 _SIGN = re.compile(r"[:=][=>]{0,2}\s{0,3}\\?[\"'`]?")
@@ -66,7 +64,7 @@ MEASURES = [
 
 
 def measure(candidate: str, before: str, after: str) -> list[float]:
-    c = candidate[:MEASURED]
+    c = candidate
     n = len(c)
     kinds = [_KIND.get(x, 3) for x in c]
     counts = np.unique(list(c), return_counts=True)[1] / n

@@ -244,6 +244,11 @@ def test_assigned_secrets(form, value):
     assert text[a:b] == value and score[0] >= secrets.THRESHOLD
 
 
+def test_long_candidates_are_measured_whole():
+    at = secrets.MEASURES.index("digit_share")
+    assert secrets.measure("a" * 5000 + "1" * 5000, "", "")[at] == 0.5
+
+
 def test_spans_of_runs():
     of = lambda t: [t[a:b] for a, b in secrets.candidates(t)]
     assert of("sha256:9233a8ecf7c5b09f id=12345678901234567") == ["9233a8ecf7c5b09f", "12345678901234567"] and of("abc123:def456:ghi789") == ["abc123:def456:ghi789"]
