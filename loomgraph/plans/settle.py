@@ -1,15 +1,52 @@
-"""Writing intermediate results to the shared checkpoint folder of the session."""
+"""Intermediate results in the shared folder of the session (`spark.checkpoint.dir`).
+
+Both forms end the lineage there, so that a lost executor costs nothing. `settle` makes a checkpoint, which is quick and
+suits the small levels of a search. `stored` writes a Parquet table, of which Catalyst knows the size when it chooses
+joins; `release` deletes such tables when no later step reads them.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from there; a folder is made only where none is set."""
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The shared folder of the session; a new local one only where none is set and all runs in one process."""
+    context = spark.sparkContext
+    found = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if found is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='settled-')}"
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a checkpoint of df to the shared folder and go on from there."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write df to a table of its own in the shared folder and go on from there."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*dfs: DataFrame | None) -> None:
+    """Delete stored tables; what was read from them must not be used any more."""
+    for df in dfs:
+        path = getattr(df, "stored_at", None) if df is not None else None
+        if path:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
