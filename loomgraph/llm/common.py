@@ -4,20 +4,19 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.settle import release, settle, stored  # noqa: F401
+
 #: The six ASCII white-space characters that separate words everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows a batch that goes to Python, so that batches of long texts stay small.
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
-#: Identifiers that may be broadcast (8 bytes each); beyond it a shuffled join is used.
-BROADCAST_IDS = 1_000_000
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -37,14 +36,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder of the session and go on from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
@@ -63,12 +54,6 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def among(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """Semi or anti join on key; ids (one settled column named key) are broadcast only up to BROADCAST_IDS rows."""
-    few = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, key, how)
-
-
 def golden(n: int) -> np.uint64:
     """n steps of the golden-ratio sequence modulo 2**64."""
     return np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)

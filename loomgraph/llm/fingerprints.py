@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import among, settle
+from .common import settle, stored
 
 BLOCK = 16
 TABLES = 3
@@ -96,11 +96,11 @@ def differences(pairs: DataFrame, parts: int) -> DataFrame:
         left = peel(sketch(rows, ["pair"], attempt), attempt)
         found = settle(left.groupBy("pair").agg(F.max("cell").alias("open"), F.sum(F.when(F.col("cell") == -1, F.col("n"))).alias("d")))
         here = found.where("open = -1").select("pair", "d")
-        failed = settle(found.where("open >= 0").select("pair"))
+        failed = stored(found.where("open >= 0").select("pair"))
         done = here if done is None else done.unionByName(here)
         if failed.isEmpty():
             return done
-        todo = among(pairs, failed, "pair", "left_semi")
+        todo = pairs.join(failed, "pair", "left_semi")
     raise RuntimeError("a difference could not be peeled")
 
 

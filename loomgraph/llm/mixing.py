@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, free_name, settle, words
+from .common import free_name, settle, stored, words
 
 #: Weights by place in the order of sources, repeating.
 WEIGHTS = (5, 2, 1)
@@ -66,14 +66,12 @@ def sample(docs: DataFrame, text: str = "text", seed: int = SEED) -> DataFrame:
     placed = settle(sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
     part = F.shiftright("place", 33)
     parts = placed.groupBy(part.alias("part"), "source").agg(F.min("place").alias("first"), F.count("*").alias("m"), F.sum("size").alias("s"))
-    parts = settle(parts)  # at most partitions + sources rows
+    parts = stored(parts)  # at most partitions + sources rows
     goals = targets(parts.groupBy("source").agg(F.sum("m").alias("n"), F.sum("s").alias("source_size")))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).select("part", F.col("source").alias("of"), "first", "before")
     starts = starts.join(goals, F.col("of").eqNullSafe(F.col("source"))).drop("source")
     starts = starts.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).withColumn("offset", offset(F.col("of"), seed))
-    if parts.count() <= BROADCAST_IDS:
-        starts = F.broadcast(starts)
     joined = placed.withColumn("part_", part).join(starts, (F.col("part_") == F.col("part")) & F.col("source").eqNullSafe(F.col("of")))
     rank = F.col("before") + F.col("place") - F.col("first")
     copies = F.floor(F.col("offset") + (rank + 1) * F.col("rate")) - F.floor(F.col("offset") + rank * F.col("rate"))
@@ -91,11 +89,9 @@ def resample(docs: DataFrame, seed: int = SEED) -> DataFrame:
     Rows that agree in id, source and size share the copies that they got together, as evenly as whole numbers allow.
     """
     found = sample(docs, seed=seed)
-    rows = settle(found.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n"), F.count("*").alias("rows")))
+    rows = stored(found.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n"), F.count("*").alias("rows")))
     size, n, many, at = (free_name(docs, x) for x in ("size_of_row", "copies_of_row", "rows_like_it", "at_row"))
     of = rows.select(F.col("doc_id").alias("of_id_"), F.col("source").alias("of_source_"), F.col("size").alias("of_size_"), F.col("n").alias(n), F.col("rows").alias(many))
-    if rows.count() <= BROADCAST_IDS // 4:
-        of = F.broadcast(of)
     numbered = docs.withColumn(size, F.size(words(F.col("text"))).cast("long"))
     same = F.col("doc_id").eqNullSafe(F.col("of_id_")) & F.col("source").eqNullSafe(F.col("of_source_")) & (F.col(size) == F.col("of_size_"))
     joined = numbered.join(of, same)

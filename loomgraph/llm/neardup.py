@@ -11,32 +11,35 @@ similarity.
 Signatures meet in bands of ROWS coordinates. All further work is on classes, never on all pairs of a bucket:
 
 1. texts of equal words are one node (a group of exact copies is one row from here on);
-2. in each bucket every node meets the bucket's first node, and these pairs are checked exactly;
-3. then the node with the most links of each bucket meets the others, so that a large group of copies of one text comes
-   together around that text;
-4. connected components are taken, and buckets that still hold several are compared in full between components: pair by pair up to SMALL nodes, beyond that block
-   by block inside an operator that emits links only, so that no link that shares a bucket is lost;
-5. components again.
-
-With 40 bands of 6 rows a pair at similarity 0.8 shares no bucket with probability 5e-6.
-
-Defined cases: null, empty and wordless texts are classes of their own; a text of one to four words is one shingle, so
-it links to equal words only. Rows of one doc_id are one document, which is in a class if any of its texts is. A null
-doc_id is in no class (class_id null). The class id is the least doc_id of the class.
+2. in each bucket every node is checked exactly against one head, the node whose buckets hold most others in all, which
+   is the middle of a group where there is one; connected components of these links are taken;
+3. only buckets that hold several components stay open. A node that links to another shares at least t / (1 + t) of
+   both their weights with it, so a node too much of whose weight no other open node holds cannot link, and goes;
+4. what is left is compared in full between components: nodes are dealt to blocks by the largest bucket that they lie
+   in, each pair of blocks that meet in some bucket is compared once, and only links leave the comparison;
+5. the components that these links touch are joined.
+
+No link between nodes that share a bucket is lost. With 40 bands of 6 rows a pair at similarity 0.8 shares no bucket with
+probability 5e-6. Step 4 costs the square of what neither a head nor a bound settles, in blocks of BLOCK_BYTES.
+
+Defined cases: a text without words (null, empty, white space) is a class of its own, with its doc_id as class_id. A text
+of one to four words is one shingle, so it links to equal words only. Rows are told apart by doc_id and words: two rows
+of one doc_id with different texts are two members, which may lie in different classes. The class id is the least doc_id
+of the class, null if it has none. Ties of heads go to the lower node hash, so reruns agree. Very long texts are hashed
+whole, one at a time. Extra columns are left alone, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, among, golden, mix, settle, shingles, slices, small_batches, trim, word_hashes
+from .common import GOLD, SPACE, free_name, golden, mix, release, shingles, slices, small_batches, stored, trim, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -44,10 +47,10 @@ BANDS, ROWS = 40, 6
 K = BANDS * ROWS
 #: Characters of texts that are hashed at once.
 SLICE = 500_000
-#: Rounds in which every open bucket's best-linked node meets its other nodes.
-HUB_ROUNDS = 1
-#: Open buckets of more nodes than SMALL are compared in blocks of about BLOCK nodes.
-SMALL, BLOCK = 64, 128
+#: Bytes of shingle sets in one block of the full comparison, about.
+BLOCK_BYTES = 512 << 10
+#: Bytes of shingle hashes that one task counts, about.
+PART_BYTES = 32 << 20
 
 
 def weighted_sets(texts: list[str | None], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -118,34 +121,65 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text with one space between; null without words."""
+    return F.nullif(F.trim(F.regexp_replace(text, SPACE, " ")), F.lit(""))
+
+
+def names(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of the words of a text."""
+    return F.xxhash64(words_of(text)), F.xxhash64(F.lit(7), words_of(text))
+
+
 def signed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, digest of its words (null without words), bands."""
+    """doc_id, name (null without words) and other (two hashes of its words), bands."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(3).to_pylist()
             for start, stop in slices(texts, SLICE):
-                hashes, bounds = word_hashes(texts[start:stop])
-                parts = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                sets = [np.unique(shingles(p, SHINGLE), return_counts=True) for p in parts]
-                bands = band_hashes(dart_signatures(sets))
-                digests = [blake2b(p.tobytes(), digest_size=16).digest() if len(p) else None for p in parts]
+                bands = band_hashes(dart_signatures(weighted_sets(texts[start:stop])))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(digests, pa.binary()), lists], ["doc_id", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, stop - start) for i in range(3)), lists], ["doc_id", "name", "other", "bands"])
         trim()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    body = F.col(text)
+    name, other = names(body)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(words_of(body).isNotNull(), name).alias("name"), other.alias("other"), body.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, name long, other long, bands array<long>")
 
 
-def compared(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(a, b, similarity) of the texts of settled pairs (a, b)."""
-    small_batches(docs.sparkSession)
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), ids, "doc_id", "left_semi")
-    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+def named(rows: DataFrame) -> DataFrame:
+    """rows (name, other, ...) with node: the name, or both hashes in one where different words have the same name."""
+    spread = rows.where("name is not null").groupBy("name").agg(F.min("other").alias("low"), F.max("other").alias("high"))
+    clash = stored(spread.where("low <> high").select("name", F.lit(True).alias("clash")))  # as good as always empty
+    if clash.isEmpty():
+        return rows.withColumn("node", F.col("name"))
+    return rows.join(clash, "name", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("name", "other")).otherwise(F.col("name"))).drop("clash")
+
+
+def keyed(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
+    """name, other, of_id, of_null (hashes of the words, doc_id or 0, whether it is null) and columns of docs with words."""
+    name, other = names(F.col(text))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.where(words_of(F.col(text)).isNotNull()).select(name.alias("name"), other.alias("other"), F.coalesce(doc_id, F.lit(0)).alias("of_id"), doc_id.isNull().alias("of_null"), *columns)
+
+
+KEY = ["name", "other", "of_id", "of_null"]
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """node, text of the wanted nodes (node, name, other, least: a doc_id that it has)."""
+    keys = wanted.select("node", "name", "other", F.coalesce("least", F.lit(0)).alias("of_id"), F.col("least").isNull().alias("of_null"))
+    return keyed(docs, text, F.col(text).alias("text")).join(keys, KEY).select("node", "text").dropDuplicates(["node"])
+
+
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similarity) of distinct pairs (a, b) of nodes with texts (node, text)."""
+    small_batches(texts.sparkSession)
+    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_text, kept_set = None, None
@@ -154,144 +188,258 @@ def compared(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame
             found = []
             for start, stop in slices(tb, SLICE):
                 for i, other in zip(range(start, stop), weighted_sets(tb[start:stop]), strict=True):
-                    if kept_set is None or ta[i] != kept_text:  # rows come in order of a
+                    if kept_set is None or ta[i] != kept_text:  # rows mostly come in order of a
                         kept_text, kept_set = ta[i], weighted_sets([ta[i]])[0]
                     found.append(similarity(kept_set, other))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(found, pa.float64())], ["a", "b", "similarity"])
         trim()
 
-    scored = both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
-    return scored.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its least node) of every node in settled links (a, b).
+    """node, component (its least node) of every node in links (a, b), as a stored table.
 
     Each round gives every node the least label of itself and its neighbours, then the label of that label, until
-    nothing changes; labels travel over hubs and shortcuts, and every round is written to the checkpoint folder.
+    nothing changes; labels travel over hubs and shortcuts. Every round is written to the shared folder, and the one
+    before goes.
     """
-    both = settle(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).where("node <> other").distinct())
-    state = settle(both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")))
+    both = stored(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).where("node <> other").distinct())
+    state = stored(both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")))
     while True:
         label = state.select(F.col("node").alias("other"), F.col("component").alias("seen"))
         near = both.join(label, "other").groupBy("node").agg(F.min("seen").alias("near"))
-        step = settle(state.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("mid")))
-        own = step.select(F.col("node").alias("mid"), F.col("mid").alias("root"))
-        jumped = settle(step.join(own, "mid").select("node", "was", F.least("mid", "root").alias("component")))
-        state = jumped.select("node", "component")
+        step = stored(state.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("mid")))
+        own = step.select(F.col("node").alias("mid"), F.col("mid").alias("root")).where("mid <> root")
+        jumped = stored(step.join(own, "mid", "left").select("node", "was", F.least("mid", "root").alias("component")))
+        release(state, step)
+        state = jumped
         if jumped.where("component <> was").isEmpty():
+            release(both)
             return state
 
 
-def gram_sets(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
-    """node, grams, counts of the documents of settled ids (node): the weighted set as bytes."""
-    some = among(docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("text")), ids, "node", "left_semi")
+def gram_sets(texts: DataFrame) -> DataFrame:
+    """node, size, grams, counts of texts (node, text): the weighted set as bytes, and its whole weight."""
+    small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, stop in slices(texts, SLICE):
-                sets = weighted_sets(texts[start:stop])
+            bodies = batch.column(1).to_pylist()
+            for start, stop in slices(bodies, SLICE):
+                sets = weighted_sets(bodies[start:stop])
+                size = pa.array([int(c.sum()) for _, c in sets], pa.int64())
                 grams, counts = pa.array([g.tobytes() for g, _ in sets], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), grams, counts], ["node", "grams", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), size, grams, counts], ["node", "size", "grams", "counts"])
+        trim()
+
+    return texts.select("node", "text").mapInArrow(run, "node long, size long, grams binary, counts binary")
+
+
+def unshared(sets: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """node, alone: the weight of elements of stored sets (node, size, grams, counts) that no other of the sets holds.
+
+    Elements are dealt to parts by their hash; what two sets of one batch hold goes there once, without an owner.
+    """
+    total = sets.agg(F.sum(F.octet_length("grams"))).first()[0] or 0
+    parts = 1 + total * 5 // 2 // part_bytes
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, counts = ([np.frombuffer(x, kind) for x in column.to_pylist()] for column, kind in ((batch.column(1), np.uint64), (batch.column(2), np.uint32)))
+            if not len(grams):
+                continue
+            flat, weight, owner = np.concatenate(grams), np.concatenate(counts).copy(), np.repeat(batch.column(0).to_numpy(), [len(g) for g in grams])
+            flat, first, times = np.unique(flat, return_index=True, return_counts=True)
+            weight, owner = weight[first], owner[first]
+            weight[times > 1] = 0
+            part = (flat % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            bounds = np.searchsorted(part[order], np.arange(parts + 1))
+            full = [k for k in range(parts) if bounds[k] < bounds[k + 1]]
+            columns = [pa.array([x[order[bounds[k] : bounds[k + 1]]].tobytes() for k in full], pa.binary()) for x in (flat, owner, weight)]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *columns], ["part", "grams", "owners", "weights"])
+        trim()
 
-    return some.select("node", "text").mapInArrow(run, "node long, grams binary, counts binary")
+    def count(part: pa.Table) -> pa.Table:
+        flat, owner, weight = (np.concatenate([np.frombuffer(x, kind) for x in part[name].to_pylist()]) for name, kind in (("grams", np.uint64), ("owners", np.int64), ("weights", np.uint32)))
+        _, first, times = np.unique(flat, return_index=True, return_counts=True)
+        first = first[times == 1]
+        nodes, at = np.unique(owner[first], return_inverse=True)
+        return pa.table({"node": nodes, "alone": np.bincount(at, weight[first], len(nodes)).astype(np.int64)})
 
+    by_part = sets.select("node", "grams", "counts").mapInArrow(deal, "part long, grams binary, owners binary, weights binary")
+    return by_part.groupBy("part").applyInArrow(count, "node long, alone long").groupBy("node").agg(F.sum("alone").alias("alone"))
 
-def across_blocks(members: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b, similarity) between components in large buckets, from settled (bucket, node, component, main).
 
-    Nodes of the bucket's main component and the others are dealt to blocks of about BLOCK; each block of others meets each
-    block of its bucket in one row, and only links leave the comparison, never the pairs.
+def still_open(members: DataFrame) -> DataFrame:
+    """Members (bucket, node, component) of the buckets that hold several components."""
+    spread = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    return members.join(spread.where("least <> most").select("bucket"), "bucket")
+
+
+def may_link(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of open members (bucket, node, component) that can have a link at all.
+
+    A link of r and x needs threshold / (1 + threshold) of the weight of both in common. No more is in common than what r
+    shares with any open node, and x weighs no less than the lightest node of their buckets and threshold times r.
+    """
+    facts = sets.join(unshared(sets), "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    sized = stored(members.join(facts, "node"))
+    lightest = sized.groupBy("bucket").agg(F.min("size").alias("lightest"))
+    partner = sized.join(lightest, "bucket").groupBy("node").agg(F.min("size").alias("size"), F.min("shared").alias("shared"), F.min("lightest").alias("lightest"))
+    needed = threshold / (1 + threshold) * (F.col("size") + F.greatest(threshold * F.col("size"), F.col("lightest")))
+    out = stored(still_open(members.join(partner.where(F.col("shared") + 1e-6 >= needed).select("node"), "node")))
+    release(sized)
+    return out
+
+
+def dealt(members: DataFrame, sets: DataFrame, block_bytes: int) -> DataFrame:
+    """bucket, node, component, block of open members.
+
+    A node's home is its largest bucket, and blocks are parts of a home: of its main component, or of the others. A
+    bucket in which too many blocks would meet is dealt to blocks of its own.
     """
-    sizes = members.groupBy("bucket").agg(F.sum(F.col("main").cast("int")).alias("n_main"), F.sum((~F.col("main")).cast("int")).alias("n_rest"))
-    blocks = F.ceil(F.when(F.col("main"), F.col("n_main")).otherwise(F.col("n_rest")) / BLOCK)
-    dealt = members.join(settle(sizes), "bucket").select("bucket", "node", "component", "main", F.pmod(F.xxhash64("node"), blocks).alias("block"))
-    full = dealt.join(grams, "node").groupBy("bucket", "main", "block").agg(F.collect_list(F.struct("node", "component", "grams", "counts")).alias("rows"))
-    full = settle(full)
-    left = full.where("not main").select("bucket", F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
-    right = full.select("bucket", "main", "block", F.col("rows").alias("rows_b"))
-    meet = left.join(right, "bucket").where("main or block >= block_a").select("rows_a", "rows_b")
+    weighed = stored(members.join(sets.select("node", (F.octet_length("grams") + F.octet_length("counts")).alias("bytes")), "node"))
+    sizes = weighed.groupBy("bucket").agg(F.count("*").alias("n"))
+    main = weighed.groupBy("bucket", "component").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("x")).select("bucket", F.col("x.component").alias("main"))
+    kept = weighed.join(main, "bucket").select("bucket", "node", "component", (F.col("component") == F.col("main")).alias("is_main"), "bytes")
+    room = kept.groupBy("bucket", "is_main").agg(F.ceil(F.sum("bytes") / block_bytes).alias("blocks"))
+    block = F.xxhash64("bucket", "is_main", F.pmod(F.xxhash64("node"), "blocks"))
+    own = stored(kept.join(room, ["bucket", "is_main"]).join(sizes, "bucket").select("bucket", "node", "component", "n", block.alias("own_block")))
+    home = own.groupBy("node").agg(F.max(F.struct("n", "bucket", "own_block")).alias("h")).select("node", F.col("h.own_block").alias("home_block"))
+    homed = stored(own.join(home, "node"))
+    met = homed.groupBy("bucket").agg(F.count_distinct("home_block").alias("k"))
+    out = stored(homed.join(met, "bucket").select("bucket", "node", "component", F.when(F.col("k") * F.col("k") > 16 * F.col("n"), F.col("own_block")).otherwise(F.col("home_block")).alias("block")))
+    release(weighed, own, homed)
+    return out
+
+
+def links_between(members: DataFrame, sets: DataFrame, threshold: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Distinct (a, b): components of open members (bucket, node, component) that a link joins."""
+    small_batches(members.sparkSession)
+    placed = dealt(members, sets, block_bytes)
+    payload = placed.select("block", "node", "component").distinct().join(sets.select("node", "size", "grams", "counts"), "node")
+    rows = F.collect_list(F.struct("component", "size", "grams", "counts")).alias("rows")
+    full = stored(payload.groupBy("block").agg(F.min("component").alias("least"), F.max("component").alias("most"), rows))
+    places = stored(placed.select("bucket", "block").distinct())
+    met = places.alias("x").join(places.alias("y"), F.col("x.bucket") == F.col("y.bucket")).where("x.block <= y.block").select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
+    left, right = (full.select(F.col("block").alias(v), F.col("least").alias(f"least_{v}"), F.col("most").alias(f"most_{v}"), F.col("rows").alias(f"rows_{v}")) for v in "xy")
+    one = F.col("least_x") == F.col("most_x")
+    pairs = stored(met)
+    meet = pairs.join(left, "x").join(right, "y").where(~(one & (F.col("least_y") == F.col("most_y")) & (F.col("least_x") == F.col("least_y")))).select("rows_x", "rows_y")
 
     def opened(rows: list[dict]) -> tuple:
-        nodes, parts = np.array([r["node"] for r in rows]), np.array([r["component"] for r in rows])
-        return nodes, parts, [np.frombuffer(r["grams"], np.uint64) for r in rows], [np.frombuffer(r["counts"], np.uint32).astype(np.int64) for r in rows]
+        grams = [np.frombuffer(r["grams"], np.uint64) for r in rows]
+        counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]).astype(np.int64)
+        return np.array([r["component"] for r in rows]), np.array([r["size"] for r in rows]), np.concatenate(grams), counts, np.concatenate(([0], np.cumsum([len(g) for g in grams])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                na, ca, ga, wa = opened(batch.column(0)[k].as_py())
-                nb, cb, gb, wb = opened(batch.column(1)[k].as_py())
-                flat, weights, owner = np.concatenate(gb), np.concatenate(wb), np.repeat(np.arange(len(gb)), [len(g) for g in gb])
-                total_b, out = np.array([w.sum() for w in wb]), []
-                for i in range(len(na)):
-                    if not len(ga[i]):
-                        continue
-                    at = np.minimum(np.searchsorted(ga[i], flat), len(ga[i]) - 1)
-                    same = ga[i][at] == flat
-                    common = np.bincount(owner[same], np.minimum(weights[same], wa[i][at[same]]), len(gb))
-                    likeness = common / (wa[i].sum() + total_b - common)
-                    out += [(min(na[i], nb[j]), max(na[i], nb[j]), likeness[j]) for j in np.flatnonzero((likeness >= threshold) & (cb != ca[i]))]
-                columns = list(zip(*out, strict=True)) if out else [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["a", "b", "similarity"])
-
-    return meet.mapInArrow(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+                ca, sa, ga, wa, ba = opened(batch.column(0)[k].as_py())
+                cb, sb, gb, wb, bb = opened(batch.column(1)[k].as_py())
+                codes = np.unique(np.concatenate([ga, gb]), return_inverse=True)[1]
+                of_a, of_b = codes[: len(ga)], codes[len(ga) :]
+                owner, held, out = np.repeat(np.arange(len(sb)), np.diff(bb)), np.zeros(len(codes), np.int64), set()
+                for i in range(len(sa)):
+                    mine = of_a[ba[i] : ba[i + 1]]
+                    held[mine] = wa[ba[i] : ba[i + 1]]
+                    common = np.bincount(owner, np.minimum(wb, held[of_b]), len(sb))
+                    held[mine] = 0
+                    for j in np.flatnonzero((common >= threshold * (sa[i] + sb - common)) & (cb != ca[i])):
+                        out.add((min(ca[i], cb[j]), max(ca[i], cb[j])))
+                columns = list(zip(*sorted(out), strict=True)) if out else [[], []]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())], ["a", "b"])
+        trim()
+
+    found = stored(meet.mapInArrow(run, "a long, b long").distinct())
+    release(placed, full, places, pairs)
+    return found
+
+
+def linked(docs: DataFrame, nodes: DataFrame, banded: DataFrame, threshold: float, text: str) -> DataFrame | None:
+    """node, component of all nodes that have a link, stored; nodes: (node, name, other, least), banded: (node, bucket)."""
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(banded.join(sizes, "bucket"))
+    score = shared.groupBy("node").agg(F.sum("n").alias("score"))
+    ranked = shared.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", F.bitwise_not("node").alias("turned"))).alias("h"))
+    heads = shared.join(ranked.select("bucket", F.bitwise_not("h.turned").alias("head")), "bucket")
+    pairs = stored(heads.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    texts = stored(texts_of(docs, nodes.join(shared.select("node").distinct(), "node"), text))
+    links = stored(compared(pairs, texts).where(F.col("similarity") >= threshold).select("a", "b"))
+    found = components(links)
+    members = shared.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    members = stored(still_open(members))
+    release(shared, pairs, links)
+    if members.isEmpty():
+        release(members, texts)
+        return found
+    sets = stored(gram_sets(texts.join(members.select("node").distinct(), "node")))
+    left = may_link(members, sets, threshold)
+    release(texts, members)
+    more = links_between(left, sets, threshold)
+    roots = components(more)  # of components, so this is small
+    joined = found.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    lone = roots.join(found.select("node"), "node", "left_anti").select("node", "component")
+    out = stored(joined.unionByName(lone))
+    release(found, sets, left, more, roots)
+    return out
+
+
+def labelled(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Stored rows (doc_id, name, other, node) of all documents, and (node, class_id, first_node, class_size) of all nodes.
+
+    The first node of a class is the one whose doc_id is the class id, so that it stands for the class.
+    """
+    signatures = stored(signed(docs, text))
+    known = named(signatures)
+    worded = known.where("node is not null")
+    rows = stored(known.select("doc_id", "name", "other", "node"))
+    nodes = stored(worded.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("name").alias("name"), F.min("other").alias("other"), F.count("*").alias("n")))
+    banded = stored(worded.select("node", F.explode("bands").alias("bucket")).distinct())
+    found = linked(docs, nodes, banded, threshold, text)
+    release(signatures, banded)
+    in_class = nodes.join(found, "node").select("node", "component", "least", "n")
+    lead = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("class_id"), F.col("node").alias("first_node"))).alias("x")
+    groups = in_class.groupBy("component").agg(lead, F.sum("n").alias("class_size")).select("component", "x.class_id", "x.first_node", "class_size")
+    classed = in_class.select("node", "component").join(groups, "component").drop("component")
+    alone = nodes.join(found.select("node"), "node", "left_anti").select("node", F.col("least").alias("class_id"), F.col("node").alias("first_node"), F.col("n").alias("class_size"))
+    out = stored(classed.unionByName(alone))
+    release(nodes, found)
+    return rows, out
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """doc_id, class_id, class_size, n_links of every row; n_links counts the checked links of its text to other texts."""
-    rows = settle(signed(docs, text))
-    first = settle(rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")))
-    member = rows.select("doc_id", "digest").join(first, "digest", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
-    nodes = settle(rows.where("digest is not null").join(first, "digest").where("doc_id = node").select("node", "bands"))
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    heads = settle(banded.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head"))
-    shared = settle(banded.join(heads, "bucket").select("bucket", "node", "head").distinct())
-    known, meeting = None, shared  # members of buckets, with the node that all others meet next
-    for turn in range(1 + HUB_ROUNDS):
-        if turn:
-            ends = known.where(F.col("similarity") >= threshold).select(F.explode(F.array("a", "b")).alias("of"))
-            degree = settle(ends.groupBy("of").agg(F.count("*").alias("degree")))
-            ranked = settle(shared.join(degree, F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("degree", F.lit(0)).alias("degree")))
-            hub = settle(ranked.groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("node").alias("head"))).alias("h")).select("bucket", "h.head"))
-            meeting = ranked.join(hub, "bucket")
-        pairs = meeting.where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
-        scored = compared(settle(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")), docs, text)
-        known = settle(scored if known is None else known.union(scored))
-    links = known.where(F.col("similarity") >= threshold)
-    found = components(links)
-    labelled = settle(shared.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
-    spread = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
-    open_ = settle(spread.where("least <> most").select("bucket", "n"))
-    inside = settle(labelled.join(open_, "bucket"))
-    # what is still open is compared in full: small buckets pair by pair, large ones block by block
-    small = inside.where(F.col("n") <= SMALL)
-    left, right = small.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca")), small.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = settle(left.join(right, "bucket").where("ca <> cb and a < b").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
-    more = compared(across, docs, text)
-    big = inside.where(F.col("n") > SMALL)
-    main = big.groupBy("bucket", "component").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("main_component"))
-    large = settle(big.join(settle(main), "bucket").select("bucket", "node", "component", (F.col("component") == F.col("main_component")).alias("main")))
-    if not large.isEmpty():
-        grams = settle(gram_sets(docs, settle(large.select("node").distinct()), text))
-        more = more.unionByName(across_blocks(large, grams, threshold))
-    links = settle(links.unionByName(more.where(F.col("similarity") >= threshold)).select("a", "b").distinct())
-    found = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    facts = settle(found.join(degree, "node", "left"))
-    out = settle(member.join(facts, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    sizes = settle(out.groupBy("class_id").agg(F.count_distinct("doc_id").alias("class_size")))
-    return out.join(sizes, "class_id", "left").select("doc_id", "class_id", "class_size", "n_links")
+    """doc_id, class_id, class_size (in rows) of every row."""
+    rows, of = labelled(docs, threshold, text)
+    found = rows.join(of, "node", "left")
+    lone = F.col("node").isNull()
+    return found.select("doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
 
 
 def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one document of each class (its least doc_id); the columns stay as they are."""
-    found = settle(classes(docs, text=text).select("doc_id", "class_id"))
-    gone = settle(found.where("doc_id <> class_id").select("doc_id").distinct())
-    kept = among(docs, gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    """docs with one row of each class; the columns stay as they are.
+
+    It is the row with the least doc_id (null last) and, of several texts of that doc_id in the class, the one of the
+    lower hash; of repeated rows of one doc_id and text the one whose columns have the lower hash.
+    """
+    rows, of = labelled(docs, text=text)
+    counted = rows.where("node is not null").groupBy("node", "name", "other", "doc_id").agg(F.count("*").alias("rows"))
+    stays = (F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    marked = counted.join(of, "node").select("name", "other", F.coalesce("doc_id", F.lit(0)).alias("of_id"), F.col("doc_id").isNull().alias("of_null"), stays.alias("stays"), "rows")
+    out = stored(marked.where("not stays or rows > 1"))
+    release(rows, of)
+    mine = {c: free_name(docs, f"{c}_") for c in KEY}
+    name, other = names(F.col(text))
+    doc_id = F.col("doc_id").cast("long")
+    whole = docs.select("*", *[x.alias(mine[c]) for c, x in zip(KEY, (F.when(words_of(F.col(text)).isNotNull(), name), other, F.coalesce(doc_id, F.lit(0)), doc_id.isNull()), strict=True)])
+    gone = out.select(*[F.col(c).alias(mine[c]) for c in KEY])
+    kept = whole.join(gone, list(mine.values()), "left_anti").select(*docs.columns)
+    repeated = out.where("stays")
     if repeated.isEmpty():
         return kept
-    nameless = kept.where("doc_id is null")
-    # rows repeated with their id: one of them stays
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nameless)
+    again = repeated.select(*[F.col(c).alias(mine[c]) for c in KEY])
+    hashed = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    one = whole.join(again, list(mine.values()), "left_semi").groupBy(*mine.values()).agg(F.min_by(F.struct(*docs.columns), hashed).alias("row"))
+    return kept.unionByName(one.select("row.*"))
