@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 
 
 def kebab(s: Column) -> Column:
-    """Lower-case words of letters and digits joined by `-`, also at camel-case borders."""
-    bordered = F.regexp_replace(s, "([a-z0-9])([A-Z])", "$1-$2")
-    return F.regexp_replace(F.regexp_replace(F.lower(bordered), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Lower-case words of letters and digits joined by `-`, also at camel-case borders: 63 characters at most, `component` for none."""
+    bordered = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "^@", ""), r"[_\s]+", "-"), "([a-z0-9])([A-Z])", "$1-$2")
+    plain = F.regexp_replace(F.regexp_replace(bordered, "[^A-Za-z0-9]+", "-"), "^-+|-+$", "")
+    return F.coalesce(F.nullif(F.substring(F.lower(plain), 1, 63), F.lit("")), F.lit("component"))
 
 
 def slugify(s: Column) -> Column:
-    """Anchor of a heading: lower case, letters, digits, `_` and `-` kept, spaces to `-`."""
-    kept = F.regexp_replace(F.lower(F.trim(s)), r"[^\p{L}\p{N}\s_-]", "")
-    return F.regexp_replace(kept, r"\s+", "-")
+    """Anchor of a heading: lower case, letters, digits and `-` kept, each space to `-`."""
+    kept = F.regexp_replace(F.lower(F.trim(s)), r"[^\p{L}\p{N}\s-]", "")
+    return F.regexp_replace(kept, r"\s", "-")
 
 
 def normalise_name(s: Column) -> Column:
-    return F.regexp_replace(F.lower(s), "[^a-z0-9]", "")
+    """Letters and digits in lower case, without a last word that says what kind of thing it names."""
+    return F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9]+", ""), "(api|service|worker|app|module|package|lib|library)$", "")
 
 
 def distribution_name(s: Column) -> Column:
@@ -33,9 +35,9 @@ def rust_ident(s: Column) -> Column:
 
 
 def sentence(s: Column) -> Column:
-    """White space folded, a full stop at the end."""
+    """White space folded, a full stop at the end; a note to write one where there is none."""
     folded = F.trim(F.regexp_replace(s, r"\s+", " "))
-    return F.when(folded == "", "").when(folded.rlike("[.!?]$"), folded).otherwise(F.concat(folded, F.lit(".")))
+    return F.when(folded == "", "TODO: describe this in one present-tense sentence.").when(folded.rlike("[.!?]$"), folded).otherwise(F.concat(folded, F.lit(".")))
 
 
 def one_sentence(s: Column) -> Column:
@@ -47,8 +49,12 @@ def fact_key(s: Column) -> Column:
     return s.rlike(r"^[a-z][A-Za-z0-9]*([.-][A-Za-z0-9]+)+$") & (F.length(s) <= 80)
 
 
+#: Fixed value: the shape of an event subject.
+EVENT_SUBJECT = r"^[A-Za-z0-9][A-Za-z0-9._>*-]*$"
+
+
 def event_plausible(s: Column, prefixes: list[str] | None = None) -> Column:
-    ok = s.isNotNull() & (F.length(s).between(1, 200)) & s.rlike(r"^[A-Za-z0-9][A-Za-z0-9._>*-]*$")
+    ok = s.isNotNull() & (F.length(s).between(1, 200)) & s.rlike(EVENT_SUBJECT)
     if prefixes:
         any_ = F.lit(False)
         for p in prefixes:
@@ -57,13 +63,17 @@ def event_plausible(s: Column, prefixes: list[str] | None = None) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def route_of_file(p: Column) -> Column:
-    """Route of a page file: groups in parentheses dropped, `[x]` to `:x`, page and index files to their directory."""
-    bare = F.regexp_replace(p, r"\.(tsx|ts|jsx|js|svelte|vue)$", "")
-    groups = F.regexp_replace(bare, r"(^|/)\([^/)]*\)", "$1")
-    params = F.regexp_replace(groups, r"\[(?:\.\.\.)?([^\]/]+)\]", ":$1")
-    page = F.regexp_replace(params, r"(^|/)(page|index|route)$", "")
-    return F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(page, "/+", "/"), "^/|/$", ""))
+def route_of_file(base: Column, rel: Column) -> Column:
+    """Route of a file at rel under a routes directory; null for none.
+
+    Under `app` (or `.../app`) the directories of `route.ts`, `route.tsx` and `route.js` are routes: groups in parentheses
+    are empty, `[x]` is `:x`, `[...x]` is `:x*`. Under any other directory it is `api/*.ts` without the ending.
+    """
+    part = lambda x: F.when(x.rlike(r"^\(.*\)$"), "").otherwise(F.regexp_replace(F.regexp_replace(x, r"^\[\.\.\.(.+)\]$", ":$1*"), r"^\[(.+)\]$", ":$1"))
+    parts = F.split(rel, "/")
+    app = F.when(rel.rlike(r"/route\.(ts|tsx|js)$"), F.concat(F.lit("/"), F.array_join(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), part), "/")))
+    pages = F.when(rel.startswith("api/") & rel.endswith(".ts"), F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(rel, "^api/", ""), r"\.ts$", "")))
+    return F.when(base.endswith("app"), app).otherwise(pages)
 
 
 def round4(x: Column) -> Column:

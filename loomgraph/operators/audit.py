@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalise_name
+
 
 def classify(notes: DataFrame) -> DataFrame:
     """(fact, class, why) from (fact, ord, cls, why): the first note's class, then a fold in order.
@@ -50,7 +52,9 @@ def undocumented(components: DataFrame) -> DataFrame:
     return components.where(F.coalesce(F.size("docs"), F.lit(0)) <= 0)
 
 
-PORT = r"(?:[Pp]ort|PORT)[ =:]+([0-9]{2,5})"
+#: How a document names a port, and how it denies a component.
+PORT = r"(?i)\bport\s*([0-9]{4,5})\b"
+NEGATED = r"(?i)\b(?:there (?:is|are)|we have)\s+no\s+([a-z][a-z0-9-]{2,30})\b"
 
 
 def port_claims(documents: DataFrame, key: str) -> DataFrame:
@@ -65,6 +69,13 @@ def port_contradictions(claims: DataFrame, links: DataFrame, ports: DataFrame, k
     return j.withColumn("verdict", verdict).where("verdict is not null").select(key, "ref", "port", "fact", "verdict")
 
 
+def negated_components(documents: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """(key, claim, ref) where a text denies a component (name, ref) that exists; names match in their normal form."""
+    said = documents.select(key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(NEGATED), F.lit(1)))).alias("claim"))
+    known = names.select(normalise_name(F.col("name")).alias("plain"), "ref")
+    return said.withColumn("plain", normalise_name(F.col("claim"))).join(known, "plain").select(key, "claim", "ref")
+
+
 def unclassified(dependencies: DataFrame, externals: DataFrame, internal: DataFrame, sample: int = 40) -> DataFrame:
     """The first dependencies (component, name) that are no unit's name, of components without any external."""
     left = dependencies.join(externals.select("component").distinct(), "component", "left_anti").join(internal.select("name").distinct(), "name", "left_anti")
@@ -77,17 +88,37 @@ def reviewed(lists: dict[str, DataFrame]) -> DataFrame:
 
 
 def document_candidates(files: DataFrame, depth: int = 3, cap: int = 200) -> DataFrame:
-    """Markdown files near the root, at most cap."""
+    """Documents near the root, at most cap."""
     p: Column = F.col("path")
-    return files.where(p.rlike(r"\.mdx?$") & (F.size(F.split(p, "/")) <= depth)).orderBy("path").limit(cap)
+    return files.where(p.rlike(r"\.(md|mdx|adoc|rst|txt)$") & (F.size(F.split(p, "/")) <= depth)).orderBy("path").limit(cap)
+
+
+#: What a value of the compiling machine looks like. Host paths count where they begin a value.
+MACHINE = [
+    ("absolute Windows path", r"^(?:/[A-Za-z]:\\|\\\\)"),
+    ("absolute host path", r"^(?:/home/|/Users/|/root/|/var/folders/|/private/tmp/|/opt/)"),
+    ("process identity", r"\bprocess\.pid\b"),
+    ("escaped path", r"\bnode_modules/\.\."),
+]
+TIMESTAMP = r"\b([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?Z)\b"
+#: Fields of free text, which a repository's author wrote; they are masked before the scan.
+FREE_TEXT = """
+description semantics detail reason reviewWhen command role notes rationale value locator summary provenance title reviewer
+collectedAt
+""".split()
 
 
 def machine_values(rows: DataFrame, columns: list[str], allowed: DataFrame) -> DataFrame:
-    """(column, value, kind) of host paths, and of timestamps that no observation allows, in structural columns."""
-    out = []
-    for c in columns:
-        paths = F.regexp_extract_all(c, F.lit(r"(/(?:home|Users|tmp|var/folders)/[^\s\"]+)"), F.lit(1))
-        stamps = F.regexp_extract_all(c, F.lit(r"([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z)"), F.lit(1))
-        found = F.concat(F.transform(paths, lambda v: F.struct(v.alias("value"), F.lit("path").alias("kind"))), F.transform(stamps, lambda v: F.struct(v.alias("value"), F.lit("timestamp").alias("kind"))))
-        out.append(rows.select(F.lit(c).alias("column"), F.explode(found).alias("f")).select("column", "f.*"))
-    return reduce(DataFrame.unionByName, out).distinct().join(allowed.select(F.col("captured_at").alias("value")).distinct(), "value", "left_anti")
+    """(column, value, kind) of values of the machine, and of timestamps that no observation allows.
+
+    Only structural columns are looked at: those named like a field of free text are left out.
+    """
+    out = None
+    for c in (c for c in columns if c not in FREE_TEXT):
+        hits = F.array_compact(F.array(*[F.when(F.col(c).rlike(p), F.struct(F.col(c).alias("value"), F.lit(why).alias("kind"))) for why, p in MACHINE]))
+        stamps = F.transform(F.regexp_extract_all(c, F.lit(TIMESTAMP), F.lit(1)), lambda v: F.struct(v.alias("value"), F.lit("timestamp").alias("kind")))
+        found = rows.select(F.lit(c).alias("column"), F.explode(F.concat(hits, stamps)).alias("f")).select("column", "f.*")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return rows.select(F.lit("").alias("column"), F.lit("").alias("value"), F.lit("").alias("kind")).where("false")
+    return out.distinct().join(allowed.select(F.col("captured_at").alias("value")).distinct(), "value", "left_anti").select("column", "value", "kind")

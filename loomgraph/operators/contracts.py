@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from .context import covering_contract
 
-#: Names of build configuration files.
-BUILD_CONFIG = r"(^|/)(Makefile|Taskfile\.ya?ml|buf\.gen\.ya?ml|codegen\.(ts|js|ya?ml)|orval\.config\.(ts|js)|openapi-generator\.(json|ya?ml))$"
+#: Names of build configuration files, endings of code, and of documentation.
+BUILD_CONFIG = (
+    r"(^|/)(package\.json|go\.mod|buf\.gen\.yaml|buf\.yaml|buf\.work\.yaml|codegen\.yaml|codegen\.yml|openapi-ts\.config\.ts|openapi-ts\.config\.js"
+    r"|oapi-codegen\.yaml|oapi-codegen\.yml|turbo\.json|Makefile|justfile|Taskfile\.yml|build\.gradle|build\.gradle\.kts|pom\.xml)$"
+)
+CODE = r"\.(ts|tsx|js|jsx|mts|cts|mjs|cjs|go|py|rb|java|kt|rs|ex|exs|cs|php|swift|gradle|proto|graphql|sql)$"
+DOCUMENTATION = r"\.(md|mdx|txt|adoc|rst)$|(^|/)docs/"
 GRAM = 24
 
 
@@ -20,9 +25,17 @@ def _grams(text: Column, n: int, step: int, most: Column | int | None = None) ->
     return F.transform(F.sequence(F.lit(1), last, F.lit(step)), lambda i: F.substring(text, i, F.lit(n)))
 
 
+def reference_sites(files: DataFrame) -> DataFrame:
+    """Files (path) that can make their unit a consumer: code and build configuration, never documentation."""
+    p = F.col("path")
+    return files.where(~p.rlike(DOCUMENTATION) & (p.rlike(CODE) | p.rlike(BUILD_CONFIG)))
+
+
 def consumers(files: DataFrame, contracts: DataFrame, gram: int = GRAM) -> DataFrame:
     """(ref, unit, path, label) of files (unit, path, text) of other units whose text contains a contract path.
 
+    Take `reference_sites` of all files first, so that a document that quotes a contract makes no edge.
+
     The substring join is a hash join: texts are cut into runs of `gram` characters, contracts give the runs at their
     first `gram` places, and wherever a contract lies in a text one of these is among the text's runs; whole containment
     is checked after. Contracts too short for that are compared directly; their number is that of short paths.

@@ -16,14 +16,17 @@ from .own import unique_names
 MARKERS = [
     (r"(^|/)package\.json$", "node", "importable"), (r"(^|/)go\.mod$", "go", "both"), (r"(^|/)Cargo\.toml$", "rust", "both"), (r"(^|/)pyproject\.toml$", "python", "importable"),
     (r"(^|/)Dockerfile$", "dockerfile", "deployable"), (r"(^|/)wrangler\.(toml|jsonc?)$", "wrangler", "deployable"),
-    (r"(^|/)(fly\.toml|vercel\.json|netlify\.toml|render\.yaml|app\.yaml|Procfile|serverless\.ya?ml|Chart\.yaml|kustomization\.ya?ml|skaffold\.ya?ml|railway\.(?:json|toml))$", "deploy-config", "deployable"),
+    (r"(^|/)(fly\.toml|app\.yaml|render\.yaml|railway\.json|vercel\.json|netlify\.toml|heroku\.yml|Procfile|service\.yaml|serverless\.ya?ml|ansible\.cfg)$", "deploy-config", "deployable"),
+    (r"(^|/)(k8s/deployment\.yaml|chart/Chart\.yaml)$", "deploy-config", "deployable"),
 ]
 
 
 def markers(files: DataFrame) -> DataFrame:
     """(root, path, adapter, shape) of marker files."""
     table = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(a).alias("adapter"), F.lit(s).alias("shape")) for p, a, s in MARKERS])
-    root = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(".")
+    top = F.regexp_replace("path", r"(^|/)(?:(?:k8s|chart)/)?[^/]*$", "")  # files of k8s and chart mark the directory above
+    nested = F.col("path").rlike(r"(^|/)(k8s/deployment\.yaml|chart/Chart\.yaml)$")
+    root = F.when(nested, F.when(top == "", ".").otherwise(top)).when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(".")
     return files.select("path", root.alias("root"), F.explode(table).alias("m")).where(F.rlike(F.col("path"), F.col("m.pattern"))).select("root", "path", "m.adapter", "m.shape")
 
 

@@ -23,17 +23,28 @@ def split_plausible(roles: DataFrame, prefixes: list[str] | None = None) -> tupl
 def fold_families(events: DataFrame, families: DataFrame) -> DataFrame:
     """events with `family`: the first declared `prefix*` or `prefix>` (by ord) that their pattern starts with.
 
-    Families become prefixes; each pattern is exploded into its own prefixes that are as long as some family, so that
+    A pattern that is a family itself (`x.*`, `x.>`) is never folded into another. Families become prefixes; each pattern is exploded into its own prefixes that are as long as some family, so that
     the prefix join is a hash join.
     """
-    pre = families.select(F.col("family"), F.col("ord").alias("f_ord"), F.regexp_replace("family", r"[*>]$", "").alias("prefix")).where("prefix <> ''")
+    pre = families.select(F.col("family"), F.col("ord").alias("f_ord"), F.regexp_replace("family", r"[*>]$", "").alias("prefix")).where("prefix <> ''")  # a family
     lengths = F.broadcast(pre.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("lengths")))  # one row
-    keys = events.select("pattern").distinct().crossJoin(lengths).select("pattern", F.explode(F.filter("lengths", lambda n: n <= F.length("pattern"))).alias("n"))
+    plain = events.where(~F.col("pattern").rlike(r"\.[*>]$")).select("pattern").distinct()
+    keys = plain.crossJoin(lengths).select("pattern", F.explode(F.filter("lengths", lambda n: n <= F.length("pattern"))).alias("n"))
     hit = keys.select("pattern", F.substring("pattern", F.lit(1), F.col("n")).alias("prefix")).join(pre, "prefix")
     best = hit.groupBy("pattern").agg(F.min_by("family", "f_ord").alias("family"))
     return events.join(best, "pattern", "left")
 
 
+def fold_roles(roles: DataFrame) -> DataFrame:
+    """roles (pattern, ord, ...) with the pattern of their family, where a family `x.*` or `x.>` is among the patterns.
+
+    Families count in order of their first row; interfaces of the result are those of the folded patterns.
+    """
+    families = roles.where(F.col("pattern").rlike(r"\.[*>]$")).groupBy(F.col("pattern").alias("family")).agg(F.min("ord").alias("ord"))
+    folded = fold_families(roles, families)
+    return folded.withColumn("pattern", F.coalesce("family", "pattern")).drop("family")
+
+
 def resolve_events(interfaces: DataFrame) -> DataFrame:
     """interfaces with `resolution`: resolved where someone produces it."""
     return interfaces.withColumn("resolution", F.when(F.size("producers") > 0, "resolved").otherwise("unresolved"))

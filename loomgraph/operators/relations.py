@@ -87,8 +87,10 @@ def violations(relations: DataFrame, refs: DataFrame | None = None) -> DataFrame
 
 
 def attribute_violations(relations: DataFrame) -> DataFrame:
-    """Attributes that a type may not carry, bad transports, and calls without a contract."""
-    table = F.create_map(*[x for t, names in ATTRIBUTES.items() for x in (F.lit(t), F.array(*[F.lit(n) for n in names]).cast("array<string>"))])
+    """Attributes that a type or its inverse may not carry, bad transports, and calls without a contract."""
+    turned = {a: b for a, b, _ in TYPES}
+    both = [(t, names) for of, names in ATTRIBUTES.items() for t in (of, turned[of])]
+    table = F.create_map(*[x for t, names in both for x in (F.lit(t), F.array(*[F.lit(n) for n in names]).cast("array<string>"))])
     allowed = F.coalesce(F.try_element_at(table, F.col("type")), F.array().cast("array<string>"))
     odd = F.array_except(F.map_keys("attrs"), allowed)
     call = F.col("type") == "runtimeCalls"

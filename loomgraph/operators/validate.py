@@ -43,19 +43,25 @@ def multi_owned(paths: DataFrame) -> DataFrame:
     return paths.groupBy("path").agg(F.count_distinct("owner").alias("n")).where("n > 1")
 
 
+#: Component types that need a deployable, and those that need an importable artifact.
+DEPLOYABLE_TYPES = ["service", "worker", "job", "web-app", "static-site", "infrastructure"]
+IMPORTABLE_TYPES = ["library", "contract-library", "cli"]
+
+
 def artifact_types(entities: DataFrame, units: DataFrame) -> DataFrame:
-    """(ref, severity) of components whose type their artifacts don't bear out."""
+    """(ref, severity) of components whose type their artifacts don't bear out; one may have both severities."""
     j = entities.join(units.select("root", "deployable", "importable"), entities["source_path"] == units["root"], "left")
     t = F.col("component_type")
     runs, loads = F.coalesce("deployable", F.lit(False)), F.coalesce("importable", F.lit(False))
-    s = F.when(t.isin("service", "worker", "website") & ~runs, "error").when((t == "library") & ~loads, "error").when((t == "library") & runs & ~loads, "warning").when((t == "other") & runs, "warning")
-    return j.withColumn("severity", s).where("severity is not null").select("ref", "severity")
+    error = (t.isin(*DEPLOYABLE_TYPES) & ~runs) | (t.isin(*IMPORTABLE_TYPES) & ~loads)
+    both = F.array_compact(F.array(F.when(error, "error"), F.when(t.isin(*IMPORTABLE_TYPES) & runs & ~loads, "warning")))
+    return j.select("ref", F.explode(both).alias("severity"))
 
 
 #: Keys that a descriptor may not carry, at any depth outside `extensions`.
 PROHIBITED = """
-labels annotations tags owner owners lifecycle status links relations relationships dependsOn dependencyOf
-consumesApis providesApis subcomponentOf runtime deployment environments version
+status owner owners lifecycle maturity uid etag uuid annotations labels createdAt updatedAt created modified
+relations dependsOn depends_on runtime secrets
 """.split()
 
 
@@ -86,16 +92,22 @@ def _is(value: Any, kind: str) -> bool:
     return isinstance(value, TYPES[kind]) and not (kind != "boolean" and isinstance(value, bool))
 
 
-def schema_violations(doc: Any, schema: dict, root: dict | None = None, at: str = "") -> list[dict]:
-    """Where a document breaks a schema of the supported subset: pointer, keyword, message."""
+def schema_violations(doc: Any, schema: dict, root: dict | None = None, at: str = "", following: tuple = ()) -> list[dict]:
+    """Where a document breaks a schema of the supported subset: pointer, keyword, message.
+
+    References that lead back to themselves at one place of the document are a violation (keyword `$ref`).
+    """
     root = schema if root is None else root
     out: list[dict] = []
     bad = lambda keyword, message: out.append({"instance_path": at, "keyword": keyword, "message": message})
+    if schema.get("$ref") in following:
+        bad("$ref", f"reference {schema['$ref']} leads back to itself")
+        return out
     if "$ref" in schema:
         target: Any = root
         for part in schema["$ref"].removeprefix("#").strip("/").split("/"):
             target = target[part] if part else target
-        out += schema_violations(doc, target, root, at)
+        out += schema_violations(doc, target, root, at, (*following, schema["$ref"]))
     kinds = schema.get("type")
     if kinds and not any(_is(doc, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         bad("type", f"must be {kinds if isinstance(kinds, str) else ' or '.join(kinds)}")
@@ -139,12 +151,12 @@ def schema_violations(doc: Any, schema: dict, root: dict | None = None, at: str
             elif isinstance(schema.get("additionalProperties"), dict):
                 out += schema_violations(v, schema["additionalProperties"], root, f"{at}/{k}")
     for s in schema.get("allOf", []):
-        out += schema_violations(doc, s, root, at)
-    if "anyOf" in schema and all(schema_violations(doc, s, root, at) for s in schema["anyOf"]):
+        out += schema_violations(doc, s, root, at, following)
+    if "anyOf" in schema and all(schema_violations(doc, s, root, at, following) for s in schema["anyOf"]):
         bad("anyOf", "must match one of several forms")
-    if "oneOf" in schema and (n := sum(not schema_violations(doc, s, root, at) for s in schema["oneOf"])) != 1:
+    if "oneOf" in schema and (n := sum(not schema_violations(doc, s, root, at, following) for s in schema["oneOf"])) != 1:
         bad("oneOf", f"must match exactly one of several forms, matches {n}")
-    if "not" in schema and not schema_violations(doc, schema["not"], root, at):
+    if "not" in schema and not schema_violations(doc, schema["not"], root, at, following):
         bad("not", "must not match a refused form")
     return out
 

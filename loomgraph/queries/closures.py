@@ -67,17 +67,8 @@ def one_hop_closure(spark, d):
     return closure.one_hop(B.part_edges(spark, d).select(F.col("source_ref").alias("src"), F.col("target_ref").alias("dst")), seeds)
 
 
-_COOC = "g as (select distinct l_orderkey % 400 as a, 1000 + l_partkey % 300 as b from lineitem where l_suppkey % 50 = 7)"
-
-
-@query(f"with recursive {_COOC}, e as (select a as src, b as dst from g union select b, a from g), r as (select 3::bigint as node union select dst from r join e on src = node) select node from r")
-def undirected_closure(spark, d):
-    g = B.table(spark, d, "lineitem").where("l_suppkey % 50 = 7").select((F.col("l_orderkey") % 400).alias("src"), (1000 + F.col("l_partkey") % 300).alias("dst")).distinct()
-    return closure.undirected_closure(g, spark.range(3, 4, 1, 1).select(F.col("id").alias("node"))).select("node")
-
-
 @query(f"with recursive {EDGES}, e as (select source_ref as src, target_ref as dst from edges union select target_ref, source_ref from edges), r as (select {PART}3 as node union select dst from r join e on src = node) select node from r")
-def undirected_closure_whole(spark, d):
+def undirected_closure(spark, d):
     e = B.part_edges(spark, d).select(F.col("source_ref").alias("src"), F.col("target_ref").alias("dst"))
     return closure.undirected_closure(e, spark.range(3, 4, 1, 1).select(B.ref("component/part", "id").alias("node"))).select("node")
 
@@ -101,13 +92,13 @@ def impact_checks_topk(spark, d):
     return impact.recommended(ranked, gates, 25).select("ordinal", "check_id", "total")
 
 
-_USES = "uses as (select distinct 'component:tpch/supplier-' || l_suppkey as component, 'resource:tpch/customer-' || o_custkey as resource from lineitem join orders on l_orderkey = o_orderkey where o_custkey < 20)"
+_USES = "uses as (select distinct 'component:tpch/supplier-' || l_suppkey as component, 'resource:tpch/customer-' || o_custkey as resource from lineitem join orders on l_orderkey = o_orderkey)"
 
 
-@query(f"with {_USES} select component as ref, string_agg(distinct 'uses ' || resource, '; ' order by 'uses ' || resource) as reasons from uses where resource in ('resource:tpch/customer-1', 'resource:tpch/customer-7') group by 1")
+@query(f"with {_USES} select component as ref, string_agg(distinct 'uses ' || resource, '; ' order by 'uses ' || resource) as reasons from uses where resource in (select 'resource:tpch/customer-' || c_custkey from customer where c_mktsegment = 'BUILDING') group by 1")
 def resource_change(spark, d):
     rel = _uses(spark, d)
-    changed = spark.range(0, 1, 1, 1).select(F.explode(F.array(F.lit("resource:tpch/customer-1"), F.lit("resource:tpch/customer-7"))).alias("ref"))
+    changed = B.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(B.ref("resource", "c_custkey").alias("ref"))
     return impact.affected(impact.resource_users(rel, changed))
 
 
@@ -117,13 +108,13 @@ def _uses(spark, d):
     return j.distinct()
 
 
-_APIS = "p as (select l_orderkey, min(l_suppkey) as s from lineitem where l_orderkey < 500 group by 1), c as (select distinct l.l_orderkey, l_suppkey as s from lineitem l join p using (l_orderkey) where l_suppkey <> p.s)"
+_APIS = "p as (select l_orderkey, min(l_suppkey) as s from lineitem group by 1), c as (select distinct l.l_orderkey, l_suppkey as s from lineitem l join p using (l_orderkey) where l_suppkey <> p.s)"
 
 
-@query(f"with {_APIS} select 'component:tpch/supplier-' || s as ref, string_agg(distinct w, '; ' order by w) as reasons from (select s, 'provides order-' || l_orderkey as w from p where l_orderkey < 30 union all select s, 'consumes order-' || l_orderkey from c where l_orderkey < 30) group by 1")
+@query(f"with {_APIS} select 'component:tpch/supplier-' || s as ref, string_agg(distinct w, '; ' order by w) as reasons from (select s, 'provides order-' || l_orderkey as w from p where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'P') union all select s, 'consumes order-' || l_orderkey from c where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'P')) group by 1")
 def contract_change(spark, d):
     rel = api_edges(spark, d)
-    changed = B.table(spark, d, "orders").where("o_orderkey < 30").select(B.ref("api", "o_orderkey").alias("ref"))
+    changed = B.table(spark, d, "orders").where("o_orderstatus = 'P'").select(B.ref("api", "o_orderkey").alias("ref"))
     return impact.affected(impact.contract_users(rel, changed))
 
 

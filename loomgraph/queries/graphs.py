@@ -68,15 +68,9 @@ def kind_pair_violations(spark, d):
     return relations.violations(odd, refs)
 
 
-@query("""with c as (select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then 'carrier-pigeon' else 'grpc' end as transport, l_linenumber % 2 = 0 as has from lineitem where l_orderkey < 300)
-select l_orderkey, l_linenumber, 'transport' as problem from c where transport <> 'grpc' union all select l_orderkey, l_linenumber, 'contract-ref' from c where not has union all select l_orderkey, l_linenumber, 'attribute:colour' from c where l_linenumber = 4""")
-def attribute_violations(spark, d):
-    return _attribute_violations(B.table(spark, d, "lineitem").where("l_orderkey < 300"))
-
-
 @query("""with c as (select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then 'carrier-pigeon' else 'grpc' end as transport, l_linenumber % 2 = 0 as has from lineitem)
 select l_orderkey, l_linenumber, 'transport' as problem from c where transport <> 'grpc' union all select l_orderkey, l_linenumber, 'contract-ref' from c where not has union all select l_orderkey, l_linenumber, 'attribute:colour' from c where l_linenumber = 4""")
-def attribute_violations_whole(spark, d):
+def attribute_violations(spark, d):
     return _attribute_violations(B.table(spark, d, "lineitem"))
 
 
@@ -87,17 +81,9 @@ def _attribute_violations(lines):
     return relations.attribute_violations(c).select(F.col("source_ref").cast("long").alias("l_orderkey"), F.col("target_ref").cast("int").alias("l_linenumber"), "problem")
 
 
-SUPP = "e as (select distinct o_orderkey % 2 as odd, 'usesResource' as type, 'component:tpch/supplier-' || l_suppkey as source_ref, 'resource:tpch/customer-' || o_custkey as target_ref from lineitem join orders on l_orderkey = o_orderkey where o_custkey < 150)"
-
-
-@query(f"with {SUPP}, a as (select type, source_ref, target_ref from e where odd = 0), b as (select type, source_ref, target_ref from e where odd = 1) select *, 'shared' as side from (select * from a intersect select * from b) union all select *, 'left' from (select * from a except select * from b) union all select *, 'right' from (select * from b except select * from a)")
-def graph_diff(spark, d):
-    return _graph_diff(B.table(spark, d, "lineitem"), B.table(spark, d, "orders").where("o_custkey < 150"))
-
-
 @query("""with e as (select distinct o_orderkey % 2 as odd, 'usesResource' as type, 'component:tpch/supplier-' || l_suppkey as source_ref, 'resource:tpch/customer-' || o_custkey as target_ref from lineitem join orders on l_orderkey = o_orderkey),
 a as (select type, source_ref, target_ref from e where odd = 0), b as (select type, source_ref, target_ref from e where odd = 1) select *, 'shared' as side from (select * from a intersect select * from b) union all select *, 'left' from (select * from a except select * from b) union all select *, 'right' from (select * from b except select * from a)""")
-def graph_diff_whole(spark, d):
+def graph_diff(spark, d):
     return _graph_diff(B.table(spark, d, "lineitem"), B.table(spark, d, "orders"))
 
 
@@ -107,17 +93,10 @@ def _graph_diff(lines, o):
     return relations.diff(e.where("odd = 0"), e.where("odd = 1"))
 
 
-@query("""with l as (select distinct l_orderkey, l_suppkey from lineitem where l_orderkey < 500), p as (select l_orderkey, min(l_suppkey) as s from l group by 1), c as (select l.l_orderkey, l_suppkey as s from l join p using (l_orderkey) where l_suppkey <> p.s),
-calls as (select s, l_orderkey from c where s % 2 = 0 union all select s, l_orderkey + 1 from c where s % 2 = 1)
-select 'component:tpch/supplier-' || s as source_ref, 'api:tpch/order-' || l_orderkey as contract, (s, l_orderkey) in (select (s, l_orderkey) from c) as dropped from (select distinct * from calls)""")
-def contract_duplicate_calls(spark, d):
-    return _duplicate_calls(api_edges(spark, d).where("cast(split_part(target_ref, '-', -1) as long) < 500"))
-
-
 @query("""with l as (select distinct l_orderkey, l_suppkey from lineitem), p as (select l_orderkey, min(l_suppkey) as s from l group by 1), c as (select l.l_orderkey, l_suppkey as s from l join p using (l_orderkey) where l_suppkey <> p.s),
 calls as (select s, l_orderkey from c where s % 2 = 0 union all select s, l_orderkey + 1 from c where s % 2 = 1)
 select 'component:tpch/supplier-' || s as source_ref, 'api:tpch/order-' || l_orderkey as contract, c.s is not null as dropped from (select distinct * from calls) left join c using (s, l_orderkey)""")
-def contract_duplicate_calls_whole(spark, d):
+def contract_duplicate_calls(spark, d):
     return _duplicate_calls(api_edges(spark, d))
 
 
@@ -187,10 +166,24 @@ def _roles(spark, d):
                     F.concat(F.lit("component:u/"), part("user_id", 11)).alias("component"), F.lit(None).cast("string").alias("contract_ref"), F.col("event_id").alias("ord"))
 
 
-@query(f"with {ROLES}, f(family, ord) as (values ('click.*', 3), ('click.1*', 1), ('view.>', 2), ('purchase.3.*', 4)), p as (select distinct pattern from roles) select pattern, (select arg_min(family, ord) from f where starts_with(pattern, regexp_replace(family, '[*>]$', ''))) as family from p")
+@query(f"""with {ROLES}, f(family, ord) as (values ('click.*', 3), ('click.1*', 1), ('view.>', 2), ('purchase.3.*', 4)), p as (select distinct pattern from roles union select family from f)
+select pattern, (select arg_min(family, ord) from f where not regexp_matches(pattern, '\\.[*>]$') and starts_with(pattern, regexp_replace(family, '[*>]$', ''))) as family from p""")
 def event_family_fold(spark, d):
     fams = spark.range(0, 1, 1, 1).select(F.inline(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(o).alias("ord")) for f, o in (("click.*", 3), ("click.1*", 1), ("view.>", 2), ("purchase.3.*", 4))])))
-    return indexes.fold_families(_roles(spark, d).select("pattern").distinct(), fams).select("pattern", "family")
+    return indexes.fold_families(_roles(spark, d).select("pattern").distinct().unionByName(fams.select(F.col("family").alias("pattern"))), fams).select("pattern", "family")
+
+
+@query(f"""with {ROLES}, r as (select case when ord % 50 = 0 then (['view.*', 'view.3.*', 'click.2.>'])[ord // 50 % 3 + 1] else pattern end as pattern, role, component, ord from roles),
+f as (select pattern as family, min(ord) as o from r where regexp_matches(pattern, '\\.[*>]$') group by 1),
+p as (select pattern, coalesce(arg_min(family, o), pattern) as folded from (select distinct pattern from r) left join f on not regexp_matches(pattern, '\\.[*>]$') and starts_with(pattern, regexp_replace(family, '[*>]$', '')) group by 1)
+select folded as pattern, coalesce(string_agg(distinct component, ',' order by component) filter (role = 'producer'), '') as producers, coalesce(string_agg(distinct component, ',' order by component) filter (role = 'consumer'), '') as consumers from r join p using (pattern) group by 1""")
+def event_families_merged(spark, d):
+    """Interfaces of families take in the roles of the patterns that fold into them."""
+    o = F.col("ord")
+    family = F.element_at(F.array(*[F.lit(x) for x in ("view.*", "view.3.*", "click.2.>")]), (F.floor(o / 50) % 3 + 1).cast("int"))
+    r = _roles(spark, d).withColumn("pattern", F.when(o % 50 == 0, family).otherwise(F.col("pattern")))
+    i = indexes.event_interfaces(indexes.fold_roles(r))
+    return i.select("pattern", F.array_join("producers", ",").alias("producers"), F.array_join("consumers", ",").alias("consumers"))
 
 
 @query(f"with {ROLES} select pattern, coalesce(string_agg(distinct component, ',' order by component) filter (role = 'producer'), '') as producers, coalesce(string_agg(distinct component, ',' order by component) filter (role = 'consumer'), '') as consumers, case when count(*) filter (role = 'producer') > 0 then 'resolved' else 'unresolved' end as resolution from roles group by 1")
@@ -277,13 +270,8 @@ def evidence_pin_status(spark, d):
     return provenance.pin_status(pins, now).select(F.col("path").alias("doc_id"), "status")
 
 
-@query("select p_name as name, case when count(distinct p_partkey % 40) = 1 then min(p_partkey % 40) else -1 end as unit, count(distinct p_partkey % 40) > 1 as ambiguous from part where p_partkey < 60 group by 1")
-def unique_name_lookup(spark, d):
-    return _unique_names(B.table(spark, d, "part").where("p_partkey < 60"))
-
-
 @query("select p_name as name, case when count(distinct p_partkey % 40) = 1 then min(p_partkey % 40) else -1 end as unit, count(distinct p_partkey % 40) > 1 as ambiguous from part group by 1")
-def unique_name_lookup_whole(spark, d):
+def unique_name_lookup(spark, d):
     return _unique_names(B.table(spark, d, "part"))
 
 
@@ -292,13 +280,8 @@ def _unique_names(parts):
     return own.unique_names(n).select("name", F.coalesce("unit", F.lit(-1)).alias("unit"), "ambiguous")
 
 
-@query("with m as (select p_brand as root, (['both', 'deployable', 'importable', 'other'])[p_size % 4 + 1] as shape, p_partkey % 97 = 0 as explicit from part where p_partkey < 120) select root, bool_or(shape in ('both', 'deployable')) as deployable, bool_or(shape in ('both', 'importable')) as importable, bool_or(shape in ('both', 'deployable', 'importable')) as present, bool_or(explicit) as explicit, bool_or(shape in ('both', 'deployable', 'importable')) or bool_or(explicit) as eligible from m group by 1")
-def unit_shapes(spark, d):
-    return _unit_shapes(B.table(spark, d, "part").where("p_partkey < 120"))
-
-
 @query("with m as (select p_brand as root, (['both', 'deployable', 'importable', 'other'])[p_size % 4 + 1] as shape, p_partkey % 97 = 0 as explicit from part) select root, bool_or(shape in ('both', 'deployable')) as deployable, bool_or(shape in ('both', 'importable')) as importable, bool_or(shape in ('both', 'deployable', 'importable')) as present, bool_or(explicit) as explicit, bool_or(shape in ('both', 'deployable', 'importable')) or bool_or(explicit) as eligible from m group by 1")
-def unit_shapes_whole(spark, d):
+def unit_shapes(spark, d):
     return _unit_shapes(B.table(spark, d, "part"))
 
 

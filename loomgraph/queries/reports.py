@@ -59,18 +59,32 @@ def unclassified_dependencies(spark, d):
     return audit.unclassified(dep, e.where("user_id % 30 < 20").select(c), e.select(F.concat("event_type", F.lit("1")).alias("name")))
 
 
-@query("with f as (select 'contract' as kind, s_suppkey::varchar as item from supplier where s_suppkey < 5 union all select 'document', doc_id::varchar from documents where doc_id < 7) select * from f")
+@query("with f as (select 'contract' as kind, s_suppkey::varchar as item from supplier union all select 'document', doc_id::varchar from documents) select * from f")
 def reviewed_ambiguities(spark, d):
-    return audit.reviewed({"contract": B.table(spark, d, "supplier").where("s_suppkey < 5").select("s_suppkey"), "document": B.table(spark, d, "documents").where("doc_id < 7").select("doc_id")})
+    return audit.reviewed({"contract": B.table(spark, d, "supplier").select("s_suppkey"), "document": B.table(spark, d, "documents").select("doc_id")})
 
 
-@query("select 'command' as \"column\", '/home/u' || p_partkey as value, 'path' as kind from part where p_partkey % 100 = 0 union all select 'command', '2024-01-0' || (p_partkey % 9 + 1) || 'T00:00:00Z', 'timestamp' from part where p_partkey % 50 = 7 and p_partkey % 9 <> 2 group by 2")
+@query("""with p as (select p_partkey, case p_partkey % 10 when 0 then '/home/u' || p_partkey || '/x' when 1 then 'docs/home/u' when 2 then 'a node_modules/../x' when 3 then '\\\\host\\x' when 4 then 'run process.pid' when 5 then 'at 2024-01-0' || (p_partkey % 9 + 1) || 'T00:00:00.25Z' when 6 then 'at 2024-01-0' || (p_partkey % 9 + 1) || 'T00:00:00Z' else 'src' end as pointer from part)
+select distinct 'pointer' as "column", pointer as value, (['absolute host path', '', 'escaped path', 'absolute Windows path', 'process identity'])[p_partkey % 10 + 1] as kind from p where p_partkey % 10 in (0, 2, 3, 4)
+union select 'pointer', pointer[4:], 'timestamp' from p where p_partkey % 10 in (5, 6) and pointer <> 'at 2024-01-03T00:00:00Z'""")
 def determinism_scan(spark, d):
     k = F.col("p_partkey")
-    stamp = F.concat(F.lit("at 2024-01-0"), (k % 9 + 1).cast("string"), F.lit("T00:00:00Z"))
-    rows = B.table(spark, d, "part").select(F.when(k % 100 == 0, F.concat(F.lit("run /home/u"), k.cast("string"))).when(k % 50 == 7, stamp).otherwise("run").alias("command"))
+    n, at = k.cast("string"), F.concat(F.lit("at 2024-01-0"), (k % 9 + 1).cast("string"))
+    forms = [F.concat(F.lit("/home/u"), n, F.lit("/x")), F.lit("docs/home/u"), F.lit("a node_modules/../x"), F.lit("\\\\host\\x"), F.lit("run process.pid"), F.concat(at, F.lit("T00:00:00.25Z")), F.concat(at, F.lit("T00:00:00Z"))]
+    pointer = F.coalesce(F.get(F.array(*forms), (k % 10).cast("int")), F.lit("src"))
+    rows = B.table(spark, d, "part").select(pointer.alias("pointer"), F.lit("/home/free/text").alias("command"))
     allowed = spark.range(0, 1, 1, 1).select(F.lit("2024-01-03T00:00:00Z").alias("captured_at"))
-    return audit.machine_values(rows, ["command"], allowed)
+    return audit.machine_values(rows, ["pointer", "command"], allowed)
+
+
+@query("""with d as (select doc_id, case doc_id % 3 when 0 then 'There is no supplier-' || (doc_id % 40) || ' here.' when 1 then 'we have  no Supplier-' || (doc_id % 40) || '-service' else 'no supplier-1' end as text from documents)
+select doc_id, 'upplier-' || (doc_id % 40) || case when doc_id % 3 = 1 then '-service' else '' end as tail, 'component:tpch/supplier-' || s_suppkey as ref from d join supplier on s_suppkey = doc_id % 40 where doc_id % 3 < 2""")
+def negated_components(spark, d):
+    n = (F.col("doc_id") % 40).cast("string")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("There is no supplier-"), n, F.lit(" here."))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("we have  no Supplier-"), n, F.lit("-service"))).otherwise("no supplier-1")
+    names = B.table(spark, d, "supplier").select(F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string")).alias("name"), B.ref("component/supplier", "s_suppkey").alias("ref"))
+    found = audit.negated_components(B.table(spark, d, "documents").select("doc_id", text.alias("text")), names, "doc_id")
+    return found.select("doc_id", F.substring("claim", 2, 100).alias("tail"), "ref")
 
 
 @query("""with s as (select doc_id, 'Rule ' || source as heading, '## Rule ' || source || chr(10) || replace(text, '#', '') as body from documents)

@@ -98,14 +98,21 @@ def input_hash_by_source(spark, d):
     return V.input_hash(i, "source", "k", "h")
 
 
-@query("""select p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as kebab, regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]', '', 'g') as plain,
+@query("""with x as (select p_partkey, p_brand, p_type, case when p_partkey % 50 = 0 then '@!' when p_partkey % 2 = 0 then '@' || p_name || '/fooBar_x' else p_name || p_type || p_name || p_type end as n, p_name || (['-service', ' API', '.lib', ''])[p_partkey % 4 + 1] as m,
+  case when p_partkey % 9 = 0 then '  ' when p_partkey % 3 = 0 then p_name || '?' else '  ' || p_name || '  x ' end as t from part)
+select p_partkey, coalesce(nullif(substr(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(n, '^@', ''), '[_\\s]+', '-', 'g'), '([a-z0-9])([A-Z])', '\\1-\\2', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 1, 63), ''), 'component') as kebab,
+  regexp_replace(regexp_replace(lower(m), '[^a-z0-9]+', '', 'g'), '(api|service|worker|app|module|package|lib|library)$', '') as plain,
   regexp_replace(lower(p_brand || '_' || p_type), '[-_.]+', '-', 'g') as dist, replace(p_type || '-x', '-', '_') as ident,
-  regexp_replace(regexp_replace(lower(trim(p_brand || '  ' || p_name || '!')), '[^\\p{L}\\p{N}\\s_-]', '', 'g'), '\\s+', '-', 'g') as slug, p_name || '.' as sentence from part""")
+  regexp_replace(regexp_replace(lower(trim(p_brand || '_a  ' || m || '!')), '[^\\p{L}\\p{N}\\s-]', '', 'g'), '\\s', '-', 'g') as slug,
+  case when trim(t) = '' then 'TODO: describe this in one present-tense sentence.' when right(trim(t), 1) = '?' then trim(t) else regexp_replace(trim(t), '\\s+', ' ', 'g') || '.' end as sentence from x""")
 def name_normalisers(spark, d):
-    c = F.col
+    c, k = F.col, F.col("p_partkey")
+    n = F.when(k % 50 == 0, "@!").when(k % 2 == 0, F.concat(F.lit("@"), "p_name", F.lit("/fooBar_x"))).otherwise(F.concat("p_name", "p_type", "p_name", "p_type"))
+    m = F.concat("p_name", F.element_at(F.array(*[F.lit(x) for x in ("-service", " API", ".lib", "")]), (k % 4 + 1).cast("int")))
+    t = F.when(k % 9 == 0, "  ").when(k % 3 == 0, F.concat("p_name", F.lit("?"))).otherwise(F.concat(F.lit("  "), "p_name", F.lit("  x ")))
     return table(spark, d, "part").select(
-        "p_partkey", T.kebab(c("p_name")).alias("kebab"), T.normalise_name(F.concat("p_name", F.lit(" "), "p_brand")).alias("plain"), T.distribution_name(F.concat("p_brand", F.lit("_"), "p_type")).alias("dist"),
-        T.rust_ident(F.concat("p_type", F.lit("-x"))).alias("ident"), T.slugify(F.concat("p_brand", F.lit("  "), "p_name", F.lit("!"))).alias("slug"), T.sentence(F.concat(F.lit("  "), "p_name", F.lit(" "))).alias("sentence"),
+        "p_partkey", T.kebab(n).alias("kebab"), T.normalise_name(m).alias("plain"), T.distribution_name(F.concat("p_brand", F.lit("_"), "p_type")).alias("dist"),
+        T.rust_ident(F.concat("p_type", F.lit("-x"))).alias("ident"), T.slugify(F.concat(c("p_brand"), F.lit("_a  "), m, F.lit("!"))).alias("slug"), T.sentence(t).alias("sentence"),
     )
 
 
@@ -152,9 +159,16 @@ def command_redaction(spark, d):
     return table(spark, d, "part").select("p_partkey", T.redact_command(F.concat(F.lit("make test "), tail)).alias("command"))
 
 
-@query(f"""with {SEGS} select page_id, '/' || trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(path || '/[id]/(group)/page.tsx', '\\.(tsx|ts|jsx|js|svelte|vue)$', ''), '(^|/)\\([^/)]*\\)', '\\1', 'g'), '\\[(?:\\.\\.\\.)?([^\\]/]+)\\]', ':\\1', 'g'), '(^|/)(page|index|route)$', ''), '/') as route from paths""")
+@query(f"""with {SEGS}, f as (select page_id, (['src/app', 'src/app', 'server', 'server'])[page_id % 4 + 1] as base, (['(shop)/' || path || '/[id]/route.ts', path || '/[...rest]/page.tsx', 'api/' || path || '.ts', path || '.ts'])[page_id % 4 + 1] as rel from paths)
+select page_id, case page_id % 4 when 0 then '//' || replace(rel, '(shop)/', '')[:-(length('/[id]/route.ts') + 1)] || '/:id' when 2 then '/' || regexp_replace(rel[5:], '\\.ts$', '') end as route from f
+union all select page_id + 1000000000, '/' || path || '/:rest*' from paths""")
 def route_of_files(spark, d):
-    return url_paths(spark, d).select("page_id", T.route_of_file(F.concat("path", F.lit("/[id]/(group)/page.tsx"))).alias("route"))
+    k = F.col("page_id") % 4
+    lit = lambda *xs: F.element_at(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs]), (k + 1).cast("int"))
+    p = url_paths(spark, d)
+    rel = lit(F.concat(F.lit("(shop)/"), "path", F.lit("/[id]/route.ts")), F.concat("path", F.lit("/[...rest]/page.tsx")), F.concat(F.lit("api/"), "path", F.lit(".ts")), F.concat("path", F.lit(".ts")))
+    one = p.select("page_id", T.route_of_file(lit("src/app", "src/app", "server", "server"), rel).alias("route"))
+    return one.unionByName(p.select((F.col("page_id") + 1000000000).alias("page_id"), T.route_of_file(F.lit("app"), F.concat("path", F.lit("/[...rest]/route.js"))).alias("route")))
 
 
 @query("select event_type || '.' || (event_id % 3) as key, count(*) as n, regexp_matches(event_type || '.' || (event_id % 3), '^[a-z][A-Za-z0-9]*([.-][A-Za-z0-9]+)+$') as ok from events group by 1, 3")

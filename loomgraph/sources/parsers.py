@@ -37,7 +37,7 @@ _CORE = [
     (re.compile(r"^0o[0-7]+$"), lambda s: _safe(int(s[2:], 8))),
     (re.compile(r"^0x[0-9a-fA-F]+$"), lambda s: _safe(int(s[2:], 16))),
     (re.compile(r"^[-+]?(\.[0-9]+|[0-9]+(\.[0-9]*)?)([eE][-+]?[0-9]+)?$"), float),
-    (re.compile(r"^[-+]?\.(inf|Inf|INF)$"), lambda s: float("-inf" if s[0] == "-" else "inf")),
+    (re.compile(r"^-?\.(inf|Inf)$"), lambda s: float("-inf" if s[0] == "-" else "inf")),
     (re.compile(r"^\.(nan|NaN|NAN)$"), lambda s: float("nan")),
 ]
 
@@ -130,10 +130,14 @@ def parse_jsonc(text: str) -> Any:
             stop = text.find("*/", i + 2)
             i = len(text) if stop < 0 else stop + 2
         else:
+            if c in "}]":  # a comma before it, outside strings, goes
+                last = next((j for j in range(len(out) - 1, -1, -1) if not out[j].isspace()), -1)
+                if last >= 0 and out[last] == ",":
+                    del out[last]
             out.append(c)
             i += 1
     try:
-        return json.loads(re.sub(r",(\s*[}\]])", r"\1", "".join(out)))
+        return json.loads("".join(out))
     except ValueError as x:
         raise Refused(str(x)) from x
 

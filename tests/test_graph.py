@@ -183,18 +183,18 @@ def test_whole_queries_take_every_id(spark, tmp_path):
     odd, even, key = set(), set(), {2: 5, 601: 800, 90000: 800, 90001: 5000}
     for k, _, s, _ in lines:
         (odd if k % 2 else even).add((f"component:tpch/supplier-{s}", f"resource:tpch/customer-{key[k]}"))
-    assert rows("graph_diff_whole") == {("usesResource", *e, "shared" if e in odd & even else "left" if e in even else "right") for e in odd | even}
+    assert rows("graph_diff") == {("usesResource", *e, "shared" if e in odd & even else "left" if e in even else "right") for e in odd | even}
     problems = {(k, n, p) for k, n, _, _ in lines for p, on in (("transport", n % 3 == 0), ("contract-ref", n % 2 == 1), ("attribute:colour", n == 4)) if on}
-    assert rows("attribute_violations_whole") == problems
+    assert rows("attribute_violations") == problems
     used = {(s, k) for k, _, s, _ in lines if s > 6}
     calls = {(s, k + s % 2) for s, k in used}
-    assert rows("contract_duplicate_calls_whole") == {(f"component:tpch/supplier-{s}", f"api:tpch/order-{k}", (s, k) in used) for s, k in calls}
-    assert rows("unique_name_lookup_whole") == {("a", 3, False), ("b", -1, True), ("c", 4, False), ("d", 0, False)}
-    assert rows("unit_shapes_whole") == {("b1", True, False, True, False, True), ("b2", False, False, False, True, True), ("b3", False, True, True, False, True)}
+    assert rows("contract_duplicate_calls") == {(f"component:tpch/supplier-{s}", f"api:tpch/order-{k}", (s, k) in used) for s, k in calls}
+    assert rows("unique_name_lookup") == {("a", 3, False), ("b", -1, True), ("c", 4, False), ("d", 0, False)}
+    assert rows("unit_shapes") == {("b1", True, False, True, False, True), ("b2", False, False, False, True, True), ("b3", False, True, True, False, True)}
     near, found = [(p, q) for p, *_ in parts for q in [p // 2] + [p // 3] * (p % 5 == 0)], {3}
     while more := {b for x in near for a, b in (x, x[::-1]) if a in found} - found:
         found |= more
-    assert rows("undirected_closure_whole") == {(f"component:tpch/part-{p}",) for p in found}
+    assert rows("undirected_closure") == {(f"component:tpch/part-{p}",) for p in found}
 
 
 def test_entry(spark):
