@@ -7,34 +7,48 @@ cancels. A cell that holds one digest gives it away, and taking it out of its ot
 round the three tables, as a digest sits in only one cell of a table and so is taken out once. If cells are left over,
 the pair is tried again with twice the cells and other hashes, until the whole difference is known.
 
+How many cells a pair needs is estimated first, from the digests that lie in one sixteenth of all values.
+
 Cells are rows, spread over the cluster by document; building, subtracting and all rounds of peeling of an attempt are
 one stage after one exchange of the digests (about a tenth of the text). Only pairs that failed are tried again.
 
+Documents are put in order by range partitions, which are written as a bucketed table, one bucket a partition: so the
+next document is in the same bucket, without another exchange of texts, but for one document a bucket that is joined by
+the number of its partition.
+
+The fingerprint that is returned has a fixed number of cells, so two of them show how far texts of some 20 differing
+paragraphs are apart and no more; likeness comes from sketches of their own size, and `recovered` returns the digests.
+Paragraphs of long lines are cut by count, so that a word put in shifts the cuts that follow in that line.
+
 Defined cases: null and empty texts have no paragraphs and an empty sketch; two of these are alike (1.0). Repeated
 paragraphs of a text count once. Documents go by descending id, rows of one id by the hash of their text, null ids
-last; a single document is its own next one. An empty table gives an empty result.
+last; a single document is its own next one. A very long text is one row, with one cell for each few paragraphs. Other
+columns are not looked at, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, stored
+from ..plans.settle import folder
+from .common import release, settle, stored
 
 BLOCK = 16
 TABLES = 3
 #: Cells of each table of the sketch that is returned.
 CELLS = 8
-#: First try: cells of each table for each paragraph of both texts, and some more.
-SHARE, LEAST = 0.25, 4
+#: First try: cells of each table for each paragraph that is estimated to differ, and some more.
+SHARE, LEAST = 0.5, 4
+#: The estimate looks at one of so many digests.
+SAMPLED = 16
 ROUNDS = 15
 MOST_TRIES = 16
 #: Text that one task works on, about.
 TASK_BYTES = 16 << 20
 LOWEST = -(2**63)
-#: Up to so many ranges the first document of each is broadcast; with more it is joined by range.
-MOST_JOINTS = 256
 
 
 def paragraphs(text: Column) -> Column:
@@ -68,74 +82,119 @@ def _sums() -> list[Column]:
     return [F.sum("n").alias("n"), F.bit_xor("digest").alias("digest"), F.bit_xor("check").alias("check")]
 
 
-def peel(cells: DataFrame, seed: int, rounds: int = ROUNDS) -> DataFrame:
-    """Cells after so many rounds. Cell -1 of a pair counts the digests found, its digest is their xor."""
+def peel(cells: DataFrame, seed: int, rounds: int = ROUNDS, keep: bool = False) -> DataFrame:
+    """Cells after so many rounds. Cell -1 of a pair counts the digests found, its digest is their xor.
+
+    With keep, each digest found stays a row of its own (cell -1), n telling the side.
+    """
+    by = ["pair", "width", "cell", *(["found"] if keep else [])]
+    cells = cells.withColumn("found", F.lit(None).cast("long")) if keep else cells
     for r in range(rounds):
         t = r % TABLES
         inside = (F.col("cell") >= t * F.col("width")) & (F.col("cell") < (t + 1) * F.col("width"))
         alone = inside & (F.abs("n") == 1) & (check(F.col("digest")) == F.col("check")) & (cell(F.col("digest"), t, F.col("width"), seed) == F.col("cell"))
-        state = F.struct("cell", "n", "digest", "check")
-        out = [F.struct(F.lit(-1).alias("cell"), F.lit(1).cast("long").alias("n"), F.col("digest").alias("digest"), F.col("check").alias("check"))]
-        out += [F.struct(cell(F.col("digest"), u, F.col("width"), seed).alias("cell"), (-F.col("n")).alias("n"), F.col("digest").alias("digest"), F.col("check").alias("check")) for u in range(TABLES) if u != t]
+        some = [F.col("found")] if keep else []
+        state = F.struct("cell", "n", "digest", "check", *some)
+
+        def moved_to(at: Column, n: Column, found: Column) -> Column:
+            return F.struct(at.cast("int").alias("cell"), n.cast("long").alias("n"), F.col("digest").alias("digest"), F.col("check").alias("check"), *([found.cast("long").alias("found")] if keep else []))
+
+        out = [moved_to(F.lit(-1), F.col("n") if keep else F.lit(1), F.col("digest"))]
+        out += [moved_to(cell(F.col("digest"), u, F.col("width"), seed), -F.col("n"), F.lit(None)) for u in range(TABLES) if u != t]
         moved = cells.select("pair", "width", F.explode(F.when(alone, F.array(*out)).otherwise(F.array(state))).alias("c"))
-        cells = moved.select("pair", "width", "c.*").groupBy("pair", "width", "cell").agg(*_sums()).where("n <> 0 or digest <> 0 or check <> 0")
+        cells = moved.select("pair", "width", "c.*").groupBy(*by).agg(*_sums()).where("n <> 0 or digest <> 0 or check <> 0")
     return cells
 
 
-def _parts(df: DataFrame, n: int, key: str) -> DataFrame:
-    return df.repartition(n, key)
+def apart(a: Column | str, b: Column | str) -> Column:
+    """A number of digests in one set only that is seldom too low, from a sixteenth of all values."""
+    some = lambda c: F.filter(c, lambda x: x.bitwiseAND(F.lit(SAMPLED - 1)) == 0)
+    of = lambda x, y: F.size(F.array_except(some(x), some(y)))
+    seen = F.lit(SAMPLED) * (of(a, b) + of(b, a))
+    return F.least(F.size(a) + F.size(b), F.ceil(seen + 3 * F.sqrt(SAMPLED * seen) + 2 * SAMPLED).cast("int"))
+
+
+def _sketches(pairs: DataFrame, parts: int, attempt: int) -> DataFrame:
+    """Cells of the differences of pairs (pair, width, a, b); width: cells of each table at the first attempt."""
+    width = (F.col("width") * 2**attempt).cast("int")
+    signed = F.concat(F.transform("a", lambda x: F.struct(x.alias("digest"), F.lit(1).alias("sign"))), F.transform("b", lambda x: F.struct(x.alias("digest"), F.lit(-1).alias("sign"))))
+    rows = pairs.repartition(parts, "pair").select("pair", width.alias("width"), F.explode(signed).alias("s")).select("pair", "width", "s.*")
+    return sketch(rows, ["pair"], attempt)
+
+
+def sized(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("width", (F.ceil(apart("a", "b") * F.lit(SHARE)) + LEAST).cast("int"))
 
 
 def differences(pairs: DataFrame, parts: int) -> DataFrame:
-    """pair and d, the number of paragraphs in one text only, from settled pairs (pair, a, b) of digest sets."""
+    """pair and d, the number of paragraphs in one text only, from stored pairs (pair, width, a, b) of digest sets."""
     todo, done = pairs, None
     for attempt in range(MOST_TRIES):
-        width = (F.ceil((F.size("a") + F.size("b")) * F.lit(SHARE * 2**attempt)) + LEAST).cast("int")
-        signed = F.concat(F.transform("a", lambda x: F.struct(x.alias("digest"), F.lit(1).alias("sign"))), F.transform("b", lambda x: F.struct(x.alias("digest"), F.lit(-1).alias("sign"))))
-        rows = _parts(todo, parts, "pair").select("pair", width.alias("width"), F.explode(signed).alias("s")).select("pair", "width", "s.*")
-        left = peel(sketch(rows, ["pair"], attempt), attempt)
+        left = peel(_sketches(todo, parts, attempt), attempt)
         found = settle(left.groupBy("pair").agg(F.max("cell").alias("open"), F.sum(F.when(F.col("cell") == -1, F.col("n"))).alias("d")))
         here = found.where("open = -1").select("pair", "d")
-        failed = stored(found.where("open >= 0").select("pair"))
         done = here if done is None else done.unionByName(here)
+        failed = stored(found.where("open >= 0").select("pair"))
         if failed.isEmpty():
             return done
         todo = pairs.join(failed, "pair", "left_semi")
-    raise RuntimeError("a difference could not be peeled")
+    raise RuntimeError(f"a difference could not be peeled with 2^{MOST_TRIES} times the cells that it should need")
 
 
-def versions(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
-    """Settled rows (row, doc_id, n_chars, edited_sha256, own, edited, next) and the number of partitions to use.
+def recovered(pairs: DataFrame, parts: int = 8) -> DataFrame:
+    """(pair, digest, side) of every paragraph digest in one text only (side 1: in a, -1: in b), from pairs (pair, a, b)."""
+    todo = stored(sized(pairs))
+    whole, done = todo, None
+    for attempt in range(MOST_TRIES):
+        left = stored(peel(_sketches(todo, parts, attempt), attempt, keep=True))
+        failed = stored(left.where("cell >= 0").select("pair").distinct())
+        here = left.where("cell = -1").join(failed, "pair", "left_anti").select("pair", F.col("found").alias("digest"), F.col("n").cast("int").alias("side"))
+        done = here if done is None else done.unionByName(here)
+        if failed.isEmpty():
+            return done
+        todo = whole.join(failed, "pair", "left_semi")
+    raise RuntimeError(f"a difference could not be peeled with 2^{MOST_TRIES} times the cells that it should need")
+
+
+def in_order(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int, str]:
+    """A bucketed table (part, place, doc_id, body) of the documents in order, its number of buckets, and its name.
 
-    Rows are dealt to ranges of ids, so that the next document is mostly in the same task; the first document of each
-    range is looked up by id for the last one of the range before.
+    place grows along the order; its high bits are the part, and all rows of a part are in one bucket.
     """
+    spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), body.alias("body"))
+    base = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), body.alias("body"), F.monotonically_increasing_id().alias("tie"))
     total = base.agg(F.sum(F.octet_length("body") + 64)).first()[0] or 0
     parts = max(1, -(-total // TASK_BYTES))
-    bounds = base.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10 * parts + 1000)).first()[0] if parts > 1 else []
-    bounds = sorted(set(bounds or []))
-    range_ = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("key"))) if bounds else F.lit(0)
-    placed = base.withColumn("range", range_)
-    heads = settle(placed.groupBy("range").agg(F.max("key").alias("key")))  # one row a range
-    order = [F.col("key").desc(), F.xxhash64("body")]
-    first = placed.join(F.broadcast(heads.select(F.col("range").alias("r"), F.col("key").alias("k"))), (F.col("range") == F.col("r")) & (F.col("key") == F.col("k")))
-    first = first.withColumn("n", F.row_number().over(Window.partitionBy("range").orderBy(*order))).where("n = 1").select("range", F.col("body").alias("first_body"), digests(F.col("body")).alias("first_own"))
-    ids = heads.select("range").withColumn("after", F.coalesce(F.lag("range").over(Window.orderBy("range")), F.max("range").over(Window.partitionBy()))).select(F.col("range").alias("r"), "after")
-    joint = settle(first.join(F.broadcast(ids), F.col("range") == F.col("after")).select("r", "first_body", "first_own"))  # one row a range
-    if len(bounds) < MOST_JOINTS:
-        joint = F.broadcast(joint)
-    w = Window.partitionBy("range").orderBy(*order)
-    led = placed.withColumn("own", digests(F.col("body"))).repartition(parts, "range").withColumns({"next_body": F.lead("body").over(w), "next": F.lead("own").over(w)})
-    led = led.join(joint, F.col("range") == F.col("r"), "left")
+    order = [F.col("key").desc(), F.xxhash64("body"), F.col("tie")]  # equal rows are split too, as any order of them will do
+    placed = base.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "body", F.monotonically_increasing_id().alias("place"))
+    name, path = f"in_order_{uuid.uuid4().hex}", f"{folder(spark)}/stored-{uuid.uuid4().hex}"
+    out = placed.withColumn("part", F.shiftright("place", 33).cast("int")).write.bucketBy(min(parts, 10_000), "part").format("parquet").option("path", path)
+    out.option("compression", "zstd").saveAsTable(name)
+    found = spark.table(name)
+    found.stored_at = path
+    return found, parts, name
+
+
+def versions(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
+    """Stored rows (row, doc_id, n_chars, edited_sha256, own, edited, next) and the number of partitions to use."""
+    placed, parts, name = in_order(docs, text)
+    first = placed.where(F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) == 0)
+    there = stored(first.select("part"))  # one row a part
+    after = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy()))
+    heads = stored(there.select(F.col("part").alias("of_part"), after.alias("part")).join(first.select("part", F.col("body").alias("first_body")), "part").select(F.col("of_part").alias("part"), "first_body", digests(F.col("first_body")).alias("first_own")))
+    w = Window.partitionBy("part").orderBy("place")
+    led = placed.withColumn("own", digests(F.col("body"))).withColumns({"next_body": F.lead("body").over(w), "next": F.lead("own").over(w)})
+    led = led.join(heads.withColumnRenamed("part", "of_part"), (F.col("part") == F.col("of_part")) & F.col("next_body").isNull(), "left")
     n = F.char_length("body")
     half = F.floor(n / 2).cast("int")
     next_body = F.coalesce("next_body", "first_body")
     edited = F.concat(F.substring("body", F.lit(1), n - half), F.substring(next_body, F.lit(1), half))
-    done = led.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited_body"), "own", F.coalesce("next", "first_own").alias("next"))
-    done = done.select("doc_id", "n_chars", F.sha2("edited_body", 256).alias("edited_sha256"), "own", digests(F.col("edited_body")).alias("edited"), "next")
-    return settle(done.withColumn("row", F.monotonically_increasing_id())), parts
+    done = led.select(F.col("place").alias("row"), "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited_body"), "own", F.coalesce("next", "first_own").alias("next"))
+    out = stored(done.select("row", "doc_id", "n_chars", F.sha2("edited_body", 256).alias("edited_sha256"), "own", digests(F.col("edited_body")).alias("edited"), "next"))
+    docs.sparkSession.sql(f"drop table {name}")
+    release(placed, there, heads)
+    return out, parts
 
 
 def _coded(digits: Column) -> Column:
@@ -148,7 +207,7 @@ def printed(sets: DataFrame, parts: int) -> DataFrame:
     def of(v: int, c: str) -> Column:
         return F.transform(c, lambda x: F.struct(F.lit(v).alias("v"), x.alias("digest")))
 
-    rows = _parts(sets, parts, "row").select("row", F.lit(CELLS).alias("width"), F.explode(F.concat(of(0, "own"), of(1, "edited"))).alias("s"))
+    rows = sets.repartition(parts, "row").select("row", F.lit(CELLS).alias("width"), F.explode(F.concat(of(0, "own"), of(1, "edited"))).alias("s"))
     cells = sketch(rows.select("row", "s.v", "width", "s.digest", F.lit(1).alias("sign")), ["row", "v"], 0)
     coded = F.concat(F.lpad(F.hex("n"), 8, "0"), F.lpad(F.hex("digest"), 16, "0"), F.lpad(F.hex("check"), 8, "0"))
     held = cells.select("row", "v", "cell", coded.alias("code")).groupBy("row").agg(*[F.map_from_entries(F.collect_list(F.when(F.col("v") == v, F.struct("cell", "code")))).alias(f"c{v}") for v in (0, 1)])
@@ -170,7 +229,7 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     rows, parts = versions(docs, text)
     two = F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("edited").alias("b")), F.struct(F.lit(1).alias("v"), F.col("next").alias("b"))))
     pairs = rows.select("row", F.col("own").alias("a"), two.alias("x")).select((F.col("row") * 2 + F.col("x.v")).alias("pair"), "a", "x.b")
-    found = differences(pairs, parts)
+    found = differences(sized(pairs), parts)
     d = found.groupBy(F.shiftright("pair", 1).alias("row_")).agg(*[F.max(F.when(F.col("pair") % 2 == v, F.col("d"))).alias(f"d{v}") for v in (0, 1)])
     empty = _coded(F.lit("0" * 32 * TABLES * CELLS))
     prints = printed(rows.select("row", "own", "edited"), parts).withColumnRenamed("row", "row__")

@@ -1,16 +1,20 @@
 """License scans: canonical texts joined by digest to known licences, with built-in functions only.
 
 A text is made canonical (lower case, equivalent spellings, copyright lines dropped, punctuation and white space folded)
-and the digest of all of it is looked up among the digests of known licence texts. The same canonical form of each of its
-lines is looked up among known licence notices, so that a document which carries a notice is found as well. Known digests
-are a fixed list of this module (a few kilobytes), which is why it may be broadcast.
+and the digest of all of it is hash-joined to the digests of known licence texts. The same canonical form of each of its
+lines is looked up among the digests of known notices, so that a document which carries a notice is found as well. Only
+lines with a word that some notice needs are looked up; these words are derived from the list, so none of it is lost.
+Known digests are a fixed list of this module (a few kilobytes), which is why it may be broadcast; others can be passed in.
 
 Defined cases: null, empty and punctuation-only texts have the digest of the empty text and match nothing. Equal texts
-get equal rows, one per row of the input. Other columns are not looked at.
+get equal rows, one per row of the input. Of known texts with one digest the least name counts. A very long text is one
+row of built-in string functions. Other columns are not looked at, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +50,7 @@ NOTICES = [
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 ]
 
-#: Usual header lines and identifiers beyond NOTICES. The SQL of the query does not know them.
+#: Usual header lines and identifiers beyond NOTICES.
 MORE_NOTICES = [
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
@@ -136,16 +140,35 @@ DIGESTS = [
 ]
 
 
+#: What lies between words while spellings are replaced: two spaces, so that each word has its own on both sides.
+_BETWEEN = "  "
+
+
+def _spelled(x: str) -> str:
+    return f" {x.replace(' ', _BETWEEN)} "
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text: words of letters and digits with one space between and around."""
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, "$1"), OWNER_LINE, "$1"), ALL_RIGHTS, "")
-    return _respelled(F.regexp_replace(F.concat(F.lit(" "), F.lower(plain), F.lit(" ")), r"[^\p{L}\p{N}]+", " "))
+    out = F.regexp_replace(F.concat(F.lit(" "), F.lower(plain), F.lit(" ")), r"[^\p{L}\p{N}]+", _BETWEEN)
+    for found, put in SPELLINGS:
+        out = F.replace(out, F.lit(_spelled(found)), F.lit(_spelled(put)))
+    return F.regexp_replace(out, " +", " ")
 
 
-def _respelled(plain: Column) -> Column:
-    for found, put in SPELLINGS:
-        plain = F.replace(plain, F.lit(f" {found} "), F.lit(f" {put} "))
-    return plain
+def needed_words(notices: list[tuple[str, str]]) -> str:
+    """A pattern that each notice's line holds in lower case: a few words that cover the list, in all their spellings."""
+    left = [set(re.findall(r"[^\W_]+", re.sub(COPYRIGHT_LINE, "", n).lower())) for _, n in notices]
+    put = {f: p for f, p in SPELLINGS if " " not in f + p}
+    left = [{put.get(w, w) for w in ws} for ws in left]
+    chosen = []
+    while left:
+        best = max(sorted({w for ws in left for w in ws}), key=lambda w: (sum(w in ws for ws in left), len(w)))
+        chosen.append(best)
+        left = [ws for ws in left if best not in ws]
+    spelled = {w for best in chosen for w in [best, *(x for f, p in SPELLINGS if best in p.split() for x in f.split())]}
+    return "|".join(sorted(spelled))
 
 
 def digest(text: Column) -> Column:
@@ -175,10 +198,9 @@ def scan(docs: DataFrame, text: str = "text", texts: DataFrame | None = None, no
         found_in = F.broadcast(known(table_of(spark, TEXTS + MORE_TEXTS), "text_license").unionByName(long))  # fixed list
     else:
         found_in = known(texts, "text_license")
-    # lines that can be a notice at all are the ones that name a licence; their digests are looked up in a map of the list
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     if notices is None:
-        lines = F.filter(lines, lambda x: F.regexp_like(x, F.lit("(?i)licen[sc]|public domain|cc0")))
+        lines = F.filter(lines, lambda x: F.regexp_like(F.lower(x), F.lit(needed_words(NOTICES + MORE_NOTICES))))
         looked_up = F.create_map(*[x for of, n in NOTICES + MORE_NOTICES for x in (F.sha2(canonical(F.lit(n)), 256), F.lit(of))])
         source = docs
     else:
@@ -196,19 +218,19 @@ def oracle() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
 
     def canonical_sql(x: str) -> str:
-        out = f"regexp_replace(regexp_replace(coalesce({x}, ''), {quoted(COPYRIGHT_LINE)}, '\\1', 'g'), {quoted(ALL_RIGHTS)}, '', 'g')"
-        out = f"regexp_replace(' ' || lower({out}) || ' ', '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+        out = f"regexp_replace(regexp_replace(regexp_replace(coalesce({x}, ''), {quoted(COPYRIGHT_LINE)}, '\\1', 'g'), {quoted(OWNER_LINE)}, '\\1', 'g'), {quoted(ALL_RIGHTS)}, '', 'g')"
+        out = f"regexp_replace(' ' || lower({out}) || ' ', '[^\\p{{L}}\\p{{N}}]+', '{_BETWEEN}', 'g')"
         for found, put in SPELLINGS:
-            out = f"replace({out}, ' {found} ', ' {put} ')"
-        return f"sha256({out})"
+            out = f"replace({out}, '{_spelled(found)}', '{_spelled(put)}')"
+        return f"sha256(regexp_replace({out}, ' +', ' ', 'g'))"
 
     values = lambda pairs: ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in pairs)
     return f"""
-with texts as (select min(license) as license, {canonical_sql("text")} as digest from (values {values(TEXTS)}) v(license, text) group by 2),
-notices as (select min(license) as license, {canonical_sql("text")} as digest from (values {values(NOTICES)}) v(license, text) group by 2),
+with texts as (select min(license) as license, {canonical_sql("text")} as digest from (values {values(TEXTS + MORE_TEXTS)}) v(license, text) group by 2 union all select license, digest from (values {values(DIGESTS)}) v(license, digest)),
+notices as (select min(license) as license, {canonical_sql("text")} as digest from (values {values(NOTICES + MORE_NOTICES)}) v(license, text) group by 2),
 d as (select row_number() over () as r, doc_id, text, {canonical_sql("text")} as digest from documents),
 l as (select r, unnest(string_split(coalesce(text, ''), chr(10))) as line from d),
-h as (select r, {canonical_sql("line")} as digest from l where regexp_matches(line, '(?i)licen[sc]|public domain|cc0')),
+h as (select r, {canonical_sql("line")} as digest from l where regexp_matches(lower(line), {quoted(needed_words(NOTICES + MORE_NOTICES))})),
 n as (select r, array_to_string(list_sort(list_distinct(list(license))), ',') as notices, count(*)::int as n_notices from h join notices using (digest) group by r)
 select d.doc_id, d.digest, texts.license as text_license, coalesce(n.notices, '') as notices, coalesce(n.n_notices, 0)::int as n_notices
 from d left join texts on d.digest = texts.digest left join n on d.r = n.r"""

@@ -5,13 +5,15 @@ of a source. Documents are put in order of size within their source, the expecte
 one random offset is added per source, and a document is emitted once for each integer that its part of the sum
 crosses. As neighbours in that order are of nearly one size, the words taken follow the target closely.
 
-The order is global but never gathered: rows are range partitioned over (source, size, id), so that a source with a
-third of all rows is spread like any other, written once, and ranks are partition offsets plus places. Only counts of
-(partition, source) meet. Ranks don't depend on where the partitions are cut, so reruns agree.
+The order is global but never gathered: rows are range partitioned over (source, size, id, text hash), so that a source
+with a third of all rows is spread like any other, written once, and ranks are partition offsets plus places. Only counts
+of (partition, source) meet. Ranks don't depend on where the partitions are cut, so reruns agree.
 
 Defined cases: null and wordless texts have size 0, and are taken 0 words; they take part in the order and may be
-emitted, which adds nothing. A null source is a source of its own, after all others. Repeated rows are sampled
-one by one. An empty table gives an empty result.
+emitted, which adds nothing. A null source is a source of its own, after all others. Ties of source and size go by
+doc_id (null last), then by the hash of the text; repeated rows are sampled one by one, any order of them giving the same
+rows. Extra columns are left alone, whatever their names. A very long text counts as any other. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, settle, stored, words
+from .common import stored, words
 
 #: Weights by place in the order of sources, repeating.
 WEIGHTS = (5, 2, 1)
@@ -58,12 +60,16 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return sums.withColumn("free", free["level"]).select("source", "n", "source_size", F.when(F.col("free").isNull() | (F.col("free") * F.col("weight") >= F.col("cap")), F.col("cap")).otherwise(F.col("free") * F.col("weight")).alias("target"))
 
 
-def sample(docs: DataFrame, text: str = "text", seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of every document."""
-    sized = docs.select("doc_id", "source", F.size(words(F.col(text))).cast("long").alias("size"))
-    order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_last()]
+def sample(docs: DataFrame, text: str = "text", seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every document; with keep, these columns and `copies`.
+
+    The columns to keep travel as one struct, so that their names clash with none of those above.
+    """
+    whole = [F.struct(*[F.col(c) for c in keep]).alias("whole")] if keep else []
+    sized = docs.select("doc_id", "source", F.size(words(F.col(text))).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("hash"), *whole).withColumn("tie", F.monotonically_increasing_id())
+    order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_last(), F.col("hash").asc(), F.col("tie").asc()]
     # a larger source's rows differ in size and id, so ranges split it
-    placed = settle(sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    placed = stored(sized.repartitionByRange(*order).sortWithinPartitions(*order).drop("hash", "tie").withColumn("place", F.monotonically_increasing_id()))
     part = F.shiftright("place", 33)
     parts = placed.groupBy(part.alias("part"), "source").agg(F.min("place").alias("first"), F.count("*").alias("m"), F.sum("size").alias("s"))
     parts = stored(parts)  # at most partitions + sources rows
@@ -72,10 +78,14 @@ def sample(docs: DataFrame, text: str = "text", seed: int = SEED) -> DataFrame:
     starts = parts.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).select("part", F.col("source").alias("of"), "first", "before")
     starts = starts.join(goals, F.col("of").eqNullSafe(F.col("source"))).drop("source")
     starts = starts.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).withColumn("offset", offset(F.col("of"), seed))
+    starts = stored(starts)  # of known size, so that Catalyst chooses the join
     joined = placed.withColumn("part_", part).join(starts, (F.col("part_") == F.col("part")) & F.col("source").eqNullSafe(F.col("of")))
     rank = F.col("before") + F.col("place") - F.col("first")
     copies = F.floor(F.col("offset") + (rank + 1) * F.col("rate")) - F.floor(F.col("offset") + rank * F.col("rate"))
-    return joined.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    found = joined.withColumn("copies", copies)
+    if keep:
+        return found.select("whole", "copies")
+    return found.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -84,23 +94,9 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def resample(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with each row as many times as it is emitted; the columns stay as they are.
-
-    Rows that agree in id, source and size share the copies that they got together, as evenly as whole numbers allow.
-    """
-    found = sample(docs, seed=seed)
-    rows = stored(found.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n"), F.count("*").alias("rows")))
-    size, n, many, at = (free_name(docs, x) for x in ("size_of_row", "copies_of_row", "rows_like_it", "at_row"))
-    of = rows.select(F.col("doc_id").alias("of_id_"), F.col("source").alias("of_source_"), F.col("size").alias("of_size_"), F.col("n").alias(n), F.col("rows").alias(many))
-    numbered = docs.withColumn(size, F.size(words(F.col("text"))).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("of_id_")) & F.col("source").eqNullSafe(F.col("of_source_")) & (F.col(size) == F.col("of_size_"))
-    joined = numbered.join(of, same)
-    share = F.col(n)
-    if not rows.where("rows > 1").isEmpty():
-        alike = Window.partitionBy("doc_id", "source", size).orderBy("text")
-        joined = joined.withColumn(at, F.row_number().over(alike) - 1)
-        share = F.floor((F.col(n) * (F.col(at) + 1)) / F.col(many)) - F.floor((F.col(n) * F.col(at)) / F.col(many))
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), share.cast("int"))).alias(at)).drop(at)
+    """docs with each row as many times as it is emitted; the columns stay as they are."""
+    found = sample(docs, seed=seed, keep=docs.columns)
+    return found.select("whole", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("whole.*")
 
 
 def oracle(seed: int = SEED) -> str:

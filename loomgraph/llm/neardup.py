@@ -126,9 +126,19 @@ def words_of(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, SPACE, " ")), F.lit(""))
 
 
-def names(text: Column) -> tuple[Column, Column]:
-    """Two 64-bit hashes of the words of a text."""
-    return F.xxhash64(words_of(text)), F.xxhash64(F.lit(7), words_of(text))
+def name_of(plain: Column) -> Column:
+    """64-bit name of plain words."""
+    return F.xxhash64(plain)
+
+
+def other_of(plain: Column) -> Column:
+    """A second hash, by which two texts of one name differ."""
+    return F.xxhash64(F.lit(7), plain)
+
+
+def plainly(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
+    """Columns of docs beside `plain_`, the words of the text, which is worked out once a row."""
+    return docs.select(words_of(F.col(text)).alias("plain_"), *columns)
 
 
 def signed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -144,9 +154,9 @@ def signed(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, stop - start) for i in range(3)), lists], ["doc_id", "name", "other", "bands"])
         trim()
 
-    body = F.col(text)
-    name, other = names(body)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(words_of(body).isNotNull(), name).alias("name"), other.alias("other"), body.alias("text"))
+    plain = F.col("plain_")
+    rows = plainly(docs, text, F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.select("doc_id", F.when(plain.isNotNull(), name_of(plain)).alias("name"), other_of(plain).alias("other"), "text")
     return rows.mapInArrow(run, "doc_id long, name long, other long, bands array<long>")
 
 
@@ -159,20 +169,17 @@ def named(rows: DataFrame) -> DataFrame:
     return rows.join(clash, "name", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("name", "other")).otherwise(F.col("name"))).drop("clash")
 
 
-def keyed(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
-    """name, other, of_id, of_null (hashes of the words, doc_id or 0, whether it is null) and columns of docs with words."""
-    name, other = names(F.col(text))
-    doc_id = F.col("doc_id").cast("long")
-    return docs.where(words_of(F.col(text)).isNotNull()).select(name.alias("name"), other.alias("other"), F.coalesce(doc_id, F.lit(0)).alias("of_id"), doc_id.isNull().alias("of_null"), *columns)
-
-
+#: Two hashes of the words, the doc_id or 0, and whether that is null: what tells rows apart.
 KEY = ["name", "other", "of_id", "of_null"]
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
     """node, text of the wanted nodes (node, name, other, least: a doc_id that it has)."""
     keys = wanted.select("node", "name", "other", F.coalesce("least", F.lit(0)).alias("of_id"), F.col("least").isNull().alias("of_null"))
-    return keyed(docs, text, F.col(text).alias("text")).join(keys, KEY).select("node", "text").dropDuplicates(["node"])
+    doc_id, plain = F.col("doc_id").cast("long"), F.col("plain_")
+    rows = plainly(docs, text, F.coalesce(doc_id, F.lit(0)).alias("of_id"), doc_id.isNull().alias("of_null"), F.col(text).alias("text")).where(plain.isNotNull())
+    rows = rows.select(name_of(plain).alias("name"), other_of(plain).alias("other"), "of_id", "of_null", "text")
+    return rows.join(keys, KEY).select("node", "text").dropDuplicates(["node"])
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -431,9 +438,10 @@ def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
     out = stored(marked.where("not stays or rows > 1"))
     release(rows, of)
     mine = {c: free_name(docs, f"{c}_") for c in KEY}
-    name, other = names(F.col(text))
-    doc_id = F.col("doc_id").cast("long")
-    whole = docs.select("*", *[x.alias(mine[c]) for c, x in zip(KEY, (F.when(words_of(F.col(text)).isNotNull(), name), other, F.coalesce(doc_id, F.lit(0)), doc_id.isNull()), strict=True)])
+    doc_id, plain = F.col("doc_id").cast("long"), F.col(free_name(docs, "plain_"))
+    whole = docs.select("*", words_of(F.col(text)).alias(free_name(docs, "plain_")))
+    key = (F.when(plain.isNotNull(), name_of(plain)), other_of(plain), F.coalesce(doc_id, F.lit(0)), doc_id.isNull())
+    whole = whole.select(*docs.columns, *[x.alias(mine[c]) for c, x in zip(KEY, key, strict=True)])
     gone = out.select(*[F.col(c).alias(mine[c]) for c in KEY])
     kept = whole.join(gone, list(mine.values()), "left_anti").select(*docs.columns)
     repeated = out.where("stays")

@@ -6,25 +6,30 @@ each into the open row with the least room that still holds it, found by success
 room left. A packed row has its ids (padded with the end id), the cumulative lengths of its segments, and positions that
 start again at each segment.
 
-Shards bound the memory of a task, and cost less than one row of room each. Pieces are dealt round robin within each
-input partition, so that neither a hot key nor a long document makes a shard large.
-
-Defined cases: null and empty texts are one end id. Repeated rows are packed once each. An empty table gives no rows.
+Shards bound the memory of a task, and cost less than one row of room each. A piece goes to the shard that the hash of
+its doc_id, number and ids gives, so neither a hot source nor a long document makes a shard large, and packs do not depend
+on how the input is partitioned. Repeated rows (one doc_id and text) are told apart by how many a task has seen, so that
+they spread as well; only for those the shard depends on the partitions.
+
+Defined cases: null and empty texts are one end id. Repeated rows are packed once each. Of pieces of one length those of
+the lower doc_id (null last) and number come first. Very long texts are cut into rows; one text at a time is held whole.
+Extra columns are left alone, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import slices, small_batches, trim
 
 LENGTH = 2048
 #: Text bytes a shard packs, about; ids of two bytes each are fewer.
@@ -120,18 +125,21 @@ def pieces(docs: DataFrame, shards: int, length: int, ranks: str, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(ranks).encode_to_numpy, np.array([END], "<u2").tobytes()
-        turn = TaskContext.get().partitionId() * 7919
+        seen: Counter = Counter()
         for batch in batches:
             texts, doc_ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for start, stop in slices(texts):
                 out: list[tuple] = []
                 for doc_id, t in zip(doc_ids[start:stop], texts[start:stop], strict=True):
                     ids = (encode(t).astype("<u2").tobytes() if t else b"") + end
+                    digest = blake2b(ids, digest_size=12).digest()
+                    turn = seen[doc_id, digest]
+                    seen[doc_id, digest] += 1
                     at = 0
                     for k, size in enumerate(cut(len(ids) // 2, length)):
-                        out.append((turn % shards, doc_id, k, ids[2 * at : 2 * (at + size)]))
+                        drawn = blake2b(f"{doc_id}:{k}:{turn}:".encode() + digest, digest_size=8).digest()
+                        out.append((int.from_bytes(drawn, "big") % shards, doc_id, k, ids[2 * at : 2 * (at + size)]))
                         at += size
-                        turn += 1
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], ["shard", "doc_id", "piece", "ids"])
 
@@ -171,11 +179,3 @@ def write(packed: DataFrame, path: str) -> None:
 def matrix(rows: list[bytes], length: int = LENGTH) -> np.ndarray:
     """The matrix of some packed rows (ids or positions)."""
     return np.frombuffer(b"".join(rows), "<u2").reshape(-1, length)
-
-
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Packed rows of all documents, with digests in place of the ids and positions."""
-    packed = pack(docs, length)
-    return packed.select(
-        "pack_id", "n_tokens", "n_segments", "doc_ids", "pieces", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256")
-    )

@@ -23,7 +23,7 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digests(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,15 @@
 Candidates are long runs with a digit, values assigned to names such as `token`, and private-key blocks. A forest that
 was trained from labelled findings decides on each: its measures are the candidate's length, the transitions between
 kinds of characters, how much of it is covered by dictionary words, whether it stands in a path or address, and the
-words next to it. Labelled findings can be passed in; the default ones are drawn by a seeded rule (see
-`default_findings`), as the tables hold no labels of this kind.
-
-Defined cases: null and empty texts have no candidates. Overlapping matches count once: key blocks first, then assigned
-values, then what is left of the runs; a run that begins with a name and a sign of assignment counts from its value.
-Equal texts get equal findings. Positions are code points.
+words next to it. The dictionary is the corpus's own: the DICTIONARY_WORDS words that most of its documents hold, counted
+over all documents, and a few fixed ones of paths and names. Labelled findings can be passed in; the default ones are
+drawn by a seeded rule from that dictionary (see `default_findings`), as the tables hold no labels of this kind.
+
+Defined cases: null and empty texts have no candidates; an empty table gives no rows. Overlapping matches count once: key
+blocks first, then assigned values, then what is left of the runs; a run that begins with a name and a sign of assignment
+counts from its value. Equal texts get equal findings. Positions are code points. Every candidate is measured whole, in
+time that grows with its length; a mark that begins a key block without one that ends it is none. Words of equal counts
+go in alphabetical order. Extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +21,9 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,7 +37,7 @@ TREES, DEPTH, BINS, SEED = 40, 8, 24, 11
 AROUND = 48  # characters looked at on either side
 MARK = "[REDACTED]"
 
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")
+_BEGIN, _END = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), re.compile(r"-----END [A-Z ]{0,40}PRIVATE KEY-----")
 _SIGN = re.compile(r"[:=][=>]{0,2}\s{0,3}\\?[\"'`]?")
 _VALUE = re.compile(r"(?:(?!&[A-Za-z_][A-Za-z0-9_.\-]*=)[^\s\"'<>]){8,}")
 _TO_A_NAME = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)(?:[_-]?(?:key|value))?\\?[\"'`]?\s{0,3}$")
@@ -48,13 +52,13 @@ _HARMLESS = re.compile(r"(?i)commit|sha|md5|digest|hash|checksum|uuid|guid|revis
 _KNOWN = re.compile(r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk_live_|sk-|AIza|eyJ|glpat-|npm_|SG\.|-----BEGIN)")
 _FILLER = re.compile(r"(?i)x{4}|0{6}|12345|abcdef|your|changeme|example|placeholder|<|\$\{|\{\{")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
-#: Short words and syllables that names and prose are made of.
+#: Words taken from the corpus, and the least length of those that count.
+DICTIONARY_WORDS, LEAST_WORD = 5000, 4
+#: Words that names and paths are made of.
 DICTIONARY = sorted({w for w in STOP_WORDS if len(w) > 2} | set("""
 user name file path data test main index value server client service config debug error update version release build
-ment tion ing able ness ation ver ung heit keit sch lich eau eux oui que ient ción dad ado mente ida order item page
-image photo article report year month number code key http https www com org net html docs report summary
-""".split()), key=len, reverse=True)
-_WORDS = re.compile("|".join(map(re.escape, DICTIONARY)), re.I)
+order item page image photo article report year month number code key http https www com org net html docs summary
+""".split()))
 _KIND = {**dict.fromkeys("abcdefghijklmnopqrstuvwxyz", 0), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), **dict.fromkeys("0123456789", 2)}
 
 MEASURES = [
@@ -63,12 +67,26 @@ MEASURES = [
 ]
 
 
-def measure(candidate: str, before: str, after: str) -> list[float]:
+@lru_cache(maxsize=4)
+def _automaton(words: tuple[str, ...]):
+    found = ahocorasick.Automaton()
+    for w in words:
+        found.add_word(w, len(w))
+    found.make_automaton()
+    return found
+
+
+def covered_chars(text: str, words: tuple[str, ...]) -> int:
+    """Characters of a text in dictionary words: leftmost longest matches, apart from each other."""
+    return sum(n for _, n in _automaton(words).iter_long(text.lower()))
+
+
+def measure(candidate: str, before: str, after: str, words: tuple[str, ...] = tuple(DICTIONARY)) -> list[float]:
     c = candidate
     n = len(c)
     kinds = [_KIND.get(x, 3) for x in c]
     counts = np.unique(list(c), return_counts=True)[1] / n
-    covered = sum(m.end() - m.start() for m in _WORDS.finditer(c))
+    covered = covered_chars(c, words)
     runs = [len(x) for x in re.findall(r"[A-Za-z]+", c)] or [0]
     digits = [len(x) for x in re.findall(r"[0-9]+", c)] or [0]
     near = before[-AROUND:]
@@ -133,13 +151,13 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Forest:
     return Forest(feature, cut, value)
 
 
-def default_findings(n: int = 240, seed: int = SEED) -> list[tuple[str, str, str, int]]:
+def default_findings(n: int = 240, seed: int = SEED, words: tuple[str, ...] = tuple(DICTIONARY)) -> list[tuple[str, str, str, int]]:
     """Labelled findings (candidate, before, after, 1 for a secret): n of each of the forms below, drawn by the seed."""
     rng = random.Random(seed)
     pick = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     both, hexa = low + up + dig, dig + "abcdef"
-    word = lambda: rng.choice(DICTIONARY)
+    word = lambda: rng.choice(words)
     prose = lambda: " ".join(word() for _ in range(6)) + " "
     name = lambda: rng.choice(["token", "TOKEN", "secret", "api_key", "password", "access_key", "auth", "client_secret"])
     set_ = lambda: prose() + name() + rng.choice([" = \"", ": ", "=", " = '", ": \"", " = "])
@@ -168,21 +186,29 @@ def default_findings(n: int = 240, seed: int = SEED) -> list[tuple[str, str, str
     return out
 
 
-def train(findings: list[tuple[str, str, str, int]] | None = None) -> Forest:
-    found = findings if findings is not None else default_findings()
-    return fit(np.array([measure(*f[:3]) for f in found], np.float64), np.array([f[3] for f in found], np.float64))
+def train(findings: list[tuple[str, str, str, int]] | None = None, words: tuple[str, ...] = tuple(DICTIONARY)) -> Forest:
+    found = findings if findings is not None else default_findings(words=words)
+    return fit(np.array([measure(*f[:3], words) for f in found], np.float64), np.array([f[3] for f in found], np.float64))
 
 
 @cache
-def default_forest() -> Forest:
-    return train()
+def default_forest(words: tuple[str, ...] = tuple(DICTIONARY)) -> Forest:
+    return train(words=words)
+
+
+def dictionary_of(docs: DataFrame, text: str = "text", most: int = DICTIONARY_WORDS) -> tuple[str, ...]:
+    """The words of letters that most documents hold (so many at most), and the fixed ones."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?<![\p{L}\p{N}_])(\p{L}{" + str(LEAST_WORD) + r",12})(?![\p{L}\p{N}_])"), F.lit(1)))
+    counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.col("n").desc(), "word").limit(most)  # a feature: the dictionary has a fixed size
+    return tuple(sorted({r.word for r in top.collect()} | set(DICTIONARY)))
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
     """Spans of all candidates of a text, in order and apart from each other."""
     if not text:
         return []
-    found = [m.span() for m in _BLOCK.finditer(text)] if "-----BEGIN" in text else []
+    found = _blocks(text)
     if ":" in text or "=" in text:
         found = _without(_assigned(text), found) + found
     taken, runs = sorted(found), []
@@ -197,6 +223,15 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
     return sorted(taken + [_value_of(text, a, b) for a, b in _rest(runs, taken) if _is_run(text, a, b)])
 
 
+def _blocks(text: str) -> list[tuple[int, int]]:
+    """Spans of private-key blocks: a mark that begins one, to the next mark that ends one."""
+    out, at = [], 0
+    while "-----BEGIN" in text and (begin := _BEGIN.search(text, at)) and (end := _END.search(text, begin.end())):
+        out.append((begin.start(), end.end()))
+        at = end.end()
+    return out
+
+
 def _is_run(text: str, start: int, end: int) -> bool:
     return end - start >= LEAST_RUN and _DIGIT.search(text, start, end) is not None
 
@@ -245,18 +280,23 @@ def _rest(runs: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator
             yield a, b
 
 
-def scan(docs: DataFrame, text: str = "text", forest: Forest | None = None, into: str = "found") -> DataFrame:
-    """docs with a struct: n_candidates, starts, ends and scores of the secrets, and the text without them."""
+def scan(docs: DataFrame, text: str = "text", forest: Forest | None = None, into: str = "found", words: tuple[str, ...] | None = None) -> DataFrame:
+    """docs with a struct: n_candidates, starts, ends and scores of the secrets, and the text without them.
+
+    A forest that is passed in must have been trained with the words that are passed in.
+    """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
+    words = words or (tuple(DICTIONARY) if forest else dictionary_of(docs, text))
+    shared = docs.sparkSession.sparkContext.broadcast((forest or default_forest(words), words))
 
     @F.pandas_udf("n_candidates int, starts array<int>, ends array<int>, scores array<double>, redacted string")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forest_, words_ = shared.value
         for batch in texts:
             ts = batch.tolist()
             spans = [candidates(t) for t in ts]
-            x = [measure(t[a:b], t[max(0, a - AROUND) : a], t[b : b + AROUND]) for t, some in zip(ts, spans, strict=True) for a, b in some]
-            scores = shared.value.score(np.array(x, np.float64)) if x else np.zeros(0)
+            x = [measure(t[a:b], t[max(0, a - AROUND) : a], t[b : b + AROUND], words_) for t, some in zip(ts, spans, strict=True) for a, b in some]
+            scores = forest_.score(np.array(x, np.float64)) if x else np.zeros(0)
             rows, k = [], 0
             for t, some in zip(ts, spans, strict=True):
                 hits = [(a, b, float(s)) for (a, b), s in zip(some, scores[k : k + len(some)], strict=True) if s >= THRESHOLD]

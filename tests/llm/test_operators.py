@@ -81,10 +81,9 @@ def test_near_duplicates(docs, empty, spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 4, 5, 6, 7, 8, 9, None, 11, 12]))
 
 
-@pytest.mark.parametrize("small", [64, 2])
-def test_near_duplicate_groups_against_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(neardup, "SMALL", small)
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+@pytest.mark.parametrize("block_bytes", [512 << 10, 4000])
+def test_near_duplicate_groups_against_brute_force(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(neardup.links_between, "__defaults__", (block_bytes,))
     r = random.Random(5)
     texts = []
     for g in range(6):
@@ -96,7 +95,7 @@ def test_near_duplicate_groups_against_brute_force(spark, monkeypatch, small):
             texts.append(" ".join(copy))
     texts += [prose(300 + i, 60) for i in range(10)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x.doc_id: (x.class_id, x.n_links) for x in neardup.classes(df).collect()}
+    got = {x.doc_id: x.class_id for x in neardup.classes(df).collect()}
     label = list(range(len(texts)))
     distinct: dict = {}
     for i, t in enumerate(texts):
@@ -110,7 +109,7 @@ def test_near_duplicate_groups_against_brute_force(spark, monkeypatch, small):
                     label = [low if v == high else v for v in label]
         if before == label:
             break
-    assert {k: v[0] for k, v in got.items()} == dict(enumerate(label))
+    assert got == dict(enumerate(label))
 
 
 def test_pieces_match_the_library():
@@ -330,10 +329,20 @@ def paragraphs(text):
     return {p for p in re.sub(r"([^ \n]+(?: +[^ \n]+){0,15} *)", "\\1\n", text or "").split("\n") if p}
 
 
+def test_recovered_digests_against_brute_force(spark):
+    r = random.Random(2)
+    pairs = []
+    for i, (shared, only_a, only_b) in enumerate([(0, 0, 0), (50, 1, 0), (3, 0, 9), (400, 120, 3), (0, 300, 280), (5, 2, 2)]):
+        common = [r.randrange(-(2**63), 2**63) for _ in range(shared)]
+        pairs.append((i, common + [r.randrange(-(2**63), 2**63) for _ in range(only_a)], [r.randrange(-(2**63), 2**63) for _ in range(only_b)] + common))
+    df = spark.createDataFrame(pairs, "pair long, a array<long>, b array<long>")
+    got = {(x.pair, x.digest, x.side) for x in fingerprints.recovered(df, 3).collect()}
+    assert got == {(i, x, 1) for i, a, b in pairs for x in set(a) - set(b)} | {(i, x, -1) for i, a, b in pairs for x in set(b) - set(a)}
+
+
 @pytest.mark.parametrize("task_bytes", [1 << 24, 3000])
 def test_fingerprints_against_brute_force(spark, empty, monkeypatch, task_bytes):
     monkeypatch.setattr(fingerprints, "TASK_BYTES", task_bytes)
-    monkeypatch.setattr(fingerprints, "MOST_JOINTS", 0 if task_bytes < 10_000 else 256)
     rows = [(i, t) for i, t in enumerate([prose(1, 300), prose(1, 300), "", None, "one", prose(2, 40) + "\n" + prose(3, 40), prose(4, 3000), "日本🙂" * 9, " \n ", prose(5, 90)])]
     got = {r.doc_id: r for r in fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     back = rows[::-1]
@@ -347,5 +356,5 @@ def test_fingerprints_against_brute_force(spark, empty, monkeypatch, task_bytes)
         assert abs(r.near_edited - like(paragraphs(t), paragraphs(edited))) < 1e-12 and abs(r.near_next - like(paragraphs(t), paragraphs(following))) < 1e-12
     assert got[0].fingerprint == got[1].fingerprint and len({r.fingerprint for r in got.values()}) == 8
     assert fingerprints.fingerprint(empty).count() == 0
-    odd = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "doc_id long, text string")
-    assert fingerprints.fingerprint(odd).count() == 4
+    odd = spark.createDataFrame([(1, "a b", "k"), (1, "a b", "k"), (1, "c d", "k"), (None, "c", "k"), (None, "c", None), (2, None, "k")], "doc_id long, text string, body string")
+    assert fingerprints.fingerprint(odd).count() == 6
