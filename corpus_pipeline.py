@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
 All but the last return the columns of documents. The stages learn from their own input only.
 
-Defined cases: each stage handles nulls in any column, empty and very long texts, repeated rows and empty tables as its
-operator says. Documents without a text are rejected by the first stage, as no language can be told.
+Defined cases: each stage handles nulls in any column, empty and very long texts, ties, repeated rows, extra columns and
+empty tables as its operator says. Documents without a text are rejected by the first stage, as no language can be told.
+Rows are told apart by doc_id and text: rows of one doc_id with different texts are documents of their own.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import langid, mixing, neardup, pieces, secrets
-from loomgraph.llm.common import settle, table
+from loomgraph.llm.common import stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates stays."""
+    """One row of each class of near duplicates stays, the one with the least doc_id."""
     return neardup.keep_first(docs)
 
 
@@ -56,5 +57,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
