@@ -41,48 +41,60 @@ def reverse_edges(relations: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def search(reverse: DataFrame, seeds: DataFrame, routes: bool = True) -> DataFrame:
+    """(ref, unit_only, distance, seed, next) of seeds and all their dependents, by one breadth-first search from all seeds.
+
+    unit_only where every route has a test edge. A level holds the nodes that are reached for the first time and those
+    reached for the first time without a test edge, so each node is in two levels at most. Of several nodes that reach
+    one first, the one earliest in the search wins (with routes); places in it are numbered by (place of the parent, ref).
+    """
+    edges = settle(reverse.groupBy("dependency", "dependent").agg(F.bool_and("unit_only").alias("test")))
+    none = F.lit(None).cast("string")
+    start = seeds.select("ref").distinct().select("ref", F.lit(True).alias("build"), F.lit(True).alias("first"), F.lit(0).alias("distance"), F.col("ref").alias("seed"), none.alias("next"), F.lit(0).cast("long").alias("parent"))
+    level, n, depth = settle(start), 1, 0
+    seen, old = level, level.select("ref", "build")
+    while True:
+        n = level.count()
+        if not n:
+            break
+        depth += 1
+        placed = _placed(level, ["parent", "ref"], n) if routes else level.withColumn("place", F.lit(0).cast("long"))
+        step = edges.join(placed, edges["dependency"] == placed["ref"]).select("dependent", (F.col("build") & ~F.col("test")).alias("build"), "first", "seed", F.col("ref").alias("next"), "place")
+        earliest = F.min_by(F.struct("seed", "next", "place"), F.when(F.col("first"), F.struct("place", "next"))).alias("p")
+        best = step.groupBy("dependent").agg(F.bool_or("build").alias("build"), earliest)
+        known = old.groupBy(F.col("ref").alias("known")).agg(F.bool_or("build").alias("known_build"))
+        fresh = best.join(known, F.col("dependent") == F.col("known"), "left").where("known is null or (build and not known_build)")
+        level = settle(fresh.select(
+            F.col("dependent").alias("ref"), "build", F.col("known").isNull().alias("first"), F.lit(depth).alias("distance"), "p.seed", "p.next", F.coalesce("p.place", F.lit(0)).alias("parent"),
+        ))
+        seen, old = seen.unionByName(level), old.unionByName(level.select("ref", "build"))
+        if depth % 8 == 0:
+            old = settle(old.groupBy("ref").agg(F.bool_or("build").alias("build")))
+    found = F.min_by(F.struct("distance", "seed", "next"), F.when(F.col("first"), F.col("distance"))).alias("x")
+    return seen.groupBy("ref").agg((~F.bool_or("build")).alias("unit_only"), found).select("ref", "unit_only", "x.distance", "x.seed", "x.next")
+
+
 def dependent_scope(reverse: DataFrame, seeds: DataFrame) -> DataFrame:
     """(ref, unit_only) of seeds and all dependents; unit_only where every route has a test edge."""
-    edges = reverse.select(F.col("dependency").alias("src"), F.col("dependent").alias("dst"), "unit_only")
-    nodes = seeds.select(F.col("ref").alias("node"))
-    every = reachable(edges, nodes).select(F.col("node").alias("ref"))
-    build = reachable(edges.where("not unit_only"), nodes).select(F.col("node").alias("ref"), F.lit(False).alias("build_route"))
-    return every.join(build, "ref", "left").select("ref", F.coalesce("build_route", F.lit(True)).alias("unit_only"))
+    return search(reverse, seeds, routes=False).select("ref", "unit_only")
 
 
 def dependent_distance(reverse: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(ref, distance, seed, next) by breadth-first search from all seeds at once.
+    """(ref, distance, seed, next) by breadth-first search from all seeds at once (see `search`)."""
+    return search(reverse, seeds).select("ref", "distance", "seed", "next")
 
-    Of several nodes that reach one first, the one earliest in the search wins; places in the search are numbered by
-    (place of the parent, ref).
-    """
-    edges = settle(reverse.select("dependency", "dependent").distinct())
-    start = seeds.select("ref").distinct()
-    level = settle(start.select("ref", F.lit(0).alias("distance"), F.col("ref").alias("seed"), F.lit(None).cast("string").alias("next"), F.col("ref").alias("order_key")))
-    level = settle(_placed(level, ["order_key"]).select("ref", "distance", "seed", "next", "place"))
-    seen = level
-    while not level.isEmpty():
-        step = edges.join(level, edges["dependency"] == level["ref"]).select(
-            F.col("dependent").alias("ref_"), (F.col("distance") + 1).alias("distance"), "seed", F.col("ref").alias("next"), "place"
-        )
-        fresh = step.join(seen.select(F.col("ref").alias("ref_")), "ref_", "left_anti")
-        best = fresh.groupBy("ref_").agg(F.min_by(F.struct("distance", "seed", "next", "place"), "place").alias("b")).select(F.col("ref_").alias("ref"), "b.*")
-        level = settle(_placed(settle(best.withColumnRenamed("place", "parent")), ["parent", "ref"]).select("ref", "distance", "seed", "next", "place"))
-        seen = settle(seen.unionByName(level))
-    return seen.select("ref", "distance", "seed", "next")
-
-
-def _placed(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with `place`, its number in the given order: in one task up to ONE_TASK rows, else counted over range partitions."""
-    if df.count() <= ONE_TASK:
+
+def _placed(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """df of n rows with `place`, its number in the given order: in one task up to ONE_TASK rows, else counted over range partitions."""
+    if n <= ONE_TASK:
         return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
     sorted_ = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mid", F.monotonically_increasing_id()))
     part = F.shiftright("mid", 33)
-    sizes = settle(sorted_.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.min("mid").alias("first")))
+    sizes = settle(sorted_.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.min("mid").alias("first_mid")))
     before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("p", "first", before.alias("before"))  # one row a partition
-    placed = sorted_.join(F.broadcast(offsets), part == F.col("p")).withColumn("place", F.col("before") + F.col("mid") - F.col("first"))
-    return placed.drop("mid", "p", "first", "before", "n")
+    offsets = sizes.select("p", "first_mid", before.alias("before"))  # one row a partition
+    placed = sorted_.join(offsets, part == F.col("p")).withColumn("place", F.col("before") + F.col("mid") - F.col("first_mid"))
+    return settle(placed.drop("mid", "p", "first_mid", "before", "n"))
 
 
 def checks_for_change(verification: DataFrame, reverse: DataFrame, seeds: DataFrame, own: DataFrame | None = None) -> DataFrame:
@@ -91,9 +103,7 @@ def checks_for_change(verification: DataFrame, reverse: DataFrame, seeds: DataFr
     A check counts if one of its components is in scope with all tiers, or the check is a unit check. Own checks have
     rank 0, others 1 + the least distance of their components in scope.
     """
-    scope = settle(dependent_scope(reverse, seeds))
-    distance = dependent_distance(reverse, seeds)
-    reach = settle(scope.join(distance.select("ref", "distance"), "ref", "left"))
+    reach = search(reverse, seeds, routes=False).select("ref", "unit_only", "distance")
     mine = (own if own is not None else seeds).select(F.col("ref").alias("own_ref")).distinct()
     rows = verification.select("id", "tier", F.explode("component_refs").alias("ref"))
     hit = rows.join(reach, "ref", "left").join(mine, F.col("ref") == F.col("own_ref"), "left")

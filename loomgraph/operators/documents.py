@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
 
+FENCE = r"^\s{0,3}(```|~~~)"
+
 
 def sections(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, section, heading, sha256, lines) of each level-2 section, trailing blank lines dropped.
 
-    Lines of fenced blocks are no headings; repeated slugs get `-1`, `-2`, ... in order. A document is one window: its own
-    lines, never those of others.
+    Lines of fenced blocks are no headings; repeated slugs get `-1`, `-2`, ... in order. All is worked out within the row
+    of a document: headings are looked for among the lines outside fences, and sections are slices between them.
     """
-    lines = documents.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line"))
-    inside = Window.partitionBy(key).orderBy("n")
-    fence = F.col("line").rlike(r"^\s{0,3}(```|~~~)")
-    opened = lines.withColumn("fences", F.sum(fence.cast("int")).over(inside))
-    closed = (F.col("fences") % 2 == 0) & ~fence
-    level2, level1 = closed & F.col("line").rlike(r"^## +\S"), closed & F.col("line").rlike(r"^# +\S")
-    marked = opened.withColumn("part", F.sum((level2 | level1).cast("int")).over(inside)).withColumn("heading", F.when(level2, F.trim(F.regexp_replace("line", r"^## +|\s+#+\s*$", ""))))
-    g = marked.groupBy(key, "part").agg(F.max("heading").alias("heading"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("rows")).where("heading is not null")
-    body = F.regexp_replace(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), r"\s+\z", "")
-    out = g.select(key, "part", "heading", F.sha2(body, 256).alias("sha256"), (F.size(F.split(body, "\n"))).alias("lines"), slugify(F.col("heading")).alias("slug"))
-    again = F.row_number().over(Window.partitionBy(key, "slug").orderBy("part")) - 1
-    return out.withColumn("k", again).select(key, F.when(F.col("k") == 0, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("k").cast("string"))).alias("section"), "heading", "sha256", "lines")
+    lines = F.split(text, "\n")
+    marked = documents.select(key, lines.alias("lines")).withColumn("fences", F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.element_at("lines", i).rlike(FENCE)))
+    bounds = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.element_at("lines", i).rlike(r"^##? +\S") & (F.size(F.filter("fences", lambda f: f < i)) % 2 == 0))
+    cut = marked.withColumn("starts", bounds).where(F.size("starts") > 0)
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("lines") + 1))
+    parts = F.filter(F.arrays_zip(F.col("starts").alias("start"), ends.alias("end")), lambda p: F.element_at("lines", p["start"]).rlike(r"^## "))
+
+    def section(p: Column) -> Column:
+        heading = F.trim(F.regexp_replace(F.element_at("lines", p["start"]), r"^## +|\s+#+\s*$", ""))
+        body = F.regexp_replace(F.array_join(F.slice("lines", p["start"], p["end"] - p["start"]), "\n"), r"\s+\z", "")
+        return F.struct(heading.alias("heading"), slugify(heading).alias("slug"), F.sha2(body, 256).alias("sha256"), F.size(F.split(body, "\n")).alias("lines"))
+
+    found = cut.select(key, F.transform(parts, section).alias("found"))
+    rows = found.select(key, F.posexplode("found").alias("at", "s"), F.transform("found", lambda s: s["slug"]).alias("slugs"))
+    before = F.size(F.filter(F.slice("slugs", F.lit(1), F.col("at")), lambda s: s == F.col("s.slug")))
+    name = F.when(before == 0, F.col("s.slug")).otherwise(F.concat("s.slug", F.lit("-"), before.cast("string")))
+    return rows.select(key, name.alias("section"), "s.heading", "s.sha256", "s.lines")
