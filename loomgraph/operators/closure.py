@@ -84,9 +84,9 @@ def dependent_distance(reverse: DataFrame, seeds: DataFrame) -> DataFrame:
     return search(reverse, seeds).select("ref", "distance", "seed", "next")
 
 
-def _placed(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """df of n rows with `place`, its number in the given order: in one task up to ONE_TASK rows, else counted over range partitions."""
-    if n <= ONE_TASK:
+def _placed(df: DataFrame, order: list[str], n: int | None = None) -> DataFrame:
+    """df (of n rows) with `place`, its number in the given order: in one task up to ONE_TASK rows, else counted over range partitions."""
+    if (df.count() if n is None else n) <= ONE_TASK:
         return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
     sorted_ = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mid", F.monotonically_increasing_id()))
     part = F.shiftright("mid", 33)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import closures, elections, graphs, reports, scalars
+from . import closures, elections, graphs, reports, scalars, sections, technology
 from .registry import ORACLES, QUERIES
 
-__all__ = ["closures", "elections", "graphs", "reports", "scalars"]
+__all__ = ["closures", "elections", "graphs", "reports", "scalars", "sections", "technology"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
