@@ -41,6 +41,14 @@ def join_path(directory: Column, name: Column) -> Column:
     return F.when((directory == ".") | (directory == ""), name).when((name == ".") | (name == ""), directory).otherwise(F.concat_ws("/", directory, name))
 
 
+def normal_path(p: Column) -> Column:
+    """p with `.` and `..` segments taken in; `.` for nothing left, null where it leads out of the root."""
+    none = F.array().cast("array<string>")
+    step = lambda acc, s: F.when(s.isin("", "."), acc).when((s == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(s)))
+    kept = F.aggregate(F.split(p, "/"), none, lambda acc, s: F.when(F.size(acc) == 0, F.when(s.isin("", "."), acc).otherwise(F.array(s))).otherwise(step(acc, s)))
+    return F.when(F.get(kept, 0) == "..", None).when(F.size(kept) == 0, ".").otherwise(F.array_join(kept, "/"))
+
+
 def parent_path(p: Column) -> Column:
     return F.when(F.contains(p, F.lit("/")), F.regexp_replace(p, "/[^/]*$", "")).otherwise(".")
 

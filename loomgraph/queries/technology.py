@@ -329,3 +329,48 @@ def one_sentence(spark, d):
     k = F.col("p_partkey")
     t = F.concat("p_name", F.element_at(F.array(*[F.lit(x) for x in (".", "", ". And more.", ". and more.")]), (k % 4 + 1).cast("int")))
     return table(spark, d, "part").select(k.alias("k"), T.one_sentence(t).alias("ok"))
+
+
+#: Configuration k extends that of k // 2, and a package's where k is a multiple of 7.
+_TS = """c as (select p_partkey as k, p_partkey % 3 = 0 as has_base, p_partkey % 5 = 0 as has_paths from part),
+up as (select k, k // 2 as m, 0 as turn from c where k > 0 and k // 2 in (select k from c) union all select k, k % 4, -1 from c where k % 7 = 0 and k > 4 and k % 4 in (select k from c)),
+w as (select k, k as pos, []::int[] as place, [k] as trail from c union all select w.k, up.m, w.place || [up.turn], w.trail || [up.m] from w join up on up.k = w.pos where not list_contains(w.trail, up.m))"""
+
+
+def _configs(spark, d):
+    k = F.col("p_partkey")
+    n = k.cast("string")
+    half = F.when(k > 0, F.concat(F.lit("../"), F.floor(k / 2).cast("long").cast("string"), F.lit("/tsconfig")))
+    package = F.when((k % 7 == 0) & (k > 4), F.concat(F.lit("@x/p-"), (k % 4).cast("string")))
+    return table(spark, d, "part").select(
+        F.concat(F.lit("p/"), n, F.lit("/tsconfig.json")).alias("path"), F.array_compact(F.array(half, package)).alias("extends"), F.when(k % 3 == 0, F.lit("./src/../lib")).alias("base_url"),
+        F.when(k % 5 == 0, F.create_map(F.lit("~/*.js"), F.array(F.concat(F.lit("a"), n, F.lit("/*")), F.lit("b/*")), F.lit("one"), F.array(F.lit("only")))).alias("paths"),
+    )
+
+
+_CHAIN = f"{_TS}, b as (select k, arg_min(pos, place) filter (pos % 3 = 0) as base, arg_min(pos, place) filter (pos % 5 = 0) as paths from w group by 1)"
+
+
+@query(f"with recursive {_CHAIN} select 'p/' || k || '/tsconfig.json' as path, 'p/' || base || '/lib' as base_url, 'p/' || paths as paths_base from b")
+def config_chain(spark, d):
+    return imports.inherited(_configs(spark, d), _names(spark, d).select("name", F.col("unit").alias("root"))).select("path", "base_url", "paths_base")
+
+
+@query(f"""with recursive {_CHAIN} select k, o as ord, case when k % 2 = 0 then coalesce('p/' || base || '/lib', 'p/' || paths) || '/' || case o when 0 then 'a' || paths else 'b' end || '/x' || k else coalesce('p/' || base || '/lib', 'p/' || paths) || '/only' end as base
+from b, (values (0), (1)) v(o) where paths is not null and (k % 2 = 0 or o = 0)""")
+def path_mapping(spark, d):
+    k = F.col("p_partkey")
+    n = k.cast("string")
+    specs = table(spark, d, "part").select(k.alias("k"), F.concat(F.lit("p/"), n, F.lit("/src/a.ts")).alias("path"), F.when(k % 2 == 0, F.concat(F.lit("~/x"), n, F.lit(".js"))).otherwise("one").alias("specifier"))
+    found = imports.inherited(_configs(spark, d), _names(spark, d).select("name", F.col("unit").alias("root")))
+    return imports.through_paths(specs, found).select("k", "ord", "base")
+
+
+@query("select p_partkey as k, case when p_partkey % 2 = 0 then 'p/' || p_partkey || '/lib/x' else 'p/' || p_partkey || '/db.js' end as base from part where p_partkey % 5 <> 0")
+def own_subpaths(spark, d):
+    k = F.col("p_partkey")
+    unit = F.concat(F.lit("p/"), k.cast("string"))
+    p = table(spark, d, "part")
+    specs = p.select(k.alias("k"), unit.alias("unit"), F.when(k % 2 == 0, "#lib/x").otherwise("#db").alias("specifier"))
+    maps = p.where("p_partkey % 5 <> 0").select(unit.alias("unit"), F.inline(F.array(F.struct(F.lit("#lib/*").alias("pattern"), F.lit("./lib/*").alias("target")), F.struct(F.lit("#db").alias("pattern"), F.lit("./db.js").alias("target")))))
+    return imports.own_subpaths(specs, maps).select("k", "base")
