@@ -32,7 +32,13 @@ def stale(now: Column, at: Column, max_days: Column) -> Column:
 
 
 def input_hash(inputs: DataFrame, by: str, key: str, digest: str) -> DataFrame:
-    """One hash a group from its (key, digest) rows in order of key, each part led by its length."""
+    """One hash a group from its (key, digest) rows, each part led by its length.
+
+    Rows are hashed in order of key within 65,536 parts by the hash of the key, then the parts in order; so no more than a
+    part meets in one row, and hashes of parts do not change with those of others.
+    """
     part = F.concat(F.lpad(F.length(key).cast("string"), 8, "0"), F.col(key), F.lpad(F.length(digest).cast("string"), 8, "0"), F.col(digest))
-    rows = inputs.select(by, F.struct(F.col(key).alias("k"), part.alias("p")).alias("s"))
-    return rows.groupBy(by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["p"]), ""), 256).alias("input_hash"))
+    rows = inputs.select(by, F.substring(F.sha2(F.col(key), 256), 1, 4).alias("part"), F.struct(F.col(key).alias("k"), part.alias("p")).alias("s"))
+    together = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["p"]), ""), 256)
+    parts = rows.groupBy(by, "part").agg(together.alias("h")).select(by, F.struct(F.col("part").alias("k"), F.concat("part", "h").alias("p")).alias("s"))
+    return parts.groupBy(by).agg(together.alias("input_hash"))

@@ -52,10 +52,11 @@ def _stems(p: Column) -> Column:
 
 
 def section(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:
-    """The first n rows of each key with `total` and `truncated`."""
-    w = Window.partitionBy(key)
-    out = rows.withColumn("position", F.row_number().over(w.orderBy(*order)).cast("int")).withColumn("total", F.count("*").over(w))
-    return out.where(F.col("position") <= n).withColumn("truncated", F.col("total") > n)
+    """The first n rows of each key with `total` and `truncated`; a hub is counted and cut before its rows meet."""
+    totals = rows.groupBy(key).agg(F.count("*").alias("total"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    first = rows.withColumn("position", place).where(F.col("position") <= n).withColumn("position", F.col("position").cast("int"))
+    return first.join(totals, key).withColumn("truncated", F.col("total") > n)
 
 
 def relations_of(relations: DataFrame, subjects: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.settle import settle, stored
 from .context import covering_contract
 
 #: Names of build configuration files, endings of code, and of documentation.
@@ -14,7 +15,8 @@ BUILD_CONFIG = (
 )
 CODE = r"\.(ts|tsx|js|jsx|mts|cts|mjs|cjs|go|py|rb|java|kt|rs|ex|exs|cs|php|swift|gradle|proto|graphql|sql)$"
 DOCUMENTATION = r"\.(md|mdx|txt|adoc|rst)$|(^|/)docs/"
-GRAM = 24
+#: Lengths of the runs by which texts and contracts meet: for contracts of 47 characters or more, of 23 to 46, of 11 to 22.
+GRAMS = (24, 12, 6)
 
 
 def _grams(text: Column, n: int, step: int, most: Column | int | None = None) -> Column:
@@ -31,23 +33,35 @@ def reference_sites(files: DataFrame) -> DataFrame:
     return files.where(~p.rlike(DOCUMENTATION) & (p.rlike(CODE) | p.rlike(BUILD_CONFIG)))
 
 
-def consumers(files: DataFrame, contracts: DataFrame, gram: int = GRAM) -> DataFrame:
+def consumers(files: DataFrame, contracts: DataFrame) -> DataFrame:
     """(ref, unit, path, label) of files (unit, path, text) of other units whose text contains a contract path.
 
     Take `reference_sites` of all files first, so that a document that quotes a contract makes no edge.
 
-    The substring join is a hash join: texts are cut into runs of `gram` characters, contracts give the runs at their
-    first `gram` places, and wherever a contract lies in a text one of these is among the text's runs; whole containment
-    is checked after. Contracts too short for that are compared directly; their number is that of short paths.
+    The substring join is a hash join: texts are cut into runs of so many characters, contracts give the runs at their
+    first so many places, and wherever a contract lies in a text one of these is among the text's runs; whole containment
+    is checked after. The runs are of half a contract's length about (GRAMS), and those of the contracts are stored, so
+    that Catalyst can look texts up in them where they are few. Only what is shorter than any path with a directory is
+    compared directly.
     """
-    least = 2 * gram - 1
-    long, short = contracts.where(F.char_length("ref") >= least), contracts.where(F.char_length("ref") < least)
-    keyed = long.select("ref", "provider", F.explode(F.array_distinct(_grams(F.col("ref"), gram, 1, gram))).alias("gram"))
-    texts = files.where(F.char_length("text") >= least).select("unit", "path", F.explode(F.array_distinct(_grams(F.col("text"), gram, gram))).alias("gram"))
-    pairs = texts.join(keyed, "gram").where("unit <> provider").select("unit", "path", "ref").distinct()
-    hits = pairs.join(files.select("unit", "path", "text"), ["unit", "path"]).where(F.contains("text", F.col("ref")))
-    few = files.join(short, F.contains("text", F.col("ref")) & (F.col("unit") != F.col("provider")))
-    out = hits.select("ref", "unit", "path").unionByName(few.select("ref", "unit", "path")).distinct()
+    known = settle(contracts.select("ref", "provider").distinct())
+    size = F.char_length("ref")
+    found, above = None, None
+    for gram in GRAMS:
+        mine = known.where((size >= 2 * gram - 1) & (size < above if above else F.lit(True)))
+        above = 2 * gram - 1
+        if mine.isEmpty():
+            continue
+        keyed = stored(mine.select("ref", "provider", F.explode(F.array_distinct(_grams(F.col("ref"), gram, 1, gram))).alias("gram")))
+        texts = files.where(F.char_length("text") >= above).select("unit", "path", F.explode(F.array_distinct(_grams(F.col("text"), gram, gram))).alias("gram"))
+        pairs = texts.join(keyed, "gram").where("unit <> provider").select("unit", "path", "ref").distinct()
+        hits = pairs.join(files.select("unit", "path", "text"), ["unit", "path"]).where(F.contains("text", F.col("ref"))).select("ref", "unit", "path")
+        found = hits if found is None else found.unionByName(hits)
+    short = known.where(size < above)
+    if found is None or not short.isEmpty():
+        few = files.join(short, F.contains("text", F.col("ref")) & (F.col("unit") != F.col("provider"))).select("ref", "unit", "path")
+        found = few if found is None else found.unionByName(few)
+    out = found.distinct()
     return out.withColumn("label", F.when(F.col("path").rlike(BUILD_CONFIG), "codegen").otherwise("source-reference"))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.settle import settle
+
 
 def retrieval(truth: DataFrame, retrieved: DataFrame, scenarios: DataFrame) -> DataFrame:
     """recall, precision, noise of each scenario from fact sets (scenario, fact). Without truth recall is 1; without results noise is 0."""
@@ -39,13 +41,15 @@ def weighted(rows: DataFrame, value: str, weight: str, by: list[str]) -> DataFra
 def campaign(attempts: DataFrame, by: str, value: str) -> DataFrame:
     """n, median (the upper of two middles) and p95 (ceil index) of each group, exact and without gathering a group.
 
-    Values are counted first, so what is sorted is the distinct values of a group.
+    Values are counted first; the distinct ones are range partitioned, and running counts are those of the partitions
+    before plus those within, so that a group is spread over as many tasks as its values take.
     """
-    from pyspark.sql import Window
-
     c = attempts.groupBy(by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by)
-    run = c.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
+    placed = settle(c.repartitionByRange(by, value).withColumn("part", F.spark_partition_id()))
+    sums = settle(placed.groupBy(by, "part").agg(F.sum("c").alias("s")))  # one row a group and partition
+    earlier = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(by, "part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before"), F.sum("s").over(Window.partitionBy(by)).alias("n"))
+    run = placed.join(offsets, [by, "part"]).withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(by, "part").orderBy(value)))
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col(value)))
     return run.groupBy(by).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.ceil(F.col("n") * 0.95) - 1).alias("p95"))
 

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from .closure import _placed
 
 
+def numbered(rows: DataFrame, order: list[str], first: int = 1) -> DataFrame:
+    """rows with `ord`, their number in the given order."""
+    return _placed(rows, order).withColumn("ord", F.col("place") + first).drop("place")
+
+
 def ordered(records: DataFrame) -> DataFrame:
     """records (path, extractor, subjects) with `ord` from 1 in order of path, extractor and first subject."""
     keyed = records.withColumn("first_subject", F.array_min("subjects"))
-    return _placed(keyed, ["path", "extractor", "first_subject"]).withColumn("ord", F.col("place") + 1).drop("place", "first_subject")
+    return numbered(keyed, ["path", "extractor", "first_subject"]).drop("first_subject")
 
 
 def pointers(subjects: DataFrame, sections: DataFrame) -> DataFrame:

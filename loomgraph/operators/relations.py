@@ -28,6 +28,9 @@ ATTRIBUTES = {
 TRANSPORTS = ["http", "service-binding", "signed-http", "grpc", "queue", "in-process"]
 
 
+IDENTITY = ["type", "source_ref", "target_ref", "attrs_key"]
+
+
 def inverses(spark: SparkSession) -> DataFrame:
     """(type, inverse) in both directions; a fixed table of 16 rows."""
     rows = [(a, b) for a, b, _ in TYPES] + [(b, a) for a, b, _ in TYPES]
@@ -59,15 +62,20 @@ def missing_inverses(relations: DataFrame) -> DataFrame:
 def merge(edges: DataFrame) -> DataFrame:
     """One row an identity from edges (type, source_ref, target_ref, attrs_key, via, evidence_class, prov).
 
-    Routes and provenance unite. The class is kept for a single edge; merged ones have their one class, else
-    REVIEWED_OVERRIDE if it is among them, else DERIVED.
+    Routes unite; provenance is counted (n_prov) and its ids are rows of `merged_provenance`, as an identity may have any
+    number of them. The class is kept for a single edge; merged ones have their one class, else REVIEWED_OVERRIDE if it is
+    among them, else DERIVED.
     """
-    g = edges.groupBy("type", "source_ref", "target_ref", "attrs_key").agg(
-        F.array_sort(F.collect_set("via")).alias("via"), F.array_sort(F.collect_set("prov")).alias("prov"), F.count("*").alias("n"),
-        F.array_sort(F.collect_set("evidence_class")).alias("classes"),
-    )
+    once = edges.groupBy(*IDENTITY, "prov").agg(F.collect_set("via").alias("via"), F.collect_set("evidence_class").alias("classes"), F.count("*").alias("n"))
+    unite = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    g = once.groupBy(*IDENTITY).agg(unite("via"), unite("classes"), F.count("prov").alias("n_prov"), F.sum("n").alias("n"))
     cls = F.when(F.size("classes") == 1, F.element_at("classes", 1)).when(F.array_contains("classes", "REVIEWED_OVERRIDE"), "REVIEWED_OVERRIDE").otherwise("DERIVED")
-    return g.select("type", "source_ref", "target_ref", "attrs_key", "via", "prov", "n", cls.alias("evidence_class"))
+    return g.select(*IDENTITY, "via", "n_prov", "n", cls.alias("evidence_class"))
+
+
+def merged_provenance(edges: DataFrame) -> DataFrame:
+    """(type, source_ref, target_ref, attrs_key, prov): the provenance of every identity, once each."""
+    return edges.select(*IDENTITY, "prov").where("prov is not null").distinct()
 
 
 def violations(relations: DataFrame, refs: DataFrame | None = None) -> DataFrame:

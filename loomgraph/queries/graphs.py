@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import context, contracts, imports, indexes, own, provenance, relations, validate
@@ -40,7 +39,7 @@ def _line_edges(spark, d):
 @query(f"with {LINE} select type, source_ref, target_ref, attrs_key, string_agg(distinct via, ',' order by via) as via, count(*) as n, count(distinct prov) as n_prov, case when count(distinct cls) = 1 then min(cls) when bool_or(cls = 'REVIEWED_OVERRIDE') then 'REVIEWED_OVERRIDE' else 'DERIVED' end as evidence_class from le group by 1, 2, 3, 4")
 def relation_identity_merge(spark, d):
     m = relations.merge(_line_edges(spark, d))
-    return m.select("type", "source_ref", "target_ref", "attrs_key", F.array_join("via", ",").alias("via"), "n", F.size("prov").cast("long").alias("n_prov"), "evidence_class")
+    return m.select("type", "source_ref", "target_ref", "attrs_key", F.array_join("via", ",").alias("via"), "n", "n_prov", "evidence_class")
 
 
 PLACED = "pl as (select 'partOf' as type, 'system:tpch/nation-' || n_nationkey as source_ref, 'domain:tpch/region-' || n_regionkey as target_ref from nation union all select 'partOf', 'component:tpch/supplier-' || s_suppkey, 'system:tpch/nation-' || s_nationkey from supplier)"
@@ -224,6 +223,21 @@ def contract_consumers(spark, d):
     return hit.join(b.select("item_id", "ref"), "ref").select("item_id", F.col("path").cast("long").alias("doc_id"))
 
 
+@query("""with c as (select 'api/' || p_partkey || (['.proto', '/openapi.yaml', '/a/very/long/path/of/a/contract/file.graphql'])[p_partkey % 3 + 1] as ref, p_partkey % 20 as provider from part where p_partkey % 4 = 0 union all select 'x.' || p_partkey, 0 from part where p_partkey % 50 = 0),
+f as (select p_partkey % 20 as unit, 'u/' || p_partkey || '.go' as path, 'load("api/' || (p_partkey // 2) || (['.proto', '/openapi.yaml', '/a/very/long/path/of/a/contract/file.graphql'])[p_partkey // 2 % 3 + 1] || '", "x.' || (p_partkey // 3) || '")' as text from part)
+select ref, unit, path from f join c on contains(text, ref) and unit <> provider""")
+def contract_consumers_by_length(spark, d):
+    """Contracts of all lengths in source text."""
+    k = F.col("p_partkey")
+    end = lambda n: F.element_at(F.array(*[F.lit(x) for x in (".proto", "/openapi.yaml", "/a/very/long/path/of/a/contract/file.graphql")]), (n % 3 + 1).cast("int"))
+    half, third = F.floor(k / 2).cast("long"), F.floor(k / 3).cast("long")
+    p = B.table(spark, d, "part")
+    files = p.select((k % 20).alias("unit"), F.concat(F.lit("u/"), k.cast("string"), F.lit(".go")).alias("path"), F.concat(F.lit('load("api/'), half.cast("string"), end(half), F.lit('", "x.'), third.cast("string"), F.lit('")')).alias("text"))
+    c = p.where("p_partkey % 4 = 0").select(F.concat(F.lit("api/"), k.cast("string"), end(k)).alias("ref"), (k % 20).alias("provider"))
+    c = c.unionByName(p.where("p_partkey % 50 = 0").select(F.concat(F.lit("x."), k.cast("string")).alias("ref"), F.lit(0).cast("long").alias("provider")))
+    return contracts.consumers(contracts.reference_sites(files), c).select("ref", "unit", "path")
+
+
 @query(f"""with {SEGS}, c as (select path as cref, min('api:c/' || lpad(page_id::varchar, 6, '0')) as api from paths where page_id % 6 = 0 group by 1), f as (select page_id, path || (['', '/v1/x.go', '.pb.go', '/y'])[page_id % 4 + 1] as path from paths)
 select page_id, arg_max(cref, length(cref)) as contract_ref from f left join c on path = cref or starts_with(path, cref || '/') or (regexp_replace(path, '/[^/]*$', '') = regexp_replace(cref, '/[^/]*$', '') and starts_with(regexp_extract(path, '[^/]*$'), regexp_extract(cref, '[^/]*$') || '.')) group by 1""")
 def contract_lookup(spark, d):
@@ -257,7 +271,7 @@ def provenance_order(spark, d):
 @query("with s as (select 'entity' as prefix, s_name as key, '/entities/' || (row_number() over (order by s_name) - 1) as pointer from supplier), q as (select 'entity' as prefix, 'Supplier#' || lpad((s_suppkey * 2)::varchar, 9, '0') as key from supplier) select key, pointer from q left join s using (prefix, key)")
 def provenance_pointers(spark, d):
     s = B.table(spark, d, "supplier")
-    idx = s.select(F.lit("entity").alias("prefix"), F.col("s_name").alias("key"), F.lit("entities").alias("section"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("s_name")) - 1).alias("index"))
+    idx = provenance.numbered(s.select("s_name"), ["s_name"], 0).select(F.lit("entity").alias("prefix"), F.col("s_name").alias("key"), F.lit("entities").alias("section"), F.col("ord").alias("index"))
     q = s.select(F.lit("entity").alias("prefix"), F.concat(F.lit("Supplier#"), F.lpad((F.col("s_suppkey") * 2).cast("string"), 9, "0")).alias("key"))
     return provenance.pointers(q, idx).select("key", "pointer")
 

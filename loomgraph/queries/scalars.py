@@ -91,8 +91,9 @@ def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", V.sha256(F.col("text")).alias("sha256"))
 
 
-@query("""with i as (select source, lpad(doc_id::varchar, 12, '0') as k, sha256(text) as h from documents)
-select source, sha256(string_agg(lpad(length(k)::varchar, 8, '0') || k || lpad(length(h)::varchar, 8, '0') || h, '' order by k)) as input_hash from i group by 1""")
+@query("""with i as (select source, lpad(doc_id::varchar, 12, '0') as k, sha256(text) as h from documents),
+p as (select source, substr(sha256(k), 1, 4) as part, sha256(string_agg(lpad(length(k)::varchar, 8, '0') || k || lpad(length(h)::varchar, 8, '0') || h, '' order by k)) as h from i group by 1, 2)
+select source, sha256(string_agg(part || h, '' order by part)) as input_hash from p group by 1""")
 def input_hash_by_source(spark, d):
     i = table(spark, d, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("k"), V.sha256(F.col("text")).alias("h"))
     return V.input_hash(i, "source", "k", "h")
