@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import extract, imports, own
-from ..sources import parsers
+from ..sources import authored, parsers
 from ..sources.bindings import table
 from .registry import query
 
@@ -374,3 +374,135 @@ def own_subpaths(spark, d):
     specs = p.select(k.alias("k"), unit.alias("unit"), F.when(k % 2 == 0, "#lib/x").otherwise("#db").alias("specifier"))
     maps = p.where("p_partkey % 5 <> 0").select(unit.alias("unit"), F.inline(F.array(F.struct(F.lit("#lib/*").alias("pattern"), F.lit("./lib/*").alias("target")), F.struct(F.lit("#db").alias("pattern"), F.lit("./db.js").alias("target")))))
     return imports.own_subpaths(specs, maps).select("k", "base")
+
+
+DESCRIPTORS = """apiVersion: x/v1
+kind: Component
+metadata:
+  name: part-<k>
+  description: "Part number <k>."
+spec:
+  type: service
+  system: sys-<s>
+  context:
+    docs:
+      - docs/<k>.md
+---
+apiVersion: x/v1
+kind: API
+metadata:
+  name: api-<k>
+spec:
+  type: openapi
+  provider: component:default/part-<half>
+  contract:
+    ref: api/<k>.yaml
+---
+apiVersion: x/v1
+kind: System
+metadata:
+  name: only-<k>
+spec:
+  domain: dom-<third>
+"""
+
+
+def _entities(spark, d):
+    return authored.descriptors(_files(spark, d, "agent.yaml", DESCRIPTORS, s=F.col("p_partkey") % 9))[0]
+
+
+@query("""select 'component:default/part-' || p_partkey as ref, 'p/' || p_partkey as source_path, 'docs/' || p_partkey || '.md' as docs, 1 as line from part union all select 'api:default/api-' || p_partkey, null, '', 13 from part union all select 'system:default/only-' || p_partkey, null, '', 23 from part""")
+def descriptor_entities(spark, d):
+    return _entities(spark, d).select("ref", "source_path", F.array_join("docs", ",").alias("docs"), "line")
+
+
+@query("""select 'partOf' as type, 'component:default/part-' || p_partkey as source_ref, 'system:default/sys-' || (p_partkey % 9) as target_ref from part union all select 'partOf', 'system:default/only-' || p_partkey, 'domain:default/dom-' || (p_partkey // 3) from part
+union all select 'providesApi', 'component:default/part-' || (p_partkey // 2), 'api:default/api-' || p_partkey from part""")
+def authored_edges(spark, d):
+    e = _entities(spark, d)
+    provides = authored.providers(e).select(F.lit("providesApi").alias("type"), F.col("provider").alias("source_ref"), F.col("ref").alias("target_ref"))
+    return authored.placements(e).select("type", "source_ref", "target_ref").unionByName(provides)
+
+
+@query("select 'api:default/api-' || p_partkey as ref from part union all select 'system:default/only-' || p_partkey from part")
+def descriptor_locations(spark, d):
+    return authored.misplaced(_entities(spark, d), "agent.yaml", {"API": "catalog/apis.yaml"}).select("ref")
+
+
+JOURNEYS = "journeys:\n  - id: j-<k>\n    description: x\n    components:\n      - component:default/part-<k>\n      - component:default/part-<next>\n"
+
+
+@query("select 'j-' || p_partkey as id, 'component:default/part-' || (p_partkey + 3) as ref from part where p_partkey + 3 not in (select p_partkey from part)")
+def journey_refs(spark, d):
+    files = _files(spark, d, "journeys.yaml", JOURNEYS, next=F.col("p_partkey") + 3)
+    return authored.journeys(files, _entities(spark, d))[1]
+
+
+OBSERVED = """kind: ObservationSet
+metadata:
+  name: set-<k>
+  environment: prod
+  capturedAt: "2024-01-02T03:04:05Z"
+  maxAgeDays: 30
+  evidenceBundle: ev/<e>.json
+spec:
+  facts:
+    - id: a
+      subject: component:default/part-<next>
+      key: port
+      value: <k>
+    - id: b
+      subject: component:default/part-<k>
+      key: <key>
+      value: [1, 2]
+"""
+
+
+def _observed(spark, d):
+    k = F.col("p_partkey")
+    files = _files(spark, d, "obs.yaml", OBSERVED, e=k % 10, next=k + 2, key=F.when(k % 4 == 0, "port").otherwise("paths"))
+    inputs = table(spark, d, "part").where("p_partkey % 10 <> 7").select(F.concat(F.lit("ev/"), (k % 10).cast("string"), F.lit(".json")).alias("path")).distinct()
+    return authored.observations(files, _entities(spark, d), inputs)
+
+
+@query("""select 'set-' || p_partkey as "set", 'port' as key, 'unresolved-subject' as problem from part where p_partkey + 2 not in (select p_partkey from part) union all select 'set-' || p_partkey, 'port', 'repeated-key' from part where p_partkey % 4 = 0 union all select 'set-' || p_partkey, null, 'absent-bundle' from part where p_partkey % 10 = 7""")
+def observation_problems(spark, d):
+    return _observed(spark, d)[1].select("set", "key", "problem")
+
+
+@query("""select 'component:default/part-' || (p_partkey + 2) as subject, 'port' as key, p_partkey::varchar as value_json, 'OBSERVED_RUNTIME' as evidence_class, '2024-01-02T03:04:05Z' as observed_at from part union all select 'component:default/part-' || p_partkey, case when p_partkey % 4 = 0 then 'port' else 'paths' end, '[1, 2]', 'OBSERVED_RUNTIME', '2024-01-02T03:04:05Z' from part""")
+def observation_facts(spark, d):
+    return authored.fact_rows(_observed(spark, d)[0]).select("subject", "key", "value_json", "evidence_class", "observed_at")
+
+
+OVERRIDES = """reviewedOverrides:
+  - fact: runtime-call
+    subject: component:default/part-<sub>
+    target: component:default/part-<half>
+    reason: seen
+    reviewWhen: later
+    evidence:
+      - path: <where>
+        sha256: <sum>
+"""
+
+
+@query("""with o as (select p_partkey as k, p_partkey % 6 as c from part) select 'p/' || k || '/config.yaml' as path, case when c = 0 then 'unresolved-subject' when c = 1 then 'absent-evidence' when c = 2 then 'changed-evidence' when c = 3 then 'outside-scope' end as problem from o where c < 4""")
+def override_problems(spark, d):
+    return _overridden(spark, d)[1].select("path", "problem")
+
+
+@query("select 'component:default/part-' || p_partkey as subject, 'component:default/part-' || (p_partkey // 2) as target, 'later' as review_when from part where p_partkey % 6 >= 4")
+def reviewed_overrides(spark, d):
+    return _overridden(spark, d)[0].select("subject", "target", "review_when")
+
+
+def _overridden(spark, d):
+    """Overrides of six kinds: no subject, no evidence, changed evidence, evidence elsewhere, by the subject, by the target."""
+    k, c = F.col("p_partkey"), F.col("p_partkey") % 6
+    n, half = k.cast("string"), F.floor(k / 2).cast("long").cast("string")
+    where = F.when(c == 1, F.concat(F.lit("gone/"), n)).when(c == 3, F.concat(F.lit("far/"), n)).when(c == 5, F.concat(F.lit("p/"), half, F.lit("/ev"))).otherwise(F.concat(F.lit("p/"), n, F.lit("/ev")))
+    sums = F.sha2(F.when(c == 2, F.lit("other")).otherwise(where), 256)
+    files = _files(spark, d, "config.yaml", OVERRIDES, sub=F.when(c == 0, F.concat(F.lit("none-"), n)).otherwise(n), where=where, sum=sums)
+    p = table(spark, d, "part").select(where.alias("path"), c.alias("c")).where("c <> 1").select("path").distinct()
+    return authored.overrides(files, _entities(spark, d), p.select("path", F.sha2("path", 256).alias("sha256")))

@@ -347,10 +347,52 @@ def symbols(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+def descriptors(text: str) -> list[tuple]:
+    """(line, kind, name, description, type, system, domain, provider, contract, docs, constraints, runbooks) of each descriptor."""
+    out = []
+    for _, line, doc in parse_yaml(text):
+        if doc is None:
+            continue
+        meta, spec = doc.get("metadata") or {}, doc.get("spec") or {}
+        linked = spec.get("context") or {}
+        named = [None if meta.get(k) is None else str(meta[k]) for k in ("name", "description")] + [None if spec.get(k) is None else str(spec[k]) for k in ("type", "system", "domain", "provider")]
+        out.append((line, doc.get("kind"), *named, (spec.get("contract") or {}).get("ref"), *[[str(x) for x in linked.get(k) or []] for k in ("docs", "constraints", "runbooks")]))
+    return out
+
+
+def journeys(text: str) -> list[tuple[str, str, list[str]]]:
+    """(id, description, components) of a journeys document."""
+    docs = parse_yaml(text)
+    return [(str(j["id"]), str(j.get("description", "")), [str(c) for c in j.get("components") or []]) for _, _, doc in docs for j in (doc or {}).get("journeys") or []]
+
+
+def observations(text: str) -> list[tuple]:
+    """(set, environment, captured_at, max_age_days, bundle, supersedes, id, subject, key, value_json) of the facts of observation sets."""
+    out = []
+    for _, line, doc in parse_yaml(text):
+        if doc.get("kind") != "ObservationSet":
+            raise Refused("kind must be ObservationSet", line)
+        m = doc.get("metadata") or {}
+        head = (m.get("name"), m.get("environment"), str(m.get("capturedAt")), m.get("maxAgeDays"), m.get("evidenceBundle"), m.get("supersedes"))
+        out += [(*head, f.get("id"), f.get("subject"), f.get("key"), json.dumps(f.get("value"), sort_keys=True)) for f in (doc.get("spec") or {}).get("facts") or []]
+    return out
+
+
+def overrides(text: str) -> list[tuple]:
+    """(n, fact, subject, target, contract, reason, review_when, path, sha256) of the evidence of reviewed overrides in a configuration."""
+    doc = parse_yaml(text)[0][2] or {}
+    out = []
+    for n, o in enumerate(doc.get("reviewedOverrides") or []):
+        head = (n, o.get("fact"), o.get("subject"), o.get("target"), o.get("contractRef"), o.get("reason"), o.get("reviewWhen"))
+        out += [(*head, e.get("path"), e.get("sha256")) for e in o.get("evidence") or [{}]]
+    return out
+
+
 #: Parsers by name.
 PARSERS: dict[str, Callable[[str], Any]] = {
     "yaml": parse_yaml, "toml": parse_toml, "jsonc": parse_jsonc, "ini": parse_ini, "go_mod": go_mod, "package_json": package_json, "cargo": cargo_manifest, "pyproject": pyproject, "openapi": openapi, "protobuf": protobuf,
     "graphql": graphql, "shell": shell_commands, "workflow": workflow_steps, "playbook": playbook, "wrangler": wrangler, "js_imports": js_imports, "python_imports": python_imports, "rust_idents": rust_idents, "symbols": symbols,
+    "descriptors": descriptors, "journeys": journeys, "observations": observations, "overrides": overrides,
 }
 
 
