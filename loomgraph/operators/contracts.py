@@ -79,3 +79,33 @@ def claims(contracts: DataFrame, found: DataFrame) -> DataFrame:
     n = contracts.groupBy("ref").agg(F.count_distinct("api_ref").alias("n"))
     shared = n.where("n > 1").select("ref", F.lit("shared").alias("verdict"))
     return shared.unionByName(found.select("ref").distinct().join(n, "ref", "left_anti").select("ref", F.lit("unclaimed").alias("verdict")))
+
+
+#: What marks a protobuf file, its services, and a GraphQL schema.
+PROTO_SYNTAX, PROTO_SERVICE, GRAPHQL_TYPE = r"(?m)^\s*(syntax|edition)\s*=", r"(?m)^\s*service\s+[A-Za-z0-9_]+", r"(type|schema|interface|input|enum|scalar)\s+[A-Za-z_]"
+
+
+def syntax_problems(files: DataFrame) -> DataFrame:
+    """(path, problem): the first fault of each contract file (path, type, text) by the form that its type asks for."""
+    from ..sources import parsers
+
+    outline = "openapi string, asyncapi string, title string, paths boolean, channels boolean, components boolean"
+    c = F.col
+    read = parsers.rows(files.where(c("type").isin("openapi", "asyncapi")), "contract_outline", outline)
+    openapi = (
+        F.when(c("openapi").isNull(), "missing 'openapi' version field").when(~c("openapi").rlike(r"^3\.[01]"), F.concat(F.lit("openapi must be 3.0 or 3.1, got "), "openapi")).when(~c("paths"), "missing 'paths' object")
+        .when(~c("components"), "missing 'components' object").when(c("title").isNull(), "missing 'info.title'")
+    )
+    asyncapi = F.when(c("asyncapi").isNull(), "missing 'asyncapi' field").when(~c("channels"), "missing 'channels' object")
+    parsed = read.select("path", F.coalesce(c("error"), F.when(c("type") == "openapi", openapi).otherwise(asyncapi)).alias("problem"))
+    proto = F.when(~c("text").rlike(PROTO_SYNTAX), "missing syntax or edition declaration").when(~c("text").rlike(PROTO_SERVICE), "no service definitions found")
+    graphql = F.when(~c("text").rlike(GRAPHQL_TYPE), "no GraphQL type definitions found")
+    plain = files.where(~c("type").isin("openapi", "asyncapi", "oidc"))
+    known = F.when(c("type") == "protobuf", proto).when(c("type").isin("graphql", "graphql-sdl"), graphql).otherwise(F.concat(F.lit("unsupported contract type "), "type"))
+    return parsed.unionByName(plain.select("path", known.alias("problem"))).where("problem is not null")
+
+
+def without_discovery(providers: DataFrame, operations: DataFrame, discovery: str = "/.well-known/openid-configuration") -> DataFrame:
+    """Providers (ref, unit) of OIDC whose unit serves no route (unit, route) that holds the discovery path."""
+    serves = operations.where(F.contains("route", F.lit(discovery))).select("unit").distinct()
+    return providers.join(serves, "unit", "left_anti").select("ref")

@@ -161,3 +161,33 @@ def degrade(elections: DataFrame, facts: DataFrame, rules: DataFrame, stale: Dat
     hit = e.join(stale.select(F.col("id").alias("obs_id")).distinct(), "obs_id", "left_semi")
     r = F.broadcast(rules.select(F.col("id").alias("rule_id"), "degrade_on_stale"))  # a configuration document
     return hit.join(r, "rule_id", "left").where("degrade_on_stale is not null").select("subject", "key", "rule_id", F.col("degrade_on_stale").alias("becomes"))
+
+
+#: Classes of evidence that a rule may elect.
+ELECTABLE = ["AUTHORED", "DERIVED", "OBSERVED_RUNTIME", "REVIEWED_OVERRIDE"]
+
+
+def rule_problems(rules: DataFrame) -> DataFrame:
+    """(id, problem) of rules (id, key_pattern, elect): classes that can't be elected, repeated ids, patterns out of balance."""
+    odd = F.array_except("elect", F.array(*[F.lit(c) for c in ELECTABLE]))
+    classes = rules.select("id", F.explode(odd).alias("c")).select("id", F.concat(F.lit("cannot elect "), "c").alias("problem"))
+    again = rules.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("duplicate id").alias("problem"))
+    bare = F.regexp_replace(F.regexp_replace("key_pattern", r"\\\\.", ""), r"\[[^\]]*\]", "")
+    count = lambda x: F.length(bare) - F.length(F.replace(bare, F.lit(x), F.lit("")))
+    broken = rules.where((count("(") != count(")")) | F.contains(bare, F.lit("[")) | bare.rlike(r"^[*+?]|\([*+]")).select("id", F.lit("invalid keyPattern").alias("problem"))
+    return classes.unionByName(again).unionByName(broken)
+
+
+def unverified_requirements(requirements: DataFrame, facts: DataFrame, enabled: list[str]) -> DataFrame:
+    """(subject, key, why) of requirements (subject, key, expects, satisfied_by) that no firm fact of their own proves.
+
+    facts: (subject, key, confidence, normative) that are not superseded. The reason is the first that holds.
+    """
+    own = facts.where(~F.coalesce("normative", F.lit(False))).groupBy("subject", "key").agg(F.bool_or(F.col("confidence") != "candidate").alias("firm"), F.bool_or(F.col("confidence") == "candidate").alias("some"))
+    j = requirements.join(own, ["subject", "key"], "left").where(~F.coalesce("firm", F.lit(False)))
+    missing = F.array_except("satisfied_by", F.array(*[F.lit(x) for x in enabled]).cast("array<string>"))
+    why = (
+        F.when(F.coalesce("some", F.lit(False)), "only a heuristic candidate exists").when(F.size("satisfied_by") == 0, "no adapter is named as able to derive it")
+        .when(F.size(missing) > 0, F.concat(F.lit("not enabled: "), F.array_join(missing, ", "))).when(F.col("expects").isNull(), "nothing to look for").otherwise("no evidence derived")
+    )
+    return j.select("subject", "key", why.alias("why"))

@@ -61,3 +61,21 @@ def paired(attempts: DataFrame, baseline: str, candidate: str) -> DataFrame:
     g = b.join(c, ["family", "task", "repeat"]).groupBy("family").agg(F.count("*").alias("n"), F.avg(F.col("s1") - F.col("s0")).alias("gain"), (1 - F.sum("c1") / F.sum("c0")).alias("saving"))
     half = F.sqrt(F.lit(2 * math.log(2 / 0.05)) / F.col("n"))
     return g.select("family", "n", F.round("gain", 4).alias("gain"), F.round(half, 4).alias("half_width"), F.round("saving", 4).alias("saving"), ((F.col("gain") + half >= 0) & (F.col("saving") >= 0.2)).alias("adopt"))
+
+
+def selectivity(selected: DataFrame, closure: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """(scenario, n_selected, irrelevant): the share of selected checks (scenario, check) outside the closure; 0 where none is selected."""
+    inside = closure.select("scenario", "check").distinct().withColumn("in_", F.lit(1))
+    n = selected.select("scenario", "check").distinct().join(inside, ["scenario", "check"], "left").groupBy("scenario").agg(F.count("*").alias("n_selected"), F.count("in_").alias("n_in"))
+    j = scenarios.join(n, "scenario", "left").na.fill(0, ["n_selected", "n_in"])
+    return j.select("scenario", "n_selected", F.round(F.when(F.col("n_selected") == 0, 0.0).otherwise(1 - F.col("n_in") / F.col("n_selected")), 4).alias("irrelevant"))
+
+
+#: Fixed value: facts that a whole repository must have on average for its reduction to count as measured.
+SIZE_FLOOR = 100
+
+
+def reduction(sizes: DataFrame, by: str, floor: int = SIZE_FLOOR) -> DataFrame:
+    """(by, full_size, reduction) of scenarios (by, n_retrieved, n_full): null below the floor, which is no failure."""
+    g = sizes.groupBy(by).agg(F.round(F.avg("n_full")).cast("long").alias("full_size"), F.sum("n_retrieved").alias("r"), F.sum("n_full").alias("f"))
+    return g.select(by, "full_size", F.when(F.col("full_size") >= floor, F.round(1 - F.col("r") / F.col("f"), 4)).alias("reduction"))

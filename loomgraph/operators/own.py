@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, depth, glob_to_regex, in_generated_dir
+from ..functions.paths import ancestors, depth, glob_to_regex, in_generated_dir, join_path
 
 
 def longest_owner(files: DataFrame, owners: DataFrame, path: str = "path", root: str = "root", ord_: str | None = None) -> DataFrame:
@@ -112,3 +112,15 @@ def matched_components(components: DataFrame, units: DataFrame) -> DataFrame:
     both = c.join(u, "root", "full_outer").select("root", F.coalesce("n_components", F.lit(0)).alias("n_components"), F.coalesce("n_units", F.lit(0)).alias("n_units"))
     verdict = F.when(F.col("n_units") == 0, "orphan").when(F.col("n_components") == 0, "undescribed").when(F.col("n_components") > 1, "shared").otherwise("matched")
     return both.withColumn("verdict", verdict)
+
+
+#: Conventional files of a unit.
+RUNBOOKS = ["RUNBOOK.md", "OPERATIONS.md", "ONCALL.md"]
+
+
+def unit_documents(units: DataFrame, files: DataFrame, candidates: dict[str, list[str]], declared: DataFrame | None = None) -> DataFrame:
+    """(root, kind, path) of the conventional files of units (root) that exist, and of what descriptors declare (root, kind, path)."""
+    names = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name")) for k, ns in candidates.items() for n in ns])
+    wanted = units.select("root", F.explode(names).alias("c")).select("root", "c.kind", join_path(F.col("root"), F.col("c.name")).alias("path"))
+    there = wanted.join(files.select("path").distinct(), "path", "left_semi").select("root", "kind", "path")
+    return (there if declared is None else there.unionByName(declared.select("root", "kind", "path"))).distinct()

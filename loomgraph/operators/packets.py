@@ -54,3 +54,15 @@ def valid_results(results: DataFrame, checks: DataFrame, graph_hash: str) -> Dat
     known = checks.select(F.col("id").alias("check_id"), "command").distinct()
     agree = ((F.col("status") == "passed") & (F.col("exit_code") == 0)) | ((F.col("status") == "failed") & (F.col("exit_code") != 0))
     return results.where((F.col("graph_hash") == graph_hash) & agree).join(known, ["check_id", "command"], "left_semi")
+
+
+def packet_id(graph_hash: Column, request: Column, budget: Column) -> Column:
+    """Identity of a packet: the graph it is of, what was asked, and the budget."""
+    return F.substring(F.sha2(F.to_json(F.array(graph_hash, request, budget.cast("string"))), 256), 1, 24)
+
+
+def stale_packets(packets: DataFrame, graph_hash: str, observations: DataFrame, now: Column) -> DataFrame:
+    """packets (id, graph_hash) with `stale` (of another graph) and the ids of observation sets that are older than they may be."""
+    age = F.floor((F.unix_timestamp(now) - F.unix_timestamp("captured_at")) / 86400)
+    old = observations.where(age > F.col("max_age_days")).agg(F.array_sort(F.collect_set("id")).alias("stale_observations"))  # one row
+    return packets.withColumn("stale", F.col("graph_hash") != graph_hash).crossJoin(F.broadcast(old))

@@ -51,3 +51,27 @@ def same_rows(left: DataFrame, right: DataFrame) -> bool:
 def latest(rows: DataFrame, keys: list[str], order: list, keep: int = 1) -> DataFrame:
     """The newest rows of each key."""
     return rows.withColumn("rn_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rn_") <= keep).drop("rn_")
+
+
+#: Classes of a provenance record.
+CLASSES = ["declared", "observed", "derived", "reviewed"]
+
+
+def records(raw: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, problems) of raw (class, path, extractor, subject): one record a (class, path, extractor) with its hash and subjects.
+
+    Problems are unknown classes and paths that are no input; a record without a subject is dropped.
+    """
+    j = raw.join(inputs.select("path", F.col("sha256").alias("content_hash")), "path", "left")
+    problem = F.when(~F.col("class").isin(*CLASSES), "unknown-class").when(F.col("content_hash").isNull(), "no-input")
+    j = j.withColumn("problem", problem)
+    slug = F.regexp_replace(F.lower("extractor"), "[^a-z0-9]+", "-")
+    good = j.where("problem is null and subject is not null").groupBy("class", "path", slug.alias("extractor")).agg(F.first("content_hash").alias("content_hash"), F.array_sort(F.collect_set("subject")).alias("subjects"))
+    return good, j.where("problem is not null").select("class", "path", "problem").distinct()
+
+
+def rebound(raw: DataFrame, final: DataFrame) -> DataFrame:
+    """raw records whose pending subject (`rel:pending`) becomes the final key (path, subject) of their path."""
+    keys = final.select("path", F.col("subject").alias("final_subject"))
+    j = raw.join(keys, "path", "left")
+    return j.withColumn("subject", F.when(F.col("subject") == "rel:pending", F.col("final_subject")).otherwise(F.col("subject"))).drop("final_subject").distinct()

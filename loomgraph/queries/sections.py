@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import context, contracts, impact, indexes, packets, provenance, validate
+from ..operators import context, contracts, elect, evaluate, impact, indexes, own, packets, provenance, validate
 from ..sources import bindings as B
 from .registry import EDGES, PART, query
 
@@ -186,3 +186,96 @@ def stale_probe(spark, d):
     e = B.part_edges(spark, d)
     stale = impact.will_be_stale(_parts(spark, d).select(_text("z/", K).alias("path")), _parts(spark, d).select(_text("a/", K).alias("path")))
     return e.agg(F.count("*").alias("n"), F.count_distinct("source_ref").alias("sources")).withColumn("stale", F.lit(stale))
+
+
+CONTRACTS = [
+    ("openapi", "openapi: 3.0.1\ninfo:\n  title: t\npaths: {}\ncomponents: {}\n", None), ("openapi", "swagger: 2\n", "missing 'openapi' version field"), ("openapi", '{"openapi": "2.0"}', "openapi must be 3.0 or 3.1, got 2.0"),
+    ("openapi", '{"openapi": "3.1.0", "paths": {}, "info": {"title": "x"}}', "missing 'components' object"), ("asyncapi", "asyncapi: 2.0.0\nx: 1\n", "missing 'channels' object"), ("protobuf", 'syntax = "proto3";\nservice S {}', None),
+    ("protobuf", "message M {}", "missing syntax or edition declaration"), ("graphql", "query { a }", "no GraphQL type definitions found"), ("thrift", "x", "unsupported contract type thrift"), ("oidc", "x", None),
+]
+
+
+@query("select 'c/' || p_partkey as path, p as problem from part, (values " + ", ".join(f"({i}, '{p.replace(chr(39), chr(39) * 2)}')" for i, (_, _, p) in enumerate(CONTRACTS) if p) + ") v(c, p) where p_partkey % 10 = c")
+def contract_syntax(spark, d):
+    k = (K % 10).cast("int")
+    pick = lambda at: F.get(F.array(*[F.lit(c[at]) for c in CONTRACTS]), k)
+    return contracts.syntax_problems(_parts(spark, d).select(_text("c/", K).alias("path"), pick(0).alias("type"), pick(1).alias("text")))
+
+
+@query("select 'api:x/' || p_partkey as ref from part where p_partkey % 3 <> 0")
+def oidc_without_discovery(spark, d):
+    p = _parts(spark, d)
+    routes = p.select(K.alias("unit"), F.when(K % 3 == 0, "/auth/.well-known/openid-configuration").otherwise("/auth").alias("route"))
+    return contracts.without_discovery(p.select(_text("api:x/", K).alias("ref"), K.alias("unit")), routes)
+
+
+@query("""select 'r' || (p_partkey // 2) as id, 'duplicate id' as problem from part group by 1 having count(*) > 1 union all select 'r' || (p_partkey // 2), 'cannot elect UNRESOLVED' from part where p_partkey % 5 = 0 union all select 'r' || (p_partkey // 2), 'invalid keyPattern' from part where p_partkey % 7 = 0""")
+def rule_problems(spark, d):
+    classes = F.array_compact(F.array(F.lit("DERIVED"), F.when(K % 5 == 0, "UNRESOLVED")))
+    pattern = F.when(K % 7 == 0, "a(b").otherwise(r"^a\\(b[(]+(c|d)$")
+    return elect.rule_problems(_parts(spark, d).select(_text("r", F.floor(K / 2).cast("long")).alias("id"), pattern.alias("key_pattern"), classes.alias("elect")))
+
+
+@query("""select p_partkey as subject, 'req' as key, case when p_partkey % 6 = 1 then 'only a heuristic candidate exists' when p_partkey % 5 = 0 then 'no adapter is named as able to derive it' when p_partkey % 5 = 1 then 'not enabled: terraform' when p_partkey % 5 = 2 then 'nothing to look for' else 'no evidence derived' end as why
+from part where p_partkey % 6 <> 0""")
+def requirement_unverified(spark, d):
+    p = _parts(spark, d)
+    by = F.when(K % 5 == 0, F.array().cast("array<string>")).when(K % 5 == 1, F.array(F.lit("ansible"), F.lit("terraform"))).otherwise(F.array(F.lit("ansible")))
+    wanted = p.select(K.alias("subject"), F.lit("req").alias("key"), F.when(K % 5 != 2, "x").alias("expects"), by.alias("satisfied_by"))
+    facts = p.where("p_partkey % 6 < 3").select(K.alias("subject"), F.lit("req").alias("key"), F.when(K % 6 == 1, "candidate").otherwise("deterministic").alias("confidence"), (K % 6 == 2).alias("normative"))
+    return elect.unverified_requirements(wanted, facts, ["ansible"])
+
+
+@query("""with s as (select distinct p_brand as scenario, p_partkey as c from part where p_size % 3 > 0), i as (select p_partkey as c from part where p_partkey % 4 > 0), b as (select distinct p_brand as scenario from part union select 'none')
+select scenario, count(c) as n_selected, round(case when count(c) = 0 then 0 else 1 - count(c) filter (c in (select c from i)) / count(c) end, 4) as irrelevant from b left join s using (scenario) group by 1""")
+def selectivity(spark, d):
+    p = _parts(spark, d)
+    mine = p.where("p_size % 3 > 0").select(F.col("p_brand").alias("scenario"), K.alias("check"))
+    near = p.where("p_partkey % 4 > 0").select(F.col("p_brand").alias("scenario"), K.alias("check"))
+    all_ = p.select(F.col("p_brand").alias("scenario")).unionByName(spark.range(0, 1, 1, 1).select(F.lit("none").alias("scenario"))).distinct()
+    return evaluate.selectivity(mine, near, all_)
+
+
+@query("select p_brand as corpus, round(avg(p_size * 4))::bigint as full_size, case when round(avg(p_size * 4)) >= 100 then round(1 - sum(p_size)::double / sum(p_size * 4), 4) end as reduction from part group by 1")
+def size_reduction(spark, d):
+    n = F.col("p_size").cast("long")
+    return evaluate.reduction(_parts(spark, d).select(F.col("p_brand").alias("corpus"), n.alias("n_retrieved"), (n * 4).alias("n_full")), "corpus")
+
+
+@query("""select 'u/' || p_partkey as root, case n when 'README.md' then 'docs' else 'runbooks' end as kind, 'u/' || p_partkey || '/' || n as path from part, (values (0, 'README.md'), (1, 'ONCALL.md'), (2, 'README.md'), (2, 'RUNBOOK.md')) v(c, n) where p_partkey % 4 = c
+union all select 'u/' || p_partkey, 'docs', 'far/' || p_partkey || '.md' from part where p_partkey % 4 = 3""")
+def unit_documents(spark, d):
+    p = _parts(spark, d)
+    root = _text("u/", K)
+    names = F.when(K % 4 == 0, F.array(F.lit("README.md"), F.lit("other.md"))).when(K % 4 == 1, F.array(F.lit("ONCALL.md"))).when(K % 4 == 2, F.array(F.lit("README.md"), F.lit("RUNBOOK.md")))
+    files = p.select(root.alias("root"), F.explode(names).alias("n")).select(F.concat_ws("/", "root", "n").alias("path"))
+    declared = p.where("p_partkey % 4 = 3").select(root.alias("root"), F.lit("docs").alias("kind"), _text("far/", K, ".md").alias("path"))
+    return own.unit_documents(p.select(root.alias("root")), files, {"docs": ["README.md"], "runbooks": own.RUNBOOKS}, declared)
+
+
+@query("""select p_partkey as k, substr(sha256('["g' || (p_partkey % 3) || '","part-' || p_partkey || '","40"]'), 1, 24) as id, p_partkey % 3 <> 1 as stale, 'o1,o2' as old from part""")
+def packet_freshness(spark, d):
+    p = _parts(spark, d)
+    ids = packets.packet_id(_text("g", K % 3), _text("part-", K), F.lit(40))
+    sets = spark.range(0, 1, 1, 1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("captured_at"), F.lit(n).alias("max_age_days")) for i, t, n in (("o1", "2024-01-01 00:00:00", 5), ("o2", "2024-01-09 00:00:00", 1), ("o3", "2024-01-09 00:00:00", 9))])))
+    found = packets.stale_packets(p.select(K.alias("k"), ids.alias("id"), _text("g", K % 3).alias("graph_hash")), "g1", sets, F.lit("2024-01-11 12:00:00"))
+    return found.select("k", "id", "stale", F.array_join("stale_observations", ",").alias("old"))
+
+
+@query("""with r as (select (['declared', 'observed', 'guessed'])[p_partkey % 3 + 1] as class, 'f/' || (p_partkey % 60) as path, 's' || (p_partkey % 11) as subject from part), i as (select distinct 'f/' || (p_partkey % 50) as path from part)
+select class, path, string_agg(distinct subject, ',' order by subject) as subjects, null as problem from r where class <> 'guessed' and path in (select path from i) group by 1, 2
+union all select distinct class, path, null, case when class = 'guessed' then 'unknown-class' else 'no-input' end from r where class = 'guessed' or path not in (select path from i)""")
+def provenance_records(spark, d):
+    p = _parts(spark, d)
+    raw = p.select(_pick(K % 3, "declared", "observed", "guessed").alias("class"), _text("f/", K % 60).alias("path"), F.lit("Docs Extractor").alias("extractor"), _text("s", K % 11).alias("subject"))
+    inputs = p.select(_text("f/", K % 50).alias("path")).distinct().withColumn("sha256", F.sha2("path", 256))
+    good, bad = provenance.records(raw, inputs)
+    none = F.lit(None).cast("string")
+    return good.select("class", "path", F.array_join("subjects", ",").alias("subjects"), none.alias("problem")).unionByName(bad.select("class", "path", none.alias("subjects"), "problem"))
+
+
+@query("select 'f' || p_partkey as path, case when p_partkey % 2 = 0 then 'rel:' || p_partkey else 'ent:' || p_partkey end as subject from part")
+def provenance_rebind(spark, d):
+    p = _parts(spark, d)
+    raw = p.select(_text("f", K).alias("path"), F.when(K % 2 == 0, "rel:pending").otherwise(_text("ent:", K)).alias("subject"))
+    return provenance.rebound(raw, p.select(_text("f", K).alias("path"), _text("rel:", K).alias("subject")))

@@ -388,11 +388,28 @@ def overrides(text: str) -> list[tuple]:
     return out
 
 
+def contract_outline(text: str) -> list[tuple]:
+    """(openapi, asyncapi, title, paths, channels, components) of an API document: its versions, and whether each part is there."""
+    try:
+        doc = parse_yaml(text)[0][2]
+    except (Refused, IndexError):
+        try:
+            doc = json.loads(text)
+        except ValueError:
+            raise Refused("not parseable as YAML or JSON") from None
+    if not isinstance(doc, dict):
+        raise Refused("root is not a mapping")
+    said = lambda x: x if isinstance(x, str) else None
+    info = doc.get("info") if isinstance(doc.get("info"), dict) else {}
+    async_ = None if doc.get("asyncapi") is None else str(doc["asyncapi"])
+    return [(said(doc.get("openapi")), async_, said(info.get("title")), isinstance(doc.get("paths"), dict), isinstance(doc.get("channels"), dict), "components" in doc)]
+
+
 #: Parsers by name.
 PARSERS: dict[str, Callable[[str], Any]] = {
     "yaml": parse_yaml, "toml": parse_toml, "jsonc": parse_jsonc, "ini": parse_ini, "go_mod": go_mod, "package_json": package_json, "cargo": cargo_manifest, "pyproject": pyproject, "openapi": openapi, "protobuf": protobuf,
     "graphql": graphql, "shell": shell_commands, "workflow": workflow_steps, "playbook": playbook, "wrangler": wrangler, "js_imports": js_imports, "python_imports": python_imports, "rust_idents": rust_idents, "symbols": symbols,
-    "descriptors": descriptors, "journeys": journeys, "observations": observations, "overrides": overrides,
+    "contract_outline": contract_outline, "descriptors": descriptors, "journeys": journeys, "observations": observations, "overrides": overrides,
 }
 
 
