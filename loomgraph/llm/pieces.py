@@ -7,7 +7,9 @@ search linear. Texts are cut where no piece of the vocabulary can reach across;
 in a bounded store of each worker.
 
 Defined cases: a null text is encoded as the empty text (the end id only). Characters that no piece has become their
-UTF-8 bytes. Repeated rows give repeated results; other columns are left alone.
+UTF-8 bytes. Repeated rows give repeated results. Of equal scores the leftmost merge comes first, as in the library. A
+very long text is cut where no piece can reach across, and its parts are encoded one after the other. Other columns are
+left alone, but for one of the name that the result is to have, which is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ document may have; `compile_rules` turns it into a boolean column. All measures
 row, so that the plan is one scan and one projection, without a shuffle.
 
 Defined cases: a null or empty text has no words, fails the base rule and isn't kept. Ties and repeated rows get equal
-results; other columns of the input are not looked at.
+results; other columns of the input are not looked at, whatever their names. A very long text is one row: its words are
+one array, and windows of words are compared by their sorted hashes. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgraph.llm import gam, langid, licenses, mixing, neardup, packing, pieces, secrets
+from loomgraph.llm import fingerprints, gam, langid, licenses, mixing, neardup, packing, pieces, rules, secrets
 
 DATA = "/root/testdata"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -336,7 +336,7 @@ def test_language_on_held_out_texts(spark):
 def test_planted_licence_texts(spark):
     apache = "/usr/share/common-licenses/Apache-2.0"
     whole = [(n, t) for n, t in licenses.TEXTS + licenses.MORE_TEXTS] + ([("Apache-2.0", open(apache).read())] if os.path.exists(apache) else [])
-    rows = [(i, "Copyright 1999-2021 Someone Else\n\n" + re.sub(r"\bLICENSE\b", "LICENCE", t.upper()).replace(" ", "\n  ")) for i, (_, t) in enumerate(whole)]
+    rows = [(i, "Copyright 1999-2021 Someone Else\n\n" + re.sub(r"\bLICENSE\b", "LICENCE", t.upper()).replace(" ", "   ").replace("\n", "\n\t* ")) for i, (_, t) in enumerate(whole)]
     rows += [(100 + i, t + "\nand one more term") for i, (_, t) in enumerate(whole)] + [(200, "licence licence LICENCE"), (201, "license license license")]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].text_license for i in range(len(whole))] == [n for n, _ in whole]
@@ -372,6 +372,24 @@ def test_mixing_with_clashing_columns(spark):
     assert max(taken.values()) <= 2 and taken == {k: n for k, n in Counter(r.n_chars for r in mixing.resample(docs.repartition(6)).collect()).items()}
 
 
+# -- names
+
+
+def test_clashing_columns_are_left_alone(spark):
+    names = "name other node plain_ of_id of_null key body place part row size whole tie x found scores score ids copies bands bucket label quality y words lines digest".split()
+    rows = [(i, prose(i, 30) + (' token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"' if i == 2 else ""), "en", "s", 1, *names) for i in range(6)] + [(1, prose(1, 30), "en", "s", 1, *names)]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {n} string" for n in names))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    for kept, n in ((neardup.keep_first(docs), 6), (secrets.redact(docs), 7), (langid.keep_identified(docs), 7), (mixing.resample(docs), None)):
+        assert kept.columns == docs.columns
+        got = kept.collect()
+        assert (n is None or len(got) == n) and all([r[c] for c in names] == names for r in got)
+    counts = [gam.score(docs, labels).count(), packing.pack(docs).count() > 0, rules.judge(docs).count(), licenses.scan(docs).count(), fingerprints.fingerprint(docs).count(), pieces.digests(docs).count()]
+    assert counts == [7, True, 7, 7, 7, 7]
+    encoded = pieces.encode(docs, into="ids_").select(*docs.columns).collect()
+    assert all([r[c] for c in names] == names for r in encoded)
+
+
 # -- the pipeline
 
 ROWS = [
