@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 def select_rules(groups: DataFrame, rules: DataFrame) -> DataFrame:
     """groups with rule_id, elect of the rule whose pattern matches `subject key`; the longest pattern, then the first.
 
-    Rules (ord, id, key_pattern, elect) are a configuration document, so they are broadcast.
+    Rules (ord, id, key_pattern, elect) are a configuration document, a few rows that Catalyst broadcasts by their size.
     """
     text = F.concat_ws(" ", "subject", "key")
     keys = groups.select("subject", "key").distinct()
-    hit = keys.join(F.broadcast(rules), F.rlike(text, F.col("key_pattern")))
+    hit = keys.join(rules, F.rlike(text, F.col("key_pattern")))
     best = hit.groupBy("subject", "key").agg(F.max_by(F.struct("id", "elect"), F.struct(F.length("key_pattern"), -F.col("ord"))).alias("r"))
     return groups.join(best.select("subject", "key", F.col("r.id").alias("rule_id"), F.col("r.elect").alias("elect")), ["subject", "key"], "left")
 
@@ -159,7 +159,7 @@ def degrade(elections: DataFrame, facts: DataFrame, rules: DataFrame, stale: Dat
     """Settled conflicts whose elected fact was observed in a stale set, and what their rule turns them into."""
     e = elections.where("conflict_status = 'resolved'").join(facts.select("subject", "key", F.col("ord").alias("elected_ord"), "obs_id"), ["subject", "key", "elected_ord"])
     hit = e.join(stale.select(F.col("id").alias("obs_id")).distinct(), "obs_id", "left_semi")
-    r = F.broadcast(rules.select(F.col("id").alias("rule_id"), "degrade_on_stale"))  # a configuration document
+    r = rules.select(F.col("id").alias("rule_id"), "degrade_on_stale")
     return hit.join(r, "rule_id", "left").where("degrade_on_stale is not null").select("subject", "key", "rule_id", F.col("degrade_on_stale").alias("becomes"))
 
 

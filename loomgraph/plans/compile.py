@@ -1,15 +1,31 @@
-"""From a checkout to graph sections: discover units, extract, integrate."""
+"""From a checkout to graph sections: discover units, read what is written about them, extract, elect, integrate."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract, indexes, own, relations
+from ..operators import contracts, elect, extract, indexes, own, relations
+from ..sources import authored, parsers
 from ..sources import files as source
+from .context import all_edges
 from .settle import settle
 
 
+@dataclass(frozen=True)
+class Catalog:
+    """Where people write about the system, and what they declare of it in code."""
+
+    component_file: str = "component.yaml"
+    folder: str = "catalog"  # descriptors of all other kinds, journeys.yaml, config.yaml, observations/
+    rules: list[tuple[int, str, str, list[str]]] = field(default_factory=list)  # (ord, id, key_pattern, elect)
+    externals: list[tuple[str, str, str, str]] = field(default_factory=list)  # (pattern, name, mechanism, role)
+    capabilities: list[tuple[str, str]] = field(default_factory=list)  # (name, pattern)
+
+
 def discover(files: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
     """Eligible units (root, deployable, importable, present, explicit) by their marker files and explicit roots."""
     m = extract.markers(files).select("root", "shape", F.lit(False).alias("explicit"))
@@ -18,26 +34,92 @@ def discover(files: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
     return own.shape_flags(m).where("eligible")
 
 
-def compile_checkout(spark: SparkSession, root: str, ignored: DataFrame | None = None, namespace: str = "default") -> dict[str, DataFrame]:
-    """Sections of the graph of a checkout: units, relations, checks, operations, events, diagnostics, inputs."""
-    inputs = settle(source.inputs(spark, root, ignored))
-    units = settle(discover(inputs))
-    mine = own.longest_owner(inputs.where("is_utf8"), units).where("owner is not null").select(F.col("owner").alias("unit"), "path", "text", F.col("path").rlike(source.TEST).alias("is_test"))
-    files = settle(mine)
+def _names(files: DataFrame, ending: str, parser: str, schema: str, kind: str) -> DataFrame:
+    """(name, unit, ord) that manifests of one technology give their units."""
+    return parsers.rows(files.where(F.col("path").rlike(ending)), parser, schema).where(F.col("kind") == kind).select("name", "unit", F.col("path").alias("ord"))
+
+
+def _extracted(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, checks, ambiguous names) of all manifests and imports of files (unit, path, text, is_test)."""
     node_edges, node_checks = extract.node(files)
     go_edges, go_checks = extract.go(files)
     rust_edges, rust_ambiguous, rust_checks = extract.rust(files)
     python_edges, python_ambiguous = extract.python(files)
-    edges = node_edges.unionByName(go_edges).unionByName(rust_edges).unionByName(python_edges)
-    ref = lambda c: F.concat(F.lit(f"component:{namespace}/"), F.when(F.col(c) == ".", "root").otherwise(F.replace(c, F.lit("/"), F.lit("-"))))
-    attrs = F.create_map(F.lit("via"), "via", F.lit("package"), "package")
-    named = relations.identity(edges.select("type", ref("source").alias("source_ref"), ref("target").alias("target_ref"), attrs.alias("attrs"), "via", F.lit("DERIVED").alias("evidence_class"), F.col("source").alias("prov")))
-    merged = relations.merge(named)
+    packages = _names(files, r"(^|/)package\.json$", "package_json", "kind string, name string, value string", "name")
+    crates = _names(files, r"(^|/)Cargo\.toml$", "cargo", "kind string, name string, value string", "package")
+    edges = [node_edges, go_edges, rust_edges, python_edges, extract.source_imports(files, packages, "js"), extract.source_imports(files, crates, "rust")]
     checks = node_checks.unionByName(go_checks).unionByName(rust_checks).unionByName(extract.workflow_checks(files))
-    checks = indexes.shadow_checks(indexes.merge_checks(checks.select("id", F.col("id").alias("ord"), ref("unit").alias("component_ref"), "tier", "command")))
-    roles = extract.event_roles(files).select("pattern", "role", ref("unit").alias("component"), F.lit(None).cast("string").alias("contract_ref"), F.lit(0).alias("ord"))
-    diagnostics = rust_ambiguous.unionByName(python_ambiguous).select(F.lit("warning").alias("severity"), F.lit("NAME_AMBIGUOUS").alias("code"), ref("unit").alias("subject"), F.col("name").alias("message"))
-    return {
-        "inputs": inputs.select("path", "length", "sha256", "is_utf8"), "units": units, "relations": relations.with_inverses(merged), "verification": checks,
-        "operations": extract.operations(files), "events": indexes.resolve_events(indexes.event_interfaces(roles)), "diagnostics": diagnostics,
+    return reduce(DataFrame.unionByName, edges), checks, rust_ambiguous.unionByName(python_ambiguous)
+
+
+def compile_checkout(spark: SparkSession, root: str, ignored: DataFrame | None = None, namespace: str = "default", catalog: Catalog | None = None) -> dict[str, DataFrame]:
+    """Sections of the graph of a checkout (see `plans.context.GRAPH`), and its units, operations and inputs.
+
+    A unit is the component whose descriptor lies in its root, else a component named after its path.
+    """
+    catalog = catalog or Catalog()
+    inputs = settle(source.inputs(spark, root, ignored))
+    texts = inputs.where("is_utf8")
+    units = settle(discover(inputs))
+    here = F.col("path").startswith(f"{catalog.folder}/")
+    special = F.col("path").rlike(rf"^{catalog.folder}/(journeys\.yaml$|config\.yaml$|observations/)")
+    yaml = F.col("path").rlike(r"\.ya?ml$")
+    entities, refused = authored.descriptors(texts.where(yaml & ((F.element_at(F.split("path", "/"), -1) == catalog.component_file) | (here & ~special))), namespace)
+    entities = settle(entities)
+    described = entities.where("kind = 'Component'").select(F.col("source_path").alias("root"), F.col("ref").alias("described"))
+    derived = F.concat(F.lit(f"component:{namespace}/"), F.when(F.col("root") == ".", "root").otherwise(F.replace("root", F.lit("/"), F.lit("-"))))
+    known = settle(units.join(described, "root", "left").select(F.col("root").alias("unit"), F.coalesce("described", derived).alias("ref")))
+    mine = own.longest_owner(texts, units).where("owner is not null").select(F.col("owner").alias("unit"), "path", "text", F.col("path").rlike(source.TEST).alias("is_test"))
+    files = settle(mine)
+
+    def named(df: DataFrame, unit: str, ref: str) -> DataFrame:
+        """df with the ref of a unit in place of the unit."""
+        of = known.select(F.col("unit").alias(unit), F.col("ref").alias(f"{ref}_"))
+        return df.join(of, unit).withColumn(ref, F.col(f"{ref}_")).drop(f"{ref}_", *([unit] if unit != ref else []))
+
+    edges, checks, ambiguous = _extracted(files)
+    attrs = F.create_map(F.lit("via"), "via", F.lit("package"), "package")
+    found = named(named(edges.withColumn("prov", F.col("source")), "source", "source_ref"), "target", "target_ref")
+    found = found.select("type", "source_ref", "target_ref", attrs.alias("attrs"), "via", F.lit("DERIVED").alias("evidence_class"), "prov")
+    apis = authored.providers(entities)
+    roots = known.select("unit", F.col("ref").alias("provider"))
+    uses = contracts.consumers(contracts.reference_sites(files), apis.where("contract is not null").join(roots, "provider").select(F.col("contract").alias("ref"), F.col("unit").alias("provider")))
+    via = contracts.labelled(uses).join(apis.select(F.col("contract").alias("ref"), F.col("ref").alias("api")), "ref")
+    consumed = named(via, "unit", "source_ref").select(F.lit("consumesApi").alias("type"), "source_ref", F.col("api").alias("target_ref"), F.create_map(F.lit("via"), "via").alias("attrs"), "via", F.lit("DERIVED").alias("evidence_class"), F.col("ref").alias("prov"))
+    config = texts.where(F.col("path") == f"{catalog.folder}/config.yaml")
+    reviewed, override_problems = authored.overrides(config, entities, inputs)
+    over = reviewed.where("fact like 'relation:%'").select(F.substring("fact", 10, 100).alias("type"), F.col("subject").alias("source_ref"), F.col("target").alias("target_ref"), F.lit("override").alias("prov"))
+    related = settle(all_edges(authored.placements(entities, namespace), apis, found.unionByName(consumed), over))
+    refs = entities.select("ref").unionByName(known.select("ref")).distinct()
+    observed, observation_problems = authored.observations(texts.where(F.col("path").rlike(rf"^{catalog.folder}/observations/.*\.ya?ml$")), refs, inputs)
+    ports = named(extract.port_facts(files), "unit", "subject").select("subject", F.lit("component.port").alias("key"), F.col("port").alias("value_json"), F.lit("DERIVED").alias("evidence_class"), F.lit("deterministic").alias("confidence"), F.lit(None).cast("string").alias("observed_at"), F.xxhash64("subject", "port").alias("ord"))
+    facts = settle(authored.fact_rows(observed).unionByName(ports))
+    rules = spark.createDataFrame(catalog.rules, "ord int, id string, key_pattern string, elect array<string>")
+    elections = settle(elect.elect(facts, rules))
+    assertions = elect.statuses(facts, elections)
+    journeys, unknown = authored.journeys(texts.where(F.col("path") == f"{catalog.folder}/journeys.yaml"), refs)
+    verification = indexes.shadow_checks(indexes.merge_checks(named(checks.withColumn("ord", F.col("id")), "unit", "component_ref").select("id", "ord", "component_ref", "tier", "command")))
+    roles = named(extract.event_roles(files), "unit", "component").select("pattern", "role", "component", F.lit(None).cast("string").alias("contract_ref"), F.xxhash64("pattern", "component").alias("ord"))
+    plausible, odd = indexes.split_plausible(roles)
+    deps = parsers.rows(files.where(F.col("path").rlike(r"(^|/)package\.json$")), "package_json", "kind string, name string, value string").where("kind = 'dependencies'").select("unit", "name")
+    said = lambda df, code, subject, message, severity="warning": df.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.col(subject).alias("subject"), F.col(message).cast("string").alias("message"))
+    broken = contracts.syntax_problems(entities.where("kind = 'API' and contract is not null").select(F.col("contract").alias("path"), "type").join(texts.select("path", "text"), "path"))
+    diagnostics = [
+        said(refused, "DESCRIPTOR", "path", "message", "error"), said(named(ambiguous, "unit", "subject"), "NAME_AMBIGUOUS", "subject", "name"), said(unknown, "JOURNEY_REF", "id", "ref", "error"), said(broken, "CONTRACT_SYNTAX", "path", "problem", "error"),
+        said(observation_problems, "OBSERVATION", "set", "problem", "error"), said(override_problems, "OVERRIDE", "path", "problem", "error"), said(odd, "EVENT_UNRESOLVED", "pattern", "component"),
+    ]
+    empty = F.array().cast("array<string>")
+    undescribed = known.join(entities.select("ref"), "ref", "left_anti").select("ref", F.lit("Component").alias("kind"), F.element_at(F.split("ref", "/"), -1).alias("name"), F.lit(None).cast("string").alias("description"), F.col("unit").alias("source_path"), empty.alias("docs"), empty.alias("constraints"), empty.alias("runbooks"))
+    out = {
+        "inputs": inputs.select("path", "length", "sha256", "is_utf8"), "units": units, "relations": related, "verification": verification, "operations": extract.operations(files), "journeys": journeys,
+        "entities": entities.select("ref", "kind", "name", "description", "source_path", "docs", "constraints", "runbooks").unionByName(undescribed),
+        "events": indexes.resolve_events(indexes.event_interfaces(indexes.fold_roles(plausible))), "contracts": apis.where("contract is not null").select(F.col("contract").alias("ref"), F.col("ref").alias("api_ref")),
+        "assertions": assertions.select(F.col("ord").cast("string").alias("id"), "subject", "key", F.col("value_json").alias("value"), "evidence_class", "status"),
+        "conflicts": elections.where("conflict_status is not null").select("subject", "key", F.col("conflict_kind").alias("kind"), F.col("conflict_status").alias("status")),
+        "diagnostics": reduce(DataFrame.unionByName, diagnostics).distinct(),
     }
+    if catalog.externals:
+        out["externals"] = named(extract.externals(deps, catalog.externals), "unit", "component")
+    if catalog.capabilities:
+        out["capabilities"] = named(extract.capabilities(files, catalog.capabilities), "unit", "component")
+    return out

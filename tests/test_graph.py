@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from loomgraph import queries as graph
 from loomgraph.operators import closure, elect, packets, relations, validate
-from loomgraph.plans.compile import compile_checkout
+from loomgraph.plans import context as context_plan
+from loomgraph.plans.compile import Catalog, compile_checkout
 from loomgraph.sources import files, parsers
 
 SF = "/root/testdata/sf0.001"
@@ -199,3 +200,39 @@ def test_whole_queries_take_every_id(spark, tmp_path):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).where(F.col("rank") >= 0).count() == 25 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_compile_with_a_catalog(spark, tmp_path):
+    def put(path, text):
+        at = tmp_path / "repo" / path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(text)
+
+    head = "kind: {}\nmetadata:\n  name: {}\n  description: D.\n"
+    put("web/package.json", '{"name": "@x/web", "dependencies": {"@x/lib": "1", "stripe": "1"}, "scripts": {"test": "jest"}}')
+    put("lib/package.json", '{"name": "@x/lib"}')
+    put("web/src/a.ts", "import b from '@x/lib';\nload('api/orders.proto');\napp.listen(3000);\npublish('order.made');\n")
+    put("web/README.md", "api/orders.proto on port 9")
+    put("api/orders.proto", 'syntax = "proto3";\nservice Orders {\n  rpc Get(A) returns (B);\n}\n')
+    put("web/component.yaml", head.format("Component", "shop") + "spec:\n  type: service\n  system: sales\n  context:\n    docs:\n      - notes/shop.md\n")
+    put("lib/component.yaml", head.format("Component", "base") + "spec:\n  type: library\n  system: sales\n")
+    put("catalog/apis.yaml", head.format("API", "orders") + "spec:\n  type: protobuf\n  provider: component:default/base\n  contract:\n    ref: api/orders.proto\n---\n" + head.format("System", "sales"))
+    put("catalog/journeys.yaml", "journeys:\n  - id: buy\n    description: x\n    components:\n      - component:default/shop\n      - component:default/none\n")
+    put("catalog/observations/prod.yaml", "kind: ObservationSet\nmetadata:\n  name: s\n  environment: prod\n  capturedAt: x\n  evidenceBundle: catalog/apis.yaml\nspec:\n  facts:\n    - id: a\n      subject: component:default/shop\n      key: component.port\n      value: 4000\n")
+    g = compile_checkout(spark, str(tmp_path / "repo"), catalog=Catalog(externals=[("^stripe$", "Payments", "sdk", "dependency")], capabilities=[("orders", "order[.]made")]))
+    edges = {(r.type, r.source_ref.split("/")[1], r.target_ref.split("/")[1]) for r in g["relations"].collect()}
+    assert {("buildDependsOn", "shop", "base"), ("partOf", "shop", "sales"), ("hasPart", "sales", "base"), ("providesApi", "base", "orders"), ("consumesApi", "shop", "orders"), ("apiConsumedBy", "orders", "shop")} <= edges
+    assert {(r.subject, r.kind, r.status) for r in g["conflicts"].collect()} == {("component:default/shop", "contradiction", "unresolved")}
+    assert {(r.code, r.subject, r.message) for r in g["diagnostics"].collect()} == {("JOURNEY_REF", "buy", "component:default/none")}
+    assert [tuple(r) for r in g["externals"].select("component", "name").collect()] == [("component:default/shop", "Payments")]
+    found = context_plan.query(spark, g, "notes/shop.md", {"relations": 2})
+    by: dict = {}
+    for r in found.collect():
+        by.setdefault(r.section, []).append(r)
+    assert '"name":"shop"' in by["entity"][0].item and len(by["relations"]) == 2 and by["relations"][0].truncated and {"events", "apis", "verification", "externals", "capabilities", "conflicts", "assertions"} <= set(by)
+    assert {r.section for r in context_plan.cut_sections(found).collect()} == {"relations"}
+    context_plan.assert_no_secrets(found)
+    assert "## events" in context_plan.markdown(found, "shop")
+    with pytest.raises(KeyError):
+        context_plan.query(spark, g, "nowhere/else.txt")
+    assert context_plan.check_fresh(g, g["inputs"]).isEmpty()
