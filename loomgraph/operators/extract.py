@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import distribution_name, rust_ident, script_tier, workflow_tier
+from ..functions.paths import parent_path
+from ..functions.text import distribution_name, rust_ident, script_tier, task_tier, workflow_tier
 from ..sources import parsers
-from .own import unique_names
+from .own import nearest_config, unique_names
 
 #: Files that mark a unit, and what they make of it.
 MARKERS = [
@@ -169,3 +170,27 @@ def requirements_met(wanted: DataFrame, tasks: DataFrame) -> DataFrame:
     """wanted (subject, key, installs) with `verdict`: provided where a playbook task installs it, else absent."""
     have = tasks.where(F.col("module").rlike(r"(^|\.)(apt|dnf|yum|package|pip|npm|service|systemd)$")).select(F.col("name").alias("installs"), F.lit(True).alias("has")).distinct()
     return wanted.join(have, "installs", "left").withColumn("verdict", F.when(F.col("has"), "provided").otherwise("absent")).drop("has")
+
+
+def workspace_roots(files: DataFrame) -> DataFrame:
+    """(root): directories right under a base of the workspace file that hold a package manifest."""
+    bases = parsers.rows(files.where(F.col("path") == "pnpm-workspace.yaml"), "workspace_bases", "base string").select("base").where("base is not null").distinct()
+    manifests = files.where(F.col("path").rlike(r"/package\.json$")).select(F.regexp_replace("path", "/package\\.json$", "").alias("root"))
+    return manifests.withColumn("base", parent_path(F.col("root"))).join(bases, "base", "left_semi").select("root").distinct()
+
+
+def task_graph(files: DataFrame, refs: DataFrame, configs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(checks, untiered): checks (id, unit, tier, command, config_path) of tasks of the nearest task graph that a unit's package has as scripts.
+
+    refs are (unit, ref); configs (path, text) are looked for among files unless given. Tasks without a tier are returned apart: they may be ordinary scripts.
+    """
+    configs = (files if configs is None else configs).where(F.col("path").rlike(r"(^|/)turbo\.json$"))
+    tasks = parsers.rows(configs.select("path", "text"), "task_graph", "task string").where("task is not null").select(parent_path(F.col("path")).alias("config_dir"), F.col("path").alias("config_path"), "task")
+    m = parsers.rows(files.where(F.col("path").rlike(r"(^|/)package\.json$")), "package_json", "kind string, name string, value string")
+    scripts = m.where("kind = 'scripts'").select("unit", F.col("name").alias("task")).distinct()
+    names = m.where("kind = 'name'").groupBy("unit").agg(F.min("name").alias("package"))
+    near = nearest_config(scripts.select("unit").distinct(), tasks.select(F.col("config_dir").alias("dir")).distinct(), "unit")
+    j = scripts.join(near, "unit").join(tasks, ["config_dir", "task"]).join(names, "unit", "left").join(refs, "unit").withColumn("tier", task_tier(F.col("task")))
+    target = F.coalesce("package", F.concat(F.lit("./"), "unit"))
+    checks = j.where("tier is not null").select(F.concat(F.lit("tg:"), "ref", F.lit(":"), "task").alias("id"), "unit", "tier", F.concat(F.lit("turbo run "), "task", F.lit(" --filter="), target).alias("command"), "config_path")
+    return checks, j.where("tier is null").select("unit", "task")

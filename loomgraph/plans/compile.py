@@ -78,6 +78,8 @@ def compile_checkout(spark: SparkSession, root: str, ignored: DataFrame | None =
         return df.join(of, unit).withColumn(ref, F.col(f"{ref}_")).drop(f"{ref}_", *([unit] if unit != ref else []))
 
     edges, checks, ambiguous = _extracted(files)
+    graph_checks, _ = extract.task_graph(files, known, texts)
+    checks = checks.unionByName(graph_checks.select("id", "unit", "tier", "command"))
     attrs = F.create_map(F.lit("via"), "via", F.lit("package"), "package")
     found = named(named(edges.withColumn("prov", F.col("source")), "source", "source_ref"), "target", "target_ref")
     found = found.select("type", "source_ref", "target_ref", attrs.alias("attrs"), "via", F.lit("DERIVED").alias("evidence_class"), "prov")

@@ -506,3 +506,28 @@ def _overridden(spark, d):
     files = _files(spark, d, "config.yaml", OVERRIDES, sub=F.when(c == 0, F.concat(F.lit("none-"), n)).otherwise(n), where=where, sum=sums)
     p = table(spark, d, "part").select(where.alias("path"), c.alias("c")).where("c <> 1").select("path").distinct()
     return authored.overrides(files, _entities(spark, d), p.select("path", F.sha2("path", 256).alias("sha256")))
+
+
+TURBO = '{"tasks": {"test": {}, "build": {}, "dev": {}, "e2e": {}}}'
+
+
+def _graph_files(spark, d):
+    """Manifests of all parts, a task graph at the root of all, and one of its own in every fourth part."""
+    files = _files(spark, d, "package.json", PACKAGE)
+    top = spark.range(0, 1, 1, 1).select(F.lit(".").alias("unit"), F.lit("turbo.json").alias("path"), F.lit(TURBO).alias("text"), F.lit(False).alias("is_test"))
+    inner = _files(spark, d, "turbo.json", '{"pipeline": {"build": {}}}').where(F.regexp_extract("unit", "([0-9]+)$", 1).cast("long") % 4 == 0)
+    return files.unionByName(top).unionByName(inner)
+
+
+@query("""select 'tg:component:x/' || p_partkey || ':' || t as id, 'p/' || p_partkey as unit, tier, 'turbo run ' || t || ' --filter=@x/p-' || p_partkey as command, case when p_partkey % 4 = 0 then 'p/' || p_partkey || '/turbo.json' else 'turbo.json' end as config_path
+from part, (values ('test', 'unit'), ('build', 'build')) v(t, tier) where p_partkey % 4 <> 0 or t = 'build'""")
+def task_graph_checks(spark, d):
+    refs = table(spark, d, "part").select(F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("unit"), F.concat(F.lit("component:x/"), F.col("p_partkey").cast("string")).alias("ref"))
+    return extract.task_graph(_graph_files(spark, d), refs)[0]
+
+
+@query("select 'p/' || p_partkey as root from part")
+def workspace_roots(spark, d):
+    top = spark.range(0, 1, 1, 1).select(F.lit(".").alias("unit"), F.lit("pnpm-workspace.yaml").alias("path"), F.lit('packages:\n  - "p/*"\n  - "../x/*"\n  - "*"\n  - q/**/*\n').alias("text"), F.lit(False).alias("is_test"))
+    deep = _files(spark, d, "deep/package.json", "{}")
+    return extract.workspace_roots(_files(spark, d, "package.json", PACKAGE).unionByName(deep).unionByName(top))

@@ -388,6 +388,23 @@ def overrides(text: str) -> list[tuple]:
     return out
 
 
+def task_graph(text: str) -> list[str]:
+    """Tasks that a task-graph configuration declares."""
+    doc = json.loads(text)
+    return sorted(doc.get("tasks") or doc.get("pipeline") or {})
+
+
+def workspace_bases(text: str) -> list[str]:
+    """Directories whose children are members of a workspace: each pattern up to its first `*`."""
+    out = []
+    for g in (parse_yaml(text)[0][2] or {}).get("packages") or []:
+        if isinstance(g, str) and ".." not in g:
+            parts = [s for s in g.split("/") if s and s != "**"]
+            if "*" in parts and parts.index("*"):
+                out.append("/".join(parts[: parts.index("*")]))
+    return out
+
+
 def contract_outline(text: str) -> list[tuple]:
     """(openapi, asyncapi, title, paths, channels, components) of an API document: its versions, and whether each part is there."""
     try:
@@ -409,7 +426,7 @@ def contract_outline(text: str) -> list[tuple]:
 PARSERS: dict[str, Callable[[str], Any]] = {
     "yaml": parse_yaml, "toml": parse_toml, "jsonc": parse_jsonc, "ini": parse_ini, "go_mod": go_mod, "package_json": package_json, "cargo": cargo_manifest, "pyproject": pyproject, "openapi": openapi, "protobuf": protobuf,
     "graphql": graphql, "shell": shell_commands, "workflow": workflow_steps, "playbook": playbook, "wrangler": wrangler, "js_imports": js_imports, "python_imports": python_imports, "rust_idents": rust_idents, "symbols": symbols,
-    "contract_outline": contract_outline, "descriptors": descriptors, "journeys": journeys, "observations": observations, "overrides": overrides,
+    "contract_outline": contract_outline, "task_graph": task_graph, "workspace_bases": workspace_bases, "descriptors": descriptors, "journeys": journeys, "observations": observations, "overrides": overrides,
 }
 
 
