@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, gam, langid, licenses, mixing, neardup, packing, pieces, rules, secrets
+from . import fingerprints, gam, infill, langid, licenses, mixing, neardup, packing, pieces, rules, secrets
 from .common import table
 
 
@@ -50,9 +50,16 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op5_quality_rules": rules.oracle(), "op7_mix_sources": mixing.oracle()}
+    return {
+        "op1_license_scan": licenses.oracle(), "op5_quality_rules": rules.oracle(), "op7_mix_sources": mixing.oracle(),
+        "op13_fill_in_middle": infill.oracle(),
+    }
