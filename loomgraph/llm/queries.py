@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, gam, infill, langid, licenses, mixing, neardup, packing, pieces, rules, secrets
+from . import fingerprints, gam, infill, langid, licenses, mixing, neardup, packing, pieces, rules, secrets, windows
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents"))
 
