@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, gam, infill, langid, licenses, mixing, neardup, packing, pieces, rules, secrets, windows
+from . import collocations, fingerprints, gam, infill, langid, licenses, mixing, neardup, packing, pieces, rules, secrets, windows
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents"))
 
@@ -65,5 +69,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": licenses.oracle(), "op5_quality_rules": rules.oracle(), "op7_mix_sources": mixing.oracle(),
-        "op13_fill_in_middle": infill.oracle(),
+        "op12_collocations": collocations.oracle(), "op13_fill_in_middle": infill.oracle(),
     }
