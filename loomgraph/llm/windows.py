@@ -1,7 +1,7 @@
 """Packing by Karmarkar-Karp differencing: documents as token ids in windows of nearly equal fill.
 
 Ids are those of the tokenizers library, one text as a whole. No token of that vocabulary reaches over white space, so the
-words between ASCII white space are encoded once each, by the library, and kept in a bounded store of each worker.
+words between ASCII white space are encoded once each, by the library, for some megabytes of text at a time.
 
 Whole windows of a long document stand alone; what is left of each document is dealt to shards of bounded size by a hash of
 the document, and each shard is packed by multiway differencing: a partial partition is the sums of its windows, the two
@@ -22,17 +22,18 @@ from __future__ import annotations
 
 import heapq
 import os
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import slices, small_batches, trim
+from .common import small_batches, trim
 
 CAPACITY = 2048
 END = 1
@@ -44,6 +45,9 @@ CUTS = (512, 256, 128, 64)
 #: Windows that a shard may have beyond the fewest, as a share of these, before it is cut finer.
 SPARE = 1 / 200
 
+#: Text bytes of which the distinct words are encoded together.
+TEXT_BYTES = 12 << 20
+
 WIDTH = 4  # bytes an id
 
 
@@ -54,36 +58,71 @@ def default_vocabulary() -> str:
 
 
 class Words:
-    """The library's ids of texts, by a store of words."""
+    """The library's ids of texts, each distinct word encoded once for many texts.
+
+    A word of Latin letters that have no other composed form is one pre-token, whatever its case, and signs after its end are
+    another. Such words skip the library's normaliser and pattern and go many at once to its model, which marks word ends.
+    """
 
-    STORE = 300_000  # words kept at once
-    LONG = 64  # longer words (in bytes) are not kept
+    SIMPLE = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[,.;:!?]*)$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.store: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Little-endian ids of four bytes each, of every text."""
-        split = [t.split() if t else [] for t in texts]
-        if len(self.store) > self.STORE:
-            self.store.clear()
-        missing = list(set().union(*split) - self.store.keys())
-        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-        new = dict(zip(missing, (_packed(c.ids) for c in coded), strict=True))
-        self.store.update(new)
-        out = [b"".join(map(self.store.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > self.LONG:
-                del self.store[w]
-        return out
-
-
-def _packed(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
+        self.letters = Tokenizer(self.tokenizer.model)
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytewise])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the bounds of each text in them; null is empty."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        ids, sizes = ragged(*self._distinct(coded.dictionary), coded.indices.to_numpy())
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        return ids, bounds[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, and how many each has."""
+        found = pc.extract_regex(words, self.SIMPLE)
+        simple = pc.is_valid(found)
+        letters = pc.utf8_lower(found.field("letters").filter(simple)).dictionary_encode()
+        signs = found.field("signs").filter(simple).dictionary_encode()
+        others = words.filter(pc.invert(simple))
+        tables = [self._words(letters.dictionary.to_pylist()), self._texts(signs.dictionary.to_pylist()), self._texts(others.to_pylist())]
+        flat, sizes = (np.concatenate(x) for x in zip(*tables, strict=True))
+        # each word is two units: letters and signs, or something else and nothing
+        n = len(letters.dictionary), len(letters.dictionary) + len(signs.dictionary)
+        units, there = np.full((len(words), 2), len(sizes), np.int64), simple.to_numpy(zero_copy_only=False).astype(bool)
+        units[there, 0] = letters.indices.to_numpy()
+        units[there, 1] = n[0] + signs.indices.to_numpy()
+        units[~there, 0] = n[1] + np.arange(len(others))
+        ids, each = ragged(flat, np.concatenate((sizes, [0])), units.ravel())
+        return ids, each.reshape(-1, 2).sum(axis=1)
+
+    def _words(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of small letters, by the model alone."""
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for start in range(0, len(some), 1000):
+            ids = np.array(self.letters.encode_batch_fast([" ".join(some[start : start + 1000])], add_special_tokens=False)[0].ids, np.uint32)
+            flat.append(ids)
+            sizes.append(np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _texts(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [c.ids for c in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return np.array([i for ids in coded for i in ids], np.uint32), np.array([len(ids) for ids in coded], np.int64)
+
+
+def ragged(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of uneven sizes, one after the other in flat, in a new order, and their sizes."""
+    taken = sizes[order]
+    shift = (np.cumsum(sizes) - sizes)[order] - (np.cumsum(taken) - taken)
+    return flat[np.repeat(shift, taken) + np.arange(taken.sum())], taken
 
 
 _words: dict[str, Words] = {}
@@ -175,33 +214,51 @@ def _joined(pieces: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def parts(docs: DataFrame, shards: int, capacity: int, vocabulary: str, text: str = "text") -> DataFrame:
     """shard, place, doc_id, start, doc_tokens, ids: whole windows of long documents, and what is left of each."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = words(vocabulary).encode, _packed([END])
+        encode, end = words(vocabulary).encode, np.array([END], "<u4").tobytes()
         seen: Counter = Counter()
-        for batch in batches:
-            texts, named = batch.column(2).cast(pa.binary()).to_pylist(), batch.column(0).to_pylist()
-            for first, stop in slices(texts, 1_000_000):
-                out: list[tuple] = []
-                for row, ids in zip(range(first, stop), encode(texts[first:stop]), strict=True):
-                    ids += end
-                    digest = blake2b(f"{named[row]}:".encode() + ids, digest_size=16).digest()
-                    turn = seen[digest]
-                    seen[digest] += 1
-                    n = len(ids) // WIDTH
-                    whole = n // capacity * capacity
-                    for start in [*range(0, whole, capacity), *([whole] if whole < n else [])]:
-                        place = blake2b(digest + f"{turn}:{start}".encode(), digest_size=16).digest()
-                        size = min(capacity, n - start)
-                        out.append((int.from_bytes(place[:8], "big") % shards, place, row, start, n, ids[WIDTH * start : WIDTH * (start + size)]))
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), batch.column(1).take(pa.array(columns[2], pa.int32())),
-                    pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.binary()),
-                ], ["shard", "place", "doc_id", "start", "doc_tokens", "ids"])
+
+        def dealt(some: pa.RecordBatch) -> pa.RecordBatch:
+            named = some.column(0).to_pylist()
+            every, bounds = encode(some.column(2))
+            every, bounds = every.astype("<u4").tobytes(), (WIDTH * bounds).tolist()
+            out: list[tuple] = []
+            for row, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                ids = every[a:b] + end
+                digest = blake2b(f"{named[row]}:".encode() + ids, digest_size=16).digest()
+                turn = seen[digest]
+                seen[digest] += 1
+                n = len(ids) // WIDTH
+                whole = n // capacity * capacity
+                for start in [*range(0, whole, capacity), *([whole] if whole < n else [])]:
+                    place = blake2b(digest + f"{turn}:{start}".encode(), digest_size=16).digest()
+                    size = min(capacity, n - start)
+                    out.append((int.from_bytes(place[:8], "big") % shards, place, row, start, n, ids[WIDTH * start : WIDTH * (start + size)]))
+            columns = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([
+                pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), some.column(1).take(pa.array(columns[2], pa.int32())),
+                pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.binary()),
+            ], ["shard", "place", "doc_id", "start", "doc_tokens", "ids"])
+
+        for some in gathered(batches, TEXT_BYTES):
+            yield dealt(some)
         trim()
 
     schema = StructType([

@@ -4,8 +4,10 @@ import random
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,13 +92,21 @@ def test_empty_table_and_text_ids(spark):
     assert [tuple(r) for r in got] == [("a", 0, 1, zlib.crc32(b"\1\0\0\0"), 1, 0, 0)]
 
 
+def test_ids_of_the_tables_texts(library):
+    texts = [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    texts += ["H\u0331 H \u0331 École, ÉCOLE. été!? Straße; ÿ× ß, <|ENDOFTEXT|> <|endoftext|>, don't DON'T a,b ,c."]
+    got, bounds = windows.words(windows.default_vocabulary()).encode(pa.array(texts))
+    for text, a, b in zip(texts, bounds, bounds[1:], strict=False):
+        assert got[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from("aé́̈ \t\n\r\x0b\x0c\x1c\x85 'sST19.,<|>Σσςß"), st.characters(exclude_categories=["Cs"])), max_size=60))
+@given(st.text(alphabet=st.one_of(st.sampled_from("aAéÉHÀß×÷̱́̈ \t\n\r\x0b\x0c\x1c\x85 'sST19.,<|>Σσςß"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_ids_are_the_librarys(text):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")) if not hasattr(windows, "_for_tests") else windows._for_tests
     windows._for_tests = library
-    got = windows.words(windows.default_vocabulary()).encode([text.encode()])[0]
-    assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    got, bounds = windows.words(windows.default_vocabulary()).encode(pa.array([None, text, ""]))
+    assert bounds.tolist() == [0, 0, len(got), len(got)] and got.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 @given(st.lists(st.integers(1, 60), min_size=1, max_size=40), st.integers(1, 9))
