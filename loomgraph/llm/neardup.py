@@ -323,50 +323,67 @@ def dealt(members: DataFrame, sets: DataFrame, block_bytes: int) -> DataFrame:
 
 
 def links_between(members: DataFrame, sets: DataFrame, threshold: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Distinct (a, b): components of open members (bucket, node, component) that a link joins."""
+    """a, b, node_a, node_b, similarity: components of open members (bucket, node, component) that links join, with the closest link."""
     small_batches(members.sparkSession)
     placed = dealt(members, sets, block_bytes)
     payload = placed.select("block", "node", "component").distinct().join(sets.select("node", "size", "grams", "counts"), "node")
-    rows = F.collect_list(F.struct("component", "size", "grams", "counts")).alias("rows")
-    full = stored(payload.groupBy("block").agg(F.min("component").alias("least"), F.max("component").alias("most"), rows))
+    rows = F.collect_list(F.struct("component", "node", "size", "grams", "counts")).alias("rows")
+    bounds = [F.min("component").alias("least"), F.max("component").alias("most"), F.min("size").alias("lightest"), F.max("size").alias("heaviest")]
+    full = stored(payload.groupBy("block").agg(*bounds, rows))
     places = stored(placed.select("bucket", "block").distinct())
     met = places.alias("x").join(places.alias("y"), F.col("x.bucket") == F.col("y.bucket")).where("x.block <= y.block").select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
-    left, right = (full.select(F.col("block").alias(v), F.col("least").alias(f"least_{v}"), F.col("most").alias(f"most_{v}"), F.col("rows").alias(f"rows_{v}")) for v in "xy")
+    left, right = (full.select(F.col("block").alias(v), *[F.col(c).alias(f"{c}_{v}") for c in ("least", "most", "lightest", "heaviest", "rows")]) for v in "xy")
+    near = (F.col("heaviest_x") >= threshold * F.col("lightest_y")) & (F.col("heaviest_y") >= threshold * F.col("lightest_x"))  # of a link neither set weighs more than 1 / threshold of the other
     one = F.col("least_x") == F.col("most_x")
     pairs = stored(met)
-    meet = pairs.join(left, "x").join(right, "y").where(~(one & (F.col("least_y") == F.col("most_y")) & (F.col("least_x") == F.col("least_y")))).select("rows_x", "rows_y")
+    meet = pairs.join(left, "x").join(right, "y").where(near & ~(one & (F.col("least_y") == F.col("most_y")) & (F.col("least_x") == F.col("least_y")))).select("rows_x", "rows_y")
 
     def opened(rows: list[dict]) -> tuple:
         grams = [np.frombuffer(r["grams"], np.uint64) for r in rows]
         counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]).astype(np.int64)
-        return np.array([r["component"] for r in rows]), np.array([r["size"] for r in rows]), np.concatenate(grams), counts, np.concatenate(([0], np.cumsum([len(g) for g in grams])))
+        named = [(r["component"], r["node"]) for r in rows]
+        return np.array([c for c, _ in named]), named, np.array([r["size"] for r in rows]), np.concatenate(grams), counts, np.concatenate(([0], np.cumsum([len(g) for g in grams])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ca, sa, ga, wa, ba = opened(batch.column(0)[k].as_py())
-                cb, sb, gb, wb, bb = opened(batch.column(1)[k].as_py())
+                ca, na, sa, ga, wa, ba = opened(batch.column(0)[k].as_py())
+                cb, nb, sb, gb, wb, bb = opened(batch.column(1)[k].as_py())
                 codes = np.unique(np.concatenate([ga, gb]), return_inverse=True)[1]
                 of_a, of_b = codes[: len(ga)], codes[len(ga) :]
-                owner, held, out = np.repeat(np.arange(len(sb)), np.diff(bb)), np.zeros(len(codes), np.int64), set()
+                owner, held, out = np.repeat(np.arange(len(sb)), np.diff(bb)), np.zeros(len(codes), np.int64), {}
                 for i in range(len(sa)):
                     mine = of_a[ba[i] : ba[i + 1]]
                     held[mine] = wa[ba[i] : ba[i + 1]]
                     common = np.bincount(owner, np.minimum(wb, held[of_b]), len(sb))
                     held[mine] = 0
                     for j in np.flatnonzero((common >= threshold * (sa[i] + sb - common)) & (cb != ca[i])):
-                        out.add((min(ca[i], cb[j]), max(ca[i], cb[j])))
-                columns = list(zip(*sorted(out), strict=True)) if out else [[], []]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())], ["a", "b"])
+                        (a, x), (b, y) = sorted((na[i], nb[j]))
+                        link = (-float(common[j] / (sa[i] + sb[j] - common[j])), x, y)
+                        out[a, b] = min(out.get((a, b), link), link)
+                columns = list(zip(*[(a, b, x, y, -s) for (a, b), (s, x, y) in sorted(out.items())], strict=True)) if out else [[]] * 5
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.float64())], ["a", "b", "node_a", "node_b", "similarity"])
         trim()
 
-    found = stored(meet.mapInArrow(run, "a long, b long").distinct())
+    links = meet.mapInArrow(run, "a long, b long, node_a long, node_b long, similarity double")
+    best = F.min(F.struct(F.negate("similarity").alias("unlike"), "node_a", "node_b")).alias("x")
+    found = stored(links.groupBy("a", "b").agg(best).select("a", "b", "x.node_a", "x.node_b", F.negate("x.unlike").alias("similarity")))
     release(placed, full, places, pairs)
     return found
 
 
+def closest(links: DataFrame) -> DataFrame:
+    """node, other, similarity: the closest of the links (a, b, similarity) of each node, of equals that to the lower node."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other"), "similarity").union(links.select("b", "a", "similarity"))
+    best = both.groupBy("node").agg(F.min(F.struct(F.negate("similarity").alias("unlike"), "other")).alias("x"))
+    return best.select("node", "x.other", F.negate("x.unlike").alias("similarity"))
+
+
 def linked(docs: DataFrame, nodes: DataFrame, banded: DataFrame, threshold: float, text: str) -> DataFrame | None:
-    """node, component of all nodes that have a link, stored; nodes: (node, name, other, least), banded: (node, bucket)."""
+    """node, component, other, similarity of all nodes that have a link, with the closest link that was checked, stored.
+
+    nodes: (node, name, other, least), banded: (node, bucket).
+    """
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(banded.join(sizes, "bucket"))
     score = shared.groupBy("node").agg(F.sum("n").alias("score"))
@@ -374,14 +391,15 @@ def linked(docs: DataFrame, nodes: DataFrame, banded: DataFrame, threshold: floa
     heads = shared.join(ranked.select("bucket", F.bitwise_not("h.turned").alias("head")), "bucket")
     pairs = stored(heads.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     texts = stored(texts_of(docs, nodes.join(shared.select("node").distinct(), "node"), text))
-    links = stored(compared(pairs, texts).where(F.col("similarity") >= threshold).select("a", "b"))
+    links = stored(compared(pairs, texts).where(F.col("similarity") >= threshold))
     found = components(links)
     members = shared.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     members = stored(still_open(members))
-    release(shared, pairs, links)
+    release(shared, pairs)
     if members.isEmpty():
-        release(members, texts)
-        return found
+        out = stored(found.join(closest(links), "node"))
+        release(members, texts, links, found)
+        return out
     sets = stored(gram_sets(texts.join(members.select("node").distinct(), "node")))
     left = may_link(members, sets, threshold)
     release(texts, members)
@@ -389,13 +407,15 @@ def linked(docs: DataFrame, nodes: DataFrame, banded: DataFrame, threshold: floa
     roots = components(more)  # of components, so this is small
     joined = found.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
     lone = roots.join(found.select("node"), "node", "left_anti").select("node", "component")
-    out = stored(joined.unionByName(lone))
-    release(found, sets, left, more, roots)
+    every = links.unionByName(more.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "similarity"))
+    out = stored(joined.unionByName(lone).join(closest(every), "node"))
+    release(found, sets, left, more, roots, links)
     return out
 
 
 def labelled(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Stored rows (doc_id, name, other, node) of all documents, and (node, class_id, first_node, class_size) of all nodes.
+    """Stored rows (doc_id, name, other, node) of all documents, and (node, least, class_id, first_node, class_size, linked_to,
+    similarity) of all nodes.
 
     The first node of a class is the one whose doc_id is the class id, so that it stands for the class.
     """
@@ -410,19 +430,32 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text")
     in_class = nodes.join(found, "node").select("node", "component", "least", "n")
     lead = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("class_id"), F.col("node").alias("first_node"))).alias("x")
     groups = in_class.groupBy("component").agg(lead, F.sum("n").alias("class_size")).select("component", "x.class_id", "x.first_node", "class_size")
-    classed = in_class.select("node", "component").join(groups, "component").drop("component")
-    alone = nodes.join(found.select("node"), "node", "left_anti").select("node", F.col("least").alias("class_id"), F.col("node").alias("first_node"), F.col("n").alias("class_size"))
+    link = found.select("node", "other", "similarity").join(nodes.select(F.col("node").alias("other"), F.col("least").alias("linked_to")), "other").drop("other")
+    classed = in_class.select("node", "component", "least").join(groups, "component").drop("component").join(link, "node")
+    none = [F.lit(None).cast("long").alias("linked_to"), F.lit(None).cast("double").alias("similarity")]
+    alone = nodes.join(found.select("node"), "node", "left_anti").select("node", "least", F.col("least").alias("class_id"), F.col("node").alias("first_node"), F.col("n").alias("class_size"), *none)
     out = stored(classed.unionByName(alone))
     release(nodes, found)
     return rows, out
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """doc_id, class_id, class_size (in rows) of every row."""
+    """doc_id, class_id, class_size (in rows), linked_to, similarity of every row.
+
+    linked_to is the document of a link that ties a row to its class: for a copy of equal words that of the least doc_id among
+    them (similarity 1), for that one the closest near copy that it was compared with. Rows that are alone, or the least of a
+    class of nothing but copies, have none.
+    """
     rows, of = labelled(docs, threshold, text)
     found = rows.join(of, "node", "left")
     lone = F.col("node").isNull()
-    return found.select("doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
+    copy = ~F.col("doc_id").eqNullSafe(F.col("least")) & ~lone
+    return found.select(
+        "doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(lone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
+        F.when(copy, F.col("least")).otherwise(F.col("linked_to")).alias("linked_to"),
+        F.when(copy, F.lit(1.0)).otherwise(F.col("similarity")).alias("similarity"),
+    )
 
 
 def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -54,8 +54,6 @@ _FILLER = re.compile(r"(?i)x{4}|0{6}|12345|abcdef|your|changeme|example|placehol
 _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 #: Words taken from the corpus, and the least length of those that count.
 DICTIONARY_WORDS, LEAST_WORD = 5000, 4
-#: A word of the dictionary is in one of so many documents at least, which bounds how many are put in order.
-RAREST = 10_000
 #: Tasks that put them in order; each sends its first DICTIONARY_WORDS.
 ORDERING_TASKS = 8
 #: Words that names and paths are made of.
@@ -204,8 +202,7 @@ def dictionary_of(docs: DataFrame, text: str = "text", most: int = DICTIONARY_WO
     """The words of letters that most documents hold (so many at most), and the fixed ones."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?<![\p{L}\p{N}_])(\p{L}{" + str(LEAST_WORD) + r",12})(?![\p{L}\p{N}_])"), F.lit(1)))
     counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    known = counts.where(F.col("n") >= docs.count() / RAREST).repartition(ORDERING_TASKS)
-    top = known.orderBy(F.col("n").desc(), "word").limit(most)  # a feature: the dictionary has a fixed size
+    top = counts.repartition(ORDERING_TASKS).orderBy(F.col("n").desc(), "word").limit(most)  # a feature: the dictionary has a fixed size
     return tuple(sorted({r.word for r in top.collect()} | set(DICTIONARY)))
 
 

@@ -81,6 +81,29 @@ def test_near_duplicates(docs, empty, spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 4, 5, 6, 7, 8, 9, None, 11, 12]))
 
 
+def test_links_of_near_duplicates(spark):
+    """Every row that isn't alone has a link to its class, of the similarity that brute force finds."""
+    r = random.Random(11)
+    texts = []
+    for g in range(5):
+        base = prose(500 + g, 90).split()
+        for _ in range(10):
+            copy = list(base)
+            for _ in range(r.randint(0, 4)):
+                copy[r.randrange(len(copy))] = f"w{r.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts += [prose(600, 50), prose(601, 50), prose(601, 50), prose(601, 50), None]
+    got = {x.doc_id: x for x in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(got) == len(texts)
+    for i, x in got.items():
+        if x.linked_to is None:
+            assert x.similarity is None and (x.class_size == 1 or len({texts[j] for j, y in got.items() if y.class_id == x.class_id}) == 1)
+        else:
+            assert x.linked_to != i and got[x.linked_to].class_id == x.class_id
+            assert x.similarity >= 0.8 and abs(x.similarity - brute_similarity(texts[i], texts[x.linked_to])) < 1e-12
+    assert got[51].linked_to is None and got[52].linked_to == got[53].linked_to == 51 and got[52].similarity == 1.0
+
+
 @pytest.mark.parametrize("block_bytes", [512 << 10, 4000])
 def test_near_duplicate_groups_against_brute_force(spark, monkeypatch, block_bytes):
     monkeypatch.setattr(neardup.links_between, "__defaults__", (block_bytes,))

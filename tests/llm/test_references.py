@@ -286,6 +286,23 @@ def test_dictionary_counts_documents(spark, monkeypatch):
     assert secrets.covered_chars("xxbrookvalley1", got) == 11
 
 
+def test_dictionary_is_the_same_rule_at_every_size(spark):
+    """A word of 2 in 30,000 documents is in, as long as there is room."""
+    docs = spark.range(30_000).selectExpr("case when id in (7, 20000) then 'common rarest' when id = 9 then 'common once' else 'common' end as text")
+    assert {"common", "rarest", "once"} <= set(secrets.dictionary_of(docs))
+    assert "once" not in secrets.dictionary_of(docs, most=2)
+
+
+def test_planted_secrets_of_the_tables(spark):
+    """Assigned tokens are the tables' secrets: every one is found, in every document, and little else is."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    planted = {(i, m) for i, t in texts.items() for m in re.findall(r'token = "([0-9a-f]{40})"', t)}
+    found = {(r.doc_id, texts[r.doc_id][a:b]) for r in secrets.findings(docs).collect() for a, b in zip(r.starts or [], r.ends or [], strict=True)}
+    recall, precision = len(planted & found) / len(planted), len(planted & found) / len(found)
+    assert len(planted) > 5 and recall == 1.0 and precision >= 0.9
+
+
 def test_unclosed_key_blocks_take_linear_time():
     assert not [x for x in secrets.candidates("-----BEGIN PRIVATE KEY-----\n" * 20_000) if x[1] - x[0] > 100]
     block = "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
