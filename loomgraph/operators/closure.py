@@ -30,6 +30,21 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return seen
 
 
+def reachable_pairs(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, node) of all nodes that each of seeds (node) reaches over edges (src, dst), itself included."""
+    edges = settle(edges.select("src", "dst").distinct())
+    frontier = settle(seeds.select(F.col("node").alias("seed"), "node").distinct())
+    seen, depth = frontier, 0
+    while not frontier.isEmpty():
+        depth += 1
+        step = frontier.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
+        frontier = settle(step.join(seen, ["seed", "node"], "left_anti"))
+        seen = seen.unionByName(frontier)
+        if depth % 8 == 0:
+            seen = settle(seen)
+    return seen
+
+
 def reverse_edges(relations: DataFrame) -> DataFrame:
     """(dependency, dependent, unit_only) from both spellings of build and test dependencies."""
     down = F.col("type").isin("buildDependsOn", "testDependsOn")

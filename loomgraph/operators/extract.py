@@ -133,15 +133,6 @@ def client_resources(deps: DataFrame, clients: list[tuple[str, str]], resources:
     return deps.withColumn("type", kind).where("type is not null").join(one, "type").select("unit", "resource", F.col("name").alias("client")).distinct()
 
 
-def event_roles(files: DataFrame, produce: str = r"(?:publish|emit|produce)", consume: str = r"(?:subscribe|consume|listenTo)") -> DataFrame:
-    """(unit, pattern, role) of event subjects in calls that publish or subscribe."""
-    def of(verb: str, role: str) -> DataFrame:
-        found = F.regexp_extract_all("text", F.lit(verb + r"\w*\(\s*[\"']([A-Za-z0-9][A-Za-z0-9._>*-]*)[\"']"), F.lit(1))
-        return files.where(~F.col("is_test")).select("unit", F.explode(found).alias("pattern"), F.lit(role).alias("role")).distinct()
-
-    return of(produce, "producer").unionByName(of(consume, "consumer"))
-
-
 def oidc_clients(files: DataFrame, provider: str, discovery: str = r"\.well-known/openid-configuration", token: str = r"(?i)(id_token|access_token|client_id)") -> DataFrame:
     """(unit, path): the first file of a unit that shows both the discovery document and a token."""
     hit = files.where((F.col("unit") != provider) & F.col("text").rlike(discovery) & F.col("text").rlike(token))

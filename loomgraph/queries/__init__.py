@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembly, closures, elections, graphs, reports, scalars, sections, technology
+from . import assembly, closures, elections, graphs, reports, scalars, sections, technology, wiring
 from .registry import ORACLES, QUERIES
 
-__all__ = ["assembly", "closures", "elections", "graphs", "reports", "scalars", "sections", "technology"]
+__all__ = ["assembly", "closures", "elections", "graphs", "reports", "scalars", "sections", "technology", "wiring"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -225,11 +225,6 @@ def health_routes(spark, d):
     return extract.health_routes(_source(spark, d))
 
 
-@query("select 'p/' || p_partkey as unit, 'order.' || p_partkey || '.made' as pattern, 'producer' as role from part where p_partkey % 7 <> 6 union all select 'p/' || p_partkey, 'order.' || (p_partkey // 2) || '.made', 'consumer' from part where p_partkey % 7 <> 6")
-def event_roles(spark, d):
-    return extract.event_roles(_source(spark, d))
-
-
 @query("select 'p/' || a.p_partkey as unit, 'resource:x/' || b.p_partkey as resource from part a join part b on b.p_partkey = a.p_partkey // 3 where a.p_partkey % 7 <> 6 and b.p_partkey % 10 <> 0")
 def bucket_literals(spark, d):
     k = F.col("p_partkey")
