@@ -41,8 +41,8 @@ def sentence(s: Column) -> Column:
 
 
 def one_sentence(s: Column) -> Column:
-    """Whether a description is one sentence: it ends with a stop and has none before another word."""
-    return s.rlike(r"[.!?]$") & ~s.rlike(r"[.!?]\s+[A-Z]")
+    """Whether a description is one sentence: a stop at its end, none before, and no line break."""
+    return s.rlike(r"^[^.!?\r\n]*[.!?]\z")
 
 
 def fact_key(s: Column) -> Column:

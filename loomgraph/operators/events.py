@@ -34,10 +34,16 @@ def _begins(pattern: Column, prefixes: list[str] | None) -> Column:
     return found
 
 
+def source_files(files: DataFrame) -> DataFrame:
+    """Those of files (path, and is_test where known) that are source and no tests."""
+    path = F.col("path")
+    plain = files.where(path.rlike(DECLARING) & ~path.rlike(TEST_PATH) & ~path.rlike(TEST_FILE) & ~path.rlike(TEST_ENDING))
+    return plain.where(~F.col("is_test")) if "is_test" in files.columns else plain
+
+
 def constants(files: DataFrame) -> DataFrame:
     """(unit, name, pattern, path, place) of the constants that source files (unit, path, text) declare, tests left out."""
-    path = F.col("path")
-    source = files.where(path.rlike(DECLARING) & ~path.rlike(TEST_PATH) & ~path.rlike(TEST_FILE) & ~path.rlike(TEST_ENDING))
+    source = source_files(files)
 
     def of(form: str, turn: int) -> DataFrame:
         names, patterns = (F.regexp_extract_all("text", F.lit(form), F.lit(g)) for g in (1, 2))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import parent_path
 from ..functions.text import distribution_name, rust_ident, script_tier, task_tier, workflow_tier
 from ..sources import parsers
+from .events import source_files
 from .own import nearest_config, unique_names
 
 #: Files that mark a unit, and what they make of it.
@@ -39,9 +40,14 @@ def _edges(deps: DataFrame, names: DataFrame, via: str, refuse: bool) -> tuple[D
     return edges, hit.where(F.col("ambiguous") & F.lit(refuse)).select("unit", "name").distinct()
 
 
-def node(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, checks) of package manifests; of equal names the first unit wins."""
-    m = parsers.rows(files.where(F.col("path").rlike(r"(^|/)package\.json$")), "package_json", "kind string, name string, value string")
+def packages(files: DataFrame) -> DataFrame:
+    """Rows (kind, name, value) of the package manifests among files."""
+    return parsers.rows(files.where(F.col("path").rlike(r"(^|/)package\.json$")), "package_json", "kind string, name string, value string")
+
+
+def node(files: DataFrame, manifests: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, checks) of package manifests (see `packages`); of equal names the first unit wins."""
+    m = packages(files) if manifests is None else manifests
     names = m.where("kind = 'name'").select("name", "unit", F.col("path").alias("ord"))
     deps = m.where("kind like '%ependencies'").select("unit", "name", (F.col("kind") == "devDependencies").alias("is_test"))
     scripts = m.where("kind = 'scripts'").select(F.concat("unit", F.lit(":"), "name").alias("id"), "unit", script_tier(F.col("name")).alias("tier"), F.col("value").alias("command")).where("tier is not null")
@@ -114,14 +120,22 @@ def capabilities(files: DataFrame, declared: list[tuple[str, str]]) -> DataFrame
     return files.where(~F.col("is_test")).select("unit", F.explode(hit).alias("name")).distinct()
 
 
+# What states a port, and routes of health checks.
+PORT = r"ListenAndServe\(\s*\":(\d{2,5})\"|\bPORT\s*=\s*\"?(\d{2,5})\"?|\bport:\s*(\d{2,5})\b"
+HEALTH = r"[\"'`](/(?:healthz|health|livez|readyz|ready|ping|status))[\"'`]"
+
+
 def port_facts(files: DataFrame) -> DataFrame:
-    """(unit, port) where all source of a unit names exactly one literal port."""
-    ports = files.where(~F.col("is_test")).select("unit", F.explode(F.regexp_extract_all("text", F.lit(r"(?:listen\(|PORT\s*(?:\|\||\?\?|=|:)\s*[\"']?|EXPOSE )([0-9]{2,5})"), F.lit(1))).alias("port"))
-    return ports.groupBy("unit").agg(F.count_distinct("port").alias("n"), F.min("port").alias("port")).where("n = 1").select("unit", "port")
+    """(unit, port) where the source files of a unit state exactly one port; the first of a file counts."""
+    group = lambda n: F.regexp_extract("text", PORT, n)
+    ports = source_files(files).select("unit", F.concat(group(1), group(2), group(3)).alias("port")).where("port <> ''")
+    return ports.groupBy("unit").agg(F.min("port").alias("port"), F.max("port").alias("other")).where("port = other").select("unit", "port")
 
 
 def health_routes(files: DataFrame) -> DataFrame:
-    return files.where(~F.col("is_test")).select("unit", F.explode(F.regexp_extract_all("text", F.lit(r"[\"'](/(?:healthz?|readyz?|livez|status/health)(?:/[a-z]+)?)[\"']"), F.lit(1))).alias("route")).distinct()
+    """(unit, route, path) of health routes in source; the first of a file counts, and the first file of a route."""
+    found = source_files(files).select("unit", "path", F.regexp_extract("text", HEALTH, 1).alias("route")).where("route <> ''")
+    return found.groupBy("unit", "route").agg(F.min("path").alias("path"))
 
 
 def client_resources(deps: DataFrame, clients: list[tuple[str, str]], resources: DataFrame) -> DataFrame:
@@ -133,17 +147,67 @@ def client_resources(deps: DataFrame, clients: list[tuple[str, str]], resources:
     return deps.withColumn("type", kind).where("type is not null").join(one, "type").select("unit", "resource", F.col("name").alias("client")).distinct()
 
 
-def oidc_clients(files: DataFrame, provider: str, discovery: str = r"\.well-known/openid-configuration", token: str = r"(?i)(id_token|access_token|client_id)") -> DataFrame:
-    """(unit, path): the first file of a unit that shows both the discovery document and a token."""
-    hit = files.where((F.col("unit") != provider) & F.col("text").rlike(discovery) & F.col("text").rlike(token))
-    return hit.groupBy("unit").agg(F.min("path").alias("path"))
+# What names the discovery of an identity provider, and what shows a request for a token.
+DISCOVERY = r"(?i)(\.well-known/openid-configuration|jwks_uri|token_endpoint|/oidc/token|oauth2?/token)"
+TOKEN_REQUEST = r"(?i)(grant_?type|client_?id|client_?secret|jwks|authoriz|id_?token|access_?token|userinfo|refresh_?token)"
+
+
+def oidc_clients(files: DataFrame, apis: list[tuple[str, str, str]]) -> DataFrame:
+    """(unit, api, path): the first source file of a unit that names the discovery of an API and shows a request for a token.
+
+    apis are authored (ref, unit of the provider, discovery path); a provider is no client of its own API.
+    """
+    shown = source_files(files).where(F.col("text").rlike(TOKEN_REQUEST))
+    named = F.col("text").rlike(DISCOVERY)
+    hit = [F.when((named | F.contains("text", F.lit(path))) & (F.col("unit") != provider), F.lit(ref)) for ref, provider, path in apis]
+    return shown.select("unit", "path", F.explode(F.array_compact(F.array(*hit))).alias("api")).groupBy("unit", "api").agg(F.min("path").alias("path"))
+
+
+# Files that hold bucket names, the names, and what shows the use of a store.
+STORE_SOURCE = r"\.(ts|tsx|js|jsx|mts|cts|go|py|rb|java|kt|rs)$"
+BUCKET = r"[\"'`]([a-z][a-z0-9-]{4,60})[\"'`]"
+STORE = r"(?i)(@aws-sdk/client-s3|aws-sdk-s3|aws_sdk_s3|minio|google\.cloud\.storage|boto3|\bS3\b|bucket|Bucket|BlobService|createBucket)"
 
 
-def bucket_resources(files: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(unit, resource): bucket literals in source that exactly one dataset (ref, bucket) has."""
-    lit = files.where(~F.col("is_test")).select("unit", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)bucket\w*\s*[:=(]\s*[\"']([a-z0-9][a-z0-9.-]{2,62})[\"']"), F.lit(1))).alias("bucket")).distinct()
-    one = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("ref").alias("resource")).where("n = 1")
-    return lit.join(one, "bucket").select("unit", "resource").distinct()
+def _substrings(text: Column, lengths: Column) -> Column:
+    """All parts of a text of the given lengths."""
+    fit = F.filter(lengths, lambda n: n <= F.length(text))
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+    return F.array_distinct(F.flatten(F.transform(fit, of)))
+
+
+def contained_names(literals: DataFrame, names: DataFrame) -> DataFrame:
+    """(literal, name) of distinct literals and names of which one contains the other's first word (before a `-`).
+
+    Both ways are hash joins: a text is exploded into its parts of those lengths that first words have.
+    """
+    first = lambda c: F.substring_index(c, "-", 1)
+    lit = literals.select("literal").distinct().withColumn("word", first("literal"))
+    nam = names.select("name").distinct().withColumn("word", first("name"))
+
+    def within(whole: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+        lengths = parts.agg(F.collect_set(F.length("word"))).scalar()
+        keys = whole.select(text, lengths.alias("lengths")).select(text, F.explode(_substrings(F.col(text), F.col("lengths"))).alias("word"))
+        return keys.join(parts.select(part, "word"), "word").select("literal", "name")
+
+    return within(lit, "literal", nam, "name").unionByName(within(nam, "name", lit, "literal")).distinct()
+
+
+def bucket_uses(files: DataFrame, datasets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uses, ambiguous): uses (unit, resource, bucket, path) of literals that exactly one dataset (ref, name) answers to.
+
+    Only source that shows the use of a store counts. A literal that several datasets answer to is ambiguous (unit, path, bucket, n);
+    of several literals of a unit for one dataset the first by file and name counts.
+    """
+    path = F.col("path")
+    source = source_files(files).where(path.rlike(STORE_SOURCE) & F.col("text").rlike(STORE))
+    found = source.select("unit", "path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(BUCKET), F.lit(1)))).alias("bucket"))
+    pairs = contained_names(found.select(F.col("bucket").alias("literal")), datasets).join(datasets, "name")
+    matches = pairs.groupBy(F.col("literal").alias("bucket")).agg(F.count("*").alias("n"), F.min("ref").alias("resource"))
+    hit = found.join(matches, "bucket")
+    first = F.min(F.struct("path", "bucket")).alias("f")
+    uses = hit.where("n = 1").groupBy("unit", "resource").agg(first).select("unit", "resource", "f.bucket", "f.path")
+    return uses, hit.where("n > 1").select("unit", "path", "bucket", "n")
 
 
 def database_uses(migrations: DataFrame, connections: DataFrame) -> DataFrame:
@@ -170,14 +234,14 @@ def workspace_roots(files: DataFrame) -> DataFrame:
     return manifests.withColumn("base", parent_path(F.col("root"))).join(bases, "base", "left_semi").select("root").distinct()
 
 
-def task_graph(files: DataFrame, refs: DataFrame, configs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def task_graph(files: DataFrame, refs: DataFrame, configs: DataFrame | None = None, manifests: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(checks, untiered): checks (id, unit, tier, command, config_path) of tasks of the nearest task graph that a unit's package has as scripts.
 
     refs are (unit, ref); configs (path, text) are looked for among files unless given. Tasks without a tier are returned apart: they may be ordinary scripts.
     """
     configs = (files if configs is None else configs).where(F.col("path").rlike(r"(^|/)turbo\.json$"))
     tasks = parsers.rows(configs.select("path", "text"), "task_graph", "task string").where("task is not null").select(parent_path(F.col("path")).alias("config_dir"), F.col("path").alias("config_path"), "task")
-    m = parsers.rows(files.where(F.col("path").rlike(r"(^|/)package\.json$")), "package_json", "kind string, name string, value string")
+    m = packages(files) if manifests is None else manifests
     scripts = m.where("kind = 'scripts'").select("unit", F.col("name").alias("task")).distinct()
     names = m.where("kind = 'name'").groupBy("unit").agg(F.min("name").alias("package"))
     near = nearest_config(scripts.select("unit").distinct(), tasks.select(F.col("config_dir").alias("dir")).distinct(), "unit")

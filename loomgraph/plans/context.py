@@ -149,8 +149,10 @@ def assert_no_secrets(found: DataFrame, column: str = "item") -> None:
 
 
 def markdown(found: DataFrame, title: str, most_rows: int = 10_000) -> str:
-    """A context of bounded size as Markdown."""
-    rows = found.orderBy("section", "position").limit(most_rows).collect()
+    """A context as Markdown; raises where it has more than `most_rows` rows, which a caller may cut by budgets."""
+    rows = found.orderBy("section", "position").limit(most_rows + 1).collect()
+    if len(rows) > most_rows:
+        raise ValueError(f"the context has more than {most_rows} rows")
     sections: dict[str, list[str]] = {}
     for r in rows:
         sections.setdefault(r.section, []).append(r.item)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import events, indexes, modules
+from ..operators import events, extract, indexes, modules
 from ..sources.bindings import table
 from .registry import query
 
@@ -156,3 +156,62 @@ DYNAMIC_FILES = [
 def dynamic_imports(spark, d):
     files = written(spark, d, DYNAMIC_FILES)
     return modules.resolve_patterns(modules.patterns(files), files)
+
+
+# -- facts of source text
+
+PORT_FILES = [
+    (K % 8 == 0, "main.go", 'http.ListenAndServe( ":<port>", nil)\n'), (K % 8 == 1, "a.ts", 'const PORT = "<port>";\n'), (K % 8 == 2, "a.ts", "serve({ port: <port>, x: 1 })\n"), (K % 8 == 3, "a.ts", "app.listen(3000)\n"),
+    (K % 8 == 3, "Dockerfile", "EXPOSE 8080\n"), (K % 8 == 4, "a.ts", "x = { port: <port> }\n"), (K % 8 == 4, "b.py", "PORT=9999\n"), (K % 8 == 5, "a.ts", "x = { port: <port> }\n"), (K % 8 == 5, "b.py", "PORT = <port>\n"),
+    (K % 8 == 6, "tests/a.ts", "x = { port: <port> }\n"), (K % 8 == 6, "a_test.go", 'http.ListenAndServe(":<port>", nil)\n'), (K % 8 == 7, "a.ts", "x = { port: <port>, y: { port: 7777 } }\n"),
+]
+
+
+@query("select 'p/' || p_partkey as unit, (3000 + p_partkey % 9)::varchar as port from part where p_partkey % 8 in (0, 1, 2, 5, 7)")
+def literal_ports(spark, d):
+    return extract.port_facts(written(spark, d, PORT_FILES, port=3000 + K % 9))
+
+
+HEALTH_FILES = [
+    (K % 6 == 0, "a.ts", "get('/ping')\n"), (K % 6 == 0, "b.ts", 'get("/status")\n'), (K % 6 == 0, "c.ts", "get('/ping')\n"), (K % 6 == 1, "a.go", 'h("/healthz"); h("/ready")\n'), (K % 6 == 2, "a.ts", "get('/health/deep'); get('/healthzz')\n"),
+    (K % 6 == 3, "a.rb", "get `/livez`\n"), (K % 6 == 4, "a.spec.ts", "get('/readyz')\n"), (K % 6 == 5, "a.md", "'/health'\n"),
+]
+
+
+@query("""select 'p/' || p_partkey as unit, r as route, 'p/' || p_partkey || '/' || f as path from part join (values (0, '/ping', 'a.ts'), (0, '/status', 'b.ts'), (1, '/healthz', 'a.go'), (3, '/livez', 'a.rb')) v(m, r, f) on m = p_partkey % 6""")
+def health_routes(spark, d):
+    return extract.health_routes(written(spark, d, HEALTH_FILES))
+
+
+OIDC_FILES = [
+    (K % 6 == 0, "b.ts", "fetch(base + '/.well-known/openid-configuration'); post({ grant_type: 'code' })\n"), (K % 6 == 0, "a.ts", "const TokenEndpoint = cfg.token_endpoint, clientId = 1\n"), (K % 6 == 1, "a.ts", "// see /oidc/token\n"),
+    (K % 6 == 2, "a.ts", "x.accessToken = y\n"), (K % 6 == 3, "a.go", 'get("/sso/one/config"); ClientSecret: s\n'), (K % 6 == 4, "a.test.ts", "token_endpoint client_id\n"), (K % 6 == 5, "a.py", "jwks_uri\n"),
+]
+
+
+@query("""with c as (select p_partkey as k, unnest(case p_partkey % 6 when 3 then ['api:x/one'] else ['api:x/one', 'api:x/two'] end) as api, case p_partkey % 6 when 3 then 'a.go' when 5 then 'a.py' else 'a.ts' end as f from part where p_partkey % 6 in (0, 3, 5))
+  select 'p/' || k as unit, api, 'p/' || k || '/' || f as path from c where not (k = 6 and api = 'api:x/one') and not (k = 9 and api = 'api:x/two')""")
+def oidc_clients(spark, d):
+    return extract.oidc_clients(written(spark, d, OIDC_FILES), [("api:x/one", "p/6", "/sso/one/config"), ("api:x/two", "p/9", "/sso/two/config")])
+
+
+_WIDE = lambda n: F.lpad(n.cast("string"), 6, "0")
+BUCKET_FILES = [
+    (K % 4 == 0, "a.ts", "const bucketName = 'd<h>x-raw'\n"), (K % 4 == 1, "a.py", "boto3.client(); get('e<h>x-backup')\n"), (K % 4 == 2, "a.ts", 'createBucket("d<h>x-raw"); put("d<h>x-cold")\n'), (K % 4 == 2, "b.ts", "new S3(); get(`e<h>x-backup`)\n"),
+    (K % 4 == 3, "a.ts", "const x = 'd<h>x-raw'\n"), (K % 4 == 3, "a.test.ts", "bucket('d<h>x-raw')\n"),
+]
+
+
+@query("""with s as (select p_partkey as k, lpad(p_partkey::varchar, 6, '0') as w from part),
+  f as (select p_partkey as k, p_partkey // 3 as h, unnest(case p_partkey % 4 when 0 then ['d raw a.ts'] when 1 then ['e backup a.py'] when 2 then ['d raw a.ts', 'd cold a.ts', 'e backup b.ts'] end) as x from part),
+  l as (select k, h, split_part(x, ' ', 1) as c, split_part(x, ' ', 1) || lpad(h::varchar, 6, '0') || 'x-' || split_part(x, ' ', 2) as bucket, 'p/' || k || '/' || split_part(x, ' ', 3) as path from f where h in (select k from s)),
+  m as (select *, case when h % 10 = 0 then (c = 'd')::int * 2 when h % 7 = 0 then (c = 'e')::int else (c = 'd')::int end as n from l)
+  select 'uses' as kind, 'p/' || k as unit, 'resource:x/' || h as resource, min(bucket) as bucket, 1::bigint as n from m where n = 1 group by k, h union all select 'ambiguous', 'p/' || k, null, bucket, 2 from m where n = 2""")
+def bucket_literals(spark, d):
+    two = F.array(*[F.struct(F.concat(F.lit("resource:x/"), K.cast("string"), F.lit(x)).alias("ref"), F.concat(F.lit("d"), _WIDE(K), F.lit(f"x-{x}")).alias("name")) for x in "ab"])
+    ref = F.concat(F.lit("resource:x/"), K.cast("string"))
+    one = F.when(K % 7 == 0, F.concat(F.lit("big-e"), _WIDE(K), F.lit("x"))).otherwise(F.concat(F.lit("d"), _WIDE(K), F.lit("x-store")))
+    datasets = table(spark, d, "part").select(F.inline(F.when(K % 10 == 0, two).otherwise(F.array(F.struct(ref.alias("ref"), one.alias("name"))))))
+    uses, ambiguous = extract.bucket_uses(written(spark, d, BUCKET_FILES, h=_WIDE(F.floor(K / 3).cast("long"))), datasets)
+    found = uses.select(F.lit("uses").alias("kind"), "unit", "resource", "bucket", F.lit(1).cast("long").alias("n"))
+    return found.unionByName(ambiguous.select(F.lit("ambiguous").alias("kind"), "unit", F.lit(None).cast("string").alias("resource"), "bucket", "n"))

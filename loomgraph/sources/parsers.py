@@ -301,6 +301,30 @@ def wrangler(text: str) -> list[tuple[str, str, str]]:
     return out + [("var", k, str(v)) for k, v in (doc.get("vars") or {}).items()]
 
 
+def compiler_config(text: str) -> list[tuple]:
+    """(extends, base_url, paths) of a compiler configuration."""
+    doc = parse_jsonc(text)
+    options = doc.get("compilerOptions") or {}
+    extends = doc.get("extends")
+    parents = [x for x in (extends if isinstance(extends, list) else [extends]) if isinstance(x, str)]
+    paths = options.get("paths")
+    targets = {k: [t for t in v if isinstance(t, str)] for k, v in paths.items() if isinstance(v, list)} if isinstance(paths, dict) else None
+    return [(parents, options["baseUrl"] if isinstance(options.get("baseUrl"), str) else None, targets)]
+
+
+def package_imports(text: str) -> list[tuple[str, int, str]]:
+    """(pattern, ord, target) of the `imports` of a package manifest; every branch of a condition is a target."""
+
+    def targets(t: Any) -> list[str]:
+        if isinstance(t, str):
+            return [t]
+        inner = t if isinstance(t, list) else [t[k] for k in sorted(t)] if isinstance(t, dict) else []
+        return [x for i in inner for x in targets(i)]
+
+    found = json.loads(text).get("imports")
+    return [(pattern, n, t) for pattern, value in found.items() for n, t in enumerate(targets(value))] if isinstance(found, dict) else []
+
+
 def js_imports(text: str) -> list[tuple[str, bool]]:
     """(specifier, type only) of a module's imports; type only where each of them is."""
     plain = mask(text)
@@ -426,6 +450,7 @@ def contract_outline(text: str) -> list[tuple]:
 PARSERS: dict[str, Callable[[str], Any]] = {
     "yaml": parse_yaml, "toml": parse_toml, "jsonc": parse_jsonc, "ini": parse_ini, "go_mod": go_mod, "package_json": package_json, "cargo": cargo_manifest, "pyproject": pyproject, "openapi": openapi, "protobuf": protobuf,
     "graphql": graphql, "shell": shell_commands, "workflow": workflow_steps, "playbook": playbook, "wrangler": wrangler, "js_imports": js_imports, "python_imports": python_imports, "rust_idents": rust_idents, "symbols": symbols,
+    "compiler_config": compiler_config, "package_imports": package_imports,
     "contract_outline": contract_outline, "task_graph": task_graph, "workspace_bases": workspace_bases, "descriptors": descriptors, "journeys": journeys, "observations": observations, "overrides": overrides,
 }
 
