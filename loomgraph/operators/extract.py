@@ -89,9 +89,14 @@ def source_imports(files: DataFrame, names: DataFrame, language: str) -> DataFra
     found = parsers.rows(files.where(F.col("path").rlike(ends)), parser, "name string")
     name: Column = {"js": F.regexp_extract("name", "^(@[^/]+/[^/]+|[^./][^/]*)", 1), "python": F.col("name"), "rust": F.col("name")}[language]
     keyed = names.withColumn("name", rust_ident(F.col("name"))) if language == "rust" else names
-    uses = found.where("name is not null").select("unit", name.alias("name"), "is_test").where("name <> ''").groupBy("unit", "name").agg(F.bool_and("is_test").alias("is_test"))
-    own = keyed.select("unit", "name").distinct()  # a unit's own names shadow those of others
-    return _edges(uses.join(own, ["unit", "name"], "left_anti"), keyed, via, refuse=language != "js")[0]
+    return named_imports(found.where("name is not null").select("unit", name.alias("name"), "is_test"), keyed, via, refuse=language != "js")
+
+
+def named_imports(uses: DataFrame, names: DataFrame, via: str, refuse: bool) -> DataFrame:
+    """Edges of uses (unit, name, is_test) of names (name, unit, ord); a unit's own names shadow those of others."""
+    g = uses.where("name <> ''").groupBy("unit", "name").agg(F.bool_and("is_test").alias("is_test"))
+    own = names.select("unit", "name").distinct()
+    return _edges(g.join(own, ["unit", "name"], "left_anti"), names, via, refuse=refuse)[0]
 
 
 def operations(files: DataFrame) -> DataFrame:

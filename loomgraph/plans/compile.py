@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import contracts, elect, extract, indexes, own, relations
+from ..functions.paths import parent_path
+from ..operators import contracts, elect, events, extract, imports, indexes, modules, own, relations
 from ..sources import authored, parsers
 from ..sources import files as source
 from .context import all_edges
@@ -24,6 +25,8 @@ class Catalog:
     rules: list[tuple[int, str, str, list[str]]] = field(default_factory=list)  # (ord, id, key_pattern, elect)
     externals: list[tuple[str, str, str, str]] = field(default_factory=list)  # (pattern, name, mechanism, role)
     capabilities: list[tuple[str, str]] = field(default_factory=list)  # (name, pattern)
+    event_contracts: list[tuple[str, str, str]] = field(default_factory=list)  # (path, format, consumer); the first is that of subjects in source
+    event_prefixes: list[str] = field(default_factory=list)
 
 
 def discover(files: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
@@ -39,15 +42,44 @@ def _names(files: DataFrame, ending: str, parser: str, schema: str, kind: str) -
     return parsers.rows(files.where(F.col("path").rlike(ending)), parser, schema).where(F.col("kind") == kind).select("name", "unit", F.col("path").alias("ord"))
 
 
-def _extracted(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def module_edges(files: DataFrame, texts: DataFrame, units: DataFrame, packages: DataFrame) -> DataFrame:
+    """Edges (type, source, target, via, package) of JavaScript imports between units, static and dynamic, and of packages by name.
+
+    files: (unit, path, text, is_test); texts: (path, text) of the whole checkout, for its configurations; packages: (name, unit, ord).
+    """
+    said = texts.where(F.col("path").rlike(r"(^|/)[tj]sconfig[^/]*\.json$")).select("path", "text")
+    parsed = parsers.rows(said, "compiler_config", "extends array<string>, base_url string, paths map<string,array<string>>").where("error is null")
+    every = imports.inherited(parsed.select("path", "extends", "base_url", "paths"), packages.select("name", F.col("unit").alias("root")))
+    # of a directory, tsconfig.json comes before jsconfig.json; other names are there to be inherited
+    main = every.where(F.col("path").rlike(r"(^|/)[tj]sconfig\.json$")).withColumn("dir", parent_path(F.col("path")))
+    configs = settle(main.groupBy("dir").agg(F.max_by(F.struct("path", "base_url", "paths", "paths_base"), "path").alias("c")).select("c.*"))
+    manifests = texts.where(F.col("path").rlike(r"(^|/)package\.json$")).select("path", "text")
+    subpaths = parsers.rows(manifests, "package_imports", "pattern string, ord int, target string").where("pattern is not null")
+    subpaths = settle(subpaths.select(parent_path(F.col("path")).alias("dir"), "pattern", "ord", "target"))
+    static = settle(modules.js_imports(files).select("unit", "path", "is_test", "specifier"))
+    resolved = modules.resolve(modules.routes(static, configs, None, subpaths), texts)
+    dynamic = settle(modules.patterns(files))
+    loaded = modules.resolve_patterns(dynamic, texts, configs, None, subpaths).select("path", "specifier", "file", F.lit("dynamic-import").alias("via"))
+    found = modules.edges(static.unionByName(dynamic.drop("kind")), resolved.unionByName(loaded), units)
+    by_file = found.select("type", "source", "target", "via", F.lit(None).cast("string").alias("package"))
+    named = static.select("unit", "is_test", modules.package_of(F.col("specifier")).alias("name")).where("name is not null")
+    return by_file.unionByName(extract.named_imports(named, packages, "source-import", refuse=False))
+
+
+def _extracted(files: DataFrame, texts: DataFrame, units: DataFrame, manifests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, checks, ambiguous names) of all manifests and imports of files (unit, path, text, is_test)."""
-    node_edges, node_checks = extract.node(files)
+    node_edges, node_checks = extract.node(files, manifests)
     go_edges, go_checks = extract.go(files)
     rust_edges, rust_ambiguous, rust_checks = extract.rust(files)
     python_edges, python_ambiguous = extract.python(files)
-    packages = _names(files, r"(^|/)package\.json$", "package_json", "kind string, name string, value string", "name")
+    packages = settle(manifests.where("kind = 'name'").select("name", "unit", F.col("path").alias("ord")))
     crates = _names(files, r"(^|/)Cargo\.toml$", "cargo", "kind string, name string, value string", "package")
-    edges = [node_edges, go_edges, rust_edges, python_edges, extract.source_imports(files, packages, "js"), extract.source_imports(files, crates, "rust")]
+    projects = _names(files, r"(^|/)pyproject\.toml$", "pyproject", "kind string, name string", "name")
+    projects = projects.withColumn("name", F.regexp_replace(F.lower("name"), "[-.]+", "_"))
+    edges = [
+        node_edges, go_edges, rust_edges, python_edges, module_edges(files, texts, units, packages), extract.source_imports(files, crates, "rust"),
+        extract.source_imports(files, projects, "python"),
+    ]
     checks = node_checks.unionByName(go_checks).unionByName(rust_checks).unionByName(extract.workflow_checks(files))
     return reduce(DataFrame.unionByName, edges), checks, rust_ambiguous.unionByName(python_ambiguous)
 
@@ -77,10 +109,12 @@ def compile_checkout(spark: SparkSession, root: str, ignored: DataFrame | None =
         of = known.select(F.col("unit").alias(unit), F.col("ref").alias(f"{ref}_"))
         return df.join(of, unit).withColumn(ref, F.col(f"{ref}_")).drop(f"{ref}_", *([unit] if unit != ref else []))
 
-    edges, checks, ambiguous = _extracted(files)
-    graph_checks, _ = extract.task_graph(files, known, texts)
+    manifests = settle(extract.packages(files).drop("text"))
+    edges, checks, ambiguous = _extracted(files, texts, units, manifests)
+    edges = settle(edges)
+    graph_checks, _ = extract.task_graph(files, known, texts, manifests)
     checks = checks.unionByName(graph_checks.select("id", "unit", "tier", "command"))
-    attrs = F.create_map(F.lit("via"), "via", F.lit("package"), "package")
+    attrs = F.map_filter(F.create_map(F.lit("via"), "via", F.lit("package"), "package"), lambda _, v: v.isNotNull())
     found = named(named(edges.withColumn("prov", F.col("source")), "source", "source_ref"), "target", "target_ref")
     found = found.select("type", "source_ref", "target_ref", attrs.alias("attrs"), "via", F.lit("DERIVED").alias("evidence_class"), "prov")
     apis = authored.providers(entities)
@@ -101,21 +135,34 @@ def compile_checkout(spark: SparkSession, root: str, ignored: DataFrame | None =
     assertions = elect.statuses(facts, elections)
     journeys, unknown = authored.journeys(texts.where(F.col("path") == f"{catalog.folder}/journeys.yaml"), refs)
     verification = indexes.shadow_checks(indexes.merge_checks(named(checks.withColumn("ord", F.col("id")), "unit", "component_ref").select("id", "ord", "component_ref", "tier", "command")))
-    roles = named(extract.event_roles(files), "unit", "component").select("pattern", "role", "component", F.lit(None).cast("string").alias("contract_ref"), F.xxhash64("pattern", "component").alias("ord"))
-    plausible, odd = indexes.split_plausible(roles)
-    deps = parsers.rows(files.where(F.col("path").rlike(r"(^|/)package\.json$")), "package_json", "kind string, name string, value string").where("kind = 'dependencies'").select("unit", "name")
+    contract = catalog.event_contracts[0][0] if catalog.event_contracts else None
+    shown = events.roles(files, edges.select(F.col("source").alias("src"), F.col("target").alias("dst")), catalog.event_prefixes).select("unit", "pattern", "role").distinct()
+    roles = named(shown, "unit", "component").select("pattern", "role", "component", F.lit(contract).cast("string").alias("contract_ref"), F.lit(-1).cast("long").alias("ord"))
+    declared = spark.createDataFrame([(n, *c) for n, c in enumerate(catalog.event_contracts)], "ord long, path string, format string, consumer string")
+    listed, absent_catalogs = events.catalog(texts, declared)
+    roles = settle(roles.unionByName(listed.select("pattern", "role", "component", "contract_ref", "ord")))
+    plausible, odd = indexes.split_plausible(roles, catalog.event_prefixes)
+    interfaces = indexes.event_interfaces(indexes.fold_roles(plausible))
+    if contract:
+        event_index, event_problems = events.checked(settle(interfaces), inputs)
+    else:  # without a contract nothing can be checked against it
+        event_index = indexes.resolve_events(interfaces)
+        event_problems = event_index.where("false").select(*[F.lit("").alias(c) for c in ("severity", "code", "subject", "message")])
+    deps = manifests.where("kind = 'dependencies'").select("unit", "name")
     said = lambda df, code, subject, message, severity="warning": df.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.col(subject).alias("subject"), F.col(message).cast("string").alias("message"))
     broken = contracts.syntax_problems(entities.where("kind = 'API' and contract is not null").select(F.col("contract").alias("path"), "type").join(texts.select("path", "text"), "path"))
     diagnostics = [
         said(refused, "DESCRIPTOR", "path", "message", "error"), said(named(ambiguous, "unit", "subject"), "NAME_AMBIGUOUS", "subject", "name"), said(unknown, "JOURNEY_REF", "id", "ref", "error"), said(broken, "CONTRACT_SYNTAX", "path", "problem", "error"),
-        said(observation_problems, "OBSERVATION", "set", "problem", "error"), said(override_problems, "OVERRIDE", "path", "problem", "error"), said(odd, "EVENT_UNRESOLVED", "pattern", "component"),
+        said(observation_problems, "OBSERVATION", "set", "problem", "error"), said(override_problems, "OVERRIDE", "path", "problem", "error"),
+        said(odd, "EVENT_IMPLAUSIBLE", "pattern", "component"), said(absent_catalogs.withColumn("problem", F.lit("resolves to no file")), "PATH_UNRESOLVED", "path", "problem", "error"),
+        event_problems.select("severity", "code", "subject", "message"),
     ]
     empty = F.array().cast("array<string>")
     undescribed = known.join(entities.select("ref"), "ref", "left_anti").select("ref", F.lit("Component").alias("kind"), F.element_at(F.split("ref", "/"), -1).alias("name"), F.lit(None).cast("string").alias("description"), F.col("unit").alias("source_path"), empty.alias("docs"), empty.alias("constraints"), empty.alias("runbooks"))
     out = {
         "inputs": inputs.select("path", "length", "sha256", "is_utf8"), "units": units, "relations": related, "verification": verification, "operations": extract.operations(files), "journeys": journeys,
         "entities": entities.select("ref", "kind", "name", "description", "source_path", "docs", "constraints", "runbooks").unionByName(undescribed),
-        "events": indexes.resolve_events(indexes.event_interfaces(indexes.fold_roles(plausible))), "contracts": apis.where("contract is not null").select(F.col("contract").alias("ref"), F.col("ref").alias("api_ref")),
+        "events": event_index, "contracts": apis.where("contract is not null").select(F.col("contract").alias("ref"), F.col("ref").alias("api_ref")),
         "assertions": assertions.select(F.col("ord").cast("string").alias("id"), "subject", "key", F.col("value_json").alias("value"), "evidence_class", "status"),
         "conflicts": elections.where("conflict_status is not null").select("subject", "key", F.col("conflict_kind").alias("kind"), F.col("conflict_status").alias("status")),
         "diagnostics": reduce(DataFrame.unionByName, diagnostics).distinct(),

@@ -12,12 +12,13 @@ from ..operators import events, extract, indexes, modules
 from ..sources.bindings import table
 from .registry import query
 
-K = F.col("p_partkey")
+def _k() -> Column:
+    return F.col("p_partkey")
 
 
-def written(spark, d: str, cases: list[tuple[Column, str, str]], **more: Column) -> DataFrame:
-    """(unit, path, text, is_test) of files (condition, name, text) of every part; `<k>`, `<half>` and more stand for numbers."""
-    number = {"k": K, "half": F.floor(K / 2).cast("long"), **more}
+def written(spark, d: str, cases: list[tuple[str, str, str]], **more: str) -> DataFrame:
+    """(unit, path, text, is_test) of files (condition on k, name, text) of every part; `<k>`, `<half>` and more stand for numbers."""
+    number = {"k": F.col("k"), "half": F.floor(F.col("k") / 2).cast("long"), **{name: F.expr(e) for name, e in more.items()}}
 
     def filled(pattern: str) -> Column:
         out = F.lit(pattern)
@@ -25,8 +26,8 @@ def written(spark, d: str, cases: list[tuple[Column, str, str]], **more: Column)
             out = F.replace(out, F.lit(f"<{key}>"), n.cast("string"))
         return out
 
-    files = F.array_compact(F.array(*[F.when(on, F.struct(filled(f"p/<k>/{name}").alias("path"), filled(text).alias("text"))) for on, name, text in cases]))
-    rows = table(spark, d, "part").select(filled("p/<k>").alias("unit"), F.explode(files).alias("f")).select("unit", "f.path", "f.text")
+    files = F.array_compact(F.array(*[F.when(F.expr(on), F.struct(filled(f"p/<k>/{name}").alias("path"), filled(text).alias("text"))) for on, name, text in cases]))
+    rows = table(spark, d, "part").select(_k().alias("k")).select(filled("p/<k>").alias("unit"), F.explode(files).alias("f")).select("unit", "f.path", "f.text")
     return rows.withColumn("is_test", F.col("path").rlike(r"\.test\."))
 
 
@@ -34,20 +35,20 @@ def depends(spark, d: str) -> DataFrame:
     """(src, dst) of units."""
     p = table(spark, d, "part").where("p_partkey >= 1")
     unit = lambda n: F.concat(F.lit("p/"), n.cast("string"))
-    half = p.select(unit(K).alias("src"), unit(F.floor(K / 2).cast("long")).alias("dst"))
-    return half.unionByName(p.where("p_partkey % 5 = 0").select(unit(K).alias("src"), unit(F.floor(K / 3).cast("long")).alias("dst")))
+    half = p.select(unit(_k()).alias("src"), unit(F.floor(_k() / 2).cast("long")).alias("dst"))
+    return half.unionByName(p.where("p_partkey % 5 = 0").select(unit(_k()).alias("src"), unit(F.floor(_k() / 3).cast("long")).alias("dst")))
 
 
 # -- events
 
-MODULO = {"own": K % 40, "other": 2 * (F.floor(K / 4).cast("long") % 20)}
+MODULO = {"own": "k % 40", "other": "2 * (k div 4 % 20)"}
 EVENT_FILES = [
-    (K % 2 == 0, "src/names.ts", "export const S<own>_SUBJECT = 'order.k<k>.made';\nconst tiny = 'a.b';\n"),
-    (K % 4 == 2, "src/use.ts", "bus.publish(S<own>_SUBJECT, body)\n"),
-    (K % 4 == 1, "src/use.go", 'nc.subscribe(S<other>_SUBJECT); nc.subscribe("sub.k<k>.x.*"); nc.log("Not.This.One", "none")\n'),
-    (K % 4 == 3, "src/read.ts", "log(S0_SUBJECT, 'seen.k<k>.only')\n"),
-    (K % 4 == 3, "src/send.test.ts", "publish('test.k<k>.only')\n"),
-    (K % 20 == 10, "events.json", '{"order.k<k>.made": {}, "cat.k<k>": {"x": [1]}}'),
+    ("k % 2 = 0", "src/names.ts", "export const S<own>_SUBJECT = 'order.k<k>.made';\nconst tiny = 'a.b';\n"),
+    ("k % 4 = 2", "src/use.ts", "bus.publish(S<own>_SUBJECT, body)\n"),
+    ("k % 4 = 1", "src/use.go", 'nc.subscribe(S<other>_SUBJECT); nc.subscribe("sub.k<k>.x.*"); nc.log("Not.This.One", "none")\n'),
+    ("k % 4 = 3", "src/read.ts", "log(S0_SUBJECT, 'seen.k<k>.only')\n"),
+    ("k % 4 = 3", "src/send.test.ts", "publish('test.k<k>.only')\n"),
+    ("k % 20 = 10", "events.json", '{"order.k<k>.made": {}, "cat.k<k>": {"x": [1]}}'),
 ]
 _SEEN = """e as (select p_partkey as src, p_partkey // 2 as dst from part where p_partkey >= 1 union select p_partkey, p_partkey // 3 from part where p_partkey >= 1 and p_partkey % 5 = 0),
   reach as (select p_partkey as a, p_partkey as b from part union select reach.a, e.dst from reach join e on e.src = reach.b),
@@ -69,10 +70,10 @@ def event_roles_by_prefix(spark, d):
 
 
 def _catalogs(spark, d):
-    unit = F.concat(F.lit("p/"), K.cast("string"))
-    of = lambda on, path, kind: F.when(on, F.struct(F.concat(unit, F.lit(path)).alias("path"), F.lit(kind).alias("format")))
-    rows = F.array_compact(F.array(of(K % 20 == 0, "/src/names", "code"), of(K % 20 == 5, "/none", "code"), of(K % 20 == 10, "/events.json", "declared"), of(K % 20 == 14, "/src", "code")))
-    return table(spark, d, "part").select(K.alias("ord"), F.explode(rows).alias("c"), unit.alias("consumer")).select("ord", "c.path", "c.format", "consumer")
+    unit = F.concat(F.lit("p/"), _k().cast("string"))
+    of = lambda on, path, kind: F.when(F.expr(on), F.struct(F.concat(unit, F.lit(path)).alias("path"), F.lit(kind).alias("format")))
+    rows = F.array_compact(F.array(of("p_partkey % 20 = 0", "/src/names", "code"), of("p_partkey % 20 = 5", "/none", "code"), of("p_partkey % 20 = 10", "/events.json", "declared"), of("p_partkey % 20 = 14", "/src", "code")))
+    return table(spark, d, "part").select(_k().alias("ord"), F.explode(rows).alias("c"), unit.alias("consumer")).select("ord", "c.path", "c.format", "consumer")
 
 
 @query("""with c as (select p_partkey as k, p_partkey % 20 as m from part where p_partkey % 20 in (0, 5, 10, 14)),
@@ -109,8 +110,8 @@ _IMPORTS = [
     "import up from '#p/<half>/src/lib'\n", f"const b = require(`{_OTHER}`)\n", f"// import '{_OTHER}'\n/* import a from '{_OTHER}' */ import lo from 'lodash'\n", "import { c } from '@al/<half>/src/lib'\n",
 ]
 MODULE_FILES = [
-    *[((K % 8 == n) & (K % 10 != 9), "src/a.ts", t) for n, t in enumerate(_IMPORTS)], *[((K % 8 == n) & (K % 10 == 9), "src/a.test.ts", t) for n, t in enumerate(_IMPORTS)],
-    (K % 3 == 0, "src/lib/index.tsx", "export {}"), (K % 3 != 0, "src/lib.ts", "export {}"),
+    *[(f"k % 8 = {n} and k % 10 <> 9", "src/a.ts", t) for n, t in enumerate(_IMPORTS)], *[(f"k % 8 = {n} and k % 10 = 9", "src/a.test.ts", t) for n, t in enumerate(_IMPORTS)],
+    ("k % 3 = 0", "src/lib/index.tsx", "export {}"), ("k % 3 <> 0", "src/lib.ts", "export {}"),
 ]
 
 
@@ -139,14 +140,14 @@ def module_routes(spark, d):
 def module_edges(spark, d):
     files = written(spark, d, MODULE_FILES)
     found = modules.js_imports(files)
-    units = table(spark, d, "part").select(F.concat(F.lit("p/"), K.cast("string")).alias("root"))
+    units = table(spark, d, "part").select(F.concat(F.lit("p/"), _k().cast("string")).alias("root"))
     return modules.edges(found, modules.resolve(modules.routes(found, *_settings(spark)), files), units)
 
 
 DYNAMIC_FILES = [
-    (K % 4 == 0, "a.ts", "const m = await import(`./loc/${lang}.ts`)\n"), (K % 4 == 1, "a.ts", "require(`./loc/${a}${b}`); import(name); import(`${all}`)\n"),
-    (K % 4 == 2, "a.mjs", "const all = import.meta.glob('./loc/*.{ts,json}', { eager: true })\n"), (K % 4 == 3, "a.js", "import.meta.glob<Mod>([\"./loc/**/*.ts\", '!./loc/de/**'])\n"),
-    (K % 500 == 0, "b.ts", "import(`../${unit}/loc/en`)\n"), (F.lit(True), "loc/en.ts", ""), (F.lit(True), "loc/de/index.ts", ""), (F.lit(True), "loc/fr.json", "{}"), (F.lit(True), "loc/readme.md", "#"),
+    ("k % 4 = 0", "a.ts", "const m = await import(`./loc/${lang}.ts`)\n"), ("k % 4 = 1", "a.ts", "require(`./loc/${a}${b}`); import(name); import(`${all}`)\n"),
+    ("k % 4 = 2", "a.mjs", "const all = import.meta.glob('./loc/*.{ts,json}', { eager: true })\n"), ("k % 4 = 3", "a.js", "import.meta.glob<Mod>([\"./loc/**/*.ts\", '!./loc/de/**'])\n"),
+    ("k % 500 = 0", "b.ts", "import(`../${unit}/loc/en`)\n"), ("true", "loc/en.ts", ""), ("true", "loc/de/index.ts", ""), ("true", "loc/fr.json", "{}"), ("true", "loc/readme.md", "#"),
 ]
 
 
@@ -161,20 +162,20 @@ def dynamic_imports(spark, d):
 # -- facts of source text
 
 PORT_FILES = [
-    (K % 8 == 0, "main.go", 'http.ListenAndServe( ":<port>", nil)\n'), (K % 8 == 1, "a.ts", 'const PORT = "<port>";\n'), (K % 8 == 2, "a.ts", "serve({ port: <port>, x: 1 })\n"), (K % 8 == 3, "a.ts", "app.listen(3000)\n"),
-    (K % 8 == 3, "Dockerfile", "EXPOSE 8080\n"), (K % 8 == 4, "a.ts", "x = { port: <port> }\n"), (K % 8 == 4, "b.py", "PORT=9999\n"), (K % 8 == 5, "a.ts", "x = { port: <port> }\n"), (K % 8 == 5, "b.py", "PORT = <port>\n"),
-    (K % 8 == 6, "tests/a.ts", "x = { port: <port> }\n"), (K % 8 == 6, "a_test.go", 'http.ListenAndServe(":<port>", nil)\n'), (K % 8 == 7, "a.ts", "x = { port: <port>, y: { port: 7777 } }\n"),
+    ("k % 8 = 0", "main.go", 'http.ListenAndServe( ":<port>", nil)\n'), ("k % 8 = 1", "a.ts", 'const PORT = "<port>";\n'), ("k % 8 = 2", "a.ts", "serve({ port: <port>, x: 1 })\n"), ("k % 8 = 3", "a.ts", "app.listen(3000)\n"),
+    ("k % 8 = 3", "Dockerfile", "EXPOSE 8080\n"), ("k % 8 = 4", "a.ts", "x = { port: <port> }\n"), ("k % 8 = 4", "b.py", "PORT=9999\n"), ("k % 8 = 5", "a.ts", "x = { port: <port> }\n"), ("k % 8 = 5", "b.py", "PORT = <port>\n"),
+    ("k % 8 = 6", "tests/a.ts", "x = { port: <port> }\n"), ("k % 8 = 6", "a_test.go", 'http.ListenAndServe(":<port>", nil)\n'), ("k % 8 = 7", "a.ts", "x = { port: <port>, y: { port: 7777 } }\n"),
 ]
 
 
 @query("select 'p/' || p_partkey as unit, (3000 + p_partkey % 9)::varchar as port from part where p_partkey % 8 in (0, 1, 2, 5, 7)")
 def literal_ports(spark, d):
-    return extract.port_facts(written(spark, d, PORT_FILES, port=3000 + K % 9))
+    return extract.port_facts(written(spark, d, PORT_FILES, port="3000 + k % 9"))
 
 
 HEALTH_FILES = [
-    (K % 6 == 0, "a.ts", "get('/ping')\n"), (K % 6 == 0, "b.ts", 'get("/status")\n'), (K % 6 == 0, "c.ts", "get('/ping')\n"), (K % 6 == 1, "a.go", 'h("/healthz"); h("/ready")\n'), (K % 6 == 2, "a.ts", "get('/health/deep'); get('/healthzz')\n"),
-    (K % 6 == 3, "a.rb", "get `/livez`\n"), (K % 6 == 4, "a.spec.ts", "get('/readyz')\n"), (K % 6 == 5, "a.md", "'/health'\n"),
+    ("k % 6 = 0", "a.ts", "get('/ping')\n"), ("k % 6 = 0", "b.ts", 'get("/status")\n'), ("k % 6 = 0", "c.ts", "get('/ping')\n"), ("k % 6 = 1", "a.go", 'h("/healthz"); h("/ready")\n'), ("k % 6 = 2", "a.ts", "get('/health/deep'); get('/healthzz')\n"),
+    ("k % 6 = 3", "a.rb", "get `/livez`\n"), ("k % 6 = 4", "a.spec.ts", "get('/readyz')\n"), ("k % 6 = 5", "a.md", "'/health'\n"),
 ]
 
 
@@ -184,8 +185,8 @@ def health_routes(spark, d):
 
 
 OIDC_FILES = [
-    (K % 6 == 0, "b.ts", "fetch(base + '/.well-known/openid-configuration'); post({ grant_type: 'code' })\n"), (K % 6 == 0, "a.ts", "const TokenEndpoint = cfg.token_endpoint, clientId = 1\n"), (K % 6 == 1, "a.ts", "// see /oidc/token\n"),
-    (K % 6 == 2, "a.ts", "x.accessToken = y\n"), (K % 6 == 3, "a.go", 'get("/sso/one/config"); ClientSecret: s\n'), (K % 6 == 4, "a.test.ts", "token_endpoint client_id\n"), (K % 6 == 5, "a.py", "jwks_uri\n"),
+    ("k % 6 = 0", "b.ts", "fetch(base + '/.well-known/openid-configuration'); post({ grant_type: 'code' })\n"), ("k % 6 = 0", "a.ts", "const TokenEndpoint = cfg.token_endpoint, clientId = 1\n"), ("k % 6 = 1", "a.ts", "// see /oidc/token\n"),
+    ("k % 6 = 2", "a.ts", "x.accessToken = y\n"), ("k % 6 = 3", "a.go", 'get("/sso/one/config"); ClientSecret: s\n'), ("k % 6 = 4", "a.test.ts", "token_endpoint client_id\n"), ("k % 6 = 5", "a.py", "jwks_uri\n"),
 ]
 
 
@@ -197,8 +198,8 @@ def oidc_clients(spark, d):
 
 _WIDE = lambda n: F.lpad(n.cast("string"), 6, "0")
 BUCKET_FILES = [
-    (K % 4 == 0, "a.ts", "const bucketName = 'd<h>x-raw'\n"), (K % 4 == 1, "a.py", "boto3.client(); get('e<h>x-backup')\n"), (K % 4 == 2, "a.ts", 'createBucket("d<h>x-raw"); put("d<h>x-cold")\n'), (K % 4 == 2, "b.ts", "new S3(); get(`e<h>x-backup`)\n"),
-    (K % 4 == 3, "a.ts", "const x = 'd<h>x-raw'\n"), (K % 4 == 3, "a.test.ts", "bucket('d<h>x-raw')\n"),
+    ("k % 4 = 0", "a.ts", "const bucketName = 'd<h>x-raw'\n"), ("k % 4 = 1", "a.py", "boto3.client(); get('e<h>x-backup')\n"), ("k % 4 = 2", "a.ts", 'createBucket("d<h>x-raw"); put("d<h>x-cold")\n'), ("k % 4 = 2", "b.ts", "new S3(); get(`e<h>x-backup`)\n"),
+    ("k % 4 = 3", "a.ts", "const x = 'd<h>x-raw'\n"), ("k % 4 = 3", "a.test.ts", "bucket('d<h>x-raw')\n"),
 ]
 
 
@@ -208,10 +209,10 @@ BUCKET_FILES = [
   m as (select *, case when h % 10 = 0 then (c = 'd')::int * 2 when h % 7 = 0 then (c = 'e')::int else (c = 'd')::int end as n from l)
   select 'uses' as kind, 'p/' || k as unit, 'resource:x/' || h as resource, min(bucket) as bucket, 1::bigint as n from m where n = 1 group by k, h union all select 'ambiguous', 'p/' || k, null, bucket, 2 from m where n = 2""")
 def bucket_literals(spark, d):
-    two = F.array(*[F.struct(F.concat(F.lit("resource:x/"), K.cast("string"), F.lit(x)).alias("ref"), F.concat(F.lit("d"), _WIDE(K), F.lit(f"x-{x}")).alias("name")) for x in "ab"])
-    ref = F.concat(F.lit("resource:x/"), K.cast("string"))
-    one = F.when(K % 7 == 0, F.concat(F.lit("big-e"), _WIDE(K), F.lit("x"))).otherwise(F.concat(F.lit("d"), _WIDE(K), F.lit("x-store")))
-    datasets = table(spark, d, "part").select(F.inline(F.when(K % 10 == 0, two).otherwise(F.array(F.struct(ref.alias("ref"), one.alias("name"))))))
-    uses, ambiguous = extract.bucket_uses(written(spark, d, BUCKET_FILES, h=_WIDE(F.floor(K / 3).cast("long"))), datasets)
+    two = F.array(*[F.struct(F.concat(F.lit("resource:x/"), _k().cast("string"), F.lit(x)).alias("ref"), F.concat(F.lit("d"), _WIDE(_k()), F.lit(f"x-{x}")).alias("name")) for x in "ab"])
+    ref = F.concat(F.lit("resource:x/"), _k().cast("string"))
+    one = F.when(_k() % 7 == 0, F.concat(F.lit("big-e"), _WIDE(_k()), F.lit("x"))).otherwise(F.concat(F.lit("d"), _WIDE(_k()), F.lit("x-store")))
+    datasets = table(spark, d, "part").select(F.inline(F.when(_k() % 10 == 0, two).otherwise(F.array(F.struct(ref.alias("ref"), one.alias("name"))))))
+    uses, ambiguous = extract.bucket_uses(written(spark, d, BUCKET_FILES, h="lpad(k div 3, 6, '0')"), datasets)
     found = uses.select(F.lit("uses").alias("kind"), "unit", "resource", "bucket", F.lit(1).cast("long").alias("n"))
     return found.unionByName(ambiguous.select(F.lit("ambiguous").alias("kind"), "unit", F.lit(None).cast("string").alias("resource"), "bucket", "n"))

@@ -211,7 +211,7 @@ def test_compile_with_a_catalog(spark, tmp_path):
     head = "kind: {}\nmetadata:\n  name: {}\n  description: D.\n"
     put("web/package.json", '{"name": "@x/web", "dependencies": {"@x/lib": "1", "stripe": "1"}, "scripts": {"test": "jest"}}')
     put("lib/package.json", '{"name": "@x/lib"}')
-    put("web/src/a.ts", "import b from '@x/lib';\nload('api/orders.proto');\napp.listen(3000);\npublish('order.made');\n")
+    put("web/src/a.ts", "import b from '@x/lib';\nload('api/orders.proto');\nserve({ port: 3000 });\npublish('order.made');\n")
     put("web/README.md", "api/orders.proto on port 9")
     put("api/orders.proto", 'syntax = "proto3";\nservice Orders {\n  rpc Get(A) returns (B);\n}\n')
     put("web/component.yaml", head.format("Component", "shop") + "spec:\n  type: service\n  system: sales\n  context:\n    docs:\n      - notes/shop.md\n")

@@ -230,3 +230,32 @@ def test_inheritance_goes_on_to_its_end(spark):
     rows = [(f"c{i}.json", [f"./c{i + 1}.json"], "base" if i == 40 else None, None) for i in range(41)]
     configs = spark.createDataFrame(rows, "path string, extends array<string>, base_url string, paths map<string,array<string>>")
     assert {r.path: r.base_url for r in imports.inherited(configs).collect()} == {f"c{i}.json": "base" for i in range(41)}
+
+
+def test_a_compile_resolves_modules_and_events(spark, tmp_path):
+    from loomgraph.plans.compile import Catalog, compile_checkout
+
+    def put(path, text):
+        at = tmp_path / path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(text)
+
+    for name in ("web", "lib", "db", "util", "locale", "shared"):
+        put(f"{name}/package.json", '{"name": "@x/%s"%s}' % (name, ', "imports": {"#db/*": {"node": "./../db/*", "default": "./src/*"}}' if name == "web" else ""))
+    put("tsconfig.base.json", '{"compilerOptions": {"paths": {"@lib/*": ["gone/*", "lib/src/*"]}, /* c */ "baseUrl": ".",}}')
+    put("web/tsconfig.json", '{"extends": "../tsconfig.base"}')
+    put("web/src/a.ts", "import { x } from '@lib/m';\nimport type { D } from '../../db/index.js'\nimport('@x/util/deep');\nconst l = import(`../../locale/${lang}.json`);\nbus.publish(PAID_SUBJECT)\n")
+    put("lib/src/m.tsx", "export const x = 1\n")
+    put("db/index.ts", "export type D = 1\n")
+    put("locale/en.json", "{}")
+    put("lib/src/t.test.ts", "import s from '../../shared/src/names'\n")
+    put("shared/src/names.ts", "export const PAID_SUBJECT = 'order.paid.v1'\n")
+    put("util/src/names.ts", "export const PAID_SUBJECT = 'order.paid.v2'\n")
+    put("events.json", '{"order.paid.v2": {}, "order.lost.v1": {}}')
+    g = compile_checkout(spark, str(tmp_path), catalog=Catalog(event_contracts=[("events.json", "json", "component:default/lib"), ("gone.json", "json", "component:default/lib")]))
+    unit = lambda ref: ref.split("/")[1]
+    got = {(r.type, unit(r.source_ref), unit(r.target_ref), *r.via) for r in g["relations"].where("type like '%On'").collect()}
+    assert got == {("buildDependsOn", "web", "lib", "path-alias"), ("buildDependsOn", "web", "db", "relative-import"), ("buildDependsOn", "web", "util", "source-import"), ("buildDependsOn", "web", "locale", "dynamic-import"), ("testDependsOn", "lib", "shared", "relative-import")}
+    # shared is seen through lib as well; util comes later in order of roots, so its value counts
+    assert {(r.pattern, r.resolution, tuple(map(unit, r.producers))) for r in g["events"].collect()} == {("order.paid.v2", "resolved", ("web",)), ("order.lost.v1", "unresolved", ())}
+    assert {(r.severity, r.code, r.subject) for r in g["diagnostics"].collect()} == {("warning", "EVENT_UNRESOLVED", "order.lost.v1"), ("error", "PATH_UNRESOLVED", "gone.json")}
