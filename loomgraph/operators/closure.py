@@ -31,9 +31,12 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def reachable_pairs(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, node) of all nodes that each of seeds (node) reaches over edges (src, dst), itself included."""
+    """(seed, node) of all nodes that each seed reaches over edges (src, dst), its own included.
+
+    seeds: (seed, node) of the nodes that a seed begins with, or (node) where each is a seed of its own.
+    """
     edges = settle(edges.select("src", "dst").distinct())
-    frontier = settle(seeds.select(F.col("node").alias("seed"), "node").distinct())
+    frontier = settle(seeds.select("seed" if "seed" in seeds.columns else F.col("node").alias("seed"), "node").distinct())
     seen, depth = frontier, 0
     while not frontier.isEmpty():
         depth += 1

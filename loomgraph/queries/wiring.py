@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import events, extract, indexes, modules
+from ..operators import edge, events, extract, indexes, modules
 from ..sources.bindings import table
 from .registry import query
 
@@ -216,3 +216,43 @@ def bucket_literals(spark, d):
     uses, ambiguous = extract.bucket_uses(written(spark, d, BUCKET_FILES, h="lpad(k div 3, 6, '0')"), datasets)
     found = uses.select(F.lit("uses").alias("kind"), "unit", "resource", "bucket", F.lit(1).cast("long").alias("n"))
     return found.unionByName(ambiguous.select(F.lit("ambiguous").alias("kind"), "unit", F.lit(None).cast("string").alias("resource"), "bucket", "n"))
+
+
+# -- edge manifests
+
+EDGE_FILES = [
+    ("k % 3 = 0", "wrangler.toml", 'name = "w<k>"\n[[services]]\nbinding = "UP"\nservice = "w<half>"\n[[kv_namespaces]]\nbinding = "KV<k>"\nid = "1"\n[triggers]\ncrons = ["5 * * * *", "0 1 * * *"]\n'),
+    ("k % 3 = 1", "wrangler.jsonc", '{ // c\n "name": "w<k>", "services": [{"binding": "GONE", "service": "gone<k>"}], "queues": {"producers": [{"binding": "Q", "queue": "q"}], "consumers": [{"queue": "in<k>"}]},}'),
+    ("k % 3 = 2", "wrangler.toml", 'name = "w<k>"\n[vars]\nLEVEL = "x"\nJOB = "https://h.example/api/job<third>"\nOTHER = "https://h.example/api/none"\n'), ("k % 3 = 2", "wrangler.jsonc", "{}"),
+    ("k % 4 = 0", "src/app/api/job<k>/route.ts", "export {}\n"), ("k % 4 = 1", "src/r.ts", "don't; get('/api/job<k>', '/api/job<prev>')\n"), ("k % 4 = 2", "src/gen/c.ts", "call('/api/job<k>')\n"), ("k % 4 = 2", "src/x.ts", "call(`/api/job<next>`)\n"),
+    ("k % 4 = 3", "src/r.ts", "get(\"/api/job<k>\")\n"), ("k % 4 = 3", "src/r.test.ts", "get('/api/job<prev>')\n"),
+]
+
+
+def _edge(spark, d):
+    return written(spark, d, EDGE_FILES, third="k div 3", prev="k - 1", next="k + 1")
+
+
+@query("""with f as (select p_partkey as k, unnest(case p_partkey % 3 when 0 then [['binding.declared', '["KV' || p_partkey || '","UP"]'], ['binding.kind', '["kv","service-binding"]'], ['schedule.cron', '"0 1 * * *,5 * * * *"'], ['schedule.enabled', 'true']]
+    when 1 then [['binding.declared', '["GONE","Q","in' || p_partkey || '"]'], ['binding.kind', '["queue-consumer","queue-producer","service-binding"]']] else [['schedule.target', '["/api/job' || (p_partkey // 3) || '","/api/none"]']] end) as x from part)
+  select 'p/' || k as unit, x[1] as key, x[2] as value_json from f""")
+def edge_facts(spark, d):
+    return edge.facts(edge.declared(_edge(spark, d)))
+
+
+@query("""select 'call' as kind, 'p/' || a.p_partkey as unit, 'p/' || b.p_partkey as said from part a join part b on b.p_partkey = a.p_partkey // 2 where a.p_partkey % 3 = 0
+  union all select 'unresolved', 'p/' || p_partkey, 'gone' || p_partkey from part where p_partkey % 3 = 1 union all select 'unresolved', 'p/' || p_partkey, 'w' || (p_partkey // 2) from part where p_partkey % 3 = 0 and p_partkey // 2 not in (select p_partkey from part)""")
+def edge_services(spark, d):
+    calls, unresolved = edge.service_calls(edge.declared(_edge(spark, d)))
+    found = calls.select(F.lit("call").alias("kind"), F.col("source").alias("unit"), F.col("target").alias("said"))
+    return found.unionByName(unresolved.select(F.lit("unresolved").alias("kind"), "unit", F.col("service").alias("said")))
+
+
+@query("""with j as (select p_partkey as k, p_partkey // 3 as j from part where p_partkey % 3 = 2)
+  select 'schedules' as kind, 'p/' || k as unit, 'p/' || j as owner, '/api/job' || j as route from j where j % 4 <> 3 union all select 'unresolved', 'p/' || k, null, '/api/job' || j from j where j % 4 = 3
+  union all select 'unresolved', 'p/' || k, null, '/api/none' from j""")
+def edge_schedules(spark, d):
+    files = _edge(spark, d)
+    found, unresolved = edge.schedules(edge.declared(files), files)
+    out = found.select(F.lit("schedules").alias("kind"), F.col("source").alias("unit"), F.col("target").alias("owner"), "route")
+    return out.unionByName(unresolved.select(F.lit("unresolved").alias("kind"), "unit", F.lit(None).cast("string").alias("owner"), "route"))

@@ -301,6 +301,21 @@ def wrangler(text: str) -> list[tuple[str, str, str]]:
     return out + [("var", k, str(v)) for k, v in (doc.get("vars") or {}).items()]
 
 
+def edge_platform(text: str) -> list[tuple[str, str | None, str | None]]:
+    """(kind, name, value) of what an edge manifest declares: its name, bindings by kind, services, schedules and variables."""
+    doc = parse_toml(text) if not text.lstrip().startswith("{") else parse_jsonc(text)
+    queues, named = doc.get("queues") or {}, lambda x, *keys: str(next((x[k] for k in keys if x.get(k)), ""))
+    out: list[tuple[str, str | None, str | None]] = [("name", None, str(doc["name"]))] if doc.get("name") else []
+    lists = [
+        ("kv", doc.get("kv_namespaces"), ("binding",)), ("d1", doc.get("d1_databases"), ("binding",)), ("r2", doc.get("r2_buckets"), ("binding",)), ("durable-object", (doc.get("durable_objects") or {}).get("bindings"), ("name",)),
+        ("email-routing", doc.get("send_email"), ("name", "binding")), ("queue-producer", queues.get("producers"), ("binding",)), ("queue-consumer", queues.get("consumers"), ("queue", "binding")),
+    ]
+    out += [(kind, named(x, *keys), None) for kind, rows, keys in lists for x in rows or []]
+    out += [("service-binding", named(x, "binding"), named(x, "service")) for x in doc.get("services") or []]
+    out += [("cron", None, str(c)) for c in (doc.get("triggers") or {}).get("crons") or []]
+    return out + [("var", k, v) for k, v in (doc.get("vars") or {}).items() if isinstance(v, str)]
+
+
 def compiler_config(text: str) -> list[tuple]:
     """(extends, base_url, paths) of a compiler configuration."""
     doc = parse_jsonc(text)
@@ -450,7 +465,7 @@ def contract_outline(text: str) -> list[tuple]:
 PARSERS: dict[str, Callable[[str], Any]] = {
     "yaml": parse_yaml, "toml": parse_toml, "jsonc": parse_jsonc, "ini": parse_ini, "go_mod": go_mod, "package_json": package_json, "cargo": cargo_manifest, "pyproject": pyproject, "openapi": openapi, "protobuf": protobuf,
     "graphql": graphql, "shell": shell_commands, "workflow": workflow_steps, "playbook": playbook, "wrangler": wrangler, "js_imports": js_imports, "python_imports": python_imports, "rust_idents": rust_idents, "symbols": symbols,
-    "compiler_config": compiler_config, "package_imports": package_imports,
+    "compiler_config": compiler_config, "edge_platform": edge_platform, "package_imports": package_imports,
     "contract_outline": contract_outline, "task_graph": task_graph, "workspace_bases": workspace_bases, "descriptors": descriptors, "journeys": journeys, "observations": observations, "overrides": overrides,
 }
 
