@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import parent_path
-from ..operators import contracts, elect, events, extract, imports, indexes, modules, own, relations
+from ..operators import contracts, edge, elect, events, extract, imports, indexes, modules, own, relations
 from ..sources import authored, parsers
 from ..sources import files as source
 from .context import all_edges
@@ -122,14 +122,33 @@ def compile_checkout(spark: SparkSession, root: str, ignored: DataFrame | None =
     uses = contracts.consumers(contracts.reference_sites(files), apis.where("contract is not null").join(roots, "provider").select(F.col("contract").alias("ref"), F.col("unit").alias("provider")))
     via = contracts.labelled(uses).join(apis.select(F.col("contract").alias("ref"), F.col("ref").alias("api")), "ref")
     consumed = named(via, "unit", "source_ref").select(F.lit("consumesApi").alias("type"), "source_ref", F.col("api").alias("target_ref"), F.create_map(F.lit("via"), "via").alias("attrs"), "via", F.lit("DERIVED").alias("evidence_class"), F.col("ref").alias("prov"))
+    platform = settle(edge.declared(files))
+    called, unbound = edge.service_calls(platform)
+    scheduled, unscheduled = edge.schedules(platform, files)
+    datasets = entities.where("kind = 'Resource' and type = 'logical-dataset'").select("ref", "name")
+    stored, ambiguous_buckets = extract.bucket_uses(files, datasets)
+
+    def linked(df: DataFrame, kind: str, target: str, prov: str, **attr: Column) -> DataFrame:
+        """Edges of df (source, target as a unit or a ref) with attributes."""
+        of = named(df, "source", "source_ref")
+        of = named(of, "target", "target_ref") if target == "target" else of.withColumn("target_ref", F.col(target))
+        attrs = F.create_map(*[x for name, value in attr.items() for x in (F.lit(name), value)])
+        return of.select(F.lit(kind).alias("type"), "source_ref", "target_ref", attrs.alias("attrs"), F.coalesce(attr.get("via", F.lit("service-binding"))).alias("via"), F.lit("DERIVED").alias("evidence_class"), F.col(prov).alias("prov"))
+
+    second = linked(called, "runtimeCalls", "target", "contract_ref", transport=F.lit("service-binding"), contractRef=F.col("contract_ref"))
+    second = second.unionByName(linked(scheduled, "schedules", "target", "path", via=F.lit("declared-trigger-target"), route=F.col("route")))
+    second = second.unionByName(linked(stored.withColumnRenamed("unit", "source"), "usesResource", "resource", "path", via=F.lit("bucket-literal")))
     config = texts.where(F.col("path") == f"{catalog.folder}/config.yaml")
     reviewed, override_problems = authored.overrides(config, entities, inputs)
     over = reviewed.where("fact like 'relation:%'").select(F.substring("fact", 10, 100).alias("type"), F.col("subject").alias("source_ref"), F.col("target").alias("target_ref"), F.lit("override").alias("prov"))
-    related = settle(all_edges(authored.placements(entities, namespace), apis, found.unionByName(consumed), over))
+    related = settle(all_edges(authored.placements(entities, namespace), apis, found.unionByName(consumed).unionByName(second), over))
     refs = entities.select("ref").unionByName(known.select("ref")).distinct()
     observed, observation_problems = authored.observations(texts.where(F.col("path").rlike(rf"^{catalog.folder}/observations/.*\.ya?ml$")), refs, inputs)
-    ports = named(extract.port_facts(files), "unit", "subject").select("subject", F.lit("component.port").alias("key"), F.col("port").alias("value_json"), F.lit("DERIVED").alias("evidence_class"), F.lit("deterministic").alias("confidence"), F.lit(None).cast("string").alias("observed_at"), F.xxhash64("subject", "port").alias("ord"))
-    facts = settle(authored.fact_rows(observed).unionByName(ports))
+    claimed = extract.port_facts(files).select("unit", F.lit("component.port").alias("key"), F.col("port").alias("value_json")).unionByName(edge.facts(platform))
+    derived_facts = named(claimed, "unit", "subject").select(
+        "subject", "key", "value_json", F.lit("DERIVED").alias("evidence_class"), F.lit("deterministic").alias("confidence"), F.lit(None).cast("string").alias("observed_at"), F.xxhash64("subject", "key", "value_json").alias("ord")
+    )
+    facts = settle(authored.fact_rows(observed).unionByName(derived_facts))
     rules = spark.createDataFrame(catalog.rules, "ord int, id string, key_pattern string, elect array<string>")
     elections = settle(elect.elect(facts, rules))
     assertions = elect.statuses(facts, elections)
@@ -155,7 +174,8 @@ def compile_checkout(spark: SparkSession, root: str, ignored: DataFrame | None =
         said(refused, "DESCRIPTOR", "path", "message", "error"), said(named(ambiguous, "unit", "subject"), "NAME_AMBIGUOUS", "subject", "name"), said(unknown, "JOURNEY_REF", "id", "ref", "error"), said(broken, "CONTRACT_SYNTAX", "path", "problem", "error"),
         said(observation_problems, "OBSERVATION", "set", "problem", "error"), said(override_problems, "OVERRIDE", "path", "problem", "error"),
         said(odd, "EVENT_IMPLAUSIBLE", "pattern", "component"), said(absent_catalogs.withColumn("problem", F.lit("resolves to no file")), "PATH_UNRESOLVED", "path", "problem", "error"),
-        event_problems.select("severity", "code", "subject", "message"),
+        event_problems.select("severity", "code", "subject", "message"), said(named(unbound, "unit", "subject"), "SERVICE_BINDING_UNRESOLVED", "subject", "service"),
+        said(named(unscheduled, "unit", "subject"), "SCHEDULE_UNRESOLVED", "subject", "route"), said(named(ambiguous_buckets, "unit", "subject"), "BINDING_AMBIGUOUS", "subject", "bucket"),
     ]
     empty = F.array().cast("array<string>")
     undescribed = known.join(entities.select("ref"), "ref", "left_anti").select("ref", F.lit("Component").alias("kind"), F.element_at(F.split("ref", "/"), -1).alias("name"), F.lit(None).cast("string").alias("description"), F.col("unit").alias("source_path"), empty.alias("docs"), empty.alias("constraints"), empty.alias("runbooks"))
