@@ -12,6 +12,8 @@ from ..functions.paths import parent_path
 from ..operators import contracts, edge, elect, events, extract, imports, indexes, modules, own, relations
 from ..sources import authored, parsers
 from ..sources import files as source
+from ..sources.snapshot import Unstable, capture, differences, stable_inputs
+from .cache import Store, cached
 from .context import all_edges
 from .settle import settle
 
@@ -87,10 +89,28 @@ def _extracted(files: DataFrame, texts: DataFrame, units: DataFrame, manifests:
 def compile_checkout(spark: SparkSession, root: str, ignored: DataFrame | None = None, namespace: str = "default", catalog: Catalog | None = None) -> dict[str, DataFrame]:
     """Sections of the graph of a checkout (see `plans.context.GRAPH`), and its units, operations and inputs.
 
-    A unit is the component whose descriptor lies in its root, else a component named after its path.
+    A unit is the component whose descriptor lies in its root, else a component named after its path. All is made of one snapshot:
+    a checkout that changes while it is read is read once more, and then refused.
     """
+    return compile_inputs(spark, stable_inputs(spark, root, ignored)[0], namespace, catalog or Catalog())
+
+
+def compile_cached(spark: SparkSession, root: str, store: Store, ignored: DataFrame | None = None, namespace: str = "default", catalog: Catalog | None = None) -> tuple[dict[str, DataFrame], bool]:
+    """The same from a store of compiled graphs, and whether it was there; an unchanged checkout is listed and not compiled."""
     catalog = catalog or Catalog()
-    inputs = settle(source.inputs(spark, root, ignored))
+    listing = capture(spark, root, ignored)
+
+    def make() -> dict[str, DataFrame]:
+        inputs, after = stable_inputs(spark, root, ignored)
+        if not differences(listing, after).isEmpty():
+            raise Unstable("the checkout changed after it was listed; try again once edits have settled")
+        return compile_inputs(spark, inputs, namespace, catalog)
+
+    return cached(store, listing, make, f"{namespace} {catalog!r}")
+
+
+def compile_inputs(spark: SparkSession, inputs: DataFrame, namespace: str, catalog: Catalog) -> dict[str, DataFrame]:
+    """Sections of the graph of settled inputs (path, length, sha256, text, is_utf8)."""
     texts = inputs.where("is_utf8")
     units = settle(discover(inputs))
     here = F.col("path").startswith(f"{catalog.folder}/")
