@@ -252,6 +252,7 @@ def nodes(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
         for name, own in rows.items():
             out += [(name, *x) for x in subtree(name, own, least, spread)]
         columns = list(zip(*out, strict=True)) or [[]] * 4
+        trim()
         return pa.table([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()).cast(pa.string()), pa.array(columns[3], pa.int64())], ["lang", "depth", "phrase", "f"])
 
     parts = chosen.mapInArrow(deal, "part long, lang string, words binary, firsts binary, runs binary, seconds binary, thirds binary, counts binary")

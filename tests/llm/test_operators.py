@@ -81,6 +81,29 @@ def test_near_duplicates(docs, empty, spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 4, 5, 6, 7, 8, 9, None, 11, 12]))
 
 
+def test_fingerprints_that_never_peel_are_told_apart_by_their_sets(spark, monkeypatch):
+    rows = [(0, [1, 2, 3], [3, 4]), (1, [], [7]), (2, [5], [5]), (3, list(range(100, 160)), list(range(130, 170)))]
+    pairs = spark.createDataFrame(rows, "pair long, a array<long>, b array<long>")
+    sized = fingerprints.stored(fingerprints.sized(pairs))
+    want = {p: len(set(a) ^ set(b)) for p, a, b in rows}
+    digests = {(p, x, 1 if x in a else -1) for p, a, b in rows for x in set(a) ^ set(b)}
+    for tries in (0, 1, 16):
+        monkeypatch.setattr(fingerprints, "MOST_TRIES", tries)
+        got = {r.pair: r.d for r in fingerprints.differences(sized, 3).collect()}
+        assert {p: got.get(p) or 0 for p in want} == want
+        assert {tuple(r) for r in fingerprints.recovered(pairs, 3).collect()} == digests
+
+
+def test_fingerprints_leave_no_table_behind(docs, spark, monkeypatch):
+    def fails(_):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(fingerprints, "_versions", fails)
+    with pytest.raises(RuntimeError, match="stopped"):
+        fingerprints.fingerprint(docs)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("in_order_")]
+
+
 def test_links_of_near_duplicates(spark):
     """Every row that isn't alone has a link to its class, of the similarity that brute force finds."""
     r = random.Random(11)
