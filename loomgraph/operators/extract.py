@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import parent_path
+from ..functions.paths import ancestors, join_path, normal_path, parent_path
 from ..functions.text import distribution_name, rust_ident, script_tier, task_tier, workflow_tier
+from ..plans.settle import settle
 from ..sources import parsers
 from .events import source_files
-from .own import nearest_config, unique_names
+from .own import longest_owner, nearest_config, unique_names
 
 #: Files that mark a unit, and what they make of it.
 MARKERS = [
@@ -110,13 +111,88 @@ def operations(files: DataFrame) -> DataFrame:
     return out.unionByName(g.where("kind in ('query', 'mutation', 'subscription')").select("path", F.lit("graphql").alias("kind"), F.col("kind").alias("service"), F.col("name").alias("method"), none.alias("route")))
 
 
-def workflow_checks(files: DataFrame) -> DataFrame:
-    """(id, unit, tier, command) of CI steps; unit is the step's directory, `.` for the whole repository (a gate)."""
-    w = parsers.rows(files.where(F.col("path").rlike(r"\.github/workflows/[^/]+\.ya?ml$")), "workflow", "job string, step int, name string, run string, dir string").where("run is not null")
+# What may stand before a command, options that take a value, and the tiers of programs.
+_SEP = "\x1f"
+CI_BEFORE = "^(?:env\x1f|[A-Za-z_][A-Za-z0-9_]*=[^\x1f]*\x1f|(?:uv|poetry)\x1frun\x1f|(?:npx|bunx)\x1f|python(?:3(?:[.][0-9]+)?)?\x1f-m\x1f)+"
+CI_OPTIONS = "(?:(?:--filter|-F|--prefix|--dir|--cwd|-C|--workspace|-w)\x1f[^\x1f]*\x1f|-[^\x1f]*\x1f)*+"
+CI_MANAGER = "^(?:npm|pnpm|yarn|bun)\x1f"
+CI_VALUES = "--filter|-F|-C|--directory|--cwd|-t|--target|--targets|--projects|--configuration|-c|--parallel|--concurrency|--cache-dir|--output-logs"
+CI_PROGRAMS = [
+    (["pytest", "unittest", "vitest", "jest", "mocha", "ava"], None, "unit"), (["playwright", "cypress"], ["test", "run"], "e2e"), (["eslint", "mypy", "golangci-lint"], None, "static"), (["ruff", "biome"], ["check", "lint"], "static"),
+    (["go", "cargo", "dotnet"], ["test"], "unit"), (["go", "cargo", "dotnet"], ["vet", "clippy"], "static"), (["go", "cargo", "dotnet"], ["build"], "build"),
+]
+
+
+def ci_commands(commands: DataFrame) -> DataFrame:
+    """commands (command, words, dir) with `tiers`, `filters` (names of packages), `args`, `script` and `at` (a directory option).
+
+    Environments, runners and package managers in front of a program are taken off; a script's tier is that of its file name.
+    """
+    joined = F.concat(F.array_join("words", _SEP), F.lit(_SEP))
+    wrapped = f"{CI_MANAGER}({CI_OPTIONS})(?:(?:exec|dlx)\x1f|(?=(?:turbo|nx)\x1f))"
+    c = commands.withColumn("line", F.regexp_replace(joined, CI_BEFORE, "")).withColumn("chosen", F.lit(""))
+    for _ in range(2):  # a runner within a runner
+        c = c.withColumns({"chosen": F.concat("chosen", F.regexp_extract("line", wrapped, 1)), "line": F.regexp_replace(F.regexp_replace("line", wrapped, ""), CI_BEFORE, "")})
+    managed = f"{CI_MANAGER}({CI_OPTIONS})(?:run\x1f)?([^\x1f]*)\x1f(.*)$"
+    exe, rest = F.substring_index("line", _SEP, 1), F.expr(f"substring(line, locate('{_SEP}', line) + 1)")
+    c = c.withColumns({"exe": exe, "rest": rest, "managed": F.col("line").rlike(managed)}).withColumn("first", F.substring_index("rest", _SEP, 1))
+    c = settle(c)  # else every expression below would hold all of the above
+    body = F.regexp_replace("rest", "(?:^|(?<=\x1f))--\x1f.*$", "")
+    plain = F.regexp_replace(body, f"(?:^|(?<=\x1f))(?:(?:{CI_VALUES})\x1f[^\x1f]*\x1f|-[^\x1f]*\x1f)", "")
+    tokens = F.filter(F.split(plain, _SEP), lambda t: (t != "") & ~F.contains(t, F.lit("=")))
+    later = F.flatten(F.transform(F.slice(tokens, 2, 1000), lambda t: F.split(t, ",")))
+    targets = F.flatten(F.transform(F.regexp_extract_all(body, F.lit("(?:^|(?<=\x1f))(?:-t|--targets?)(?:=|\x1f)([^\x1f]*)\x1f"), F.lit(1)), lambda t: F.split(t, ",")))
+    pair = F.split(F.get(tokens, 1), ":")
+    nx = F.when(F.get(tokens, 0) == "run", F.array(F.get(pair, 1))).otherwise(F.concat(later, targets))
+    tasks = F.when(F.col("exe") == "nx", nx).when(F.col("exe") == "turbo", F.filter(tokens, lambda t: t != "run")).when(F.col("exe").isin("make", "just"), tokens)
+    interpreter = F.col("exe").isin("bash", "sh", "node") | F.col("exe").rlike(r"^python(3([.]\d+)?)?$")
+    script = F.when(~F.col("managed"), F.when(interpreter, F.col("first")).when(F.contains("exe", F.lit("/")), F.col("exe")))
+    stem = F.regexp_replace(F.element_at(F.split(script, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    one = F.when(F.col("managed"), workflow_tier(F.regexp_extract("line", managed, 2))).when((F.col("exe") == "node") & F.contains(F.concat(F.lit(_SEP), "rest"), F.lit(f"{_SEP}--test{_SEP}")), "unit")
+    for names, firsts, tier in CI_PROGRAMS:
+        one = one.when(F.col("exe").isin(*names) & (F.col("first").isin(*firsts) if firsts else F.lit(True)), tier)
+    one = one.when(F.col("exe") == "tsc", F.when(F.contains("rest", F.lit("--noEmit")), "static").otherwise("build")).otherwise(workflow_tier(stem))
+    tiers = F.array_distinct(F.array_compact(F.when(tasks.isNotNull(), F.transform(tasks, lambda t: workflow_tier(t))).otherwise(F.array(one))))
+    every = F.concat("chosen", F.when(F.col("managed"), F.concat(F.regexp_extract("line", managed, 1), F.regexp_extract("line", managed, 3))).otherwise(F.col("rest")))
+    filters = F.regexp_extract_all(every, F.lit("(?:^|(?<=\x1f))(?:--filter|-F|--workspace|-w|--projects?)(?:=|\x1f)([^\x1f]*)\x1f"), F.lit(1))
+    project = F.when((F.col("exe") == "nx") & (F.get(tokens, 0) == "run"), F.array(F.get(pair, 0))).otherwise(F.array().cast("array<string>"))
+    run = F.when(F.contains("exe", F.lit("/")), F.array("exe")).otherwise(F.array().cast("array<string>"))  # a script names a path by itself
+    paths = F.when(tasks.isNotNull(), F.array().cast("array<string>")).otherwise(F.concat(run, F.filter(F.transform(F.split(every, _SEP), lambda t: F.when(t.startswith("-"), F.regexp_extract(t, "^-[^=]*=(.*)$", 1)).otherwise(t)), lambda t: t != "")))
+    at = F.regexp_extract(body, "(?:^|(?<=\x1f))(?:--cwd|-C|--directory)(?:=|\x1f)([^\x1f]*)\x1f", 1)
+    named = F.flatten(F.transform(F.concat(filters, project), lambda f: F.split(f, ",")))
+    placed = F.when(F.col("exe").isin("make", "turbo") & (at != ""), at)
+    wanted = F.when(~F.coalesce(one.isNotNull() & F.col("exe").isin("node") & F.contains("rest", F.lit("--test")), F.lit(False)), script)
+    kept = [*commands.columns, tiers.alias("tiers"), named.alias("filters"), paths.alias("args"), wanted.alias("script"), placed.alias("at")]
+    return settle(c.select(*kept)).where(F.size("tiers") > 0)
+
+
+def workflow_checks(files: DataFrame, units: DataFrame | None = None, packages: DataFrame | None = None) -> DataFrame:
+    """(id, unit, tier, command) of CI commands among files (path, text); unit `.` where a command has no unit as its scope: a gate.
+
+    A command belongs to the deepest unit (root) over its directory, to units whose package (name, unit) it selects, and to units over
+    a path that it is given. Without units its directory is its unit. A script counts only if it is a file of the checkout.
+    """
+    w = parsers.rows(files.where(F.col("path").rlike(r"\.github/workflows/[^/]+\.ya?ml$")).select("path", "text"), "workflow", "job string, step int, name string, run string, dir string").where("run is not null")
     c = parsers.rows(w.drop("error", "error_line"), "shell", "n int, command string, words array<string>", text="run").where("command is not null")
-    task = F.expr("try_element_at(filter(slice(words, 2, size(words)), w -> w not in ('run', '--', 'exec', '-C') and not startswith(w, '-')), 1)")
     ident = F.concat_ws(":", F.lit("ci"), F.regexp_extract("path", "([^/]+)$", 1), "job", F.col("step").cast("string"), F.col("n").cast("string"))
-    return c.select(ident.alias("id"), F.regexp_replace("dir", r"^\./", "").alias("unit"), workflow_tier(task).alias("tier"), "command").where("tier is not null")
+    said = ci_commands(c.select(ident.alias("id"), F.coalesce(normal_path(F.col("dir")), F.lit(".")).alias("dir"), "command", "words"))
+    script = normal_path(join_path(F.col("dir"), F.col("script")))
+    there = files.select(F.col("path").alias("file")).distinct()
+    real = said.withColumn("file", script).join(there.withColumn("there", F.lit(True)), "file", "left").where("script is null or there")
+    at = F.when(F.col("at").isNull(), F.col("dir")).otherwise(normal_path(join_path(F.col("dir"), F.col("at"))))
+    one = real.select("id", "command", at.alias("at"), "filters", "args", "tiers")
+    rows = one.select("id", "command", "at", "filters", "args", F.size("tiers").alias("n_tiers"), F.explode("tiers").alias("tier"))
+    told = rows.select(F.when(F.col("n_tiers") > 1, F.concat_ws(":", "id", "tier")).otherwise(F.col("id")).alias("id"), "id", "tier", "command", "at").toDF("check", "id", "tier", "command", "at")
+    if units is None:
+        return told.select(F.col("check").alias("id"), F.col("at").alias("unit"), "tier", "command")
+    own = longest_owner(one.select("id", "at"), units, "at").where("owner is not null and at <> '.'").select("id", F.col("owner").alias("unit"))
+    literal = F.explode(F.filter("args", lambda a: ~a.rlike(r"[$`]") & ~a.startswith("/"))).alias("arg")
+    given = one.select("id", "at", literal).select("id", normal_path(join_path(F.col("at"), F.regexp_replace("arg", r"/[*?].*$", ""))).alias("p")).where("p is not null and p <> '.'")
+    over = given.select("id", F.explode(ancestors(F.col("p"))).alias("unit")).where("unit <> '.'").join(units.select(F.col("root").alias("unit")).distinct(), "unit", "left_semi")
+    scope = own.unionByName(over.select("id", "unit"))
+    if packages is not None:
+        scope = scope.unionByName(one.select("id", F.explode("filters").alias("name")).join(packages.select("name", "unit"), "name").select("id", "unit"))
+    return told.join(scope.distinct(), "id", "left").select(F.col("check").alias("id"), F.coalesce("unit", F.lit(".")).alias("unit"), "tier", "command")
 
 
 def capabilities(files: DataFrame, declared: list[tuple[str, str]]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import parent_path
+from ..functions.text import redact_command
 from ..operators import contracts, edge, elect, events, extract, imports, indexes, modules, own, relations
 from ..sources import authored, parsers
 from ..sources import files as source
@@ -82,7 +83,7 @@ def _extracted(files: DataFrame, texts: DataFrame, units: DataFrame, manifests:
         node_edges, go_edges, rust_edges, python_edges, module_edges(files, texts, units, packages), extract.source_imports(files, crates, "rust"),
         extract.source_imports(files, projects, "python"),
     ]
-    checks = node_checks.unionByName(go_checks).unionByName(rust_checks).unionByName(extract.workflow_checks(files))
+    checks = node_checks.unionByName(go_checks).unionByName(rust_checks)
     return reduce(DataFrame.unionByName, edges), checks, rust_ambiguous.unionByName(python_ambiguous)
 
 
@@ -133,7 +134,11 @@ def compile_inputs(spark: SparkSession, inputs: DataFrame, namespace: str, catal
     edges, checks, ambiguous = _extracted(files, texts, units, manifests)
     edges = settle(edges)
     graph_checks, _ = extract.task_graph(files, known, texts, manifests)
-    checks = checks.unionByName(graph_checks.select("id", "unit", "tier", "command"))
+    ci = settle(extract.workflow_checks(texts, units, manifests.where("kind = 'name'").select("name", "unit").distinct()))
+    whole_unit = units.where("root = '.'").select(F.col("root").alias("unit"))
+    scoped = ci.where("unit <> '.'").unionByName(ci.join(whole_unit, "unit", "left_semi"))
+    gates = ci.join(scoped.select("id"), "id", "left_anti").select("id", "tier", redact_command(F.col("command")).alias("command"))
+    checks = checks.unionByName(graph_checks.select("id", "unit", "tier", "command")).unionByName(scoped)
     attrs = F.map_filter(F.create_map(F.lit("via"), "via", F.lit("package"), "package"), lambda _, v: v.isNotNull())
     found = named(named(edges.withColumn("prov", F.col("source")), "source", "source_ref"), "target", "target_ref")
     found = found.select("type", "source_ref", "target_ref", attrs.alias("attrs"), "via", F.lit("DERIVED").alias("evidence_class"), "prov")
@@ -205,7 +210,7 @@ def compile_inputs(spark: SparkSession, inputs: DataFrame, namespace: str, catal
         "events": event_index, "contracts": apis.where("contract is not null").select(F.col("contract").alias("ref"), F.col("ref").alias("api_ref")),
         "assertions": assertions.select(F.col("ord").cast("string").alias("id"), "subject", "key", F.col("value_json").alias("value"), "evidence_class", "status"),
         "conflicts": elections.where("conflict_status is not null").select("subject", "key", F.col("conflict_kind").alias("kind"), F.col("conflict_status").alias("status")),
-        "diagnostics": reduce(DataFrame.unionByName, diagnostics).distinct(),
+        "gates": gates, "diagnostics": reduce(DataFrame.unionByName, diagnostics).distinct(),
     }
     if catalog.externals:
         out["externals"] = named(extract.externals(deps, catalog.externals), "unit", "component")

@@ -117,12 +117,6 @@ def contract_operations(spark, d):
     return extract.operations(files)
 
 
-WORKFLOW = "name: ci\non: push\njobs:\n  job-<k>:\n    runs-on: x\n    steps:\n      - uses: a/b\n      - name: t\n        run: pnpm run test && npm run lint\n        working-directory: ./p/<k>\n      - run: \"if [ 1 ]; then npm test; fi\"\n      - run: echo done\n"
-
-
-@query("""select 'ci:w' || p_partkey || '.yml:job-' || p_partkey || ':1:' || n as id, 'p/' || p_partkey as unit, t as tier, c as command from part, (values (0, 'unit', 'pnpm run test'), (1, 'static', 'npm run lint')) v(n, t, c)""")
-def workflow_checks(spark, d):
-    return extract.workflow_checks(_files(spark, d, ".github/workflows/w<k>.yml", WORKFLOW))
 
 
 SCRIPT = "make test-<k> 'a b' \\\n  --fast && echo \"x\" # no\n\n# comment\ngo build ./<k>; true"

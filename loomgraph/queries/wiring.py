@@ -256,3 +256,43 @@ def edge_schedules(spark, d):
     found, unresolved = edge.schedules(edge.declared(files), files)
     out = found.select(F.lit("schedules").alias("kind"), F.col("source").alias("unit"), F.col("target").alias("owner"), "route")
     return out.unionByName(unresolved.select(F.lit("unresolved").alias("kind"), "unit", F.lit(None).cast("string").alias("owner"), "route"))
+
+
+# -- commands of CI
+
+WORKFLOW = """jobs:
+  a:
+    steps:
+      - run: pnpm run test
+        working-directory: p/<k>
+      - run: uv run python -m pytest -q
+        working-directory: ./p/<k>/
+      - run: npx eslint --fix p/<k>/src
+      - run: pnpm --filter @x/p-<half> exec tsc --noEmit
+      - run: turbo run lint build --filter=@x/p-<k>
+      - run: go vet ./... && cargo clippy
+      - run: bash scripts/test.sh --all
+        working-directory: p/<k>
+      - run: make -C p/<k> integration
+      - run: echo test; CI=1 jest
+      - run: nx run-many -t test,e2e --projects=@x/p-<k>,@x/p-<half>
+      - run: npm install; npm run dev; test -f x
+      - run: yarn workspace x; ./p/<k>/scripts/test.sh; playwright install; playwright test
+"""
+CI_FILES = [("true", ".github/workflows/w<k>.yml", WORKFLOW), ("k % 2 = 0", "scripts/test.sh", "exit 0\n")]
+
+
+@query("""with v as (select * from (values (0, 0, 'k', 'unit', 'pnpm run test', ''), (1, 0, 'k', 'unit', 'uv run python -m pytest -q', ''), (2, 0, 'k', 'static', 'npx eslint --fix p/#/src', ''), (3, 0, 'h', 'static', 'pnpm --filter @x/p-~ exec tsc --noEmit', ''),
+    (4, 0, 'k', 'static', 'turbo run lint build --filter=@x/p-#', ':static'), (4, 0, 'k', 'build', 'turbo run lint build --filter=@x/p-#', ':build'), (5, 0, '.', 'static', 'go vet ./...', ''), (5, 1, '.', 'static', 'cargo clippy', ''), (6, 0, 'k', 'unit', 'bash scripts/test.sh --all', ''),
+    (7, 0, 'k', 'integration', 'make -C p/# integration', ''), (8, 1, '.', 'unit', 'CI=1 jest', ''), (9, 0, 'k', 'unit', 'nx run-many -t test,e2e --projects=@x/p-#,@x/p-~', ':unit'), (9, 0, 'k', 'e2e', 'nx run-many -t test,e2e --projects=@x/p-#,@x/p-~', ':e2e'),
+    (9, 0, 'h', 'unit', 'nx run-many -t test,e2e --projects=@x/p-#,@x/p-~', ':unit'), (9, 0, 'h', 'e2e', 'nx run-many -t test,e2e --projects=@x/p-#,@x/p-~', ':e2e'), (11, 1, '.', 'unit', './p/#/scripts/test.sh', ''), (11, 3, '.', 'e2e', 'playwright test', '')) t(step, n, u, tier, command, more))
+  select distinct 'ci:w' || p_partkey || '.yml:a:' || step || ':' || n || more as id, case u when 'k' then 'p/' || p_partkey when 'h' then case when p_partkey // 2 in (select p_partkey from part) then 'p/' || (p_partkey // 2) else '.' end else case when step = 11 and n = 1 then 'p/' || p_partkey else '.' end end as unit,
+    tier, replace(replace(command, '#', p_partkey::varchar), '~', (p_partkey // 2)::varchar) as command from part, v where not (step = 6 and p_partkey % 2 = 1) and not (step = 11 and n = 1 and p_partkey % 2 = 1) and not (u = 'h' and step = 9 and p_partkey // 2 not in (select p_partkey from part))""")
+def workflow_checks(spark, d):
+    files = written(spark, d, CI_FILES)
+    # workflows lie at the root of the checkout
+    path = F.regexp_replace("path", r"^p/[0-9]+/(?=\.github/)", "")
+    unit = F.concat(F.lit("p/"), _k().cast("string"))
+    p = table(spark, d, "part")
+    packages = p.select(F.concat(F.lit("@x/p-"), _k().cast("string")).alias("name"), unit.alias("unit"))
+    return extract.workflow_checks(files.select(path.alias("path"), "text"), p.select(unit.alias("root")), packages)

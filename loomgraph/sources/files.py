@@ -24,13 +24,26 @@ def _relative(path: Column, root: str) -> Column:
     return F.substring(plain, F.instr(plain, base) + len(base) + 1, F.length(plain))
 
 
+def remote(root: str) -> bool:
+    """Whether a root is in a store that only Spark reads."""
+    return "://" in root and not root.startswith("file://")
+
+
 def inputs(spark: SparkSession, root: str, ignored: DataFrame | None = None, generated: list[str] | None = None) -> DataFrame:
-    """(path, length, sha256, text, is_utf8) of the files that count: not generated, not ignored.
+    """(path, length, sha256, text, is_utf8) of the files that count: not generated, not ignored, no links.
 
-    text is null where the bytes are not UTF-8; a byte-order mark is dropped.
+    text is null where the bytes are not UTF-8; a byte-order mark is dropped. Hidden files count, but in a store that only Spark
+    reads, whose file source leaves out names that begin with a dot or an underscore.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    files = files.select(_relative(F.col("path"), root).alias("path"), "length", "content").where(~in_generated_dir(F.col("path"), generated))
+    if remote(root):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        files = files.select(_relative(F.col("path"), root).alias("path"), "length", "content").where(~in_generated_dir(F.col("path"), generated))
+    else:
+        from .snapshot import Checkout
+
+        spark.dataSource.register(Checkout)
+        read = spark.read.format("checkout").option("content", "true")
+        files = (read if generated is None else read.option("generated", ",".join(generated))).load(root).where("kind = 'file'")
     if ignored is not None:
         files = visible(files, ignored)
     text = F.try_validate_utf8(F.col("content").cast("string"))

@@ -16,15 +16,16 @@ def put(root, path, text):
 
 
 def test_listing(spark, tmp_path):
-    for path in ("a.txt", "d/b.txt", "d/e/c.txt", "d/e/f/g/h.txt", "node_modules/x/y.js"):
+    for path in ("a.txt", "d/b.txt", "d/e/c.txt", "d/e/f/g/h.txt", "node_modules/x/y.js", ".ci/_x.yml"):
         put(tmp_path, path, path)
     os.makedirs(tmp_path / "empty/in")
     os.symlink("a.txt", tmp_path / "link")
     got = {r.path: (r.kind, r.length) for r in snapshot.capture(spark, str(tmp_path)).collect()}
-    assert {p: n for p, (k, n) in got.items() if k == "file"} == {"a.txt": 5, "d/b.txt": 7, "d/e/c.txt": 9, "d/e/f/g/h.txt": 13}
-    assert {p for p, (k, _) in got.items() if k == "dir"} == {"d", "d/e", "d/e/f", "d/e/f/g", "empty", "empty/in"} and got["link"][0] == "link"
+    assert {p: n for p, (k, n) in got.items() if k == "file"} == {"a.txt": 5, "d/b.txt": 7, "d/e/c.txt": 9, "d/e/f/g/h.txt": 13, ".ci/_x.yml": 10}
+    assert {r.path: r.text for r in files.inputs(spark, str(tmp_path)).collect()} == {p: p for p, (k, _) in got.items() if k == "file"}
+    assert {p for p, (k, _) in got.items() if k == "dir"} == {"d", "d/e", "d/e/f", "d/e/f/g", "empty", "empty/in", ".ci"} and got["link"][0] == "link"
     ignored = spark.createDataFrame([("d/e",)], "path string")
-    assert {r.path for r in snapshot.capture(spark, str(tmp_path), ignored).collect()} == {"a.txt", "d", "d/b.txt", "empty", "empty/in", "link"}
+    assert {r.path for r in snapshot.capture(spark, str(tmp_path), ignored).collect()} == {"a.txt", "d", "d/b.txt", "empty", "empty/in", "link", ".ci", ".ci/_x.yml"}
 
 
 def test_a_change_between_the_reads_is_seen_once_and_refused_twice(spark, tmp_path):

@@ -256,6 +256,7 @@ def test_a_compile_resolves_modules_and_events(spark, tmp_path):
     put("shared/app/api/run/route.ts", "export {}\n")
     put("util/src/s3.ts", "new S3(); put('raws-2024')\n")
     put("catalog/data.yaml", "kind: Resource\nmetadata:\n  name: raws-store\n  description: D.\nspec:\n  type: logical-dataset\n")
+    put(".github/workflows/ci.yml", "jobs:\n  a:\n    steps:\n      - run: pnpm --filter @x/lib test\n      - run: pytest TOKEN=abc\n")
     put("events.json", '{"order.paid.v2": {}, "order.lost.v1": {}}')
     g = compile_checkout(spark, str(tmp_path), catalog=Catalog(event_contracts=[("events.json", "json", "component:default/lib"), ("gone.json", "json", "component:default/lib")]))
     unit = lambda ref: ref.split("/")[1]
@@ -264,6 +265,8 @@ def test_a_compile_resolves_modules_and_events(spark, tmp_path):
     second = {(r.type, unit(r.source_ref), r.target_ref.split("/")[1]) for r in g["relations"].where("type in ('runtimeCalls', 'schedules', 'usesResource')").collect()}
     assert second == {("runtimeCalls", "db", "util"), ("schedules", "db", "shared"), ("usesResource", "util", "raws-store")}
     assert {(unit(r.subject), r.key, r.value) for r in g["assertions"].collect()} == {("db", "binding.declared", '["G","U"]'), ("db", "binding.kind", '["service-binding"]'), ("db", "schedule.cron", '"5 * * * *"'), ("db", "schedule.enabled", "true"), ("db", "schedule.target", '["/api/no","/api/run"]')}
+    assert {(r.id, tuple(map(unit, r.component_refs)), r.tier) for r in g["verification"].collect()} == {("ci:ci.yml:a:0:0", ("lib",), "unit")}
+    assert [tuple(r) for r in g["gates"].collect()] == [("ci:ci.yml:a:1:0", "unit", "pytest TOKEN=[REDACTED]")]
     # shared is seen through lib as well; util comes later in order of roots, so its value counts
     assert {(r.pattern, r.resolution, tuple(map(unit, r.producers))) for r in g["events"].collect()} == {("order.paid.v2", "resolved", ("web",)), ("order.lost.v1", "unresolved", ())}
     assert {(r.severity, r.code, r.subject) for r in g["diagnostics"].collect()} == {("warning", "EVENT_UNRESOLVED", "order.lost.v1"), ("error", "PATH_UNRESOLVED", "gone.json"), ("warning", "SERVICE_BINDING_UNRESOLVED", "component:default/db"), ("warning", "SCHEDULE_UNRESOLVED", "component:default/db")}
