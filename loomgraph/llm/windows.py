@@ -41,9 +41,9 @@ VOCABULARY = "word_bpe_49k.json"
 #: Text bytes a shard packs, about.
 SHARD_BYTES = 1 << 20
 #: Pieces of what is left of a document have at most so many ids, the first where the padding is small enough.
-CUTS = (512, 256, 128, 64)
+CUTS = (384, 192, 96, 48)
 #: Windows that a shard may have beyond the fewest, as a share of these, before it is cut finer.
-SPARE = 1 / 200
+SPARE = 1 / 50
 
 #: Text bytes of which the distinct words are encoded together.
 TEXT_BYTES = 12 << 20
