@@ -46,7 +46,7 @@ CUTS = (384, 192, 96, 48)
 SPARE = 1 / 50
 
 #: Text bytes of which the distinct words are encoded together.
-TEXT_BYTES = 12 << 20
+TEXT_BYTES = 24 << 20
 
 WIDTH = 4  # bytes an id
 
@@ -74,6 +74,9 @@ class Words:
         self.letters = Tokenizer(self.tokenizer.model)
         bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytewise])
+        if hasattr(self.tokenizer.model, "_resize_cache"):  # every word comes once, so keeping them is of no use
+            self.tokenizer.model._resize_cache(0)
+            self.letters.model._resize_cache(0)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -121,8 +124,12 @@ class Words:
 def ragged(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of uneven sizes, one after the other in flat, in a new order, and their sizes."""
     taken = sizes[order]
-    shift = (np.cumsum(sizes) - sizes)[order] - (np.cumsum(taken) - taken)
-    return flat[np.repeat(shift, taken) + np.arange(taken.sum())], taken
+    ends = np.cumsum(taken)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    place = np.repeat(((np.cumsum(sizes) - sizes)[order] - (ends - taken)).astype(kind), taken)
+    place += np.arange(total, dtype=kind)
+    return flat[place], taken
 
 
 _words: dict[str, Words] = {}
