@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, join_path, normal_path, parent_path
-from ..functions.text import distribution_name, rust_ident, script_tier, task_tier, workflow_tier
+from ..functions.text import distribution_name, script_tier, task_tier, workflow_tier
 from ..plans.settle import settle
 from ..sources import parsers
 from .events import source_files
@@ -65,17 +65,6 @@ def go(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, checks
 
 
-def rust(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges, ambiguous names, checks) of crates; a name of several crates is refused."""
-    m = parsers.rows(files.where(F.col("path").rlike(r"(^|/)Cargo\.toml$")), "cargo", "kind string, name string, value string")
-    crates = m.where("kind = 'package'")
-    deps = m.where("kind like '%dependencies'").select("unit", "name", (F.col("kind") == "dev-dependencies").alias("is_test"))
-    edges, ambiguous = _edges(deps, crates.select("name", "unit", F.col("path").alias("ord")), "cargo-manifest", refuse=True)
-    both = F.array(F.struct(F.lit("cargo-test").alias("n"), F.lit("unit").alias("tier"), F.lit("cargo test -p ").alias("c")), F.struct(F.lit("cargo-clippy").alias("n"), F.lit("static").alias("tier"), F.lit("cargo clippy -p ").alias("c")))
-    checks = crates.select("unit", "name", F.explode(both).alias("c")).select(F.concat("unit", F.lit(":"), "c.n").alias("id"), "unit", "c.tier", F.concat("c.c", "name").alias("command"))
-    return edges, ambiguous, checks
-
-
 def python(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, ambiguous names) of Python projects by distribution name; a name of several projects is refused."""
     m = parsers.rows(files.where(F.col("path").rlike(r"(^|/)pyproject\.toml$")), "pyproject", "kind string, name string")
@@ -85,12 +74,11 @@ def python(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def source_imports(files: DataFrame, names: DataFrame, language: str) -> DataFrame:
-    """Edges of imports in source text by names (name, unit, ord): js, python or rust; a test edge where only tests import."""
-    ends, parser, via = {"js": (r"\.(m?[jt]sx?)$", "js_imports", "source-import"), "python": (r"\.py$", "python_imports", "python-import"), "rust": (r"\.rs$", "rust_idents", "source-import")}[language]
+    """Edges of imports in source text by names (name, unit, ord): js or python; a test edge where only tests import."""
+    ends, parser, via = {"js": (r"\.(m?[jt]sx?)$", "js_imports", "source-import"), "python": (r"\.py$", "python_imports", "python-import")}[language]
     found = parsers.rows(files.where(F.col("path").rlike(ends)), parser, "name string")
-    name: Column = {"js": F.regexp_extract("name", "^(@[^/]+/[^/]+|[^./][^/]*)", 1), "python": F.col("name"), "rust": F.col("name")}[language]
-    keyed = names.withColumn("name", rust_ident(F.col("name"))) if language == "rust" else names
-    return named_imports(found.where("name is not null").select("unit", name.alias("name"), "is_test"), keyed, via, refuse=language != "js")
+    name: Column = {"js": F.regexp_extract("name", "^(@[^/]+/[^/]+|[^./][^/]*)", 1), "python": F.col("name")}[language]
+    return named_imports(found.where("name is not null").select("unit", name.alias("name"), "is_test"), names, via, refuse=language != "js")
 
 
 def named_imports(uses: DataFrame, names: DataFrame, via: str, refuse: bool) -> DataFrame:

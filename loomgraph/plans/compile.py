@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import parent_path
 from ..functions.text import redact_command
-from ..operators import contracts, edge, elect, events, extract, imports, indexes, modules, own, relations
+from ..operators import contracts, crates, edge, elect, events, extract, imports, indexes, modules, own, relations
 from ..sources import authored, parsers
 from ..sources import files as source
 from ..sources.snapshot import Unstable, capture, differences, stable_inputs
@@ -73,17 +73,19 @@ def _extracted(files: DataFrame, texts: DataFrame, units: DataFrame, manifests:
     """(edges, checks, ambiguous names) of all manifests and imports of files (unit, path, text, is_test)."""
     node_edges, node_checks = extract.node(files, manifests)
     go_edges, go_checks = extract.go(files)
-    rust_edges, rust_ambiguous, rust_checks = extract.rust(files)
+    said = crates.manifests(texts)
+    linked = settle(crates.resolve(said))
+    rust_imports, rust_torn = crates.imports(files, linked, said)
+    rust_ambiguous = linked.where("ambiguous").select("unit", F.col("key").alias("name")).unionByName(crates.shared_names(said)).unionByName(rust_torn).distinct()
     python_edges, python_ambiguous = extract.python(files)
     packages = settle(manifests.where("kind = 'name'").select("name", "unit", F.col("path").alias("ord")))
-    crates = _names(files, r"(^|/)Cargo\.toml$", "cargo", "kind string, name string, value string", "package")
     projects = _names(files, r"(^|/)pyproject\.toml$", "pyproject", "kind string, name string", "name")
     projects = projects.withColumn("name", F.regexp_replace(F.lower("name"), "[-.]+", "_"))
     edges = [
-        node_edges, go_edges, rust_edges, python_edges, module_edges(files, texts, units, packages), extract.source_imports(files, crates, "rust"),
+        node_edges, go_edges, crates.edges(linked), python_edges, module_edges(files, texts, units, packages), rust_imports,
         extract.source_imports(files, projects, "python"),
     ]
-    checks = node_checks.unionByName(go_checks).unionByName(rust_checks)
+    checks = node_checks.unionByName(go_checks).unionByName(crates.checks(said))
     return reduce(DataFrame.unionByName, edges), checks, rust_ambiguous.unionByName(python_ambiguous)
 
 

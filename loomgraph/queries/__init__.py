@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembly, baselines, closures, elections, graphs, reports, scalars, sections, technology, wiring
+from . import assembly, baselines, closures, crates, elections, graphs, reports, scalars, sections, technology, wiring
 from .registry import ORACLES, QUERIES
 
-__all__ = ["assembly", "baselines", "closures", "elections", "graphs", "reports", "scalars", "sections", "technology", "wiring"]
+__all__ = ["assembly", "baselines", "closures", "crates", "elections", "graphs", "reports", "scalars", "sections", "technology", "wiring"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

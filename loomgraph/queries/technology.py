@@ -83,19 +83,6 @@ def _named_sql(run, test, via, package):
     return f"with {OWNED} {part(run, '(p_partkey // 2)')} union {part(test, '(p_partkey // 3)')}"
 
 
-CARGO = '[package]\nname = "c-<kn>"\n\n[dependencies]\nc-<hn> = { path = "../x" }\nserde = "1"\n\n[dev-dependencies]\nc-<tn> = "1"\n'
-
-
-@query(_named_sql("buildDependsOn", "testDependsOn", "cargo-manifest", "'c-' || name"))
-def rust_edges(spark, d):
-    return extract.rust(_crates(spark, d, "Cargo.toml", CARGO))[0]
-
-
-@query(f"with {OWNED} select distinct 'p/' || p_partkey as unit, 'c-' || name as name from part join names on n > 1 and (name = {SHARED.format('(p_partkey // 2)')} or name = {SHARED.format('(p_partkey // 3)')})")
-def rust_ambiguous(spark, d):
-    return extract.rust(_crates(spark, d, "Cargo.toml", CARGO))[1]
-
-
 PYPROJECT = '[project]\nname = "Py_Dist.<kn>"\ndependencies = ["py-dist-<hn>[extra]>=1.0", "requests ; python_version > \'3\'"]\n\n[dependency-groups]\ntest = ["py.dist_<tn>==2"]\n'
 
 
@@ -179,12 +166,6 @@ def python_import_edges(spark, d):
     return extract.source_imports(_files(spark, d, "a.py", text, "p_partkey % 4 = 0"), _names(spark, d, "p_"), "python")
 
 
-@query(_imports_sql("source-import", "'c_' || m"))
-def rust_import_edges(spark, d):
-    text = "use c_<half>::x;\nextern crate c_<third>;\nuse std::io;\n// use c_1::no;\n#[cfg(test)]\nmod t { use c_2::x; }\n"
-    return extract.source_imports(_files(spark, d, "src/a.rs", text, "p_partkey % 4 = 0"), _names(spark, d, "c-"), "rust")
-
-
 @query("select 'p/' || p_partkey as unit, k as kind, replace(n, '#', p_partkey::varchar) as name, l as line, case when c < 0 then -c + length(p_partkey::varchar) else c end as col from part, (values ('declaration', 'f#', 1, 17), ('declaration', 'T#', 2, 11), ('reference', 'f#', 4, 1), ('reference', 'T#', 4, -3)) v(k, n, l, c)")
 def typescript_symbols(spark, d):
     text = "export function f<k>() {}\ninterface T<k> { a: number }\n// f<k>\nf<k>(T<k>);\n"

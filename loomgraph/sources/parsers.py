@@ -189,6 +189,48 @@ def cargo_manifest(text: str) -> list[tuple[str, str, str]]:
     return out
 
 
+def crate_links(text: str) -> list[tuple[str, str | None, str | None, str | None, bool]]:
+    """(kind, key, name, place, inherits) of what a crate manifest says of crates: its own, its dependencies, redirects."""
+    doc = parse_toml(text)
+    tables = lambda d, *keys: [t for k in keys if isinstance(t := d.get(k), dict)]
+    said = lambda v: v if isinstance(v, str) else None
+    out: list = [("package", None, said(p.get("name")) or "", None, False) for p in tables(doc, "package")]
+
+    def named(kind: str, table: dict) -> None:
+        for key, v in table.items():
+            d = v if isinstance(v, dict) else {}
+            out.append((kind, key, said(d.get("package")) or key, said(d.get("path")), d.get("workspace") is True))
+
+    def redirected(table: dict, above: str = "") -> None:
+        for key, v in table.items():
+            whole = f"{above}.{key}" if above else key
+            if not isinstance(v, dict):
+                continue
+            if isinstance(v.get("path"), str):
+                name = said(v.get("package")) or ("" if "://" in whole else whole.split(":")[0].strip())
+                if name:
+                    out.append(("redirect", whole, name, v["path"], False))
+            else:
+                redirected(v, whole)
+
+    for space in tables(doc, "workspace"):
+        out.append(("workspace", None, None, None, False))
+        for t in tables(space, "dependencies"):
+            named("shared", t)
+    platforms = [t for target in tables(doc, "target") for t in target.values() if isinstance(t, dict)]
+    for d in (doc, *platforms):
+        for kind, key in (("build", "dependencies"), ("build", "build-dependencies"), ("test", "dev-dependencies")):
+            for t in tables(d, key):
+                named(kind, t)
+    for registry in [t for patch in tables(doc, "patch") for t in patch.values() if isinstance(t, dict)]:
+        for key, v in registry.items():
+            if isinstance(v, dict) and isinstance(v.get("path"), str):
+                out.append(("redirect", key, said(v.get("package")) or key, v["path"], False))
+    for t in tables(doc, "replace"):
+        redirected(t)
+    return out
+
+
 SPECIFIER = re.compile(r"^\s*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(\[[^\]]*\])?\s*(@\s*\S+|(?:[<>=!~]=?|===)[^;]*|\([^)]*\))?\s*(;.*)?$")
 
 
@@ -463,7 +505,7 @@ def contract_outline(text: str) -> list[tuple]:
 
 #: Parsers by name.
 PARSERS: dict[str, Callable[[str], Any]] = {
-    "yaml": parse_yaml, "toml": parse_toml, "jsonc": parse_jsonc, "ini": parse_ini, "go_mod": go_mod, "package_json": package_json, "cargo": cargo_manifest, "pyproject": pyproject, "openapi": openapi, "protobuf": protobuf,
+    "yaml": parse_yaml, "toml": parse_toml, "jsonc": parse_jsonc, "ini": parse_ini, "go_mod": go_mod, "package_json": package_json, "cargo": cargo_manifest, "crate_links": crate_links, "pyproject": pyproject, "openapi": openapi, "protobuf": protobuf,
     "graphql": graphql, "shell": shell_commands, "workflow": workflow_steps, "playbook": playbook, "wrangler": wrangler, "js_imports": js_imports, "python_imports": python_imports, "rust_idents": rust_idents, "symbols": symbols,
     "compiler_config": compiler_config, "edge_platform": edge_platform, "package_imports": package_imports,
     "contract_outline": contract_outline, "task_graph": task_graph, "workspace_bases": workspace_bases, "descriptors": descriptors, "journeys": journeys, "observations": observations, "overrides": overrides,
