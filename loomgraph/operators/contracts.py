@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.settle import settle, stored
@@ -15,16 +17,8 @@ BUILD_CONFIG = (
 )
 CODE = r"\.(ts|tsx|js|jsx|mts|cts|mjs|cjs|go|py|rb|java|kt|rs|ex|exs|cs|php|swift|gradle|proto|graphql|sql)$"
 DOCUMENTATION = r"\.(md|mdx|txt|adoc|rst)$|(^|/)docs/"
-#: Lengths of the runs by which texts and contracts meet: for contracts of 47 characters or more, of 23 to 46, of 11 to 22.
-GRAMS = (24, 12, 6)
-
-
-def _grams(text: Column, n: int, step: int, most: Column | int | None = None) -> Column:
-    """Runs of n characters of a text, every step characters, up to a start."""
-    last = F.char_length(text) - n + 1
-    if most is not None:
-        last = F.least(last, F.lit(most))
-    return F.transform(F.sequence(F.lit(1), last, F.lit(step)), lambda i: F.substring(text, i, F.lit(n)))
+#: Lengths of the runs by which texts and contracts meet, and the least length of the contracts that use each.
+GRAMS = ((24, 95), (12, 47), (6, 11), (3, 5))
 
 
 def reference_sites(files: DataFrame) -> DataFrame:
@@ -33,35 +27,51 @@ def reference_sites(files: DataFrame) -> DataFrame:
     return files.where(~p.rlike(DOCUMENTATION) & (p.rlike(CODE) | p.rlike(BUILD_CONFIG)))
 
 
+def _rare_runs(refs: DataFrame, gram: int) -> DataFrame:
+    """(ref, run) of contracts: for each place a contract can have against the cuts of a text, its rarest run there.
+
+    A text is cut every `gram` characters, so that wherever a contract lies in it, the runs at one residue of the
+    contract's starts are whole. What many contracts share (their directory) is passed over for what few have.
+    """
+    starts = F.sequence(F.lit(1), F.char_length("ref") - gram + 1)
+    runs = refs.select("ref", F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.substring("ref", i, F.lit(gram))))).alias("at", "run"))
+    counted = runs.join(runs.groupBy("run").agg(F.count("*").alias("n")), "run")
+    return counted.groupBy("ref", (F.col("at") % gram).alias("residue")).agg(F.min_by("run", F.struct("n", "at")).alias("run")).select("ref", "run").distinct()
+
+
+def candidates(files: DataFrame, refs: DataFrame) -> DataFrame:
+    """Distinct (unit, path, ref) of files whose text has a run of the contract's rarest; a superset of containment.
+
+    Contracts shorter than the least of GRAMS have no runs. Texts are read and dealt once, in the lengths that are used.
+    """
+    size = F.char_length("ref")
+    bounds = [(gram, (size >= low) & (size < above) if above else size >= low) for (gram, low), above in zip(GRAMS, (None, *[low for _, low in GRAMS]), strict=False)]
+    there = refs.agg(*[F.bool_or(on).alias(str(gram)) for gram, on in bounds]).first()
+    used = [(gram, on) for gram, on in bounds if there[str(gram)]]
+    if not used:
+        return files.select("unit", "path").limit(0).crossJoin(refs.select("ref").limit(0))
+    keyed = stored(reduce(DataFrame.unionByName, [_rare_runs(refs.where(on), gram) for gram, on in used]))
+    cuts = [F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{{gram}}}"), F.lit(0)), lambda x: F.xxhash64(x)) for gram, _ in used]
+    texts = files.select("unit", "path", F.explode(F.array_distinct(F.concat(*cuts))).alias("run"))
+    return texts.join(keyed, "run").select("unit", "path", "ref").distinct()
+
+
 def consumers(files: DataFrame, contracts: DataFrame) -> DataFrame:
     """(ref, unit, path, label) of files (unit, path, text) of other units whose text contains a contract path.
 
     Take `reference_sites` of all files first, so that a document that quotes a contract makes no edge.
 
-    The substring join is a hash join: texts are cut into runs of so many characters, contracts give the runs at their
-    first so many places, and wherever a contract lies in a text one of these is among the text's runs; whole containment
-    is checked after. The runs are of half a contract's length about (GRAMS), and those of the contracts are stored, so
-    that Catalyst can look texts up in them where they are few. Only what is shorter than any path with a directory is
-    compared directly.
+    The substring join is a hash join: texts are cut into runs in one pass over their characters, and meet the runs that
+    contracts are known by (see `_rare_runs`) by their hashes; whole containment is checked after. The runs of contracts
+    are stored, so that Catalyst can look texts up in them where they are few. Only what is shorter than any path with an
+    ending is compared directly.
     """
     known = settle(contracts.select("ref", "provider").distinct())
-    size = F.char_length("ref")
-    found, above = None, None
-    for gram in GRAMS:
-        mine = known.where((size >= 2 * gram - 1) & (size < above if above else F.lit(True)))
-        above = 2 * gram - 1
-        if mine.isEmpty():
-            continue
-        keyed = stored(mine.select("ref", "provider", F.explode(F.array_distinct(_grams(F.col("ref"), gram, 1, gram))).alias("gram")))
-        texts = files.where(F.char_length("text") >= above).select("unit", "path", F.explode(F.array_distinct(_grams(F.col("text"), gram, gram))).alias("gram"))
-        pairs = texts.join(keyed, "gram").where("unit <> provider").select("unit", "path", "ref").distinct()
-        hits = pairs.join(files.select("unit", "path", "text"), ["unit", "path"]).where(F.contains("text", F.col("ref"))).select("ref", "unit", "path")
-        found = hits if found is None else found.unionByName(hits)
-    short = known.where(size < above)
-    if found is None or not short.isEmpty():
-        few = files.join(short, F.contains("text", F.col("ref")) & (F.col("unit") != F.col("provider"))).select("ref", "unit", "path")
-        found = few if found is None else found.unionByName(few)
-    out = found.distinct()
+    pairs = candidates(files, known.select("ref").distinct()).join(known, "ref").where("unit <> provider").select("unit", "path", "ref").distinct()
+    out = pairs.join(files.select("unit", "path", "text"), ["unit", "path"]).where(F.contains("text", F.col("ref"))).select("ref", "unit", "path").distinct()
+    tiny = known.where(F.char_length("ref") < GRAMS[-1][1])
+    if not tiny.isEmpty():
+        out = out.unionByName(files.join(tiny, F.contains("text", F.col("ref")) & (F.col("unit") != F.col("provider"))).select("ref", "unit", "path").distinct())
     return out.withColumn("label", F.when(F.col("path").rlike(BUILD_CONFIG), "codegen").otherwise("source-reference"))
 
 
