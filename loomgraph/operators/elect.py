@@ -1,4 +1,4 @@
-"""Facts and elections: one grouped aggregate and higher-order functions, no Python.
+"""Facts and elections: aggregates of fixed size a group, no Python and no list of a group's rows.
 
 Facts are rows (ord, subject, key, value_json, evidence_class, confidence, observed_at, superseded, normative). Groups of
 (subject, key) are decided by the first rule of a decision table that applies; nothing wins by its class alone.
@@ -33,61 +33,71 @@ def supersede(facts: DataFrame, sets: DataFrame) -> DataFrame:
     return facts.join(marks, hit, "left").drop("at_", "env_").withColumn("superseded", F.coalesce("superseded", F.lit(False)))
 
 
-def _groups(facts: DataFrame) -> DataFrame:
-    row = F.struct("ord", "value_json", "evidence_class", "confidence", "observed_at", "normative", "supersedes", "list")
-    return facts.groupBy("subject", "key").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.count_distinct("value_json").alias("n_values"))
+def _groups(live: DataFrame) -> DataFrame:
+    """(subject, key) with what the decision table asks of a group: counts, least ords, classes, the newest and the longest.
+
+    All are aggregates that combine before the exchange, and of a size that the number of rows doesn't change: a group may
+    hold a third of all facts.
+    """
+    c = F.col
+    candidate, firm = c("confidence") == "candidate", F.coalesce(c("confidence") != "candidate", F.lit(False))
+    normative, size = F.coalesce(c("normative"), F.lit(False)), F.size("list")
+    of = lambda on, x: F.when(firm & on, x)
+    override, dated = c("evidence_class") == "REVIEWED_OVERRIDE", (c("evidence_class") == "OBSERVED_RUNTIME") & c("observed_at").isNotNull()
+    listed = c("list").isNotNull()
+    g = live.groupBy("subject", "key").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("value_json").alias("n_values"), F.bool_or(normative).alias("has_normative"), F.bool_and(F.coalesce(normative | candidate, F.lit(False))).alias("gated"),
+        F.count_if(firm).alias("n_firm"), F.count_if(firm & override).alias("n_overrides"), F.min(of(override, c("ord"))).alias("override_ord"),
+        F.count_if(firm & dated).alias("n_dated"), F.max(of(dated, F.struct("observed_at", "ord"))).alias("newest"),
+        F.count_if(firm & listed).alias("n_lists"), F.max_by(F.struct("ord", "list"), of(listed, size)).alias("longest"),
+        F.collect_set("evidence_class").alias("all_classes"), F.bool_or(c("supersedes").isNotNull()).alias("superseding"), F.bool_or(F.coalesce(candidate, F.lit(False))).alias("has_candidate"),
+    )
+    g = g.withColumn("gated", c("gated") & c("has_normative"))
+    each = live.where(firm & c("evidence_class").isNotNull()).groupBy("subject", "key", "evidence_class").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
+    by_class = each.groupBy("subject", "key").agg(F.map_from_entries(F.collect_list(F.struct("evidence_class", F.struct("n", "ord")))).alias("by_class"))
+    return g.join(by_class, ["subject", "key"], "left")
+
+
+def _supersets(live: DataFrame, groups: DataFrame) -> DataFrame:
+    """(subject, key, superset_ord) of groups whose longest list holds every element of all others and is longer than each."""
+    asked = groups.where("not has_normative and n_values > 1 and n_firm > 1 and n_lists = n_firm").select("subject", "key", "longest")
+    inside = (F.size("list") < F.size("longest.list")) & (F.size(F.array_except("list", "longest.list")) == 0)
+    rows = live.where("confidence <> 'candidate'").select("subject", "key", "ord", "list").join(asked, ["subject", "key"])
+    holds = rows.groupBy("subject", "key").agg(F.bool_and((F.col("ord") == F.col("longest.ord")) | inside).alias("holds"), F.min("longest.ord").alias("superset_ord"))
+    return holds.where("holds").drop("holds")
 
 
 def elect(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """One row a group: subject, key, case, elected_ord, basis, conflict_status, conflict_kind, rule_id, n_rows, n_values.
 
-    facts also has `list` (array of strings, null unless the value is a list), `normative` and `supersedes`. Groups are of
-    facts about one key of one subject, so their rows are few; superseded rows take no part. case is the row of the
+    facts also has `list` (array of strings, null unless the value is a list), `normative` and `supersedes`. A group is of
+    facts about one key of one subject; superseded rows take no part. case is the row of the
     decision table: normative, candidate-only, agreement, override, rule, superset, recency, open.
     """
     for name, kind in (("normative", "boolean"), ("superseded", "boolean"), ("supersedes", "string"), ("list", "array<string>")):
         if name not in facts.columns:
             facts = facts.withColumn(name, F.lit(None).cast(kind))
     live = facts.where(~F.coalesce("superseded", F.lit(False)))
-    g = select_rules(_groups(live), rules)
-    rows = F.col("rows")
-    firm = F.filter(rows, lambda r: r["confidence"] != "candidate")
-    g = g.withColumn("firm", firm)
-    firm = F.col("firm")
-    normative = F.exists(rows, lambda r: F.coalesce(r["normative"], F.lit(False)))
-    gate = normative & F.forall(rows, lambda r: F.coalesce(r["normative"], F.lit(False)) | (r["confidence"] == "candidate"))
-    g = g.withColumns({
-        "gated": gate, "has_normative": normative,
-        "overrides": F.filter(firm, lambda r: r["evidence_class"] == "REVIEWED_OVERRIDE"),
-        "classes": F.array_distinct(F.transform(firm, lambda r: r["evidence_class"])),
-        "all_classes": F.array_distinct(F.transform(rows, lambda r: r["evidence_class"])),
-        "elect": F.coalesce("elect", F.array().cast("array<string>")),
-    })
-    g = g.withColumn("allowed", F.array_intersect("elect", "classes"))
-    g = g.withColumns({
-        "by_rule": F.expr("filter(firm, r -> r.evidence_class = try_element_at(allowed, 1))"),
-        "supersets": F.expr(
-            "filter(firm, c -> c.list is not null and forall(firm, o -> o.ord = c.ord or "
-            "(o.list is not null and size(array_except(o.list, c.list)) = 0 and size(c.list) > size(o.list))))"
-        ),
-        "dated": F.expr("filter(firm, r -> r.evidence_class = 'OBSERVED_RUNTIME' and r.observed_at is not null)"),
-    })
+    g = _groups(live)
+    g = select_rules(g.join(_supersets(live, g), ["subject", "key"], "left"), rules)
+    g = g.withColumn("elect", F.coalesce("elect", F.array().cast("array<string>")))
+    g = g.withColumn("allowed", F.array_intersect("elect", F.coalesce(F.map_keys("by_class"), F.array().cast("array<string>"))))
+    g = g.withColumn("by_rule", F.expr("try_element_at(by_class, try_element_at(allowed, 1))"))
     plain = ~F.col("has_normative")
     case = (
         F.when(F.col("gated"), "normative")
-        .when((F.col("n_values") == 1) & (F.size(firm) == 0), "candidate-only")
+        .when((F.col("n_values") == 1) & (F.col("n_firm") == 0), "candidate-only")
         .when(F.col("n_values") == 1, "agreement")
-        .when(plain & (F.array_join("elect", ",") == "REVIEWED_OVERRIDE") & (F.size("overrides") == 1), "override")
-        .when(plain & (F.size("allowed") == 1) & (F.size("by_rule") == 1), "rule")
-        .when(plain & (F.size(firm) > 1) & (F.size("supersets") > 0), "superset")
-        .when(plain & F.array_contains("elect", "OBSERVED_RUNTIME") & (F.size("dated") >= 2), "recency")
+        .when(plain & (F.array_join("elect", ",") == "REVIEWED_OVERRIDE") & (F.col("n_overrides") == 1), "override")
+        .when(plain & (F.size("allowed") == 1) & (F.col("by_rule.n") == 1), "rule")
+        .when(plain & F.col("superset_ord").isNotNull(), "superset")
+        .when(plain & F.array_contains("elect", "OBSERVED_RUNTIME") & (F.col("n_dated") >= 2), "recency")
         .otherwise("open")
     )
-    newest = F.expr("array_max(transform(dated, r -> struct(r.observed_at, r.ord))).ord")
     g = g.withColumn("case", case)
     elected = (
-        F.when(F.col("case") == "override", F.expr("try_element_at(overrides, 1).ord")).when(F.col("case") == "rule", F.expr("try_element_at(by_rule, 1).ord"))
-        .when(F.col("case") == "superset", F.expr("try_element_at(supersets, 1).ord")).when(F.col("case") == "recency", newest)
+        F.when(F.col("case") == "override", F.col("override_ord")).when(F.col("case") == "rule", F.col("by_rule.ord"))
+        .when(F.col("case") == "superset", F.col("superset_ord")).when(F.col("case") == "recency", F.col("newest.ord"))
     )
     basis = F.create_map(*[F.lit(x) for x in ("override", "reviewed-override", "rule", "authority-rule", "superset", "superset", "recency", "recency", "open", "none", "candidate-only", "none")])
     status = F.when(F.col("case") == "override", "accepted").when(F.col("case").isin("rule", "superset", "recency"), "resolved").when(F.col("case").isin("open", "candidate-only"), "unresolved")
@@ -95,15 +105,15 @@ def elect(facts: DataFrame, rules: DataFrame) -> DataFrame:
     kind = F.when(status.isNull(), None).when(F.col("case") == "candidate-only", "ambiguity").otherwise(_kind(runtime, authored))
     return g.select(
         "subject", "key", "case", elected.alias("elected_ord"), F.try_element_at(basis, F.col("case")).alias("basis"), status.alias("conflict_status"), kind.alias("conflict_kind"),
-        "rule_id", F.size("rows").alias("n_rows"), "n_values",
+        "rule_id", "n_rows", "n_values",
     )
 
 
 def _kind(runtime: Column, authored: Column) -> Column:
     """What a conflict is, by the first that holds."""
     return (
-        F.when(F.col("case") == "override", "reviewed-divergence").when(F.expr("exists(rows, r -> r.supersedes is not null)"), "supersession").when(runtime & authored, "contradiction")
-        .when(runtime & (F.size("all_classes") == 1), "staleness").when(F.expr("exists(rows, r -> r.confidence = 'candidate')"), "ambiguity")
+        F.when(F.col("case") == "override", "reviewed-divergence").when(F.col("superseding"), "supersession").when(runtime & authored, "contradiction")
+        .when(runtime & (F.size("all_classes") == 1), "staleness").when(F.col("has_candidate"), "ambiguity")
         .when(F.size("all_classes") > 1, "contradiction").otherwise("ambiguity")
     )
 
