@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.settle import settle
+
 
 def select_rules(groups: DataFrame, rules: DataFrame) -> DataFrame:
     """groups with rule_id, elect of the rule whose pattern matches `subject key`; the longest pattern, then the first.
@@ -34,36 +36,39 @@ def supersede(facts: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _groups(live: DataFrame) -> DataFrame:
-    """(subject, key) with what the decision table asks of a group: counts, least ords, classes, the newest and the longest.
+    """(subject, key) with what the decision table asks of a group: counts, least ords, classes, the newest dated row.
 
-    All are aggregates that combine before the exchange, and of a size that the number of rows doesn't change: a group may
-    hold a third of all facts.
+    Rows are counted by class, values and dates apart, in buffers of fixed width that combine before the exchange; only the
+    few classes of a group meet in one row. A group may hold a third of all facts.
     """
     c = F.col
-    candidate, firm = c("confidence") == "candidate", F.coalesce(c("confidence") != "candidate", F.lit(False))
+    candidate, firm = F.coalesce(c("confidence") == "candidate", F.lit(False)), F.coalesce(c("confidence") != "candidate", F.lit(False))
     normative, size = F.coalesce(c("normative"), F.lit(False)), F.size("list")
-    of = lambda on, x: F.when(firm & on, x)
-    override, dated = c("evidence_class") == "REVIEWED_OVERRIDE", (c("evidence_class") == "OBSERVED_RUNTIME") & c("observed_at").isNotNull()
-    listed = c("list").isNotNull()
-    g = live.groupBy("subject", "key").agg(
-        F.count("*").alias("n_rows"), F.count_distinct("value_json").alias("n_values"), F.bool_or(normative).alias("has_normative"), F.bool_and(F.coalesce(normative | candidate, F.lit(False))).alias("gated"),
-        F.count_if(firm).alias("n_firm"), F.count_if(firm & override).alias("n_overrides"), F.min(of(override, c("ord"))).alias("override_ord"),
-        F.count_if(firm & dated).alias("n_dated"), F.max(of(dated, F.struct("observed_at", "ord"))).alias("newest"),
-        F.count_if(firm & listed).alias("n_lists"), F.max_by(F.struct("ord", "list"), of(listed, size)).alias("longest"),
-        F.collect_set("evidence_class").alias("all_classes"), F.bool_or(c("supersedes").isNotNull()).alias("superseding"), F.bool_or(F.coalesce(candidate, F.lit(False))).alias("has_candidate"),
+    key = ["subject", "key"]
+    by_class = live.groupBy(*key, "evidence_class").agg(
+        F.count("*").alias("n_rows"), F.bool_or(normative).alias("has_normative"), F.bool_and(normative | candidate).alias("gated"), F.count_if(firm).alias("n_firm"), F.min(F.when(firm, c("ord"))).alias("ord"),
+        F.count_if(firm & c("list").isNotNull()).alias("n_lists"), F.max_by("ord", F.when(firm & c("list").isNotNull(), size)).alias("longest_ord"), F.max(F.when(firm & c("list").isNotNull(), size)).alias("longest"),
+        F.bool_or(c("supersedes").isNotNull()).alias("superseding"), F.bool_or(candidate).alias("has_candidate"),
+    )
+    g = by_class.groupBy(*key).agg(
+        F.sum("n_rows").alias("n_rows"), F.bool_or("has_normative").alias("has_normative"), F.bool_and("gated").alias("gated"), F.sum("n_firm").alias("n_firm"), F.sum("n_lists").alias("n_lists"),
+        F.max_by("longest_ord", "longest").alias("longest_ord"), F.bool_or("superseding").alias("superseding"), F.bool_or("has_candidate").alias("has_candidate"),
+        F.collect_set("evidence_class").alias("all_classes"),
+        F.map_from_entries(F.collect_list(F.when((c("n_firm") > 0) & c("evidence_class").isNotNull(), F.struct("evidence_class", F.struct(c("n_firm").alias("n"), "ord"))))).alias("by_class"),
     )
-    g = g.withColumn("gated", c("gated") & c("has_normative"))
-    each = live.where(firm & c("evidence_class").isNotNull()).groupBy("subject", "key", "evidence_class").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
-    by_class = each.groupBy("subject", "key").agg(F.map_from_entries(F.collect_list(F.struct("evidence_class", F.struct("n", "ord")))).alias("by_class"))
-    return g.join(by_class, ["subject", "key"], "left")
+    values = live.select(*key, "value_json").distinct().groupBy(*key).agg(F.count("value_json").alias("n_values"))
+    dated = live.where(firm & (c("evidence_class") == "OBSERVED_RUNTIME") & c("observed_at").isNotNull())
+    newest = dated.groupBy(*key).agg(F.count("*").alias("n_dated"), F.max(F.struct("observed_at", "ord")).alias("newest"))
+    return g.withColumn("gated", c("gated") & c("has_normative")).join(values, key).join(newest, key, "left")
 
 
 def _supersets(live: DataFrame, groups: DataFrame) -> DataFrame:
     """(subject, key, superset_ord) of groups whose longest list holds every element of all others and is longer than each."""
-    asked = groups.where("not has_normative and n_values > 1 and n_firm > 1 and n_lists = n_firm").select("subject", "key", "longest")
-    inside = (F.size("list") < F.size("longest.list")) & (F.size(F.array_except("list", "longest.list")) == 0)
-    rows = live.where("confidence <> 'candidate'").select("subject", "key", "ord", "list").join(asked, ["subject", "key"])
-    holds = rows.groupBy("subject", "key").agg(F.bool_and((F.col("ord") == F.col("longest.ord")) | inside).alias("holds"), F.min("longest.ord").alias("superset_ord"))
+    asked = groups.where("not has_normative and n_values > 1 and n_firm > 1 and n_lists = n_firm").select("subject", "key", "longest_ord")
+    rows = live.where("confidence <> 'candidate' and list is not null").select("subject", "key", "ord", "list").join(asked, ["subject", "key"])
+    whole = rows.where("ord = longest_ord").select("subject", "key", F.col("list").alias("whole"))
+    inside = (F.col("ord") == F.col("longest_ord")) | ((F.size("list") < F.size("whole")) & (F.size(F.array_except("list", "whole")) == 0))
+    holds = rows.join(whole, ["subject", "key"]).groupBy("subject", "key").agg(F.bool_and(inside).alias("holds"), F.min("longest_ord").alias("superset_ord"))
     return holds.where("holds").drop("holds")
 
 
@@ -78,17 +83,17 @@ def elect(facts: DataFrame, rules: DataFrame) -> DataFrame:
         if name not in facts.columns:
             facts = facts.withColumn(name, F.lit(None).cast(kind))
     live = facts.where(~F.coalesce("superseded", F.lit(False)))
-    g = _groups(live)
+    g = settle(_groups(live))
     g = select_rules(g.join(_supersets(live, g), ["subject", "key"], "left"), rules)
     g = g.withColumn("elect", F.coalesce("elect", F.array().cast("array<string>")))
     g = g.withColumn("allowed", F.array_intersect("elect", F.coalesce(F.map_keys("by_class"), F.array().cast("array<string>"))))
-    g = g.withColumn("by_rule", F.expr("try_element_at(by_class, try_element_at(allowed, 1))"))
+    g = g.withColumns({"by_rule": F.expr("try_element_at(by_class, try_element_at(allowed, 1))"), "over": F.expr("try_element_at(by_class, 'REVIEWED_OVERRIDE')")})
     plain = ~F.col("has_normative")
     case = (
         F.when(F.col("gated"), "normative")
         .when((F.col("n_values") == 1) & (F.col("n_firm") == 0), "candidate-only")
         .when(F.col("n_values") == 1, "agreement")
-        .when(plain & (F.array_join("elect", ",") == "REVIEWED_OVERRIDE") & (F.col("n_overrides") == 1), "override")
+        .when(plain & (F.array_join("elect", ",") == "REVIEWED_OVERRIDE") & (F.col("over.n") == 1), "override")
         .when(plain & (F.size("allowed") == 1) & (F.col("by_rule.n") == 1), "rule")
         .when(plain & F.col("superset_ord").isNotNull(), "superset")
         .when(plain & F.array_contains("elect", "OBSERVED_RUNTIME") & (F.col("n_dated") >= 2), "recency")
@@ -96,7 +101,7 @@ def elect(facts: DataFrame, rules: DataFrame) -> DataFrame:
     )
     g = g.withColumn("case", case)
     elected = (
-        F.when(F.col("case") == "override", F.col("override_ord")).when(F.col("case") == "rule", F.col("by_rule.ord"))
+        F.when(F.col("case") == "override", F.col("over.ord")).when(F.col("case") == "rule", F.col("by_rule.ord"))
         .when(F.col("case") == "superset", F.col("superset_ord")).when(F.col("case") == "recency", F.col("newest.ord"))
     )
     basis = F.create_map(*[F.lit(x) for x in ("override", "reviewed-override", "rule", "authority-rule", "superset", "superset", "recency", "recency", "open", "none", "candidate-only", "none")])
