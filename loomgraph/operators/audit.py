@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_name
@@ -13,13 +13,18 @@ from ..functions.text import normalise_name
 def classify(notes: DataFrame) -> DataFrame:
     """(fact, class, why) from (fact, ord, cls, why): the first note's class, then a fold in order.
 
-    A conflict or an open question always takes over; CONFIRMED takes over from DERIVED only; the rest leave the class.
+    A conflict or an open question always takes over, so that the last of them decides; CONFIRMED takes over from DERIVED
+    only; the rest leave the class. why is of the first four notes that have one, which a limit by fact finds before the
+    exchange: no list of all notes of a fact is made.
     """
-    rows = F.array_sort(F.collect_list(F.struct("ord", "cls", "why")))
-    g = notes.groupBy("fact").agg(rows.alias("rows"))
-    first = F.element_at("rows", 1)["cls"]
-    fold = F.aggregate("rows", first, lambda acc, r: F.when(r["cls"].isin("CONFLICT", "UNRESOLVED"), r["cls"]).when((r["cls"] == "CONFIRMED") & (acc == "DERIVED"), r["cls"]).otherwise(acc))
-    return g.select("fact", fold.alias("class"), F.slice(F.array_compact(F.transform("rows", lambda r: r["why"])), 1, 4).alias("why"))
+    place = F.struct("ord", "cls", "why")
+    takes = F.col("cls").isin("CONFLICT", "UNRESOLVED")
+    g = notes.groupBy("fact").agg(F.min(place).alias("first"), F.max(F.when(takes, place)).alias("last"), F.bool_or(F.col("cls") == "CONFIRMED").alias("confirmed"))
+    kept = F.when((F.col("first.cls") == "DERIVED") & F.col("confirmed"), "CONFIRMED").otherwise(F.col("first.cls"))
+    heads = notes.where("why is not null").withColumn("n", F.row_number().over(Window.partitionBy("fact").orderBy("ord", "cls", "why"))).where("n <= 4")
+    why = heads.groupBy("fact").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "why"))), lambda x: x["why"]).alias("why"))
+    out = g.join(why, "fact", "left")
+    return out.select("fact", F.coalesce("last.cls", kept).alias("class"), F.coalesce("why", F.array().cast("array<string>")).alias("why"))
 
 
 def fact_notes(facts: DataFrame) -> DataFrame:

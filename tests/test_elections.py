@@ -2,7 +2,7 @@
 
 import random
 
-from loomgraph.operators import elect
+from loomgraph.operators import audit, elect
 
 FACT = "ord long, subject string, key string, value_json string, evidence_class string, confidence string, observed_at string, normative boolean, supersedes string, list array<string>"
 CLASSES = ["AUTHORED", "DERIVED", "OBSERVED_RUNTIME", "REVIEWED_OVERRIDE"]
@@ -55,3 +55,20 @@ def test_groups_as_the_table_decides_them(spark):
     assert {(x.subject, x.key): (x.case, x.elected_ord) for x in rows} == want
     assert {case for case, _ in want.values()} >= {"agreement", "open", "rule", "superset", "recency", "override", "candidate-only"}
     assert {(x.subject, x.key): (x.n_rows, x.n_values) for x in rows} == {g: (len(v), len({y["value_json"] for y in v})) for g, v in groups.items()}
+
+
+def test_classes_as_a_fold_in_order(spark):
+    r = random.Random(8)
+    kinds = ["DERIVED", "DERIVED", "OBSERVED", "CONFIRMED", "CONFLICT", "UNRESOLVED"]
+    notes = [("hot" if i % 3 == 0 else f"f{r.randrange(150)}", r.randrange(40), r.choice(kinds[: 6 if i % 5 else 4]), r.choice([None, f"w{i % 7}"])) for i in range(900)]
+    notes += [(f"d{i}", 1, "DERIVED", None) for i in range(5)] + [("c", 1, "DERIVED", "x"), ("c", 2, "CONFIRMED", "y"), ("o", 1, "OBSERVED", "x"), ("o", 2, "CONFIRMED", "y")]
+    want = {}
+    for fact in {n[0] for n in notes}:
+        rows = sorted((n[1:] for n in notes if n[0] == fact), key=lambda x: (x[0], x[1], x[2] or ""))
+        cls = rows[0][1]
+        for _, c, _ in rows:
+            cls = c if c in ("CONFLICT", "UNRESOLVED") or (c == "CONFIRMED" and cls == "DERIVED") else cls
+        want[fact] = (cls, [w for _, _, w in rows if w is not None][:4])
+    got = audit.classify(spark.createDataFrame(notes, "fact string, ord int, cls string, why string"))
+    assert {x.fact: (x["class"], x.why) for x in got.collect()} == want
+    assert "WindowGroupLimit" in got._jdf.queryExecution().optimizedPlan().toString()
