@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import event_plausible, redact_command
@@ -70,3 +70,27 @@ def shadow_checks(checks: DataFrame) -> DataFrame:
     loose = rows.where(~F.col("id").startswith("tg:") & ~F.col("id").startswith("ci:"))
     gone = loose.join(covered, ["ref", "tier"], "left_semi").select("id").distinct()
     return checks.join(gone, "id", "left_anti")
+
+
+def merge_derived(partials: DataFrame, key: str, ord_: str = "ord", sets: tuple[str, ...] = (), lists: tuple[str, ...] = (), maps: tuple[str, ...] = (), scalars: tuple[str, ...] = ()) -> DataFrame:
+    """One row a key from what each extractor derived of it, in order: sets united, lists joined, maps overlaid, the last scalar.
+
+    A row is the whole finding of one extractor, so a key has as many rows as there are extractors. Sets come out sorted; a
+    later entry of a map replaces an earlier one; a field that no row has is null.
+    """
+
+    def placed(name: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct(F.col(ord_).alias("o"), F.col(name).alias("x")))), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))
+        return F.transform(rows, lambda r: r["x"])
+
+    def overlaid(rows: Column) -> Column:
+        first = F.element_at(rows, 1)
+        return F.aggregate(F.slice(rows, F.lit(2), F.size(rows)), first, lambda acc, m: F.map_concat(F.map_filter(acc, lambda k, _: ~F.map_contains_key(m, k)), m))
+
+    aggregates = [placed(name).alias(name) for name in (*sets, *lists, *maps)] + [F.max_by(name, F.when(F.col(name).isNotNull(), F.col(ord_))).alias(name) for name in scalars]
+    g = partials.groupBy(key).agg(*aggregates)
+    some = lambda name, x: F.when(F.size(name) > 0, x).alias(name)
+    return g.select(
+        key, *[some(n, F.array_sort(F.array_distinct(F.flatten(n)))) for n in sets], *[some(n, F.flatten(n)) for n in lists],
+        *[some(n, overlaid(F.col(n))) for n in maps], *scalars,
+    )

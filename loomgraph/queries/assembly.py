@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import closure
+from ..operators import closure, indexes
 from ..plans import context as plan
 from ..sources import bindings as B
 from .closures import DIST, RANKED, REACH
@@ -108,3 +108,30 @@ def change_reasons(spark, d):
     g = _graph(spark, d)
     found = plan.impact_of(spark, {k: g[k] for k in ("entities", "verification", "inputs")}, changed)
     return found["affected"]
+
+
+@query("""select p_partkey as unit, 'go' || case when p_partkey % 5 = 0 then ',rust' else '' end || case when p_partkey % 2 = 0 then ',ts' else '' end as langs,
+  'a' || p_partkey || case when p_partkey % 2 = 0 then ',b' else '' end || case when p_partkey % 5 = 0 then ',a' || p_partkey else '' end as notes,
+  'x=' || case when p_partkey % 2 = 0 then p_partkey + 1 else p_partkey end || case when p_partkey % 2 = 0 then ',y=1' else '' end || case when p_partkey % 5 = 0 then ',z=2' else '' end as links,
+  case when p_partkey % 3 = 0 then 'importable' when p_partkey % 2 = 0 then 'deployable' end as shape from part""")
+def derived_merge(spark, d):
+    """Four extractors' findings about each part, merged by the kind of each field."""
+    k, text = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    none = {"langs": "array<string>", "notes": "array<string>", "links": "map<string,string>", "shape": "string"}
+
+    def finding(on, n, **said):
+        of = [F.lit(n).alias("ord"), *[(said[f] if f in said else F.lit(None).cast(kind)).alias(f) for f, kind in none.items()]]
+        return F.when(on, F.struct(*of))
+
+    many = lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    note = F.concat(F.lit("a"), text)
+    found = F.array_compact(F.array(
+        finding(k % 5 == 0, 4, langs=many("rust"), notes=many(note), links=F.create_map(F.lit("z"), F.lit("2"))),
+        finding(k >= 0, 1, langs=many("go"), notes=many(note), links=F.create_map(F.lit("x"), text)),
+        finding(k % 3 == 0, 3, shape=F.lit("importable")),
+        finding(k % 2 == 0, 2, langs=many("ts", "go"), notes=many("b"), links=F.create_map(F.lit("x"), (k + 1).cast("string"), F.lit("y"), F.lit("1")), shape=F.lit("deployable")),
+    ))
+    partials = B.table(spark, d, "part").select(k.alias("unit"), F.explode(found).alias("f")).select("unit", "f.*")
+    m = indexes.merge_derived(partials, "unit", sets=("langs",), lists=("notes",), maps=("links",), scalars=("shape",))
+    links = F.array_join(F.transform(F.array_sort(F.map_entries("links")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return m.select("unit", F.array_join("langs", ",").alias("langs"), F.array_join("notes", ",").alias("notes"), links.alias("links"), "shape")
