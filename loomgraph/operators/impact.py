@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .closure import top
@@ -14,10 +14,14 @@ MIGRATION = r"(^|/)(migrations?|alembic/versions)/"
 WORKFLOW = r"\.github/workflows/"
 
 
-def classify(files: DataFrame, contracts: DataFrame, docs: DataFrame, migrations: DataFrame | None, inputs: DataFrame, resources: DataFrame | None = None) -> DataFrame:
-    """files (path) with `kind` by the first that holds: contract, documentation, resource, verification, input; else null."""
+def classify(files: DataFrame, contracts: DataFrame, docs: DataFrame, migrations: DataFrame | None, inputs: DataFrame | Column, resources: DataFrame | None = None) -> DataFrame:
+    """files (path) with `kind` by the first that holds: contract, documentation, resource, verification, input; else null.
+
+    inputs are paths, or what says of each file by itself whether it is one, where several files share a path.
+    """
     flag = lambda df, name: df.select("path").distinct().withColumn(name, F.lit(True))
-    j = files.join(flag(contracts, "c_"), "path", "left").join(flag(docs, "d_"), "path", "left").join(flag(inputs, "i_"), "path", "left")
+    j = files.join(flag(contracts, "c_"), "path", "left").join(flag(docs, "d_"), "path", "left")
+    j = j.withColumn("i_", inputs) if isinstance(inputs, Column) else j.join(flag(inputs, "i_"), "path", "left")
     j = j.join(flag(resources, "r_"), "path", "left") if resources is not None else j.withColumn("r_", F.lit(None).cast("boolean"))
     j = longest_owner(j, migrations) if migrations is not None else j.withColumn("owner", F.lit(None).cast("string"))
     p = F.col("path")
