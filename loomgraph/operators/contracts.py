@@ -69,7 +69,7 @@ def consumers(files: DataFrame, contracts: DataFrame) -> DataFrame:
     known = settle(contracts.select("ref", "provider").distinct())
     pairs = candidates(files, known.select("ref").distinct()).join(known, "ref").where("unit <> provider").select("unit", "path", "ref").distinct()
     out = pairs.join(files.select("unit", "path", "text"), ["unit", "path"]).where(F.contains("text", F.col("ref"))).select("ref", "unit", "path").distinct()
-    tiny = known.where(F.char_length("ref") < GRAMS[-1][1])
+    tiny = settle(known.where(F.char_length("ref") < GRAMS[-1][1])).coalesce(1)  # each task of texts reads them once
     if not tiny.isEmpty():
         out = out.unionByName(files.join(tiny, F.contains("text", F.col("ref")) & (F.col("unit") != F.col("provider"))).select("ref", "unit", "path").distinct())
     return out.withColumn("label", F.when(F.col("path").rlike(BUILD_CONFIG), "codegen").otherwise("source-reference"))
