@@ -160,7 +160,7 @@ def workflow_checks(files: DataFrame, units: DataFrame | None = None, packages:
     A command belongs to the deepest unit (root) over its directory, to units whose package (name, unit) it selects, and to units over
     a path that it is given. Without units its directory is its unit. A script counts only if it is a file of the checkout.
     """
-    w = parsers.rows(files.where(F.col("path").rlike(r"\.github/workflows/[^/]+\.ya?ml$")).select("path", "text"), "workflow", "job string, step int, name string, run string, dir string").where("run is not null")
+    w = parsers.rows(files.where(F.col("path").rlike(r"\.github/workflows/[^/]+\.ya?ml$")).select("path", "text"), "workflow", "job string, step int, name string, run string, dir string").where("run is not null").drop("text")
     c = parsers.rows(w.drop("error", "error_line"), "shell", "n int, command string, words array<string>", text="run").where("command is not null")
     ident = F.concat_ws(":", F.lit("ci"), F.regexp_extract("path", "([^/]+)$", 1), "job", F.col("step").cast("string"), F.col("n").cast("string"))
     said = ci_commands(c.select(ident.alias("id"), F.coalesce(normal_path(F.col("dir")), F.lit(".")).alias("dir"), "command", "words"))

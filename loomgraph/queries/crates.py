@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import crates
-from ..sources.bindings import table
+from ..sources.bindings import spread, table
 from .registry import query
 
 MEMBERS = [
@@ -47,7 +47,7 @@ def workspaces(spark, d: str):
     files = F.array_compact(F.array(
         of("w/<g>/<k>", "w/<g>/<k>/Cargo.toml", member), of("w/<g>/<k>", "w/<g>/<k>/src/lib.rs", SOURCE), F.when(k % 10 == 0, of("w/<g>", "w/<g>/Cargo.toml", SPACE)),
     ))
-    return table(spark, d, "part").select(F.explode(files).alias("f")).select("f.*")
+    return spread(table(spark, d, "part"), "p_partkey").select(F.explode(files).alias("f")).select("f.*")
 
 
 @query(f"with {_SQL} select *, 'cargo-manifest' as via from edges")

@@ -231,7 +231,7 @@ def contract_consumers_by_length(spark, d):
     k = F.col("p_partkey")
     end = lambda n: F.element_at(F.array(*[F.lit(x) for x in (".proto", "/openapi.yaml", "/a/very/long/path/of/a/contract/file.graphql")]), (n % 3 + 1).cast("int"))
     half, third = F.floor(k / 2).cast("long"), F.floor(k / 3).cast("long")
-    p = B.table(spark, d, "part")
+    p = B.spread(B.table(spark, d, "part"), "p_partkey")
     files = p.select((k % 20).alias("unit"), F.concat(F.lit("u/"), k.cast("string"), F.lit(".go")).alias("path"), F.concat(F.lit('load("api/'), half.cast("string"), end(half), F.lit('", "x.'), third.cast("string"), F.lit('")')).alias("text"))
     c = p.where("p_partkey % 4 = 0").select(F.concat(F.lit("api/"), k.cast("string"), end(k)).alias("ref"), (k % 20).alias("provider"))
     c = c.unionByName(p.where("p_partkey % 50 = 0").select(F.concat(F.lit("x."), k.cast("string")).alias("ref"), F.lit(0).cast("long").alias("provider")))

@@ -200,7 +200,7 @@ CONTRACTS = [
 def contract_syntax(spark, d):
     k = (_k() % 10).cast("int")
     pick = lambda at: F.get(F.array(*[F.lit(c[at]) for c in CONTRACTS]), k)
-    return contracts.syntax_problems(_parts(spark, d).select(_text("c/", _k()).alias("path"), pick(0).alias("type"), pick(1).alias("text")))
+    return contracts.syntax_problems(B.spread(_parts(spark, d), "p_partkey").select(_text("c/", _k()).alias("path"), pick(0).alias("type"), pick(1).alias("text")))
 
 
 @query("select 'api:x/' || p_partkey as ref from part where p_partkey % 3 <> 0")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import extract, imports, own
 from ..sources import authored, parsers
-from ..sources.bindings import table
+from ..sources.bindings import spread, table
 from .registry import query
 
 UNIT = "('p/' || a.p_partkey)"
@@ -29,7 +29,7 @@ def _files(spark, d, name, text, is_test="false", **more):
             out = F.replace(out, F.lit(f"<{key}>"), n.cast("string"))
         return out
 
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part"), "p_partkey")
     return p.select(filled("p/<k>").alias("unit"), filled(f"p/<k>/{name}").alias("path"), filled(text).alias("text"), F.expr(is_test).alias("is_test"))
 
 

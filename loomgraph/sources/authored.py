@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import owns_path, parent_path
 from ..functions.text import secret_form
+from ..plans.settle import settle
 from . import parsers
 
 DESCRIPTOR = "line int, kind string, name string, description string, type string, system string, domain string, provider string, contract string, docs array<string>, constraints array<string>, runbooks array<string>"
@@ -16,8 +17,8 @@ OVERRIDE = "n int, fact string, subject string, target string, contract string,
 
 
 def _read(files: DataFrame, parser: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, refusals) of files (path, text)."""
-    found = parsers.rows(files.select("path", "text"), parser, schema).drop("text")
+    """(rows, refusals) of files (path, text); settled, so that no text is read again for each check of its rows."""
+    found = settle(parsers.rows(files.select("path", "text"), parser, schema).drop("text"))
     return found.where("error is null").drop("error", "error_line"), found.where("error is not null").select("path", F.col("error_line").alias("line"), F.col("error").alias("message"))
 
 
