@@ -1,5 +1,6 @@
 """Graph closures: reachability, reverse dependencies, tiered scope, distances, checks for a change.
 
+The joins of a level are merges: a broadcast takes some 67 MB of the driver however small it is, at each level anew.
 Loops advance a frontier against what was visited, settle each level, and stop when the frontier is empty. Order never
 depends on the order of rows.
 """
@@ -22,8 +23,8 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     seen, depth = frontier.withColumn("depth", F.lit(0)), 0
     while not frontier.isEmpty():
         depth += 1
-        step = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
-        frontier = settle(step.join(seen, "node", "left_anti"))
+        step = edges.join(frontier.hint("merge"), edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
+        frontier = settle(step.join(seen.hint("merge"), "node", "left_anti"))
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
         if depth % 8 == 0:
             seen = settle(seen)
@@ -40,8 +41,8 @@ def reachable_pairs(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     seen, depth = frontier, 0
     while not frontier.isEmpty():
         depth += 1
-        step = frontier.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = settle(step.join(seen, ["seed", "node"], "left_anti"))
+        step = frontier.join(edges.hint("merge"), F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
+        frontier = settle(step.join(seen.hint("merge"), ["seed", "node"], "left_anti"))
         seen = seen.unionByName(frontier)
         if depth % 8 == 0:
             seen = settle(seen)
@@ -77,11 +78,11 @@ def search(reverse: DataFrame, seeds: DataFrame, routes: bool = True) -> DataFra
             break
         depth += 1
         placed = _placed(level, ["parent", "ref"], n) if routes else level.withColumn("place", F.lit(0).cast("long"))
-        step = edges.join(placed, edges["dependency"] == placed["ref"]).select("dependent", (F.col("build") & ~F.col("test")).alias("build"), "first", "seed", F.col("ref").alias("next"), "place")
+        step = edges.join(placed.hint("merge"), edges["dependency"] == placed["ref"]).select("dependent", (F.col("build") & ~F.col("test")).alias("build"), "first", "seed", F.col("ref").alias("next"), "place")
         earliest = F.min_by(F.struct("seed", "next", "place"), F.when(F.col("first"), F.struct("place", "next"))).alias("p")
         best = step.groupBy("dependent").agg(F.bool_or("build").alias("build"), earliest)
         known = old.groupBy(F.col("ref").alias("known")).agg(F.bool_or("build").alias("known_build"))
-        fresh = best.join(known, F.col("dependent") == F.col("known"), "left").where("known is null or (build and not known_build)")
+        fresh = best.join(known.hint("merge"), F.col("dependent") == F.col("known"), "left").where("known is null or (build and not known_build)")
         level = settle(fresh.select(
             F.col("dependent").alias("ref"), "build", F.col("known").isNull().alias("first"), F.lit(depth).alias("distance"), "p.seed", "p.next", F.coalesce("p.place", F.lit(0)).alias("parent"),
         ))
