@@ -17,8 +17,9 @@ BUILD_CONFIG = (
 )
 CODE = r"\.(ts|tsx|js|jsx|mts|cts|mjs|cjs|go|py|rb|java|kt|rs|ex|exs|cs|php|swift|gradle|proto|graphql|sql)$"
 DOCUMENTATION = r"\.(md|mdx|txt|adoc|rst)$|(^|/)docs/"
-#: Lengths of the runs by which texts and contracts meet, and the least length of the contracts that use each.
-GRAMS = ((24, 95), (12, 47), (6, 11), (3, 5))
+#: By which runs texts and contracts meet: how far apart they begin in a text, their length, the least length of the contracts
+#: that may use them (step + length - 1, so that one lies in the contract wherever that begins), and that of those too long.
+GRAMS = ((24, 24, 95, None), (12, 12, 47, 95), (6, 12, 17, 95), (6, 6, 11, 17), (3, 9, 11, 17), (3, 6, 8, 11), (3, 5, 7, 11), (3, 3, 5, 11))
 
 
 def reference_sites(files: DataFrame) -> DataFrame:
@@ -27,16 +28,28 @@ def reference_sites(files: DataFrame) -> DataFrame:
     return files.where(~p.rlike(DOCUMENTATION) & (p.rlike(CODE) | p.rlike(BUILD_CONFIG)))
 
 
-def _rare_runs(refs: DataFrame, gram: int) -> DataFrame:
-    """(ref, run) of contracts: for each place a contract can have against the cuts of a text, its rarest run there.
+def _rare_runs(refs: DataFrame, step: int, gram: int) -> DataFrame:
+    """(ref, step, gram, run, n) of contracts: for each place a contract can have against the runs of a text, its rarest run there, with n uses.
 
-    A text is cut every `gram` characters, so that wherever a contract lies in it, the runs at one residue of the
-    contract's starts are whole. What many contracts share (their directory) is passed over for what few have.
+    A run of a text begins every `step` characters, so that wherever a contract lies in it, the runs at one residue of
+    the contract's starts are whole. What many contracts share (their directory) is passed over for what few have.
     """
     starts = F.sequence(F.lit(1), F.char_length("ref") - gram + 1)
     runs = refs.select("ref", F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.substring("ref", i, F.lit(gram))))).alias("at", "run"))
     counted = runs.join(runs.groupBy("run").agg(F.count("*").alias("n")), "run")
-    return counted.groupBy("ref", (F.col("at") % gram).alias("residue")).agg(F.min_by("run", F.struct("n", "at")).alias("run")).select("ref", "run").distinct()
+    rarest = counted.groupBy("ref", (F.col("at") % step).alias("residue")).agg(F.min(F.struct("n", "at", "run")).alias("x"))
+    return rarest.select("ref", F.lit(step).alias("step"), F.lit(gram).alias("gram"), "x.run", "x.n")
+
+
+def _keys(refs: DataFrame, used: list) -> DataFrame:
+    """(ref, step, gram, run) of contracts, by the kind of runs that each shares least with others, the widest step of several.
+
+    Short runs are few (a thousand of three digits), so that with more contracts ever more of them share each.
+    """
+    runs = reduce(DataFrame.unionByName, [_rare_runs(refs.where(on), step, gram) for step, gram, on in used])
+    shared = runs.groupBy("ref", "step", "gram").agg(F.avg("n").alias("n"))
+    best = shared.groupBy("ref").agg(F.min_by(F.struct("step", "gram"), F.struct("n", -F.col("step"), "gram")).alias("x")).select("ref", "x.*")
+    return runs.join(best, ["ref", "step", "gram"]).select("ref", "step", "gram", "run").distinct()
 
 
 def candidates(files: DataFrame, refs: DataFrame) -> DataFrame:
@@ -45,13 +58,14 @@ def candidates(files: DataFrame, refs: DataFrame) -> DataFrame:
     Contracts shorter than the least of GRAMS have no runs. Texts are read and dealt once, in the lengths that are used.
     """
     size = F.char_length("ref")
-    bounds = [(gram, (size >= low) & (size < above) if above else size >= low) for (gram, low), above in zip(GRAMS, (None, *[low for _, low in GRAMS]), strict=False)]
-    there = refs.agg(*[F.bool_or(on).alias(str(gram)) for gram, on in bounds]).first()
-    used = [(gram, on) for gram, on in bounds if there[str(gram)]]
+    bounds = [(step, gram, (size >= low) & (size < above) if above else size >= low) for step, gram, low, above in GRAMS]
+    there = refs.agg(*[F.bool_or(on) for _, _, on in bounds]).first()
+    used = [kind for kind, on in zip(bounds, there, strict=True) if on]
     if not used:
         return files.select("unit", "path").limit(0).crossJoin(refs.select("ref").limit(0))
-    keyed = stored(reduce(DataFrame.unionByName, [_rare_runs(refs.where(on), gram) for gram, on in used]))
-    cuts = [F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{{gram}}}"), F.lit(0)), lambda x: F.xxhash64(x)) for gram, _ in used]
+    keyed = stored(_keys(refs, used))
+    chosen = sorted((x.step, x.gram) for x in keyed.select("step", "gram").distinct().collect())
+    cuts = [F.transform(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{gram}}})).{{{step}}}"), F.lit(1)), lambda x: F.xxhash64(x)) for step, gram in chosen]
     texts = files.select("unit", "path", F.explode(F.array_distinct(F.concat(*cuts))).alias("run"))
     return texts.join(keyed, "run").select("unit", "path", "ref").distinct()
 
@@ -61,7 +75,7 @@ def consumers(files: DataFrame, contracts: DataFrame) -> DataFrame:
 
     Take `reference_sites` of all files first, so that a document that quotes a contract makes no edge.
 
-    The substring join is a hash join: texts are cut into runs in one pass over their characters, and meet the runs that
+    The substring join is a hash join: texts are cut into runs in one pass over their characters for each kind of runs, and meet the runs that
     contracts are known by (see `_rare_runs`) by their hashes; whole containment is checked after. The runs of contracts
     are stored, so that Catalyst can look texts up in them where they are few. Only what is shorter than any path with an
     ending is compared directly.
@@ -69,7 +83,7 @@ def consumers(files: DataFrame, contracts: DataFrame) -> DataFrame:
     known = settle(contracts.select("ref", "provider").distinct())
     pairs = candidates(files, known.select("ref").distinct()).join(known, "ref").where("unit <> provider").select("unit", "path", "ref").distinct()
     out = pairs.join(files.select("unit", "path", "text"), ["unit", "path"]).where(F.contains("text", F.col("ref"))).select("ref", "unit", "path").distinct()
-    tiny = settle(known.where(F.char_length("ref") < GRAMS[-1][1])).coalesce(1)  # each task of texts reads them once
+    tiny = settle(known.where(F.char_length("ref") < GRAMS[-1][2])).coalesce(1)  # each task of texts reads them once
     if not tiny.isEmpty():
         out = out.unionByName(files.join(tiny, F.contains("text", F.col("ref")) & (F.col("unit") != F.col("provider"))).select("ref", "unit", "path").distinct())
     return out.withColumn("label", F.when(F.col("path").rlike(BUILD_CONFIG), "codegen").otherwise("source-reference"))

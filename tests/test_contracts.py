@@ -22,3 +22,11 @@ def test_contracts_of_one_folder_meet_few_texts(spark):
     files = spark.range(5000).selectExpr("concat('u', id) as unit", "concat('f', id) as path", "concat(repeat('x', int(id % 24)), ' load(\"services/shared/contracts/v1/c-', lpad(id, 4, '0'), '.proto\")') as text")
     assert contracts.candidates(files, refs).count() < 15 * 5000
     assert contracts.consumers(files, refs.selectExpr("ref", "'p' as provider")).count() == 5000
+
+
+def test_short_contracts_share_few_runs(spark):
+    """Nine thousand contracts of seven characters, which have a thousand runs of three digits."""
+    refs = spark.range(10000, 100000, 10).selectExpr("concat('x.', id) as ref")
+    files = spark.range(10000, 100000, 10).selectExpr("concat('u', id) as unit", "concat('f', id) as path", "concat(repeat('-', int(id div 10 % 12)), ' \"x.', id, '\"') as text")
+    assert contracts.candidates(files, refs).count() < 10 * 9000
+    assert contracts.consumers(files, refs.selectExpr("ref", "'p' as provider")).count() == 9000
