@@ -7,6 +7,7 @@ import yaml
 from pyspark.sql import functions as F
 
 from loomgraph.operators import impact, imports, modules
+from loomgraph.plans import settle
 from loomgraph.queries import wiring
 from loomgraph.sources import authored, bindings, parsers
 
@@ -21,6 +22,19 @@ def test_a_small_file_with_long_rows_is_not_broadcast(spark):
     assert "BroadcastHashJoin" not in both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
 
 
+def test_a_measured_side_of_some_megabytes_is_merged(spark):
+    # 200 rows written to 2.5 MB: less than Spark would broadcast by itself
+    p = bindings.table(spark, SF, "part").select("p_partkey", F.repeat(F.col("p_partkey").cast("string"), 4_000).alias("text"))
+    both = p.join(p.select("p_partkey", F.reverse("text").alias("other")), "p_partkey")
+    both.collect()
+    assert "BroadcastHashJoin" not in both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+@pytest.mark.parametrize(("size", "n"), [("10485760b", 10485760), ("10MB", 10 << 20), ("256k", 256 << 10), ("-1", -1), ("5", 5)])
+def test_sizes_of_settings(size, n):
+    assert settle._bytes(size) == n
+
+
 def test_written_texts_are_spread_over_tasks(spark):
     files = wiring.written(spark, SF, [("true", "a.yml", "a: <k>\n")])
     assert files.select(F.spark_partition_id()).distinct().count() > 1
