@@ -110,11 +110,17 @@ def attribute_violations(relations: DataFrame) -> DataFrame:
     return out
 
 
-def drop_contract_duplicates(relations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped): runtime calls for a contract that the source already consumes are dropped."""
-    consumed = relations.where("type = 'consumesApi'").select(F.col("source_ref").alias("s"), F.col("target_ref").alias("api"))
+def contract_duplicates(relations: DataFrame) -> DataFrame:
+    """relations with `dropped`: whether it is a runtime call for a contract that the source already consumes."""
+    consumed = relations.where("type = 'consumesApi'").select(F.col("source_ref").alias("s"), F.col("target_ref").alias("api")).distinct()
     hit = (F.col("type") == "runtimeCalls") & (F.col("source_ref") == F.col("s")) & (F.col("attrs")["contractRef"] == F.col("api"))
-    return relations.join(consumed, hit, "left_anti"), relations.join(consumed, hit, "left_semi")
+    return relations.join(consumed, hit, "left").withColumn("dropped", F.col("s").isNotNull()).drop("s", "api")
+
+
+def drop_contract_duplicates(relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) by `contract_duplicates`."""
+    told = contract_duplicates(relations)
+    return told.where("not dropped").drop("dropped"), told.where("dropped").drop("dropped")
 
 
 def diff(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -104,9 +104,7 @@ def _duplicate_calls(e):
     s, k = F.split_part("source_ref", F.lit("-"), F.lit(-1)).cast("long"), F.split_part("target_ref", F.lit("-"), F.lit(-1)).cast("long")
     call = c.select(F.lit("runtimeCalls").alias("type"), "source_ref", B.ref("api", F.when(s % 2 == 0, k).otherwise(k + 1)).alias("contract")).distinct()
     both = call.select("type", "source_ref", F.lit("component:x/y").alias("target_ref"), F.create_map(F.lit("contractRef"), "contract").alias("attrs")).unionByName(c.withColumn("attrs", F.expr("cast(map() as map<string,string>)")))
-    kept, dropped = relations.drop_contract_duplicates(both)
-    out = lambda df, x: df.where("type = 'runtimeCalls'").select("source_ref", F.col("attrs")["contractRef"].alias("contract"), F.lit(x).alias("dropped"))
-    return out(kept, False).unionByName(out(dropped, True))
+    return relations.contract_duplicates(both).where("type = 'runtimeCalls'").select("source_ref", F.col("attrs")["contractRef"].alias("contract"), "dropped")
 
 
 @query(f"""with {SEGS}, n as (select page_id, case page_id % 5 when 0 then 'system:tpch/nation-' || (page_id % 40) else path end as needle, path from paths),

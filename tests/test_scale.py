@@ -6,9 +6,9 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
-from loomgraph.operators import impact, imports, modules
+from loomgraph.operators import impact, imports, modules, relations
 from loomgraph.plans import settle
-from loomgraph.queries import wiring
+from loomgraph.queries import graphs, wiring
 from loomgraph.sources import authored, bindings, parsers
 
 SF = "/root/testdata/sf0.001"
@@ -111,3 +111,15 @@ def test_loads_of_a_place_are_dealt_in_shares(spark, monkeypatch):
     assert sorted((r.path, r.file) for r in rows.collect()) == sorted(itertools.product([f"p/{k}/b.ts" for k in range(5)], [f"p/{k}/loc/en.ts" for k in range(20)]))
     # each file is matched once for a place, not once for each file that loads it
     assert "rlike" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_calls_and_consumed_contracts_meet_once(spark):
+    rows = [("runtimeCalls", "a", "x", {"contractRef": "p"}), ("runtimeCalls", "a", "x", {"contractRef": "p"}), ("runtimeCalls", "b", "x", {"contractRef": "p"}), ("runtimeCalls", "a", "x", None)]
+    rows += [("consumesApi", "a", "p", None), ("consumesApi", "a", "p", {"contractRef": "p"}), (None, "a", "p", {"contractRef": "p"})]
+    e = spark.createDataFrame(rows, "type string, source_ref string, target_ref string, attrs map<string,string>")
+    kept, dropped = relations.drop_contract_duplicates(e)
+    assert [x.type for x in dropped.collect()] == ["runtimeCalls"] * 2
+    assert kept.count() == 5
+    plan = graphs.contract_duplicate_calls(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1
+    assert plan.count("FileScan") == 2
