@@ -60,6 +60,23 @@ def test_both_yaml_readers_say_the_same(monkeypatch, text):
     assert found == said()
 
 
+def test_tags_of_plain_yaml_are_not_resolved(monkeypatch):
+    text = "name: nullable\nn: null\nno: [~, tRue, TRUE, -1, .5, .nan, '1', x, 0x1f, '']\ne:\n"
+    slow = [(i, n.start_mark.line + 1, parsers._value(n)) for i, n in enumerate(yaml.compose_all(text, Loader=yaml.SafeLoader))]
+    resolved = []
+    monkeypatch.setattr(yaml.resolver.Resolver, "resolve", lambda self, *what: resolved.append(what))
+    assert str(parsers.parse_yaml(text)) == str(slow)
+    assert str(slow[0][2]["no"]) == "[None, 'tRue', True, -1, 0.5, nan, '1', 'x', 31, '']"
+    assert not resolved
+
+
+@pytest.mark.parametrize(("text", "line"), [("a: 1\n  \tb: 2", 2), ("\ta: 1", 1), ("a: 1\nb: c\td\n \t", 3)])
+def test_tabs_in_indentation_are_refused_with_their_line(text, line):
+    with pytest.raises(parsers.Refused, match="tab in indentation") as x:
+        parsers.parse_yaml(text)
+    assert x.value.line == line
+
+
 def test_authored_texts_are_read_once(spark):
     text = "kind: ObservationSet\nmetadata: {name: s, capturedAt: x}\nspec: {facts: [{id: a, subject: r, key: k, value: 1}]}\n"
     facts, problems = authored.observations(spark.createDataFrame([("o.yaml", text)], "path string, text string"), spark.createDataFrame([("r",)], "ref string"), spark.createDataFrame([("b",)], "path string"))
