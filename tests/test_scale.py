@@ -6,9 +6,9 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
-from loomgraph.operators import impact, imports, modules, relations
+from loomgraph.operators import closure, impact, imports, modules, relations
 from loomgraph.plans import settle
-from loomgraph.queries import graphs, wiring
+from loomgraph.queries import closures, graphs, wiring
 from loomgraph.sources import authored, bindings, parsers
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +40,17 @@ def test_written_texts_are_spread_over_tasks(spark):
     assert files.select(F.spark_partition_id()).distinct().count() > 1
 
 
+@pytest.mark.parametrize("query", ["dependent_routes", "dependent_scope", "impact_checks_topk"])
+def test_levels_of_a_search_are_not_broadcast(spark, monkeypatch, query):
+    levels = []
+    keep = closure.settle
+    monkeypatch.setattr(closure, "settle", lambda df: levels.append(df) or keep(df))
+    getattr(closures, query)(spark, SF).collect()
+    plans = [df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0] for df in levels]
+    assert sum("SortMergeJoin" in p for p in plans) > 5
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_plain_yaml_is_read_once_by_the_reader_in_c(monkeypatch):
     read = []
     monkeypatch.setattr(yaml.SafeLoader, "__init__", lambda self, stream: read.append(stream))
