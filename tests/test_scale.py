@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import closure, impact, imports, modules, relations
 from loomgraph.plans import settle
-from loomgraph.queries import closures, graphs, wiring
+from loomgraph.queries import closures, crates, graphs, sections, wiring
 from loomgraph.sources import authored, bindings, parsers
 
 SF = "/root/testdata/sf0.001"
@@ -95,6 +95,18 @@ def test_authored_texts_are_read_once(spark):
     assert [r.problem for r in problems.collect()] == ["absent-bundle"]
 
 
+def test_manifests_of_crates_are_spread_over_tasks(spark):
+    assert crates.workspaces(spark, SF).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_contracts_to_check_are_spread_over_tasks(spark, monkeypatch):
+    texts = []
+    keep = sections.contracts.syntax_problems
+    monkeypatch.setattr(sections.contracts, "syntax_problems", lambda files: texts.append(files) or keep(files))
+    sections.contract_syntax(spark, SF)
+    assert texts[0].select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_inputs_by_path_and_by_file(spark):
     files = spark.createDataFrame([(1, "a/x"), (2, "a/x")], "id int, path string")
     none = files.where("false").select("path")
