@@ -65,7 +65,7 @@ def search(reverse: DataFrame, seeds: DataFrame, routes: bool = True) -> DataFra
 
     unit_only where every route has a test edge. A level holds the nodes that are reached for the first time and those
     reached for the first time without a test edge, so each node is in two levels at most. Of several nodes that reach
-    one first, the one earliest in the search wins (with routes); places in it are numbered by (place of the parent, ref).
+    one first, the one earliest in the search wins (with routes); places in it grow by (place of the parent, ref).
     """
     edges = settle(reverse.groupBy("dependency", "dependent").agg(F.bool_and("unit_only").alias("test")))
     none = F.lit(None).cast("string")
@@ -77,7 +77,7 @@ def search(reverse: DataFrame, seeds: DataFrame, routes: bool = True) -> DataFra
         if not n:
             break
         depth += 1
-        placed = _placed(level, ["parent", "ref"], n) if routes else level.withColumn("place", F.lit(0).cast("long"))
+        placed = _in_order(level, ["parent", "ref"], n) if routes else level.withColumn("place", F.lit(0).cast("long"))
         step = edges.join(placed.hint("merge"), edges["dependency"] == placed["ref"]).select("dependent", (F.col("build") & ~F.col("test")).alias("build"), "first", "seed", F.col("ref").alias("next"), "place")
         earliest = F.min_by(F.struct("seed", "next", "place"), F.when(F.col("first"), F.struct("place", "next"))).alias("p")
         best = step.groupBy("dependent").agg(F.bool_or("build").alias("build"), earliest)
@@ -103,11 +103,19 @@ def dependent_distance(reverse: DataFrame, seeds: DataFrame) -> DataFrame:
     return search(reverse, seeds).select("ref", "distance", "seed", "next")
 
 
-def _placed(df: DataFrame, order: list[str], n: int | None = None) -> DataFrame:
-    """df (of n rows) with `place`, its number in the given order: in one task up to ONE_TASK rows, else counted over range partitions."""
-    if (df.count() if n is None else n) <= ONE_TASK:
+def _in_order(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """df of n rows with `place`, which grows in the given order: without gaps up to ONE_TASK rows, else with gaps between range partitions."""
+    if n <= ONE_TASK:
         return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
-    sorted_ = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mid", F.monotonically_increasing_id()))
+    return settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+
+
+def _placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with `place`, its number in the given order: in one task up to ONE_TASK rows, else counted over range partitions."""
+    n = df.count()
+    if n <= ONE_TASK:
+        return _in_order(df, order, n)
+    sorted_ = _in_order(df, order, n).withColumnRenamed("place", "mid")
     part = F.shiftright("mid", 33)
     sizes = settle(sorted_.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.min("mid").alias("first_mid")))
     before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -51,6 +51,18 @@ def test_levels_of_a_search_are_not_broadcast(spark, monkeypatch, query):
     assert not any("Broadcast" in p for p in plans)
 
 
+def test_large_levels_of_a_search_are_put_in_order_without_a_broadcast(spark, monkeypatch):
+    settled = []
+    keep = closure.settle
+    want = sorted(closures.dependent_routes(spark, SF).collect())
+    monkeypatch.setattr(closure, "settle", lambda df: settled.append(df) or keep(df))
+    monkeypatch.setattr(closure, "ONE_TASK", 3)
+    assert sorted(closures.dependent_routes(spark, SF).collect()) == want
+    plans = [df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0] for df in settled]
+    assert sum("rangepartitioning" in p for p in plans) > 3
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_plain_yaml_is_read_once_by_the_reader_in_c(monkeypatch):
     read = []
     monkeypatch.setattr(yaml.SafeLoader, "__init__", lambda self, stream: read.append(stream))
