@@ -133,7 +133,7 @@ def checks_for_change(verification: DataFrame, reverse: DataFrame, seeds: DataFr
     reach = search(reverse, seeds, routes=False).select("ref", "unit_only", "distance")
     mine = (own if own is not None else seeds).select(F.col("ref").alias("own_ref")).distinct()
     rows = verification.select("id", "tier", F.explode("component_refs").alias("ref"))
-    hit = rows.join(reach, "ref", "left").join(mine, F.col("ref") == F.col("own_ref"), "left")
+    hit = rows.join(reach.hint("merge"), "ref", "left").join(mine.hint("merge"), F.col("ref") == F.col("own_ref"), "left")
     g = hit.groupBy("id", "tier").agg(
         F.bool_or(F.col("unit_only").isNotNull() & (~F.col("unit_only") | (F.col("tier") == "unit"))).alias("counts"),
         F.bool_or(F.col("own_ref").isNotNull()).alias("own"), F.min(F.when(F.col("unit_only").isNotNull(), F.col("distance"))).alias("distance"),

@@ -63,6 +63,15 @@ def test_large_levels_of_a_search_are_put_in_order_without_a_broadcast(spark, mo
     assert not any("Broadcast" in p for p in plans)
 
 
+@pytest.mark.parametrize("query", ["checks_for_change", "impact_checks_topk"])
+def test_checks_meet_their_scope_and_seeds_without_a_broadcast(spark, query):
+    found = getattr(closures, query)(spark, SF)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan
+    assert "BroadcastHashJoin" not in plan
+
+
 def test_plain_yaml_is_read_once_by_the_reader_in_c(monkeypatch):
     read = []
     monkeypatch.setattr(yaml.SafeLoader, "__init__", lambda self, stream: read.append(stream))
