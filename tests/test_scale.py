@@ -2,13 +2,14 @@
 
 import itertools
 
+import duckdb
 import pytest
 import yaml
 from pyspark.sql import functions as F
 
 from loomgraph.operators import closure, impact, imports, modules, relations
 from loomgraph.plans import settle
-from loomgraph.queries import closures, crates, graphs, sections, wiring
+from loomgraph.queries import closures, crates, graphs, registry, sections, wiring
 from loomgraph.sources import authored, bindings, parsers
 
 SF = "/root/testdata/sf0.001"
@@ -184,3 +185,15 @@ def test_calls_and_consumed_contracts_meet_once(spark):
     plan = graphs.contract_duplicate_calls(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 1
     assert plan.count("FileScan") == 2
+
+
+def test_buckets_of_parts_with_more_than_six_digits(spark, tmp_path):
+    # 100,000 and 1,000,000 begin with the same six digits, as their users 300,000 and 3,000,000 do
+    keys = [k + n for k in (100_000, 300_000, 1_000_000, 3_000_000) for n in range(12)]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    want = db.execute(f"select kind, unit, resource, bucket, n from ({registry.ORACLES['bucket_literals']})").fetchall()
+    rows = wiring.bucket_literals(spark, str(tmp_path)).select("kind", "unit", "resource", "bucket", "n").collect()
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want))
+    assert {r.resource for r in rows if r.unit.startswith("p/30000")} >= {"resource:x/100001", "resource:x/1000002"}
