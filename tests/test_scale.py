@@ -1,6 +1,7 @@
 """What keeps joins, parsers, closures of configurations and run-time imports bounded on larger tables."""
 
 import itertools
+import re
 
 import duckdb
 import pytest
@@ -197,3 +198,24 @@ def test_buckets_of_parts_with_more_than_six_digits(spark, tmp_path):
     rows = wiring.bucket_literals(spark, str(tmp_path)).select("kind", "unit", "resource", "bucket", "n").collect()
     assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want))
     assert {r.resource for r in rows if r.unit.startswith("p/30000")} >= {"resource:x/100001", "resource:x/1000002"}
+
+
+def test_files_of_a_crowded_directory_are_dealt_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(modules, "CROWD", 3, raising=False)
+    settled = []
+    keep = modules.settle
+    monkeypatch.setattr(modules, "settle", lambda df: settled.append(df) or keep(df))
+    files = [f"p/{k}/loc/{n}" for k in range(6) for n in ("en.ts", "de/index.ts", "readme.md")]
+    wanted = [("p/1/b.ts", "../*/loc/en", "template", r"p/\d+/loc/en.ts"), ("p/1/b.ts", "../*/loc/*", "template", r"p/\d+/loc/.*"), ("p/2/a.ts", "./loc/*.ts", "glob", r"p/2/loc/en.ts")]
+    rows = modules.resolve_patterns(spark.createDataFrame([w[:3] for w in wanted], "path string, specifier string, kind string"), spark.createDataFrame([(f,) for f in files], "path string")).collect()
+    assert sorted((r.path, r.specifier, r.file) for r in rows) == sorted((p, s, f) for p, s, _, e in wanted for f in files if re.fullmatch(e, f))
+    # files meet the directories and the patterns by their share too, and are compared once
+    plan = next(df for df in settled if df.columns == ["base", "kind", "file"])._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert re.search(r"SortMergeJoin \[dir#\d+, share#\d+\]", plan)
+    assert re.search(r"SortMergeJoin \[dir#\d+, tail#\d+, share#\d+\]", plan)
+    assert "HashAggregate" not in plan.split("SortMergeJoin")[0]
+
+
+def test_texts_are_read_once_for_their_patterns(spark):
+    found = modules.patterns(wiring.written(spark, SF, wiring.DYNAMIC_FILES))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
